@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions.scorers import PairScorer, PandasPairScorer, coverage, score_pairs
 from lorekeep.functions.text import sentences
 from lorekeep.operators.embed import hash_bags
-from lorekeep.operators.search import search
+from lorekeep.operators.search import fetch, search
 from lorekeep.sources.sinks import save_table
 
 DEFAULT_TESTS = 20
@@ -86,7 +86,7 @@ def evaluate_relevancy(
         "question_id", "question", F.coalesce(*wanted, F.col("question")).alias("wanted")
     )
     hits = search(kb, hash_bags(tests, "question"), k)
-    pairs = hits.join(kb.select("id", "content"), "id").join(
+    pairs = fetch(hits, kb, ["content"]).join(
         tests.select("question_id", "wanted"), "question_id"
     )
     scored = score_pairs(pairs, "wanted", "content", scorer or coverage, pandas_scorer, "relevancy")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.text import DEFAULT_DIM
 from lorekeep.operators.embed import hash_bags
-from lorekeep.operators.search import search
+from lorekeep.operators.search import fetch, search
 from lorekeep.session import checkpointed, new_dir
 
 RESERVED = ("id", "content", "vector", "batch_id", "ingest_ts")
@@ -150,7 +150,7 @@ class KnowledgeBase:
         """``question_id, id, <columns>, score, rank`` for ``question_id, question`` rows."""
         rows = self.rows()
         hits = search(rows, self.embed(questions), k, filters)
-        return hits.join(rows.select("id", *columns), "id") if columns else hits
+        return fetch(hits, rows, columns) if columns else hits
 
     def query(
         self, text: str, filters: Mapping[str, Any] | None = None, limit: int | None = 5

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from lorekeep.functions.scorers import PairScorer, PandasPairScorer, score_pairs
-from lorekeep.operators.search import rank_hits
+from lorekeep.operators.search import fetch, rank_hits
 
 
 def rerank(
@@ -21,10 +21,8 @@ def rerank(
     Only the candidates (``questions x fetched`` rows) meet the content column; the default
     scorer is the Jaccard overlap of their tokens.
     """
-    pairs = (
-        candidates.select("question_id", "id")
-        .join(kb.select("id", "content"), "id")
-        .join(questions.select("question_id", "question"), "question_id")
+    pairs = fetch(candidates.select("question_id", "id"), kb, ["content"]).join(
+        questions.select("question_id", "question"), "question_id"
     )
     scored = score_pairs(pairs, "question", "content", scorer, pandas_scorer, "rerank_score")
     return rank_hits(scored.drop("question", "content"), k, by="rerank_score")

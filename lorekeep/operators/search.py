@@ -11,7 +11,7 @@ Scores are rounded to six decimals and ties are broken by id.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -20,8 +20,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lorekeep.functions.filters import compile_filter
+from lorekeep.session import checkpointed
 
 BROADCAST_BYTES = 64 << 20
 KB_ROWS_PER_BLOCK = 100_000
@@ -29,7 +31,6 @@ ROWS_PER_STEP = 512
 QUESTIONS_PER_STEP = 512
 
 Weights = np.ndarray | None
-Scorer = Callable[[pa.Table, slice], np.ndarray]
 
 
 # --- scoring kernels: rows x questions -----------------------------------------------------
@@ -171,7 +172,12 @@ def _batch(question_ids, rows, ids, scores, schema: pa.Schema) -> pa.RecordBatch
 
 
 def _score_rows(
-    batches: Iterator[pa.Table], scorer, question_ids: pa.Array, k: int | None, schema: pa.Schema
+    batches: Iterator[pa.Table],
+    scorer,
+    question_ids: pa.Array,
+    k: int | None,
+    schema: pa.Schema,
+    probes: np.ndarray | None = None,
 ) -> Iterator[pa.RecordBatch]:
     top = TopK(len(question_ids), k) if k else None
     for table in batches:
@@ -180,6 +186,9 @@ def _score_rows(
             ids = part.column("id").to_numpy()
             for span, scores in scorer.blocks(part.column("vector")):
                 scores = _round(scores)
+                if probes is not None:
+                    lists = part.column("list_id").to_numpy()
+                    scores = np.where(probes[lists][:, span], scores, -np.inf)
                 if top is not None:
                     top.add(span, scores, ids, scorer.positive_only)
                     continue
@@ -213,9 +222,7 @@ BAG = VectorKind()
 DENSE = VectorKind(dense=True)
 
 
-def _arrow_schema(question_type: T.DataType, id_type: T.DataType) -> tuple[T.StructType, pa.Schema]:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
+def hit_schema(question_type: T.DataType, id_type: T.DataType) -> tuple[T.StructType, pa.Schema]:
     schema = T.StructType(
         [
             T.StructField("question_id", question_type),
@@ -226,6 +233,40 @@ def _arrow_schema(question_type: T.DataType, id_type: T.DataType) -> tuple[T.Str
     return schema, to_arrow_schema(schema)
 
 
+def question_bytes(questions: DataFrame) -> int:
+    """Upper estimate of the memory that the vectors of a question set need."""
+    size = questions.agg(
+        F.count("*").alias("rows"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("values")
+    ).first()
+    return 64 * size["rows"] + 16 * size["values"]
+
+
+def scan_scores(
+    kb: DataFrame,
+    questions: pa.Table,
+    k: int | None,
+    kind: VectorKind,
+    schema: T.StructType,
+    arrow: pa.Schema,
+    probes: np.ndarray | None = None,
+) -> DataFrame:
+    """One pass over ``kb`` with the (size-checked) questions broadcast.
+
+    ``probes[list, question]`` tells which lists of a partitioned index a question reads;
+    ``kb`` then has a ``list_id`` column.
+    """
+    shared = kb.sparkSession.sparkContext.broadcast((questions, probes))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local, allowed = shared.value
+        scorer = kind.scorer(local.column("vector"))
+        ids = local.column("question_id").combine_chunks()
+        tables = (pa.Table.from_batches([b]) for b in batches)
+        yield from _score_rows(tables, scorer, ids, k, arrow, allowed)
+
+    return kb.mapInArrow(scan, schema)
+
+
 def score_vectors(
     kb: DataFrame,
     questions: DataFrame,
@@ -240,27 +281,14 @@ def score_vectors(
     below one keeps every match.
     """
     k = k if k and k > 0 else None
-    schema, arrow = _arrow_schema(
+    schema, arrow = hit_schema(
         questions.schema["question_id"].dataType, kb.schema["id"].dataType
     )
     kb = kb.select("id", "vector")
     questions = questions.select("question_id", "vector")
-    size = questions.agg(
-        F.count("*").alias("rows"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("values")
-    ).first()
-    measured = 64 * size["rows"] + 16 * size["values"]
+    measured = question_bytes(questions)
     if measured <= broadcast_bytes:
-        table = questions.toArrow()
-        shared = kb.sparkSession.sparkContext.broadcast(table)
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            local = shared.value
-            scorer = kind.scorer(local.column("vector"))
-            ids = local.column("question_id").combine_chunks()
-            tables = (pa.Table.from_batches([b]) for b in batches)
-            yield from _score_rows(tables, scorer, ids, k, arrow)
-
-        return kb.mapInArrow(scan, schema)
+        return scan_scores(kb, questions.toArrow(), k, kind, schema, arrow)
 
     question_blocks = math.ceil(measured / broadcast_bytes)
     kb_blocks = max(1, math.ceil(kb.count() / kb_rows_per_block))
@@ -316,6 +344,10 @@ def search(
     return rank_hits(hits, k) if k and k > 0 else hits
 
 
-def with_content(hits: DataFrame, kb: DataFrame, columns: list[str]) -> DataFrame:
-    """Join content and metadata back to the few hits."""
-    return hits.join(kb.select("id", *columns), "id")
+def fetch(hits: DataFrame, kb: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Join content and metadata of ``kb`` to hits.
+
+    The hits are written first: they are scored once however often they are used, and their
+    size on disk tells Spark whether they may be broadcast, which spares ``kb`` a shuffle.
+    """
+    return checkpointed(hits).join(kb.select("id", *columns), "id")

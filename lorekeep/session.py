@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +41,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def union_all(frames: Sequence[DataFrame]) -> DataFrame:
+    """Union by column name.
+
+    Spark 4.1 may treat the union of hash-partitioned inputs as hash-partitioned although
+    adaptive execution has since merged partitions of one input only; rows then miss each other
+    in a later grouping or join. The switch below only costs a possible extra shuffle.
+    """
+    frames[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return functools.reduce(DataFrame.unionByName, frames)
+
+
 def spread(scan: DataFrame, key: str) -> DataFrame:
     """Hash a scan with fewer splits than task slots over all slots by ``key``.
 

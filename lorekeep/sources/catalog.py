@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.session import union_all
+
 
 def _quoted(*names: str) -> str:
     return ".".join("`" + n.replace("`", "``") + "`" for n in names)
@@ -41,12 +43,14 @@ def scan(spark: SparkSession, source: str, table: str) -> DataFrame:
 
 def table_counts(spark: SparkSession, source: str, tables: list[str]) -> DataFrame:
     """``table_name, n_rows`` of registered tables, as one plan."""
-    counts = None
-    for table in tables:
-        one = scan(spark, source, table).agg(F.count("*").alias("n_rows"))
-        one = one.select(F.lit(table).alias("table_name"), "n_rows")
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+    return union_all(
+        [
+            scan(spark, source, table)
+            .agg(F.count("*").alias("n_rows"))
+            .select(F.lit(table).alias("table_name"), "n_rows")
+            for table in tables
+        ]
+    )
 
 
 def refresh_table(df: DataFrame, source: str, table: str, root: str, version: int | str) -> DataFrame:

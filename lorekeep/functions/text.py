@@ -35,6 +35,15 @@ def term_buckets(text: Column | str, dim: int = DEFAULT_DIM) -> Column:
     return F.transform(tokens(text), lambda t: bucket(t, dim))
 
 
+def each(array: Column) -> Column:
+    """Explode an array that is costly to compute; drop the NULL row of empty arrays after it.
+
+    A plain explode makes Spark infer a filter on the array's size and push it below, so the
+    array would be computed twice or more.
+    """
+    return F.explode_outer(array)
+
+
 def sentences(text: Column | str) -> Column:
     """Trimmed non-empty sentences in order."""
     parts = F.transform(F.split(text, SENTENCE_BREAK), lambda s: F.trim(s))

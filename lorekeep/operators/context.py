@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
@@ -58,6 +58,24 @@ def attach_table(context: DataFrame, table: DataFrame, on: str, columns: Sequenc
     return context.join(table.select(F.col(on).alias("id"), *columns), "id")
 
 
+def with_tables(context: DataFrame, tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Append matching rows of context tables, as JSON, to the retrieved contents.
+
+    ``tables`` maps a name to a frame and its id column. Rows without a match stay as they are.
+    """
+    for name, (table, on) in tables.items():
+        others = [F.col(c) for c in table.columns if c != on]
+        notes = (
+            table.select(F.col(on).alias("id"), F.to_json(F.struct(*others)).alias("note"))
+            .join(context.select("id").distinct(), "id", "left_semi")
+            .groupBy("id")
+            .agg(F.array_join(F.sort_array(F.collect_set("note")), "\n").alias("note"))
+        )
+        text = F.concat_ws("\n", "content", F.concat(F.lit(f"{name}: "), F.col("note")))
+        context = context.join(notes, "id", "left").withColumn("content", text).drop("note")
+    return context
+
+
 def context_texts(context: DataFrame, questions: DataFrame, separator: str = "\n") -> DataFrame:
     """``question_id, question, context``: contents in rank order, empty without hits."""
     ranked = F.array_sort(F.collect_list(F.struct("rank", "content")))
@@ -84,7 +102,7 @@ def extractive_answers(context: DataFrame, questions: DataFrame) -> DataFrame:
     """
     asked = questions.select("question_id", "question")
     parts = context.join(asked, "question_id").select(
-        "question_id", "question", "rank", F.posexplode(sentences("content")).alias("at", "sentence")
+        "question_id", "question", "rank", F.posexplode_outer(sentences("content")).alias("at", "sentence")
     )
     score = F.round(coverage(F.col("question"), F.col("sentence")).cast("double"), 6)
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "rank", "at")
@@ -101,16 +119,17 @@ def extractive_answers(context: DataFrame, questions: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Agent:
-    """Knowledge bases, a template and, if given, a user model that answers prompts."""
+    """Knowledge bases and tables, a template and, if given, a user model that answers prompts."""
 
     kbs: Mapping[str, DataFrame]
     template: str = DEFAULT_TEMPLATE
     k: int = 5
     model: Callable[[pd.Series], pd.Series] | None = None
+    tables: Mapping[str, tuple[DataFrame, str]] = field(default_factory=dict)
 
     def answer(self, questions: DataFrame) -> DataFrame:
         """``question_id, answer`` for every question."""
-        found = retrieve(self.kbs, questions, self.k)
+        found = with_tables(retrieve(self.kbs, questions, self.k), self.tables)
         if self.model is None:
             return extractive_answers(found, questions)
         asked = prompts(found, questions, self.template)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorekeep.functions.text import DEFAULT_DIM, term_buckets
+from lorekeep.functions.text import DEFAULT_DIM, each, term_buckets
 from lorekeep.operators.search import VectorKind
 
 IDF_SCALE = 100
@@ -23,7 +23,8 @@ def hash_bags(df: DataFrame, content: str = "content", dim: int = DEFAULT_DIM) -
 def postings(bags: DataFrame) -> DataFrame:
     """``id, bucket, w`` rows of the bags, for inspection and SQL use."""
     return (
-        bags.select("id", F.explode("vector").alias("bucket"))
+        bags.select("id", each(F.col("vector")).alias("bucket"))
+        .filter(F.col("bucket").isNotNull())
         .groupBy("id", "bucket")
         .agg(F.count("*").alias("w"))
         .withColumn("bucket", F.col("bucket").cast("bigint"))
@@ -33,7 +34,8 @@ def postings(bags: DataFrame) -> DataFrame:
 def document_frequency(bags: DataFrame) -> DataFrame:
     """``bucket, df``: in how many rows a bucket occurs. At most ``dim`` rows."""
     return (
-        bags.select(F.explode(F.array_distinct("vector")).alias("bucket"))
+        bags.select(each(F.array_distinct("vector")).alias("bucket"))
+        .filter(F.col("bucket").isNotNull())
         .groupBy("bucket")
         .agg(F.count("*").alias("df"))
     )

@@ -7,15 +7,20 @@ makes the default search exact while lists that cannot win are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import pyarrow as pa
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorekeep.operators.search import (
     BROADCAST_BYTES,
     DENSE,
+    dense_matrix,
     hit_schema,
     question_bytes,
     rank_hits,
@@ -26,54 +31,73 @@ from lorekeep.operators.search import (
 ROUNDING = 2e-6
 
 
-def _unit(vectors: DataFrame) -> DataFrame:
-    """Add ``features``: the vector scaled to length one (zero vectors stay zero)."""
+def unit_rows(matrix: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one; zero rows stay zero."""
+    lengths = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+    return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
+
+
+def distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Euclidean distances, rows x centres."""
+    squares = (rows * rows).sum(axis=1)[:, None] + (centres * centres).sum(axis=1)[None, :]
+    return np.sqrt(np.maximum(squares - 2.0 * rows @ centres.T, 0.0))
+
+
+def _unit_features(vectors: DataFrame) -> DataFrame:
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    scaled = F.transform("vector", lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0)))
-    return vectors.withColumn("features", array_to_vector(scaled))
+    scaled = F.transform(
+        "vector", lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0))
+    )
+    return vectors.select(array_to_vector(scaled).alias("features"))
+
+
+def _assign(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Add ``list_id`` of the nearest centre and ``away``, the distance to it."""
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)  # lists x dimensions
+    vectors = vectors.select("id", "vector")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            away = distances(unit_rows(dense_matrix(table.column("vector"))), shared.value)
+            nearest = away.argmin(axis=1)
+            away = away[np.arange(len(nearest)), nearest]
+            lists = pa.array(nearest, pa.int32())
+            columns = [*batch.columns, pa.array(away, pa.float64()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "vector", "away", "list_id"])
+
+    added = [T.StructField("away", T.DoubleType()), T.StructField("list_id", T.IntegerType())]
+    return vectors.mapInArrow(run, T.StructType([*vectors.schema.fields, *added]))
 
 
 def _write(assigned: DataFrame, path: str, mode: str) -> None:
     """One folder per list. Rebalancing merges small lists and splits a hot one over tasks."""
-    (
-        assigned.select("id", "vector", "list_id", "away")
-        .hint("rebalance", "list_id")
-        .write.mode(mode)
-        .partitionBy("list_id")
-        .parquet(f"{path}/lists")
-    )
+    balanced = assigned.hint("rebalance", "list_id")
+    balanced.write.mode(mode).partitionBy("list_id").parquet(f"{path}/lists")
 
 
-def _assign(vectors: DataFrame, model: KMeansModel) -> DataFrame:
-    """Add ``list_id`` and ``away``, the distance to the centre of that list."""
-    spark = vectors.sparkSession
-    centres = spark.createDataFrame(
-        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
-        "list_id int, centre array<double>",
-    )
-    squares = F.zip_with(vector_to_array("features"), "centre", lambda a, b: (a - b) * (a - b))
-    return (
-        model.transform(_unit(vectors))
-        .withColumnRenamed("prediction", "list_id")
-        .join(F.broadcast(centres), "list_id")  # as many rows as lists
-        .withColumn("away", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)))
-    )
+def build_index(
+    vectors: DataFrame, path: str, lists: int, seed: int = 42, iterations: int = 10
+) -> None:
+    """Train ``lists`` centres on ``id, vector`` rows and write every row to its list."""
+    trained = KMeans(k=lists, seed=seed, maxIter=iterations).fit(_unit_features(vectors))
+    centres = np.array(trained.clusterCenters())
+    rows = [(i, [float(x) for x in centre]) for i, centre in enumerate(centres)]
+    saved = vectors.sparkSession.createDataFrame(rows, "list_id int, centre array<double>")
+    saved.coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+    _write(_assign(vectors, centres), path, "overwrite")
 
 
-def build_index(vectors: DataFrame, path: str, lists: int, seed: int = 42, iterations: int = 10) -> None:
-    """Train ``lists`` centres on ``id, vector`` rows and write every row to its list."""
-    features = _unit(vectors).select("features")
-    model = KMeans(k=lists, seed=seed, maxIter=iterations).fit(features)
-    model.write().overwrite().save(f"{path}/model")
-    _write(_assign(vectors, model), path, "overwrite")
+def read_centres(spark: SparkSession, path: str) -> np.ndarray:
+    rows = spark.read.parquet(f"{path}/centres").orderBy("list_id").collect()
+    return np.array([row["centre"] for row in rows])
 
 
 def refresh_index(vectors: DataFrame, path: str) -> None:
     """Add the ids that the index lacks; the lists themselves stay."""
-    indexed = read_index(vectors.sparkSession, path).select("id")
-    model = KMeansModel.load(f"{path}/model")
-    new = vectors.join(indexed, "id", "left_anti")
-    _write(_assign(new, model), path, "append")
+    spark = vectors.sparkSession
+    new = vectors.join(read_index(spark, path).select("id"), "id", "left_anti")
+    _write(_assign(new, read_centres(spark, path)), path, "append")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -102,11 +126,8 @@ def search_index(
 
     table = questions.toArrow()
     schema, arrow = hit_schema(questions.schema["question_id"].dataType, index.schema["id"].dataType)
-    centres = np.array(KMeansModel.load(f"{path}/model").clusterCenters())
-    matrix = np.array(table.column("vector").to_pylist(), np.float64).reshape(len(table), -1)
-    lengths = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-    unit = np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
-    away = np.sqrt(((centres[:, None, :] - unit[None, :, :]) ** 2).sum(axis=2))
+    centres = read_centres(spark, path)
+    away = distances(centres, unit_rows(dense_matrix(table.column("vector"))))
 
     def probe(allowed: np.ndarray) -> DataFrame:
         wanted = [int(i) for i in np.flatnonzero(allowed.any(axis=1))]

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lorekeep.functions.scorers import PairScorer
 from lorekeep.functions.text import DEFAULT_DIM
 from lorekeep.operators.embed import hash_bags
-from lorekeep.operators.search import fetch, search
+from lorekeep.operators.rerank import rerank
+from lorekeep.operators.search import BAG, VectorKind, fetch, search
 from lorekeep.session import checkpointed, new_dir
 
 RESERVED = ("id", "content", "vector", "batch_id", "ingest_ts")
@@ -100,19 +102,36 @@ def latest_rows(rows: DataFrame) -> DataFrame:
     )
 
 
+Embedder = Callable[[DataFrame, str], DataFrame]
+
+
 class KnowledgeBase:
     """Rows under ``path``, one folder per batch, with the vectors stored beside the content.
 
-    Writing a batch again replaces it, so a retried load changes nothing.
+    Writing a batch again replaces it, so a retried load changes nothing. ``embedder`` adds a
+    ``vector`` column for a text column (default: bags of hashed terms) and ``kind`` says how
+    such vectors are compared. A ``reranker`` (scorer of question and content columns) turns
+    on a second stage over ``overfetch`` times as many candidates.
     """
 
-    def __init__(self, spark: SparkSession, path: str, spec: KnowledgeBaseSpec) -> None:
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        spec: KnowledgeBaseSpec,
+        embedder: Embedder | None = None,
+        kind: VectorKind = BAG,
+        reranker: PairScorer | None = None,
+        overfetch: int = 4,
+    ) -> None:
         self.spark, self.path, self.spec = spark, path.rstrip("/"), spec
+        self.embedder, self.kind = embedder, kind
+        self.reranker, self.overfetch = reranker, overfetch
 
     def append(self, source: DataFrame, batch_id: int, limit: int | None = None) -> None:
         newest_rows = newest(source.select(*self.spec.source_columns()), limit, self.spec.id_column)
         rows = one_row_per_id(project_source(newest_rows, self.spec))
-        rows = hash_bags(rows, dim=self.spec.dim).withColumn("ingest_ts", F.current_timestamp())
+        rows = self.embed(rows, "content").withColumn("ingest_ts", F.current_timestamp())
         rows.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
     def all_rows(self) -> DataFrame:
@@ -131,14 +150,18 @@ class KnowledgeBase:
         target = path or new_dir(self.spark, "kb")
         rows = self.rows().drop("batch_id")
         rows.write.mode("overwrite").parquet(f"{target}/batch_id=0")
-        return KnowledgeBase(self.spark, target, self.spec)
+        return KnowledgeBase(
+            self.spark, target, self.spec, self.embedder, self.kind, self.reranker, self.overfetch
+        )
 
     def register(self, name: str) -> None:
         """Make the current rows readable by SQL as ``name``."""
         self.rows().createOrReplaceTempView(name)
 
-    def embed(self, texts: DataFrame, content: str = "question") -> DataFrame:
-        return hash_bags(texts, content, self.spec.dim)
+    def embed(self, texts: DataFrame, column: str = "question") -> DataFrame:
+        if self.embedder is not None:
+            return self.embedder(texts, column)
+        return hash_bags(texts, column, self.spec.dim)
 
     def search(
         self,
@@ -147,9 +170,16 @@ class KnowledgeBase:
         filters: Mapping[str, Any] | None = None,
         columns: Sequence[str] = ("content",),
     ) -> DataFrame:
-        """``question_id, id, <columns>, score, rank`` for ``question_id, question`` rows."""
-        rows = self.rows()
-        hits = search(rows, self.embed(questions), k, filters)
+        """``question_id, id, <columns>, score, rank`` for ``question_id, question`` rows.
+
+        With a reranker the score column is ``rerank_score``.
+        """
+        rows, asked = self.rows(), self.embed(questions)
+        if self.reranker is not None and k and k > 0:
+            found = search(rows, asked, k * self.overfetch, filters, self.kind)
+            hits = rerank(found, questions, rows, k, self.reranker)
+        else:
+            hits = search(rows, asked, k, filters, self.kind)
         return fetch(hits, rows, columns) if columns else hits
 
     def query(

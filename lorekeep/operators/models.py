@@ -8,6 +8,7 @@ the scan, and sums of whole numbers do not depend on the order of rows or partit
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekeep.functions.prompt import render
-from lorekeep.functions.text import DEFAULT_DIM, TOKEN_BREAK, term_buckets
+from lorekeep.functions.text import DEFAULT_DIM, TOKEN_BREAK, bucket, each, term_buckets, tokens
 
 LOG_SCALE = 1_000_000
 MAX_MODEL_NUMBERS = 4_000_000
@@ -33,19 +34,19 @@ def number_array(values: Sequence[int]) -> Column:
     return F.from_json(F.lit(json.dumps(list(values))), T.ArrayType(T.LongType()))
 
 
-def class_counts(labelled: DataFrame, text: str, target: str, dim: int = DEFAULT_DIM) -> DataFrame:
+def class_counts(labelled: DataFrame, text: str, target: str) -> DataFrame:
     """``target, n_tokens, n_docs`` per class."""
-    bags = labelled.select(target, term_buckets(F.col(text), dim).alias("bag"))
-    return bags.groupBy(target).agg(
-        F.sum(F.size("bag")).alias("n_tokens"), F.count("*").alias("n_docs")
+    return labelled.groupBy(target).agg(
+        F.sum(F.size(tokens(text))).alias("n_tokens"), F.count("*").alias("n_docs")
     )
 
 
 def token_counts(labelled: DataFrame, text: str, target: str, dim: int = DEFAULT_DIM) -> DataFrame:
     """``target, bucket, n``: at most classes x ``dim`` rows, summed before the shuffle."""
     return (
-        labelled.select(target, F.explode(term_buckets(F.col(text), dim)).alias("bucket"))
-        .groupBy(target, F.col("bucket").cast("bigint").alias("bucket"))
+        labelled.select(target, each(tokens(text)).alias("token"))
+        .filter(F.col("token").isNotNull())
+        .groupBy(target, bucket(F.col("token"), dim).cast("bigint").alias("bucket"))
         .agg(F.count("*").alias("n"))
     )
 
@@ -83,48 +84,38 @@ class NaiveBayes:
         return df.withColumn(out, self.predict(F.col(text)))
 
 
-def naive_bayes_from_counts(classes: DataFrame, tokens: DataFrame, target: str, dim: int) -> NaiveBayes:
-    """Turn count tables into a model; only its bounded numbers reach the driver."""
-    found = classes.limit(MAX_CLASSES + 1).collect()
+def _scaled_log(x: float) -> int:
+    return math.floor(math.log(x) * LOG_SCALE + 0.5)
+
+
+def naive_bayes_from_counts(classes: DataFrame, counts: DataFrame, target: str, dim: int) -> NaiveBayes:
+    """A model from ``target, n_docs`` and ``target, bucket, n`` rows.
+
+    The number of classes is checked first, so at most ``MAX_MODEL_NUMBERS`` counts reach the
+    driver, however many rows were counted.
+    """
+    known = F.col(target).isNotNull()
+    found = classes.filter(known).select(target, "n_docs").limit(MAX_CLASSES + 1).collect()
     if len(found) > MAX_CLASSES or len(found) * dim > MAX_MODEL_NUMBERS:
         raise ValueError(f"column {target!r} has too many classes for a class model")
-    found = sorted((r for r in found if r[target] is not None), key=lambda r: r[target])
     if not found:
         raise ValueError(f"no labelled rows in column {target!r}")
-
-    def scaled_log(x: Column) -> Column:
-        return F.round(F.log(x) * LOG_SCALE).cast("bigint")
-
-    docs = sum(r["n_docs"] for r in found)
-    totals = classes.select(target, "n_tokens", "n_docs").filter(F.col(target).isNotNull())
-    smoothed = (F.col("n") + 1) / (F.col("n_tokens") + dim)
-    rows = (
-        tokens.join(F.broadcast(totals), target)  # at most MAX_CLASSES rows, checked above
-        .select(target, "bucket", scaled_log(smoothed).alias("lp"))
-        .collect()
-    )
-    per_class = {
-        r[target]: (r["prior"], r["unseen"])
-        for r in totals.select(
-            target,
-            scaled_log(F.col("n_docs") / F.lit(docs)).alias("prior"),
-            scaled_log(F.lit(1.0) / (F.col("n_tokens") + dim)).alias("unseen"),
-        ).collect()
-    }
-    names = [r[target] for r in found]
-    tables = {c: [per_class[c][1]] * dim for c in names}
-    for r in rows:
-        tables[r[target]][r["bucket"]] = r["lp"]
+    docs = {r[target]: r["n_docs"] for r in sorted(found, key=lambda r: r[target])}
+    table = {c: [0] * dim for c in docs}
+    for row in counts.filter(known).select(target, "bucket", "n").collect():
+        table[row[target]][row["bucket"]] = row["n"]
+    total = sum(docs.values())
+    logs = {c: [_scaled_log((n + 1) / (sum(row) + dim)) for n in row] for c, row in table.items()}
     return NaiveBayes(
-        tuple(names),
-        tuple(per_class[c][0] for c in names),
-        tuple(tuple(tables[c]) for c in names),
-        dim,
+        classes=tuple(docs),
+        priors=tuple(_scaled_log(n / total) for n in docs.values()),
+        log_probs=tuple(tuple(row) for row in logs.values()),
+        dim=dim,
     )
 
 
 def fit_naive_bayes(labelled: DataFrame, text: str, target: str, dim: int = DEFAULT_DIM) -> NaiveBayes:
-    classes = class_counts(labelled, text, target, dim)
+    classes = labelled.groupBy(target).agg(F.count("*").alias("n_docs"))
     return naive_bayes_from_counts(classes, token_counts(labelled, text, target, dim), target, dim)
 
 
@@ -134,12 +125,10 @@ def fit_version(labelled: DataFrame, text: str, target: str, path: str, version:
 
     The class table is written last: readers move to the new version once it is complete.
     """
-    token_counts(labelled, text, target, dim).write.mode("overwrite").parquet(
-        f"{path}/tokens/version={version}"
-    )
-    class_counts(labelled, text, target, dim).write.mode("overwrite").parquet(
-        f"{path}/classes/version={version}"
-    )
+    counts = token_counts(labelled, text, target, dim)
+    counts.write.mode("overwrite").parquet(f"{path}/tokens/version={version}")
+    classes = labelled.groupBy(target).agg(F.count("*").alias("n_docs"))
+    classes.write.mode("overwrite").parquet(f"{path}/classes/version={version}")
 
 
 def refit(spark: SparkSession, query: str, text: str, target: str, path: str, version: int,
@@ -154,9 +143,9 @@ def load_version(spark: SparkSession, target: str, path: str, version: int | Non
     classes = spark.read.parquet(f"{path}/classes")
     if version is None:
         version = classes.agg(F.max("version")).first()[0]
-    tokens = spark.read.parquet(f"{path}/tokens")
+    counts = spark.read.parquet(f"{path}/tokens")
     at = F.col("version") == version
-    return naive_bayes_from_counts(classes.filter(at), tokens.filter(at), target, dim)
+    return naive_bayes_from_counts(classes.filter(at), counts.filter(at), target, dim)
 
 
 def fit_classifier(labelled: DataFrame, text: str, target: str, dim: int = DEFAULT_DIM,

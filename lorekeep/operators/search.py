@@ -93,7 +93,7 @@ class DenseScorer:
     positive_only = False
 
     def __init__(self, vectors: pa.ChunkedArray) -> None:
-        matrix = _dense(vectors)
+        matrix = dense_matrix(vectors)
         norms = np.sqrt((matrix * matrix).sum(axis=1))
         self.steps = [
             (slice(s, s + QUESTIONS_PER_STEP), matrix[s : s + QUESTIONS_PER_STEP].T,
@@ -102,7 +102,7 @@ class DenseScorer:
         ]
 
     def blocks(self, column: pa.ChunkedArray) -> Iterator[tuple[slice, np.ndarray]]:
-        rows = _dense(column)
+        rows = dense_matrix(column)
         norms = np.sqrt((rows * rows).sum(axis=1))
         for span, matrix, question_norms in self.steps:
             dots = rows @ matrix
@@ -110,7 +110,8 @@ class DenseScorer:
             yield span, np.divide(dots, scale, out=np.full_like(dots, -np.inf), where=scale > 0)
 
 
-def _dense(column: pa.ChunkedArray) -> np.ndarray:
+def dense_matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of equally long vectors as doubles."""
     values, _ = _flat(column)
     return values.astype(np.float64).reshape(len(column), -1)
 

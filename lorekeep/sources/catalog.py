@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorekeep.session import union_all
 
@@ -28,7 +29,10 @@ def ensure_source(spark: SparkSession, source: str, location: str | None = None)
 def register_table(
     spark: SparkSession, source: str, table: str, path: str, fmt: str = "parquet"
 ) -> DataFrame:
-    """Point ``source.table`` at files; calling it again changes nothing but the path."""
+    """Point ``source.table`` at files that carry their own schema.
+
+    Calling it again changes nothing but the path.
+    """
     ensure_source(spark, source)
     spark.sql(
         f"CREATE OR REPLACE VIEW {_quoted(source, table)} AS "
@@ -37,6 +41,25 @@ def register_table(
     return scan(spark, source, table)
 
 
+def register_external(
+    spark: SparkSession,
+    source: str,
+    table: str,
+    fmt: str,
+    options: Mapping[str, str],
+    schema: T.StructType | None = None,
+) -> DataFrame:
+    """Register a table of any Spark format (csv, json, jdbc, ...) with its options.
+
+    An existing table of that name is kept.
+    """
+    ensure_source(spark, source)
+    name = _quoted(source, table)
+    if not spark.catalog.tableExists(name):
+        spark.catalog.createTable(name, source=fmt, schema=schema, **options)
+    return scan(spark, source, table)
+
+
 def scan(spark: SparkSession, source: str, table: str) -> DataFrame:
     return spark.table(_quoted(source, table))
 

@@ -120,7 +120,7 @@ def search_index(
     read (exact). Question sets beyond the broadcast limit use the full blocked search.
     """
     index = read_index(spark, path)
-    questions = questions.select("question_id", "vector")
+    questions = questions.select("question_id", "vector").filter(F.col("vector").isNotNull())
     if question_bytes(questions) > broadcast_bytes:
         return search(index, questions, k, kind=DENSE, broadcast_bytes=broadcast_bytes)
 

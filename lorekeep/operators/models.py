@@ -60,12 +60,12 @@ class NaiveBayes:
     log_probs: tuple[tuple[int, ...], ...]
     dim: int
 
-    def predict(self, text: str | Column) -> Column:
+    def predict(self, text: Column) -> Column:
         """The most likely class; texts without tokens get the most frequent one.
 
         Ties go to the class that sorts first.
         """
-        bag = term_buckets(text, self.dim)
+        bag = term_buckets(F.coalesce(text, F.lit("")), self.dim)
         start = F.array(*[F.lit(p).cast("bigint") for p in self.priors])
         tables = F.array(*[number_array(row) for row in self.log_probs])
         totals = F.aggregate(

@@ -172,6 +172,13 @@ def _batch(question_ids, rows, ids, scores, schema: pa.Schema) -> pa.RecordBatch
     )
 
 
+def _with_vectors(table: pa.Table) -> pa.Table:
+    """Rows whose vector is not NULL. Done here: as a filter in the plan it would be pushed
+    below the embedding and compute every vector twice."""
+    vectors = table.column("vector")
+    return table.filter(vectors.is_valid()) if vectors.null_count else table
+
+
 def _score_rows(
     batches: Iterator[pa.Table],
     scorer,
@@ -182,6 +189,7 @@ def _score_rows(
 ) -> Iterator[pa.RecordBatch]:
     top = TopK(len(question_ids), k) if k else None
     for table in batches:
+        table = _with_vectors(table)
         for start in range(0, table.num_rows, ROWS_PER_STEP):
             part = table.slice(start, ROWS_PER_STEP)
             ids = part.column("id").to_numpy()
@@ -256,6 +264,8 @@ def scan_scores(
     ``probes[list, question]`` tells which lists of a partitioned index a question reads;
     ``kb`` then has a ``list_id`` column.
     """
+    if probes is None:
+        questions = _with_vectors(questions)
     shared = kb.sparkSession.sparkContext.broadcast((questions, probes))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,6 +313,7 @@ def score_vectors(
     )
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = _with_vectors(right)
         if not left.num_rows or not right.num_rows:
             return arrow.empty_table()
         scorer = kind.scorer(right.column("vector"))

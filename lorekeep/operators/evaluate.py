@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions.scorers import PairScorer, PandasPairScorer, coverage, score_pairs
 from lorekeep.functions.text import sentences
 from lorekeep.operators.embed import hash_bags
+from lorekeep.operators.limits import first_rows
 from lorekeep.operators.search import fetch, search
 from lorekeep.sources.sinks import save_table
 
@@ -25,7 +26,8 @@ def generate_tests(kb: DataFrame, count: int = DEFAULT_TESTS) -> DataFrame:
     longest = F.array_max(
         F.transform(sentences("content"), lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))
     )
-    picked = kb.select("id", "content").orderBy(F.md5(F.col("id").cast("string")), "id").limit(count)
+    order = [F.md5(F.col("id").cast("string")), F.col("id")]
+    picked = first_rows(kb.select("id", "content"), order, count)
     return picked.select(
         F.col("id").alias("question_id"),
         F.coalesce(longest["s"], F.col("content")).alias("question"),

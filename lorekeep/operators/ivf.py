@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lorekeep.operators.kernels import dense_matrix, usable
 from lorekeep.operators.search import (
     BROADCAST_BYTES,
     DENSE,
-    dense_matrix,
     hit_schema,
     question_bytes,
     rank_hits,
@@ -58,13 +58,15 @@ def _assign(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = pa.Table.from_batches([batch])
+            table = usable(pa.Table.from_batches([batch]), "id")
+            if not table.num_rows:
+                continue
             away = distances(unit_rows(dense_matrix(table.column("vector"))), shared.value)
             nearest = away.argmin(axis=1)
             away = away[np.arange(len(nearest)), nearest]
             lists = pa.array(nearest, pa.int32())
-            columns = [*batch.columns, pa.array(away, pa.float64()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "vector", "away", "list_id"])
+            table = table.append_column("away", pa.array(away, pa.float64()))
+            yield from table.append_column("list_id", lists).to_batches()
 
     added = [T.StructField("away", T.DoubleType()), T.StructField("list_id", T.IntegerType())]
     return vectors.mapInArrow(run, T.StructType([*vectors.schema.fields, *added]))
@@ -82,6 +84,8 @@ def build_index(
     """Train ``lists`` centres on ``id, vector`` rows and write every row to its list."""
     trained = KMeans(k=lists, seed=seed, maxIter=iterations).fit(_unit_features(vectors))
     centres = np.array(trained.clusterCenters())
+    if centres.nbytes > BROADCAST_BYTES:
+        raise ValueError(f"{lists} centres of this length are too large to broadcast")
     rows = [(i, [float(x) for x in centre]) for i, centre in enumerate(centres)]
     saved = vectors.sparkSession.createDataFrame(rows, "list_id int, centre array<double>")
     saved.coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
@@ -119,14 +123,15 @@ def search_index(
     nearest list gives a first k-th score, then only lists whose bound reaches that score are
     read (exact). Question sets beyond the broadcast limit use the full blocked search.
     """
-    index = read_index(spark, path)
-    questions = questions.select("question_id", "vector").filter(F.col("vector").isNotNull())
-    if question_bytes(questions) > broadcast_bytes:
+    index, centres = read_index(spark, path), read_centres(spark, path)
+    questions = questions.select("question_id", "vector")
+    if question_bytes(questions, 16 * len(centres)) > broadcast_bytes:
         return search(index, questions, k, kind=DENSE, broadcast_bytes=broadcast_bytes)
 
-    table = questions.toArrow()
+    table = usable(questions.toArrow(), "question_id")
+    if not table.num_rows:
+        return search(index, questions, k, kind=DENSE)
     schema, arrow = hit_schema(questions.schema["question_id"].dataType, index.schema["id"].dataType)
-    centres = read_centres(spark, path)
     away = distances(centres, unit_rows(dense_matrix(table.column("vector"))))
 
     def probe(allowed: np.ndarray) -> DataFrame:

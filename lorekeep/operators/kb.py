@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from lorekeep.functions.scorers import PairScorer
 from lorekeep.functions.text import DEFAULT_DIM
 from lorekeep.operators.embed import hash_bags
+from lorekeep.operators.limits import first_rows
 from lorekeep.operators.rerank import rerank
 from lorekeep.operators.search import BAG, VectorKind, fetch, search
 from lorekeep.session import checkpointed, new_dir
 
 RESERVED = ("id", "content", "vector", "batch_id", "ingest_ts")
-BROADCAST_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -71,7 +71,7 @@ def newest(source: DataFrame, limit: int | None, order_column: str = "id") -> Da
     """The ``limit`` rows with the highest ``order_column``; no positive limit keeps all."""
     if not limit or limit < 1:
         return source
-    return source.orderBy(F.desc(order_column)).limit(limit)
+    return first_rows(source, [F.desc(order_column)], limit)
 
 
 def one_row_per_id(rows: DataFrame) -> DataFrame:
@@ -84,8 +84,8 @@ def one_row_per_id(rows: DataFrame) -> DataFrame:
 def latest_rows(rows: DataFrame) -> DataFrame:
     """Latest batch wins per id.
 
-    Only ids and batch numbers are grouped; content is shuffled only if more ids repeat than
-    may be broadcast.
+    Only ids and batch numbers are grouped. The repeated ids are written first, so Spark knows
+    their size: small sets are broadcast and the content is not shuffled at all.
     """
     repeated = checkpointed(
         rows.groupBy("id")
@@ -93,8 +93,6 @@ def latest_rows(rows: DataFrame) -> DataFrame:
         .filter("_n > 1")
         .select("id", "_keep")
     )
-    if repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        repeated = F.broadcast(repeated)
     return (
         rows.join(repeated, "id", "left")
         .filter(F.col("_keep").isNull() | (F.col("_keep") == F.col("batch_id")))

@@ -23,194 +23,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lorekeep.functions.filters import compile_filter
+from lorekeep.operators.kernels import BagKernel, DenseKernel, score_tables, usable
 from lorekeep.session import checkpointed
 
 BROADCAST_BYTES = 64 << 20
 KB_ROWS_PER_BLOCK = 100_000
-ROWS_PER_STEP = 512
-QUESTIONS_PER_STEP = 512
-
-Weights = np.ndarray | None
-
-
-# --- scoring kernels: rows x questions -----------------------------------------------------
-
-
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column and the row each value belongs to."""
-    lists = column.combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):  # an empty column has no chunk to return
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    sizes = np.diff(lists.offsets.to_numpy())
-    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
-
-
-def _bag(column: pa.ChunkedArray, weights: Weights) -> tuple[np.ndarray, ...]:
-    """(row, bucket, weight) entries and row norms of bags of buckets."""
-    values, rows = _flat(column)
-    width = int(values.max()) + 1 if len(values) else 1
-    keys, counts = np.unique(rows * width + values, return_counts=True)
-    row, bucket = keys // width, keys % width
-    weight = counts.astype(np.float64)
-    if weights is not None:
-        weight *= weights[bucket]
-    norms = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(column)))
-    return row, bucket, weight, norms
-
-
-class BagScorer:
-    """Cosine of bags of hash buckets. Weights are whole numbers, so dot products are exact."""
-
-    positive_only = True
-
-    def __init__(self, vectors: pa.ChunkedArray, weights: Weights = None) -> None:
-        self.weights = weights
-        self.steps = []
-        for start in range(0, len(vectors), QUESTIONS_PER_STEP):
-            row, bucket, weight, norms = _bag(vectors.slice(start, QUESTIONS_PER_STEP), weights)
-            vocabulary = np.unique(bucket)
-            matrix = np.zeros((len(vocabulary), len(norms)))
-            matrix[np.searchsorted(vocabulary, bucket), row] = weight
-            self.steps.append((slice(start, start + len(norms)), vocabulary, matrix, norms))
-
-    def blocks(self, column: pa.ChunkedArray) -> Iterator[tuple[slice, np.ndarray]]:
-        row, bucket, weight, norms = _bag(column, self.weights)
-        for span, vocabulary, matrix, question_norms in self.steps:
-            if not len(vocabulary):
-                continue
-            at = np.minimum(np.searchsorted(vocabulary, bucket), len(vocabulary) - 1)
-            known = vocabulary[at] == bucket
-            dense = np.zeros((len(norms), len(vocabulary)))
-            dense[row[known], at[known]] = weight[known]
-            dots = dense @ matrix
-            scale = norms[:, None] * question_norms[None, :]
-            yield span, np.divide(dots, scale, out=np.zeros_like(dots), where=scale > 0)
-
-
-class DenseScorer:
-    """Cosine of dense vectors."""
-
-    positive_only = False
-
-    def __init__(self, vectors: pa.ChunkedArray) -> None:
-        matrix = dense_matrix(vectors)
-        norms = np.sqrt((matrix * matrix).sum(axis=1))
-        self.steps = [
-            (slice(s, s + QUESTIONS_PER_STEP), matrix[s : s + QUESTIONS_PER_STEP].T,
-             norms[s : s + QUESTIONS_PER_STEP])
-            for s in range(0, len(norms), QUESTIONS_PER_STEP)
-        ]
-
-    def blocks(self, column: pa.ChunkedArray) -> Iterator[tuple[slice, np.ndarray]]:
-        rows = dense_matrix(column)
-        norms = np.sqrt((rows * rows).sum(axis=1))
-        for span, matrix, question_norms in self.steps:
-            dots = rows @ matrix
-            scale = norms[:, None] * question_norms[None, :]
-            yield span, np.divide(dots, scale, out=np.full_like(dots, -np.inf), where=scale > 0)
-
-
-def dense_matrix(column: pa.ChunkedArray) -> np.ndarray:
-    """Rows of equally long vectors as doubles."""
-    values, _ = _flat(column)
-    return values.astype(np.float64).reshape(len(column), -1)
-
-
-# --- top-k within a task -------------------------------------------------------------------
-
-
-def _round(scores: np.ndarray) -> np.ndarray:
-    scaled = scores * 1e6
-    return np.copysign(np.floor(np.abs(scaled) + 0.5), scaled) / 1e6
-
-
-def _order(scores: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    return np.lexsort((ids if ids.dtype != object else ids.astype(str), -scores))
-
-
-class TopK:
-    """Best k (score, id) per question over the blocks of one task."""
-
-    def __init__(self, n_questions: int, k: int) -> None:
-        self.k = k
-        self.scores: list[np.ndarray] = [np.empty(0)] * n_questions
-        self.ids: list[np.ndarray] = [np.empty(0, np.int64)] * n_questions
-        self.floor = np.full(n_questions, -np.inf)
-
-    def add(self, span: slice, scores: np.ndarray, ids: np.ndarray, positive_only: bool) -> None:
-        wanted = (scores >= self.floor[span]) & np.isfinite(scores)
-        if positive_only:
-            wanted &= scores > 0
-        for column in np.flatnonzero(wanted.any(axis=0)):
-            question = span.start + int(column)
-            rows = np.flatnonzero(wanted[:, column])
-            found, found_ids = scores[rows, column], ids[rows]
-            if len(self.scores[question]):
-                found = np.concatenate([self.scores[question], found])
-                found_ids = np.concatenate([self.ids[question], found_ids])
-            keep = _order(found, found_ids)[: self.k]
-            self.scores[question], self.ids[question] = found[keep], found_ids[keep]
-            if len(keep) == self.k:
-                self.floor[question] = found[keep[-1]]
-
-    def result(self, question_ids: pa.Array, schema: pa.Schema) -> pa.RecordBatch:
-        sizes = [len(s) for s in self.scores]
-        rows = np.repeat(np.arange(len(sizes)), sizes)
-        kept = [i for i in self.ids if len(i)]
-        ids = np.concatenate(kept) if kept else np.empty(0, object)
-        return _batch(question_ids, rows, ids, np.concatenate([np.empty(0), *self.scores]), schema)
-
-
-def _batch(question_ids, rows, ids, scores, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [
-            question_ids.take(pa.array(rows, pa.int64())).cast(schema.field(0).type),
-            pa.array(ids, schema.field(1).type),
-            pa.array(scores, pa.float64()),
-        ],
-        schema=schema,
-    )
-
-
-def _with_vectors(table: pa.Table) -> pa.Table:
-    """Rows whose vector is not NULL. Done here: as a filter in the plan it would be pushed
-    below the embedding and compute every vector twice."""
-    vectors = table.column("vector")
-    return table.filter(vectors.is_valid()) if vectors.null_count else table
-
-
-def _score_rows(
-    batches: Iterator[pa.Table],
-    scorer,
-    question_ids: pa.Array,
-    k: int | None,
-    schema: pa.Schema,
-    probes: np.ndarray | None = None,
-) -> Iterator[pa.RecordBatch]:
-    top = TopK(len(question_ids), k) if k else None
-    for table in batches:
-        table = _with_vectors(table)
-        for start in range(0, table.num_rows, ROWS_PER_STEP):
-            part = table.slice(start, ROWS_PER_STEP)
-            ids = part.column("id").to_numpy()
-            for span, scores in scorer.blocks(part.column("vector")):
-                scores = _round(scores)
-                if probes is not None:
-                    lists = part.column("list_id").to_numpy()
-                    scores = np.where(probes[lists][:, span], scores, -np.inf)
-                if top is not None:
-                    top.add(span, scores, ids, scorer.positive_only)
-                    continue
-                wanted = np.isfinite(scores)
-                if scorer.positive_only:
-                    wanted &= scores > 0
-                row, column = np.nonzero(wanted)
-                yield _batch(question_ids, span.start + column, ids[row], scores[row, column], schema)
-    if top is not None:
-        yield top.result(question_ids, schema)
-
-
-# --- plans -----------------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
@@ -220,11 +37,11 @@ class VectorKind:
     dense: bool = False
     weights: tuple[int, ...] | None = None
 
-    def scorer(self, vectors: pa.ChunkedArray):
+    def kernel(self, vectors: pa.ChunkedArray) -> BagKernel | DenseKernel:
         if self.dense:
-            return DenseScorer(vectors)
+            return DenseKernel(vectors)
         weights = None if self.weights is None else np.asarray(self.weights, np.float64)
-        return BagScorer(vectors, weights)
+        return BagKernel(vectors, weights)
 
 
 BAG = VectorKind()
@@ -242,12 +59,12 @@ def hit_schema(question_type: T.DataType, id_type: T.DataType) -> tuple[T.Struct
     return schema, to_arrow_schema(schema)
 
 
-def question_bytes(questions: DataFrame) -> int:
+def question_bytes(questions: DataFrame, extra_per_row: int = 0) -> int:
     """Upper estimate of the memory that the vectors of a question set need."""
     size = questions.agg(
         F.count("*").alias("rows"), F.coalesce(F.sum(F.size("vector")), F.lit(0)).alias("values")
     ).first()
-    return 64 * size["rows"] + 16 * size["values"]
+    return (64 + extra_per_row) * size["rows"] + 16 * size["values"]
 
 
 def scan_scores(
@@ -265,15 +82,15 @@ def scan_scores(
     ``kb`` then has a ``list_id`` column.
     """
     if probes is None:
-        questions = _with_vectors(questions)
+        questions = usable(questions, "question_id")
     shared = kb.sparkSession.sparkContext.broadcast((questions, probes))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local, allowed = shared.value
-        scorer = kind.scorer(local.column("vector"))
+        kernel = kind.kernel(local.column("vector"))
         ids = local.column("question_id").combine_chunks()
         tables = (pa.Table.from_batches([b]) for b in batches)
-        yield from _score_rows(tables, scorer, ids, k, arrow, allowed)
+        yield from score_tables(tables, kernel, ids, k, arrow, allowed)
 
     return kb.mapInArrow(scan, schema)
 
@@ -313,12 +130,12 @@ def score_vectors(
     )
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = _with_vectors(right)
+        right = usable(right, "question_id")
         if not left.num_rows or not right.num_rows:
             return arrow.empty_table()
-        scorer = kind.scorer(right.column("vector"))
+        kernel = kind.kernel(right.column("vector"))
         ids = right.column("question_id").combine_chunks()
-        return pa.Table.from_batches(list(_score_rows(iter([left]), scorer, ids, k, arrow)), arrow)
+        return pa.Table.from_batches(list(score_tables(iter([left]), kernel, ids, k, arrow)), arrow)
 
     keys = ["kb_block", "q_block"]
     return (

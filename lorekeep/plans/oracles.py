@@ -260,6 +260,10 @@ ORACLES: dict[str, str] = {
         FROM benchmark b LEFT JOIN best ON best.question_id = b.item_id""",
     "kb_incremental": """SELECT count(*) AS n_rows, count(DISTINCT event_id) AS n_ids,
         max(event_id) AS max_id, 3::BIGINT AS n_batches FROM events""",
+    "kb_feed": """SELECT conv_id * 1000 + turn AS id, conv_id * 1000 + turn AS comment_id,
+        role AS author, md5(text) AS content_md5,
+        CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END::BIGINT AS batch_id
+        FROM conversations""",
     "job_gated": """SELECT 'gate_true' AS name, 'done' AS status, count(*) AS n_rows FROM orders
         WHERE o_orderpriority = '1-URGENT'
         UNION ALL SELECT 'gate_false', 'skipped', 0""",

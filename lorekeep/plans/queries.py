@@ -26,7 +26,7 @@ from lorekeep.plans import jobs
 from lorekeep.session import new_dir, spread, union_all
 from lorekeep.sources import catalog, mapping
 from lorekeep.sources.sinks import save_table
-from lorekeep.streaming.incremental import ingest_new
+from lorekeep.streaming.incremental import folder_per_batch, ingest_new
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -447,7 +447,7 @@ def kb_incremental(spark: SparkSession, sf: str) -> DataFrame:
     for number, kinds in enumerate(deliveries):
         arrived = events.filter(F.col("event_type").isin(kinds))
         arrived.write.parquet(f"{source}/delivery={number}")
-        ingest_new(spark, f"{source}/*", events.schema, target, checkpoint)
+        ingest_new(spark, f"{source}/*", events.schema, checkpoint, folder_per_batch(target))
     return spark.read.parquet(target).agg(
         F.count("*").alias("n_rows"),
         F.countDistinct("event_id").alias("n_ids"),
@@ -456,6 +456,19 @@ def kb_incremental(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def kb_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Comments delivered role by role into a knowledge base with the feed's default mapping."""
+    comments = conversation_source(spark, sf)
+    source, checkpoint = new_dir(spark, "feed"), new_dir(spark, "checkpoint")
+    kb = KnowledgeBase(spark, new_dir(spark, "kb"), mapping.feed_spec("comments"))
+    for number, role in enumerate(("system", "user", "assistant")):
+        arrived = comments.filter(F.col("by") == role)
+        arrived.write.parquet(f"{source}/delivery={number}")
+        ingest_new(spark, f"{source}/*", comments.schema, checkpoint, kb.append)
+    rows = kb.rows().select("id", "comment_id", "author", "batch_id", "content")
+    return rows.withColumn("content_md5", F.md5("content")).drop("content")
+
+
 def job_gated(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
     log = jobs.RunLog(spark, new_dir(spark, "log"))
@@ -525,6 +538,6 @@ QUERIES: dict[str, Query] = {
         model_prompt, model_fit_nb, model_nb_tokens, model_fit_mllib, model_predict_join,
         model_predict_literal, model_refit, model_summarize,
         rag_context, rag_context_tables, rag_prompt, rag_answer,
-        kb_incremental, job_gated, job_staged, run_history, run_status,
+        kb_incremental, kb_feed, job_gated, job_staged, run_history, run_status,
     )
 }

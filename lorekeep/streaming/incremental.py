@@ -8,26 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+def folder_per_batch(target: str) -> Callable[[DataFrame, int], None]:
+    """A sink that overwrites one folder per batch, so a repeated batch adds nothing twice."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    return write
+
+
 def ingest_new(
     spark: SparkSession,
     source: str,
     schema: T.StructType,
-    target: str,
     checkpoint: str,
-    transform: Callable[[DataFrame], DataFrame] | None = None,
+    write: Callable[[DataFrame, int], None],
     fmt: str = "parquet",
     max_files_per_batch: int | None = None,
 ) -> None:
-    """Append files that arrived below ``source`` since the last call to ``target``.
+    """Hand the files that arrived below ``source`` since the last call to ``write``.
 
-    Every micro-batch overwrites its own folder, so a batch that is run again after a failure
-    leaves the same rows.
+    ``write(batch, batch_id)`` may be called again for the same batch after a failure and must
+    then replace what it wrote, as ``folder_per_batch`` and ``KnowledgeBase.append`` do.
     """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        rows = transform(batch) if transform else batch
-        rows.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
-
     reader = spark.readStream.format(fmt).schema(schema)
     if max_files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_batch)

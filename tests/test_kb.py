@@ -11,6 +11,7 @@ from lorekeep.operators.kb import (
     one_row_per_id,
     project_source,
 )
+from lorekeep.operators.limits import first_rows
 from lorekeep.operators.search import DENSE
 from lorekeep.session import new_dir
 from lorekeep.sources import mapping
@@ -92,6 +93,14 @@ def test_no_limit_keeps_everything(stories, limit):
     assert newest(stories, limit).count() == 4
 
 
+@pytest.mark.parametrize("limit", [1, 99, 100, 101, 500, 999, 1000, 5000])
+def test_large_limits_equal_small_ones(spark, limit):
+    df = spark.range(1000).select("id", (F.col("id") % 7).alias("group")).repartition(3)
+    order = [F.desc("group"), F.col("id")]
+    got = first_rows(df, order, limit, rows_in_one_task=10).collect()
+    assert sorted(got) == sorted(df.orderBy(*order).limit(limit).collect())
+
+
 def test_newest_is_planned_as_top_n(stories):
     assert "TakeOrderedAndProject" in plan(newest(stories, 2))
 

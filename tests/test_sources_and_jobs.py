@@ -5,7 +5,7 @@ from lorekeep.plans import jobs
 from lorekeep.session import checkpointed, new_dir, shared_dir, spread, union_all
 from lorekeep.sources import catalog
 from lorekeep.sources.sinks import append_columns, save_table
-from lorekeep.streaming.incremental import ingest_new
+from lorekeep.streaming.incremental import folder_per_batch, ingest_new
 
 
 def test_shared_dir_comes_from_the_session(spark):
@@ -79,19 +79,25 @@ def test_incremental_equals_one_batch(spark, cuts):
     start = 0
     for n, end in enumerate(cuts):
         deliver(spark.range(start, end), source, n)
-        ingest_new(spark, f"{source}/*", schema, target, state)
-        ingest_new(spark, f"{source}/*", schema, target, state)  # nothing new
+        for _ in range(2):  # the second run finds nothing new
+            ingest_new(spark, f"{source}/*", schema, state, folder_per_batch(target))
         start = end
     got = [r["id"] for r in spark.read.parquet(target).select("id").collect()]
     assert sorted(got) == list(range(10))
 
 
-def test_incremental_transform(spark):
+def test_incremental_batches_may_be_repeated(spark):
     source, target, state = (new_dir(spark, n) for n in ("in", "out", "state"))
     deliver(spark.range(4), source, 0)
-    ingest_new(spark, f"{source}/*", spark.range(1).schema, target, state,
-               transform=lambda df: df.select((F.col("id") * 2).alias("twice")))
-    assert sorted(r["twice"] for r in spark.read.parquet(target).collect()) == [0, 2, 4, 6]
+    deliver(spark.range(0), source, 1)
+    once = folder_per_batch(target)
+
+    def twice(batch, batch_id):
+        once(batch, batch_id)
+        once(batch, batch_id)
+
+    ingest_new(spark, f"{source}/*", spark.range(1).schema, state, twice, max_files_per_batch=1)
+    assert sorted(r["id"] for r in spark.read.parquet(target).select("id").collect()) == [0, 1, 2, 3]
 
 
 def test_jobs_are_gated_and_logged(spark):

@@ -15,11 +15,12 @@ from lorekeep.functions.scorers import coverage
 from lorekeep.functions.text import sentences
 from lorekeep.operators.embed import hash_bags
 from lorekeep.operators.models import generate
-from lorekeep.operators.search import rank_hits, search
+from lorekeep.operators.search import lookup, rank_hits, search
 from lorekeep.session import checkpointed, union_all
 
 # Fixed value: the answer to a question without any context.
 NO_RESULT = "Agent returned no results or an empty DataFrame."
+MAX_NOTES = 1_000
 DEFAULT_TEMPLATE = "{{question}}\n{{context}}"
 
 
@@ -42,12 +43,8 @@ def retrieve(
         for name, kb in kbs.items()
     ]
     best = checkpointed(rank_hits(union_all(per_kb), k, keys=("kb", "id")))
-    contents = union_all(
-        [kb.select(F.lit(name).alias("kb"), "id", "content") for name, kb in kbs.items()]
-    )
-    return best.join(contents, ["kb", "id"]).select(
-        "question_id", "kb", "id", "content", "score", "rank"
-    )
+    found = [lookup(best.filter(F.col("kb") == name), kb, ["content"]) for name, kb in kbs.items()]
+    return union_all(found).select("question_id", "kb", "id", "content", "score", "rank")
 
 
 def attach_table(context: DataFrame, table: DataFrame, on: str, columns: Sequence[str],
@@ -62,14 +59,18 @@ def with_tables(context: DataFrame, tables: Mapping[str, tuple[DataFrame, str]])
     """Append matching rows of context tables, as JSON, to the retrieved contents.
 
     ``tables`` maps a name to a frame and its id column. Rows without a match stay as they are.
+    A prompt cannot hold a table: more than ``MAX_NOTES`` rows for one id raise.
     """
     for name, (table, on) in tables.items():
         others = [F.col(c) for c in table.columns if c != on]
-        notes = (
-            table.select(F.col(on).alias("id"), F.to_json(F.struct(*others)).alias("note"))
-            .join(context.select("id").distinct(), "id", "left_semi")
-            .groupBy("id")
-            .agg(F.array_join(F.sort_array(F.collect_set("note")), "\n").alias("note"))
+        matching = table.join(context.select(F.col("id").alias(on)).distinct(), on, "left_semi")
+        rows = checkpointed(
+            matching.select(F.col(on).alias("id"), F.to_json(F.struct(*others)).alias("note"))
+        )
+        if not rows.groupBy("id").count().filter(F.col("count") > MAX_NOTES).isEmpty():
+            raise ValueError(f"table {name!r} has too many rows for one id; use attach_table")
+        notes = rows.groupBy("id").agg(
+            F.array_join(F.sort_array(F.collect_set("note")), "\n").alias("note")
         )
         text = F.concat_ws("\n", "content", F.concat(F.lit(f"{name}: "), F.col("note")))
         context = context.join(notes, "id", "left").withColumn("content", text).drop("note")

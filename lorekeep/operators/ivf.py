@@ -7,6 +7,7 @@ makes the default search exact while lists that cannot win are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ from lorekeep.operators.search import (
 )
 
 ROUNDING = 2e-6
+MAX_LISTS = 16_384
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -78,10 +80,16 @@ def _write(assigned: DataFrame, path: str, mode: str) -> None:
     balanced.write.mode(mode).partitionBy("list_id").parquet(f"{path}/lists")
 
 
+def default_lists(rows: int) -> int:
+    """The square root of the number of rows, the usual balance of lists and list length."""
+    return max(1, min(MAX_LISTS, math.isqrt(rows)))
+
+
 def build_index(
-    vectors: DataFrame, path: str, lists: int, seed: int = 42, iterations: int = 10
+    vectors: DataFrame, path: str, lists: int | None = None, seed: int = 42, iterations: int = 10
 ) -> None:
     """Train ``lists`` centres on ``id, vector`` rows and write every row to its list."""
+    lists = lists or default_lists(vectors.count())
     trained = KMeans(k=lists, seed=seed, maxIter=iterations).fit(_unit_features(vectors))
     centres = np.array(trained.clusterCenters())
     if centres.nbytes > BROADCAST_BYTES:

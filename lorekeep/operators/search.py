@@ -28,6 +28,7 @@ from lorekeep.session import checkpointed
 
 BROADCAST_BYTES = 64 << 20
 KB_ROWS_PER_BLOCK = 100_000
+LOOKUP_IDS = 1_000
 
 
 @dataclass(frozen=True)
@@ -173,10 +174,22 @@ def search(
     return rank_hits(hits, k) if k and k > 0 else hits
 
 
+def lookup(hits: DataFrame, kb: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Join columns of ``kb`` to hits that are stored, not computed again.
+
+    The ids of few hits become a filter, so the scan can skip row groups by their statistics
+    or Bloom filters instead of reading all content.
+    """
+    wanted = [row["id"] for row in hits.select("id").distinct().limit(LOOKUP_IDS + 1).collect()]
+    if len(wanted) <= LOOKUP_IDS:
+        kb = kb.filter(F.col("id").isin(wanted))
+    return hits.join(kb.select("id", *columns), "id")
+
+
 def fetch(hits: DataFrame, kb: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Join content and metadata of ``kb`` to hits.
 
     The hits are written first: they are scored once however often they are used, and their
     size on disk tells Spark whether they may be broadcast, which spares ``kb`` a shuffle.
     """
-    return checkpointed(hits).join(kb.select("id", *columns), "id")
+    return lookup(checkpointed(hits), kb, columns)

@@ -238,7 +238,7 @@ def kb_index_ivf(spark: SparkSession, sf: str) -> DataFrame:
     """Checks of the built index: every id lies in exactly one list."""
     path = new_dir(spark, "ivf")
     rows = vectors(spark, sf).select("id", "vector")
-    ivf.build_index(rows, path, lists=8)
+    ivf.build_index(rows, path)
     ivf.refresh_index(rows, path)  # nothing is missing, so nothing may be added
     per_id = ivf.read_index(spark, path).groupBy("id").agg(F.count("*").alias("n"))
     return per_id.agg(
@@ -276,7 +276,7 @@ def kb_search_vector(spark: SparkSession, sf: str) -> DataFrame:
 
 def kb_search_ivf(spark: SparkSession, sf: str) -> DataFrame:
     path = new_dir(spark, "ivf")
-    ivf.build_index(vectors(spark, sf).select("id", "vector"), path, lists=8)
+    ivf.build_index(vectors(spark, sf).select("id", "vector"), path)
     return ivf.search_index(spark, path, class_questions(spark, sf), 5)
 
 

@@ -183,5 +183,8 @@ def test_context_tables(spark, kb, questions):
     rows = {r["id"]: r["content"] for r in ctx.with_tables(found, {"notes": (notes, "key")}).collect()}
     assert 'notes: {"topic":"sky"}\n{"topic":"space"}' in rows[3]
     assert rows[1] == "The red fox ran. It was quick and red."
+    many = spark.range(ctx.MAX_NOTES + 1).select(F.lit(3).cast("bigint").alias("key"), "id")
+    with pytest.raises(ValueError, match="too many rows"):
+        ctx.with_tables(found, {"many": (many, "key")})
     agent = ctx.Agent({"a": kb}, model=lambda p: p, tables={"notes": (notes, "key")})
     assert "space" in agent.answer(questions.filter("question_id = 2")).first()["answer"]

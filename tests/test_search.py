@@ -146,6 +146,14 @@ def test_fetch_returns_content(spark):
     assert fetch(search(kb, asked, 1), kb, ["content"]).first()["content"] == "dog"
 
 
+def test_lookup_pushes_ids_to_the_scan(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumnRenamed("doc_id", "id")
+    hits = spark.createDataFrame([(1, 3), (1, 5), (2, 3)], "question_id int, id bigint")
+    found = fetch(hits, docs, ["text"])
+    assert found.count() == 3
+    assert "In(doc_id, [3,5])" in plan(found)
+
+
 def vector_frame(spark, matrix, key="id"):
     data = [(i, [float(x) for x in row]) for i, row in enumerate(matrix)]
     return spark.createDataFrame(data, f"{key} bigint, vector array<float>")

@@ -29,6 +29,7 @@ from lorekeep.session import checkpointed
 BROADCAST_BYTES = 64 << 20
 KB_ROWS_PER_BLOCK = 100_000
 LOOKUP_IDS = 1_000
+FEW_QUESTIONS = 1_000
 
 
 @dataclass(frozen=True)
@@ -115,6 +116,9 @@ def score_vectors(
     )
     kb = kb.select("id", "vector")
     questions = questions.select("question_id", "vector")
+    few = questions.limit(FEW_QUESTIONS + 1).toArrow()
+    if few.num_rows <= FEW_QUESTIONS and few.nbytes <= broadcast_bytes:
+        return scan_scores(kb, few, k, kind, schema, arrow)
     measured = question_bytes(questions)
     if measured <= broadcast_bytes:
         return scan_scores(kb, questions.toArrow(), k, kind, schema, arrow)
@@ -182,7 +186,11 @@ def lookup(hits: DataFrame, kb: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     wanted = [row["id"] for row in hits.select("id").distinct().limit(LOOKUP_IDS + 1).collect()]
     if len(wanted) <= LOOKUP_IDS:
-        kb = kb.filter(F.col("id").isin(wanted))
+        if wanted and all(isinstance(i, int) for i in wanted):
+            few = F.expr(f"id IN ({', '.join(map(str, wanted))})")  # one call, not one per id
+        else:
+            few = F.col("id").isin(wanted)
+        kb = kb.filter(few)
     return hits.join(kb.select("id", *columns), "id")
 
 

@@ -18,15 +18,27 @@ def sentences(text: str) -> str:
     return f"list_filter({parts}, lambda s: s <> '')"
 
 
-def bucket(token: str, dim: int = 4096) -> str:
-    return f"('0x' || substr(md5({token}), 1, 8))::BIGINT % {dim}"
+# CRC-32 (reflected, polynomial 0xEDB88320): one table of 256 steps, then one step per byte.
+BIT = "CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END"
+STEPS = f"list_transform(range(256), lambda n: list_reduce(range(8), lambda c, x: {BIT}, n))"
 
 
-def bags(name: str, rows: str) -> str:
-    """CTEs ``name`` (id, b, w) and ``name_n`` (id, n) of the rows of ``rows`` (id, text)."""
+def crc32(token: str) -> str:
+    codes = f"('0x' || substr(hex(encode({token})), 2 * i + 1, 2))::BIGINT"
+    step = "xor(c >> 8, steps[(xor(c, x) & 255) + 1])"
+    codes = f"list_transform(range(strlen({token})), lambda i: {codes})"
+    return f"xor(list_reduce({codes}, lambda c, x: {step}, 4294967295), 4294967295)"
+
+
+def bags(name: str, rows: str, dim: int = 4096) -> str:
+    """CTEs for the rows of ``rows`` (id, text): ``name`` (id, b, w), ``name_n`` (id, n) and the
+    buckets of the words ``name_w`` (t, b)."""
     return f"""
 {name}_t AS (SELECT id, unnest({tokens('text')}) AS t FROM ({rows})),
-{name} AS (SELECT id, {bucket('t')} AS b, count(*) AS w FROM {name}_t GROUP BY ALL),
+{name}_w AS (
+  SELECT t, {crc32('t')} % {dim} AS b
+  FROM (SELECT DISTINCT t FROM {name}_t) CROSS JOIN (SELECT {STEPS} AS steps)),
+{name} AS (SELECT id, b, count(*) AS w FROM {name}_t JOIN {name}_w USING (t) GROUP BY ALL),
 {name}_n AS (SELECT id, sqrt(sum(w * w)) AS n FROM {name} GROUP BY id)"""
 
 
@@ -235,7 +247,7 @@ ORACLES: dict[str, str] = {
         tok AS (SELECT id, pos, unnest({tokens('s')}) AS t FROM sen),
         score AS (
           SELECT id, pos, sum(df) / count(*) AS score
-          FROM (SELECT id, pos, {bucket('t')} AS b FROM tok) JOIN freq USING (b) GROUP BY ALL),
+          FROM tok JOIN kb_w USING (t) JOIN freq USING (b) GROUP BY ALL),
         best AS (
           SELECT id, pos, s FROM sen LEFT JOIN score USING (id, pos)
           QUALIFY row_number() OVER (PARTITION BY id ORDER BY coalesce(score, 0) DESC, pos) <= 2),

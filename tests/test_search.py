@@ -51,7 +51,7 @@ def test_search_equals_brute_force(spark, docs, asked, k):
     questions = hash_bags(texts(spark, asked, "question", "question_id"), "question")
     want = brute(docs, asked, k)
     assert rows(search(kb, questions, k)) == want
-    blocked = search(kb, questions, k, broadcast_bytes=100, kb_rows_per_block=4)
+    blocked = search(kb, questions, k, broadcast_bytes=10, kb_rows_per_block=4)
     assert rows(blocked) == want
 
 

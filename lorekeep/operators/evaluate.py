@@ -135,7 +135,7 @@ def evaluate(
 
     ``test_table`` and ``save_to`` name tables that receive the test data and the result.
     """
-    if version not in ("doc_id", "relevancy"):
+    if version not in ("doc_id", "relevancy", "llm_relevancy"):
         raise ValueError(f"unknown evaluation {version!r}")
     spark = kb.sparkSession
     if generate_sql is not None:

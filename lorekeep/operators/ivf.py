@@ -28,6 +28,7 @@ from lorekeep.operators.search import (
     scan_scores,
     search,
 )
+from lorekeep.session import checkpointed
 
 ROUNDING = 2e-6
 MAX_LISTS = 16_384
@@ -106,10 +107,17 @@ def read_centres(spark: SparkSession, path: str) -> np.ndarray:
 
 
 def refresh_index(vectors: DataFrame, path: str) -> None:
-    """Add the ids that the index lacks; the lists themselves stay."""
+    """Add the ids that the index lacks; the lists themselves stay.
+
+    Ids are compared first, so vectors already in the index are not shuffled.
+    """
     spark = vectors.sparkSession
-    new = vectors.join(read_index(spark, path).select("id"), "id", "left_anti")
-    _write(_assign(new, read_centres(spark, path)), path, "append")
+    indexed = read_index(spark, path).select("id")
+    new = checkpointed(vectors.select("id").join(indexed, "id", "left_anti"))
+    if new.isEmpty():
+        return
+    rows = vectors.join(new, "id", "left_semi")
+    _write(_assign(rows, read_centres(spark, path)), path, "append")
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

@@ -15,7 +15,7 @@ from lorekeep.operators.embed import hash_bags
 from lorekeep.operators.limits import first_rows
 from lorekeep.operators.rerank import rerank
 from lorekeep.operators.search import BAG, VectorKind, fetch, search
-from lorekeep.session import checkpointed, new_dir
+from lorekeep.session import checkpointed, new_dir, union_all
 
 RESERVED = ("id", "content", "vector", "batch_id", "ingest_ts")
 
@@ -75,10 +75,19 @@ def newest(source: DataFrame, limit: int | None, order_column: str = "id") -> Da
 
 
 def one_row_per_id(rows: DataFrame) -> DataFrame:
-    """One row per id within a batch. The rank filter drops repeats before the shuffle, so a
-    hot id sends one row per task."""
+    """One row per id within a batch; rows without an id all stay.
+
+    Only ids are grouped at first. Rows whose id does not repeat are then written from the scan
+    without a shuffle. Among the others the rank filter works ahead of the shuffle, so a hot id
+    sends one row per task.
+    """
+    repeated = checkpointed(rows.groupBy("id").count().filter("count > 1").select("id"))
+    if repeated.isEmpty():
+        return rows
     order = Window.partitionBy("id").orderBy(F.desc("content"))
-    return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    picked = rows.join(repeated, "id", "left_semi").withColumn("_n", F.row_number().over(order))
+    single = rows.join(repeated, "id", "left_anti")
+    return union_all([single, picked.filter("_n = 1").drop("_n")])
 
 
 def latest_rows(rows: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from lorekeep.operators.kb import (
 )
 from lorekeep.operators.limits import first_rows
 from lorekeep.operators.search import DENSE
-from lorekeep.session import new_dir
+from lorekeep.session import new_dir, union_all
 from lorekeep.sources import mapping
 
 
@@ -112,6 +112,14 @@ def test_hot_id_is_reduced_before_the_shuffle(spark):
     assert plan(single).count("WindowGroupLimit") >= 2
 
 
+def test_unique_ids_are_not_shuffled_and_repeats_are_reduced(spark):
+    rows = spark.range(50).select("id", F.concat(F.lit("t"), "id").alias("content"))
+    assert "Exchange" not in plan(one_row_per_id(rows))
+    null = spark.createDataFrame([(None, "n1"), (None, "n2"), (3, "zz"), (3, "a")], "id bigint, content string")
+    got = one_row_per_id(union_all([rows, null])).collect()
+    assert len(got) == 52 and {r["content"] for r in got if r["id"] in (None, 3)} == {"n1", "n2", "zz"}
+
+
 def test_latest_batch_wins_and_a_retry_changes_nothing(spark, stories):
     spec = KnowledgeBaseSpec("id", ("title",), {"who": "by"})
     kb = kb_of(spark, spec)

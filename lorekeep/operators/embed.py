@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lorekeep.functions.text import DEFAULT_DIM, each, term_buckets
+from lorekeep.operators.kernels import bag_entries, usable
 from lorekeep.operators.search import VectorKind
 
 IDF_SCALE = 100
@@ -21,14 +24,25 @@ def hash_bags(df: DataFrame, content: str = "content", dim: int = DEFAULT_DIM) -
 
 
 def postings(bags: DataFrame) -> DataFrame:
-    """``id, bucket, w`` rows of the bags, for inspection and SQL use."""
-    return (
-        bags.select("id", each(F.col("vector")).alias("bucket"))
-        .filter(F.col("bucket").isNotNull())
-        .groupBy("id", "bucket")
-        .agg(F.count("*").alias("w"))
-        .withColumn("bucket", F.col("bucket").cast("bigint"))
+    """``id, bucket, w`` rows of the bags, for inspection and SQL use.
+
+    Counted within each row: grouping by id and bucket would shuffle every posting.
+    """
+    schema = T.StructType(
+        [bags.schema["id"], T.StructField("bucket", T.LongType()), T.StructField("w", T.LongType())]
     )
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = usable(pa.Table.from_batches([batch]), "id")
+            row, bucket, counts, _ = bag_entries(table.column("vector"))
+            ids = table.column("id").combine_chunks().take(pa.array(row, pa.int64()))
+            columns = [ids.cast(arrow.field(0).type), pa.array(bucket, pa.int64())]
+            columns.append(pa.array(counts.astype("int64")))
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "bucket", "w"])
+
+    return bags.select("id", "vector").mapInArrow(run, schema)
 
 
 def document_frequency(bags: DataFrame) -> DataFrame:

@@ -49,6 +49,19 @@ def cosine(dots: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.copysign(np.floor(np.abs(scaled) + 0.5), scaled) / 1e6
 
 
+def bag_entries(column: pa.ChunkedArray, weights: Weights = None) -> tuple[np.ndarray, ...]:
+    """(row, bucket, weight) entries of bags of buckets, and the norms of the rows."""
+    values, rows = flat_values(column)
+    width = int(values.max()) + 1 if len(values) else 1
+    keys, counts = np.unique(rows * width + values, return_counts=True)
+    row, bucket = keys // width, keys % width
+    weight = counts.astype(np.float64)
+    if weights is not None:
+        weight *= weights[bucket]
+    norms = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(column)))
+    return row, bucket, weight, norms
+
+
 class BagKernel:
     """Cosine of bags of hash buckets. Weights are whole numbers, so dot products are exact."""
 
@@ -56,16 +69,7 @@ class BagKernel:
         self.weights, self.questions = weights, vectors
 
     def rows(self, column: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
-        """(row, bucket, weight) entries and the norms of the rows."""
-        values, rows = flat_values(column)
-        width = int(values.max()) + 1 if len(values) else 1
-        keys, counts = np.unique(rows * width + values, return_counts=True)
-        row, bucket = keys // width, keys % width
-        weight = counts.astype(np.float64)
-        if self.weights is not None:
-            weight *= self.weights[bucket]
-        norms = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(column)))
-        return row, bucket, weight, norms
+        return bag_entries(column, self.weights)
 
     def step(self, start: int):
         row, bucket, weight, norms = self.rows(self.questions.slice(start, QUESTIONS_PER_STEP))

@@ -24,23 +24,32 @@ def hash_bags(df: DataFrame, content: str = "content", dim: int = DEFAULT_DIM) -
 
 
 def postings(bags: DataFrame) -> DataFrame:
-    """``id, bucket, w`` rows of the bags, for inspection and SQL use.
+    """``id, bucket, w, norm`` rows of the bags; the norm is that of the whole bag.
 
     Counted within each row: grouping by id and bucket would shuffle every posting.
     """
     schema = T.StructType(
-        [bags.schema["id"], T.StructField("bucket", T.LongType()), T.StructField("w", T.LongType())]
+        [
+            bags.schema["id"],
+            T.StructField("bucket", T.LongType()),
+            T.StructField("w", T.LongType()),
+            T.StructField("norm", T.DoubleType()),
+        ]
     )
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = usable(pa.Table.from_batches([batch]), "id")
-            row, bucket, counts, _ = bag_entries(table.column("vector"))
+            row, bucket, counts, norms = bag_entries(table.column("vector"))
             ids = table.column("id").combine_chunks().take(pa.array(row, pa.int64()))
-            columns = [ids.cast(arrow.field(0).type), pa.array(bucket, pa.int64())]
-            columns.append(pa.array(counts.astype("int64")))
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "bucket", "w"])
+            columns = [
+                ids.cast(arrow.field(0).type),
+                pa.array(bucket, pa.int64()),
+                pa.array(counts.astype("int64")),
+                pa.array(norms[row], pa.float64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return bags.select("id", "vector").mapInArrow(run, schema)
 

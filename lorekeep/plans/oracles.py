@@ -187,6 +187,7 @@ ORACLES: dict[str, str] = {
     "kb_embed": f"WITH {bags('kb', DOCS)} SELECT id, b AS bucket, w FROM kb",
     "kb_index_ivf": """SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_ids,
         0::BIGINT AS n_repeated FROM embeddings""",
+    "kb_index_postings": f"{text_search(5)} SELECT {SEARCH_COLUMNS} FROM hit",
     "kb_search_text": f"{text_search(5)} SELECT {SEARCH_COLUMNS} FROM hit",
     "kb_search_stored": f"""{text_search(5)}
         SELECT question_id, id, lang, score, rank::BIGINT AS rank

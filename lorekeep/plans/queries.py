@@ -12,6 +12,7 @@ from lorekeep.functions.filters import compile_filter
 from lorekeep.operators import context as ctx
 from lorekeep.operators import evaluate as ev
 from lorekeep.operators import ivf, models, summarize
+from lorekeep.operators import postings as posting_index
 from lorekeep.operators.embed import hash_bags, idf_kind, postings
 from lorekeep.operators.kb import (
     KnowledgeBase,
@@ -211,7 +212,7 @@ def kb_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kb_embed(spark: SparkSession, sf: str) -> DataFrame:
-    return postings(document_rows(spark, sf))
+    return postings(document_rows(spark, sf)).select("id", "bucket", "w")
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -248,6 +249,17 @@ def kb_index_ivf(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def kb_index_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """Build the postings index, then search it."""
+    path = new_dir(spark, "postings")
+    catalog.ensure_source(spark, "lore_index")
+    name = "lore_index." + re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
+    rows = document_rows(spark, sf).select("id", "vector")
+    posting_index.build_postings(rows, name, path)
+    questions = hash_bags(benchmark_questions(spark, sf), "question")
+    return posting_index.search_postings(spark, name, questions, 5)
+
+
 # --- search ----------------------------------------------------------------------------------
 
 
@@ -531,7 +543,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         source_scan, source_refresh, sql_passthrough, sql_top,
         kb_content, kb_metadata, kb_defaults, kb_ingest_topn, kb_append, kb_upsert, kb_embed,
-        kb_index_ivf,
+        kb_index_ivf, kb_index_postings,
         kb_search_text, kb_search_stored, kb_search_idf, kb_search_vector, kb_search_ivf,
         kb_filter_eq, kb_filter_range, kb_search_filtered, kb_search_batch, kb_search_rerank,
         eval_doc_id, eval_relevancy, eval_generate, eval_generate_sql, eval_saved,

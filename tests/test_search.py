@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import ivf
 from lorekeep.operators.embed import embed_with, hash_bags, idf_kind, postings
+from lorekeep.operators.postings import build_postings, refresh_postings, search_postings
 from lorekeep.operators.rerank import rerank
 from lorekeep.operators.search import BAG, DENSE, fetch, search
 from lorekeep.session import new_dir
@@ -154,6 +155,24 @@ def test_lookup_pushes_ids_to_the_scan(spark, sf):
     assert "In(doc_id, [3,5])" in plan(found)
 
 
+def test_postings_index_equals_search_without_a_shuffle_of_scores(spark):
+    rng = np.random.default_rng(3)
+    docs = [" ".join(rng.choice(WORDS, rng.integers(0, 9))) for _ in range(120)]
+    kb = hash_bags(texts(spark, docs))
+    asked = hash_bags(texts(spark, ["red fox", "moon moon sun", "", "none"], "question", "question_id"), "question")
+    spark.sql("CREATE DATABASE IF NOT EXISTS test_index")
+    path = new_dir(spark, "postings")
+    build_postings(kb.filter("id < 90"), "test_index.terms", path, parts=3)
+    for _ in range(2):
+        refresh_postings(kb, "test_index.terms", path, parts=3)
+    found = search_postings(spark, "test_index.terms", asked, 4)
+    assert rows(found) == rows(search(kb, asked, 4))
+    assert rows(search_postings(spark, "test_index.terms", asked, 4, broadcast_bytes=1)) == rows(found)
+    shown = plan(search_postings(spark, "test_index.terms", asked, 4))
+    assert "In(bucket" in shown or "EqualTo(bucket" in shown
+    assert len(re.findall(r"^\(\d+\) Exchange", shown, re.M)) == 1  # only the final ranking
+
+
 def vector_frame(spark, matrix, key="id"):
     data = [(i, [float(x) for x in row]) for i, row in enumerate(matrix)]
     return spark.createDataFrame(data, f"{key} bigint, vector array<float>")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorekeep.session import union_all
+from lorekeep.session import shared_dir, union_all
 
 
 def _quoted(*names: str) -> str:
@@ -21,9 +21,10 @@ def _path_literal(path: str) -> str:
 
 
 def ensure_source(spark: SparkSession, source: str, location: str | None = None) -> None:
-    """Create the source database unless it exists."""
-    where = "" if location is None else " LOCATION '" + location.replace("'", "\\'") + "'"
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_quoted(source)}{where}")
+    """Create the source database unless it exists, by default in the shared folder."""
+    location = location or f"{shared_dir(spark)}/{source}.db"
+    where = location.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_quoted(source)} LOCATION '{where}'")
 
 
 def register_table(

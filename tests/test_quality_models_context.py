@@ -137,7 +137,7 @@ def test_summary_prefers_common_words(spark):
 @pytest.fixture(scope="module")
 def questions(spark):
     return spark.createDataFrame(
-        [(1, "Was the fox red?"), (2, "moon stars"), (3, "nothing at"), (4, "?")],
+        [(1, "Was the fox red?"), (2, "moon stars"), (3, "unknown words"), (4, "?")],
         "question_id bigint, question string",
     )
 

@@ -10,6 +10,7 @@ TOKEN_BREAK = r"[^\p{L}\p{N}]+"
 SENTENCE_BREAK = r"[.!?\n]+"
 
 DEFAULT_DIM = 4096
+MAX_DIM = 1 << 20
 
 
 def tokens(text: Column | str) -> Column:
@@ -34,6 +35,8 @@ def term_buckets(text: Column | str, dim: int = DEFAULT_DIM) -> Column:
 
     Computed within the row, so embedding a table needs no shuffle.
     """
+    if not 0 < dim <= MAX_DIM:
+        raise ValueError(f"the hash dimension must lie between 1 and {MAX_DIM}")
     return F.transform(tokens(text), lambda t: bucket(t, dim))
 
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 ROWS_PER_PASS = 2048
 ROWS_PER_BLOCK = 512
 QUESTIONS_PER_STEP = 256
+SINGLE_LIMIT = float(1 << 24)
 
 Weights = np.ndarray | None
 
@@ -63,7 +64,10 @@ def bag_entries(column: pa.ChunkedArray, weights: Weights = None) -> tuple[np.nd
 
 
 class BagKernel:
-    """Cosine of bags of hash buckets. Weights are whole numbers, so dot products are exact."""
+    """Cosine of bags of hash buckets below ``MAX_DIM``.
+
+    Weights are whole numbers, so dot products are exact.
+    """
 
     def __init__(self, vectors: pa.ChunkedArray, weights: Weights) -> None:
         self.weights, self.questions = weights, vectors
@@ -73,21 +77,25 @@ class BagKernel:
 
     def step(self, start: int):
         row, bucket, weight, norms = self.rows(self.questions.slice(start, QUESTIONS_PER_STEP))
-        vocabulary = np.unique(bucket)
+        vocabulary, at = np.unique(bucket, return_inverse=True)
         matrix = np.zeros((len(vocabulary), len(norms)))
-        matrix[np.searchsorted(vocabulary, bucket), row] = weight
-        return vocabulary, matrix, norms
+        matrix[at, row] = weight
+        columns = np.full(vocabulary.max(initial=0) + 2, -1)  # matrix row of each bucket
+        columns[vocabulary] = np.arange(len(vocabulary))
+        return columns, {8: matrix, 4: matrix.astype(np.float32)}, norms
 
     def score(self, step, rows) -> tuple[np.ndarray, np.ndarray]:
         """Scores and which of them are matches: rows that share a bucket."""
-        vocabulary, matrix, question_norms = step
+        columns, matrices, question_norms = step
         row, bucket, weight, norms = rows
-        dense = np.zeros((len(norms), len(vocabulary)))
-        if len(vocabulary):
-            at = np.minimum(np.searchsorted(vocabulary, bucket), len(vocabulary) - 1)
-            known = vocabulary[at] == bucket
-            dense[row[known], at[known]] = weight[known]
-        dots = dense @ matrix
+        # No dot product exceeds the product of the norms, so below 2**24 floats are exact too.
+        small = norms.max(initial=0) * question_norms.max(initial=0) < SINGLE_LIMIT
+        matrix = matrices[4 if small else 8]
+        dense = np.zeros((len(norms), len(matrix)), matrix.dtype)
+        at = columns[np.minimum(bucket, len(columns) - 1)]
+        known = at >= 0
+        dense[row[known], at[known]] = weight[known]
+        dots = (dense @ matrix).astype(np.float64)
         return cosine(dots, norms[:, None] * question_norms[None, :]), dots > 0
 
 

@@ -25,6 +25,12 @@ def test_buckets_keep_repeats_and_range(spark):
     assert len(got) == 3 and got[0] == got[2] and all(0 <= b < 16 for b in got)
 
 
+@pytest.mark.parametrize("dim", [0, -1, (1 << 20) + 1])
+def test_hash_dimension_is_bounded(spark, dim):
+    with pytest.raises(ValueError):
+        term_buckets(F.lit("a"), dim)
+
+
 def test_sentences(spark):
     assert one(spark, sentences("t"), t="One. Two!\n\n Three?  ") == ["One", "Two", "Three"]
 

@@ -65,6 +65,15 @@ def test_copies_tie_by_id_and_are_never_all_kept(spark):
     assert [(r["id"], r["rank"]) for r in found.orderBy("rank").collect()] == [(0, 1), (1, 2), (2, 3)]
 
 
+def test_long_texts_use_doubles(spark):
+    """Dot products beyond the range of single floats stay exact."""
+    docs = ["red " * 9000 + "fox", "red " * 9001 + "fox", "fox"]
+    asked = ["red " * 5000 + "fox", "fox"]
+    kb = hash_bags(texts(spark, docs))
+    questions = hash_bags(texts(spark, asked, "question", "question_id"), "question")
+    assert rows(search(kb, questions, 3)) == brute(docs, asked, 3)
+
+
 def test_string_ids_sort_like_spark(spark):
     data = [("b", "red"), ("é", "red"), ("B", "red"), ("a", "red"), ("10", "red"), ("9", "red")]
     kb = hash_bags(spark.createDataFrame(data, "id string, content string")).repartition(2)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import ann, urls, warc
+from lorekeep.llm import ann, jaccard, urls, warc
 from lorekeep.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,4 +40,8 @@ def op9_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return ann.nearest(vectors, asked, "vec_id", "embedding", k=20)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_warc_revisits, op4_url_filter, op9_nearest_neighbours)}
+def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf, "documents"), "doc_id", "text")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_warc_revisits, op4_url_filter, op9_nearest_neighbours, op10_jaccard_join)}

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from lorekeep.session import checkpointed, new_dir
 
-__all__ = ["checkpointed", "connected", "flag_bits", "new_dir", "private", "require", "slots", "table"]
+BROADCAST_BYTES = 32 << 20
+
+__all__ = ["checkpointed", "connected", "flag_bits", "new_dir", "private", "require", "table", "within"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +30,11 @@ def private(name: str) -> str:
     return f"_{name}_{uuid.uuid4().hex[:8]}"
 
 
-def slots(spark: SparkSession) -> int:
-    return spark.sparkContext.defaultParallelism
+def within(rows: DataFrame, few: DataFrame, column: str | list[str], how: str) -> DataFrame:
+    """Join wide rows with a stored table of keys and numbers: broadcast where its counted rows stay
+    below ``BROADCAST_BYTES``, a shuffle join beyond."""
+    small = few.count() * (16 + 8 * len(few.columns)) <= BROADCAST_BYTES
+    return rows.join(F.broadcast(few) if small else few, column, how)
 
 
 def flag_bits(keys: DataFrame, column: str, n_bits: int) -> bytes:

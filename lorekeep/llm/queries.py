@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import ann, jaccard, urls, warc
+from lorekeep.llm import ann, jaccard, quality, toxicity, urls, warc
 from lorekeep.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,14 @@ def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits")
 
 
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     asked = vectors.filter(F.col("vec_id") % QUERY_STEP == 0)
@@ -44,4 +52,7 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_warc_revisits, op4_url_filter, op9_nearest_neighbours, op10_jaccard_join)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op2_warc_revisits, op4_url_filter, op6_toxicity, op7_quality, op9_nearest_neighbours, op10_jaccard_join)
+}

@@ -24,6 +24,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """ASCII and Latin-1 letters of UTF-8 bytes in lower case; lengths stay."""
+    out = LOWER[data]
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    second = second[(data[second] >= 0x80) & (data[second] <= 0x9E) & (data[second] != 0x97)]
+    out[second] += 0x20
+    return out
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows of a batch with their text bytes and the offsets of each row (nulls are empty)."""
     texts = pc.cast(pc.fill_null(batch.column(column), ""), pa.large_string())

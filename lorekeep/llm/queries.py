@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import ann, jaccard, quality, toxicity, urls, warc
+from lorekeep.llm import ann, jaccard, lines, quality, toxicity, urls, warc
 from lorekeep.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,14 @@ URL_RULES = (
 QUERY_STEP = 20
 
 
+def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines and words left of every document, with a digest of its new text."""
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
+    clean = lines.deduplicate_lines(docs)
+    left = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
+    return clean.select("doc_id", "n_lines", left.alias("n_kept"), F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def op2_warc_revisits(spark: SparkSession, sf: str) -> DataFrame:
     pages = warc.deduplicated_pages(table(spark, sf, "pages"))
     return pages.select(
@@ -54,5 +62,5 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op2_warc_revisits, op4_url_filter, op6_toxicity, op7_quality, op9_nearest_neighbours, op10_jaccard_join)
+    for f in (op1_line_dedup, op2_warc_revisits, op4_url_filter, op6_toxicity, op7_quality, op9_nearest_neighbours, op10_jaccard_join)
 }

@@ -27,3 +27,32 @@ def components(rows, width=5, percent=80):
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
     return sorted(((i, len(x), None if i is None else find(i)) for i, x in sets), key=str)
+
+
+def words_of(line):
+    lower = "".join(c.lower() if ord(c) < 256 and c != "\xd7" and c != "ÿ" else c for c in line)
+    return re.findall(r"[^\x20\x09-\x0D]+", lower)
+
+
+def word_edits(x, y):
+    last = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        row = [i]
+        for j, b in enumerate(y, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (a != b)))
+        last = row
+    return last[-1]
+
+
+def deduplicated(rows, min_words, near_words):
+    """``[(id, text)]`` with unique ids -> ``{id: text}`` without later lines at most one word away."""
+    lines = [(i, n, words_of(x)) for i, t in sorted(rows) for n, x in enumerate((t or "").split("\n"))]
+    lines = [x for x in lines if len(x[2]) >= min_words]
+    gone = set()
+    for at, (i, n, words) in enumerate(lines):
+        for j, m, other in lines[:at]:
+            near = len(words) >= near_words and len(other) >= near_words
+            if words == other or (near and abs(len(words) - len(other)) < 2 and word_edits(words, other) <= 1):
+                gone.add((i, n))
+                break
+    return {i: t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in rows}

@@ -30,9 +30,10 @@ from pyspark.sql import types as T
 from lorekeep.llm.tables import checkpointed, require
 
 BLOCK_BYTES = 16 << 20
-SCAN_ROWS = 4096
-SCAN_QUERIES = 1024
-EPSILON = 3.0
+SCAN_ROWS = 2048
+SCAN_QUERIES = 512
+RERANK_PAIRS = 1 << 15
+EPSILON = 1.9
 
 
 def usable(vector: str) -> Column:
@@ -134,8 +135,8 @@ def scan_block(index: DataFrame, queries: pa.Table, centre: np.ndarray, dim: int
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, vectors = shared.value
         turned = (vectors @ rotation(dim, seed).T / math.sqrt(dim)).astype(np.float32)
-        base, lengths = vectors @ centre, np.linalg.norm(vectors, axis=1) * epsilon
-        slack = 1e-4 * np.linalg.norm(vectors, axis=1)  # the estimate is made in single floats
+        base, lengths = (vectors @ centre).astype(np.float32), np.linalg.norm(vectors, axis=1).astype(np.float32)
+        slack = np.float32(1e-4)  # the estimate is made in single floats
         best = _Best(len(query_ids), k)
         for batch in batches:
             for start in range(0, batch.num_rows, SCAN_ROWS):
@@ -144,12 +145,12 @@ def scan_block(index: DataFrame, queries: pa.Table, centre: np.ndarray, dim: int
                 rows = _matrix(part.column("vector"), dim)
                 packed = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
                 signs = np.unpackbits(packed, axis=1, count=dim).astype(np.float32) * 2 - 1
-                scale, spread = part.column("scale").to_numpy(), part.column("spread").to_numpy()
-                norms = np.linalg.norm(rows, axis=1)
+                scale, spread = (part.column(c).to_numpy().astype(np.float32) for c in ("scale", "spread"))
+                norms = np.linalg.norm(rows, axis=1).astype(np.float32)
                 for q in range(0, len(query_ids), SCAN_QUERIES):
                     own = slice(q, q + SCAN_QUERIES)
                     estimate = (turned[own] @ signs.T) * scale + base[own, None]
-                    error = lengths[own, None] * spread + slack[own, None] * norms
+                    error = lengths[own, None] * (np.float32(epsilon) * spread + slack * norms)
                     estimate[query_ids[own, None] == ids] = -np.inf
                     floor = best.scores[own, -1].copy()
                     if len(ids) > k:
@@ -157,7 +158,10 @@ def scan_block(index: DataFrame, queries: pa.Table, centre: np.ndarray, dim: int
                         floor = np.maximum(floor, low)
                     at, row = np.nonzero((estimate + error >= floor[:, None]) & (estimate > -np.inf))
                     if len(at):
-                        scores = np.einsum("ij,ij->i", vectors[q + at], rows[row])
+                        scores = np.empty(len(at))
+                        for p in range(0, len(at), RERANK_PAIRS):
+                            own_pairs = slice(p, p + RERANK_PAIRS)
+                            scores[own_pairs] = np.einsum("ij,ij->i", vectors[q + at[own_pairs]], rows[row[own_pairs]])
                         best.add(q + at, ids[row], scores)
         at, rank = np.nonzero(best.scores > -np.inf)
         yield pa.RecordBatch.from_pydict({"query_id": query_ids[at], "vec_id": best.ids[at, rank], "score": best.scores[at, rank]})

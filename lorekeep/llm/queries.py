@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import ann, jaccard, lines, quality, toxicity, urls, warc
+from lorekeep.llm import ann, jaccard, leaks, lines, pieces, quality, toxicity, urls, warc
 from lorekeep.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ URL_RULES = (
     urls.Rule("block", "net", "/fr/"),
 )
 QUERY_STEP = 20
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,6 +43,17 @@ def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits")
 
 
+def op5_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of every text, their digest, and whether decoding gives the text back."""
+    model = pieces.load_pieces(PIECE_MODEL)
+    coded = pieces.encode_texts(table(spark, sf, "documents").select("doc_id", "text"), model)
+    back = pieces.decode_ids(coded, model, text="decoded")
+    spelled = F.size(F.filter("ids", lambda i: i.isin([int(b) for b in model.byte_ids])))
+    return back.select(
+        "doc_id", F.size("ids").alias("n_ids"), spelled.alias("n_byte_ids"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("exact")
+    )
+
+
 def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
@@ -50,6 +62,11 @@ def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op8_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with the benchmark items that leak into them."""
+    return leaks.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
     asked = vectors.filter(F.col("vec_id") % QUERY_STEP == 0)
@@ -62,5 +79,5 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_warc_revisits, op4_url_filter, op6_toxicity, op7_quality, op9_nearest_neighbours, op10_jaccard_join)
+    for f in (op1_line_dedup, op2_warc_revisits, op4_url_filter, op5_sentencepiece, op6_toxicity, op7_quality, op8_decontamination, op9_nearest_neighbours, op10_jaccard_join)
 }

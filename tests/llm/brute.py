@@ -56,3 +56,16 @@ def deduplicated(rows, min_words, near_words):
                 gone.add((i, n))
                 break
     return {i: t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in rows}
+
+
+def leak_edits(item, text):
+    """Fewest character edits between the item and any stretch of the text."""
+    fold = lambda s: "".join(" " if c.isspace() else c.lower() if len(c.lower()) == 1 else c for c in s)
+    item, text = fold(item), fold(text or "")
+    row = [0] * (len(text) + 1)
+    for i, a in enumerate(item, 1):
+        new = [i]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+        row = new
+    return min(row)

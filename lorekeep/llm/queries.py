@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import ann, jaccard, leaks, lines, pieces, quality, toxicity, urls, warc
+from lorekeep.llm import ann, jaccard, leaks, licenses, lines, pieces, quality, toxicity, urls, warc
 from lorekeep.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,10 @@ def op2_warc_revisits(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     judged = urls.judge_urls(table(spark, sf, "pages").select("page_id", "url"), rules=URL_RULES)
     return judged.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits")
@@ -79,5 +83,16 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_warc_revisits, op4_url_filter, op5_sentencepiece, op6_toxicity, op7_quality, op8_decontamination, op9_nearest_neighbours, op10_jaccard_join)
+    for f in (
+        op1_line_dedup,
+        op2_warc_revisits,
+        op3_license_scan,
+        op4_url_filter,
+        op5_sentencepiece,
+        op6_toxicity,
+        op7_quality,
+        op8_decontamination,
+        op9_nearest_neighbours,
+        op10_jaccard_join,
+    )
 }

@@ -69,3 +69,30 @@ def leak_edits(item, text):
             new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
         row = new
     return min(row)
+
+
+def licenses(text, templates, least):
+    """Units of a text with the licences they match: ``{(unit, number, license): dice}``."""
+
+    def bigrams(t):
+        lower = "".join(c.lower() if ord(c) < 256 and c not in "\xd7ÿ" else c for c in t)
+        words = re.findall(r"[a-z0-9\x80-\U0010ffff]+", lower)
+        return set(zip(words, words[1:]))
+
+    lines, paragraphs = (text or "").split("\n"), [[]]
+    for at, line in enumerate(lines):
+        if at and at < len(lines) - 1 and not line.strip(" \t\v\f\r"):
+            paragraphs.append([])
+        else:
+            paragraphs[-1].append(line)
+    units = [("line", i, x) for i, x in enumerate(lines)]
+    units += [("paragraph", i, "\n".join(p)) for i, p in enumerate(paragraphs)] + [("text", 0, text or "")]
+    out, seen = {}, set()
+    for kind, number, unit in units:
+        a = bigrams(unit)
+        for name, template in templates:
+            b = bigrams(template)
+            dice = 2 * len(a & b) / (len(a) + len(b)) if a and b else 0
+            if dice >= least:
+                out[kind, number, name] = max(dice, out.get((kind, number, name), 0))
+    return out

@@ -1,13 +1,14 @@
 """Exact Jaccard join of word n-gram sets, by set relations, and the components of its links.
 
-Sets are hashed to 64-bit tokens in one global order: tokens by hash, but those that more than
-``FREQUENT`` texts hold come last. Two sets that link share a token of their prefixes, so only
-prefixes are indexed, and of these only tokens that more than one text holds.
+Sets are hashed to 64-bit tokens in one global order: first tokens that one text holds alone, then
+others, at last those that more than ``FREQUENT`` texts hold, each by hash. Two sets that link share a token of their
+prefixes, so only prefixes are indexed, without the tokens of one text. A set whose own tokens fill
+its prefix cannot link and is not indexed at all.
 
 * Lists are cut into blocks by set size; from its position in a set a token tells the largest size
   that can still link, so a set probes only the blocks that its position allows and skips the rest.
 * Answers are derived from a similar set's: within a block every set is first compared with one
-  leader. Sets that link to it share its answers up to reachability, so afterwards a list is only
+  leader, the one with the fewest tokens of its own. Sets that link to it share its answers up to reachability, so afterwards a list is only
   read again where it holds sets of different groups, and only pairs across groups are compared. A group
   of m near copies costs about m comparisons.
 
@@ -37,9 +38,7 @@ WIDTH = 5
 PERCENT = 80
 FREQUENT = 32
 MAX_FREQUENT = 2_000_000
-#: Prefixes lie in the low quarter of the hash space unless frequent tokens push them out; only tokens there are counted.
-COUNTED = np.uint64(1 << 62)
-LOW_BITS = 30
+LOW_BITS = 32
 DOCS_PER_PART = 8_192
 
 
@@ -62,22 +61,21 @@ def token_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nd
 
 
 def short(tokens: np.ndarray, parts: int) -> np.ndarray:
-    """Counted tokens by 32 high and a few low bits; others may share a count, which costs time only."""
+    """Tokens by 32 high and a few low bits; others may share a count, which costs time only."""
     return (tokens >> np.uint64(LOW_BITS) << np.uint64(LOW_BITS)) | (tokens & np.uint64(parts - 1))
 
 
 def shared_tokens(docs: DataFrame, width: int) -> tuple[DataFrame, int]:
-    """``token, n``: shortened low tokens that more than one text holds, and the number of parts.
+    """``token, n``: shortened tokens that more than one text holds, and the number of parts.
 
     Tokens travel as packed arrays, four bytes each, one per part and slice.
     """
     parts = 1 << min(20, max(2, math.ceil(math.log2(max(1, docs.count() / DOCS_PER_PART)))))
 
-    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in text_slices(batch, "text"):
                 tokens, _ = token_sets(data, offsets, width)
-                tokens = tokens[tokens < COUNTED]
                 part = (tokens & np.uint64(parts - 1)).astype(np.int32)
                 order = np.argsort(part, kind="stable")
                 values = (tokens[order] >> np.uint64(LOW_BITS)).astype(np.uint32)
@@ -96,7 +94,7 @@ def shared_tokens(docs: DataFrame, width: int) -> tuple[DataFrame, int]:
             tokens = (values[more].astype(np.uint64) << np.uint64(LOW_BITS)) | np.uint64(part)
             yield pa.RecordBatch.from_pydict({"token": signed(tokens), "n": n[more]})
 
-    packed = docs.select("text").mapInArrow(low, "part int, tokens binary")
+    packed = docs.select("text").mapInArrow(pack, "part int, tokens binary")
     counted = packed.repartition(parts, "part").mapInArrow(count, "token bigint, n bigint")
     return checkpointed(counted), parts
 
@@ -116,8 +114,8 @@ def frequent_tokens(shared: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``id, n, key, tokens, positions``: size and hash of each set, and its prefix tokens that other
-    texts may hold."""
+    """``id, n, own, key, tokens, positions``: size of each set, tokens of its own, its hash, and the
+    prefix tokens that other texts hold."""
     shared, parts = shared_tokens(docs, width)
     n_bits = 1 << min(28, max(18, math.ceil(math.log2(16 * max(1, shared.count())))))
     flags = np.frombuffer(flag_bits(shared, "token", n_bits), np.uint8)
@@ -130,23 +128,23 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 tokens, bounds = token_sets(data, offsets, width)
                 n = np.diff(bounds)
                 row = np.repeat(np.arange(len(n)), n)
-                counted = tokens < COUNTED
                 brief = signed(short(tokens, parts))
-                last = np.zeros(len(tokens), bool)
+                slot = brief & (len(flags) * 8 - 1)
+                rank = ((flags[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(np.int8)
                 if len(frequent):
-                    low = np.flatnonzero(counted)
-                    at = np.searchsorted(frequent, brief[low])
-                    last[low] = frequent[np.minimum(at, len(frequent) - 1)] == brief[low]
-                # others in order of their hash, then the frequent ones
-                others = np.concatenate([[0], np.cumsum(~last)])
-                before = others[:-1] - others[bounds[:-1]][row]
-                all_others = (others[bounds[1:]] - others[bounds[:-1]])[row]
-                late = np.arange(len(tokens)) - bounds[:-1][row] - before
-                position = np.where(last, all_others + late, before)
+                    more = np.flatnonzero(rank)
+                    at = np.minimum(np.searchsorted(frequent, brief[more]), len(frequent) - 1)
+                    rank[more] += frequent[at] == brief[more]
+                position = np.zeros(len(tokens), np.int64)
+                ahead = np.zeros(len(n), np.int64)
+                for kind in (0, 1, 2):
+                    of_kind = np.concatenate([[0], np.cumsum(rank == kind)])
+                    here = rank == kind
+                    position[here] = (ahead[row] + of_kind[:-1] - of_kind[bounds[:-1]][row])[here]
+                    ahead += of_kind[bounds[1:]] - of_kind[bounds[:-1]]
+                    own = ahead.copy() if kind == 0 else own
                 length = n - -(-percent * n // 100) + 1
-                slot = brief & (len(flags) * 8 - 1)
-                may = ~counted | ((flags[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1).astype(bool)
-                take = np.flatnonzero((position < length[row]) & may)
+                take = np.flatnonzero((position < length[row]) & (rank > 0))
                 ends = np.searchsorted(row[take], np.arange(len(n) + 1)).astype(np.int32)
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(tokens), dtype=np.uint64)])
                 key = mix(sums[bounds[1:]] - sums[bounds[:-1]] + n.astype(np.uint64))
@@ -154,6 +152,7 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     {
                         "id": part.column("id"),
                         "n": n,
+                        "own": own,
                         "key": signed(key),
                         "tokens": pa.ListArray.from_arrays(ends, signed(tokens[take])),
                         "positions": pa.ListArray.from_arrays(ends, position[take].astype(np.int32)),
@@ -161,7 +160,7 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return checkpointed(docs.mapInArrow(index, f"id {kind}, n bigint, key bigint, tokens array<bigint>, positions array<int>"))
+    return checkpointed(docs.mapInArrow(index, f"id {kind}, n bigint, own bigint, key bigint, tokens array<bigint>, positions array<int>"))
 
 
 def size_class(n: Column, percent: int, shift: float = 0.0) -> Column:
@@ -192,9 +191,9 @@ def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
     with borders half a class on, so that sets of nearly one size meet in one of them."""
     chosen = []
     for shift in (0.0, 0.5):
-        blocks = entries.select("token", "rep", size_class(F.col("n"), percent, shift).alias("block"))
-        leaders = blocks.groupBy("token", "block").agg(F.min("rep").alias("leader"), F.count("*").alias("c")).filter("c > 1")
-        led = blocks.join(leaders.drop("c"), ["token", "block"]).filter("rep <> leader")
+        blocks = entries.select("token", "rep", "own", size_class(F.col("n"), percent, shift).alias("block"))
+        leaders = blocks.groupBy("token", "block").agg(F.min(F.struct("own", "rep")).alias("leader"), F.count("*").alias("c")).filter("c > 1")
+        led = blocks.join(leaders.select("token", "block", F.col("leader.rep").alias("leader")), ["token", "block"]).filter("rep <> leader")
         counted = led.groupBy("rep", "leader").agg(F.count("*").alias("c"))
         most = counted.groupBy("rep").agg(F.max_by("leader", "c").alias("leader"))
         chosen.append(most.select(F.col("rep").alias("a"), F.col("leader").alias("b")))
@@ -256,7 +255,7 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
         pair = F.explode(F.arrays_zip("tokens", "positions")).alias("e")
         return rows.select(F.col("id").alias("rep"), "n", *more, pair).select("rep", "n", *more, F.col("e.tokens").alias("token"), F.col("e.positions").alias("position"))
 
-    stars = checkpointed(star_pairs(entries(index), percent))
+    stars = checkpointed(star_pairs(entries(index, "own"), percent))
     stars = checkpointed(promising(index, stars, percent))
     links = checkpointed(verified(docs, stars, width, percent))
     roots = checkpointed(connected(links))
@@ -270,3 +269,10 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     found = within(rows, roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id"))
     return found.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with the smallest id of each component only. Rows without an id or without words stay."""
+    found = jaccard_components(docs, id_column, text, width, percent)
+    gone = checkpointed(found.filter(F.col("component_id") != F.col(id_column)).select(id_column).distinct())
+    return within(docs, gone, id_column, "left_anti").select(*docs.columns)

@@ -55,28 +55,25 @@ def flag_bits(keys: DataFrame, column: str, n_bits: int) -> bytes:
 
 
 def connected(links: DataFrame, columns: Sequence[str] = ("a", "b")) -> DataFrame:
-    """``node, root`` of every node that has a link: root is its component's smallest node.
+    """``node, root`` of every node of the stored ``links``: root is its component's smallest node.
 
-    Alternating star contraction: every node's neighbours are first all tied to its smallest
-    neighbour (large star, only the larger ones move), then the smaller ones are (small star).
-    Each round writes its edges, so lost executors repeat at most one round. Minima are combined before the
-    shuffle and the joins are plain shuffle joins, which Spark splits where a node is hot.
+    Alternating star contraction: every node's larger neighbours are tied to the smallest one
+    around it (large star), then the smaller ones are (small star), until only stars are left. Each
+    round writes its edges, so lost executors repeat at most one round. Minima are combined
+    before the shuffle; the joins read stored tables, so Spark can split a hot node.
     """
     a, b = columns
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    edges = checkpointed(edges)
-    seen = None
+    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(checkpointed(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = checkpointed(large.filter("u <> v").distinct())
+        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = checkpointed(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v"))
         lowest = checkpointed(large.groupBy("u").agg(F.min("v").alias("m")))
         tied = large.join(lowest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpointed(tied.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if seen == now:
+        counts = edges.groupBy("u").agg(F.count("*").alias("n"))
+        deeper = edges.join(counts.select(F.col("u").alias("v")), "v", "left_semi").select("v")
+        if counts.filter("n > 1").select("u").unionByName(deeper.select(F.col("v").alias("u"))).isEmpty():
             break
-        seen = now
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

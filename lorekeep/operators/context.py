@@ -13,67 +13,71 @@ from pyspark.sql import functions as F
 from lorekeep.functions.prompt import render
 from lorekeep.functions.scorers import coverage
 from lorekeep.functions.text import sentences
-from lorekeep.operators.embed import hash_bags
+from lorekeep.operators.evaluate import as_base
+from lorekeep.operators.kb import Base
 from lorekeep.operators.models import generate
-from lorekeep.operators.search import lookup, rank_hits, search
+from lorekeep.operators.search import lookup, rank_hits
 from lorekeep.session import checkpointed, union_all
 
 # Fixed value: the answer to a question without any context.
 NO_RESULT = "Agent returned no results or an empty DataFrame."
-MAX_NOTES = 1_000
 DEFAULT_TEMPLATE = "{{question}}\n{{context}}"
 
 
 def retrieve(
-    kbs: Mapping[str, DataFrame],
+    kbs: Mapping[str, Base | DataFrame],
     questions: DataFrame,
     k: int = 5,
     filters: Mapping[str, Mapping[str, Any]] | None = None,
 ) -> DataFrame:
     """``question_id, kb, id, content, score, rank``: the best k rows over all bases.
 
-    Each base has ``id, content, vector``. Content is joined after the global top k, so only
-    winners are read with their text.
+    Each base embeds, compares and reranks in its own way. Bases with ids of different types
+    give ids as text. Content is joined after the global top k, so only winners are read with their text.
     """
     if not kbs:
         raise ValueError("at least one knowledge base is needed")
-    asked = hash_bags(questions, "question")
+    bases = {name: as_base(kb) for name, kb in kbs.items()}
+    rows = {name: base.rows() for name, base in bases.items()}
+    if len({r.schema["id"].dataType for r in rows.values()}) > 1:
+        rows = {name: r.withColumn("id", F.col("id").cast("string")) for name, r in rows.items()}
     per_kb = [
-        search(kb, asked, k, (filters or {}).get(name)).drop("rank").withColumn("kb", F.lit(name))
-        for name, kb in kbs.items()
+        checkpointed(
+            base.score(questions, k, (filters or {}).get(name), rows[name])
+            .select("question_id", "id", "score")
+            .withColumn("kb", F.lit(name))
+        )
+        for name, base in bases.items()
     ]
     best = checkpointed(rank_hits(union_all(per_kb), k, keys=("kb", "id")))
-    found = [lookup(best.filter(F.col("kb") == name), kb, ["content"]) for name, kb in kbs.items()]
+    found = [lookup(best.filter(F.col("kb") == name), r, ["content"]) for name, r in rows.items()]
     return union_all(found).select("question_id", "kb", "id", "content", "score", "rank")
 
 
 def attach_table(context: DataFrame, table: DataFrame, on: str, columns: Sequence[str],
-                 kb: str | None = None) -> DataFrame:
-    """Columns of a context table for the retrieved rows whose id it knows."""
-    if kb is not None:
-        context = context.filter(F.col("kb") == kb)
-    return context.join(table.select(F.col(on).alias("id"), *columns), "id")
+                 kb: str) -> DataFrame:
+    """Columns of a context table for the retrieved rows of base ``kb`` whose id it knows."""
+    rows = table.select(F.col(on).cast(context.schema["id"].dataType).alias("id"), *columns)
+    return context.filter(F.col("kb") == kb).join(rows, "id")
 
 
-def with_tables(context: DataFrame, tables: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+def with_tables(context: DataFrame, tables: Mapping[str, tuple[DataFrame, str, str]]) -> DataFrame:
     """Append matching rows of context tables, as JSON, to the retrieved contents.
 
-    ``tables`` maps a name to a frame and its id column. Rows without a match stay as they are.
-    A prompt cannot hold a table: more than ``MAX_NOTES`` rows for one id raise.
+    ``tables`` maps a name to a frame, its id column and the base whose ids these are. Contents
+    of other bases, and rows without a match, stay as they are. A prompt holds all rows of an id.
     """
-    for name, (table, on) in tables.items():
+    for name, (table, on, kb) in tables.items():
         others = [F.col(c) for c in table.columns if c != on]
-        matching = table.join(context.select(F.col("id").alias(on)).distinct(), on, "left_semi")
-        rows = checkpointed(
-            matching.select(F.col(on).alias("id"), F.to_json(F.struct(*others)).alias("note"))
-        )
-        if not rows.groupBy("id").count().filter(F.col("count") > MAX_NOTES).isEmpty():
-            raise ValueError(f"table {name!r} has too many rows for one id; use attach_table")
-        notes = rows.groupBy("id").agg(
+        note = F.to_json(F.struct(*others)).alias("note")
+        rows = table.select(F.col(on).cast(context.schema["id"].dataType).alias("id"), note)
+        wanted = context.filter(F.col("kb") == kb).select("id").distinct()
+        notes = rows.join(wanted, "id", "left_semi").groupBy("id").agg(
             F.array_join(F.sort_array(F.collect_set("note")), "\n").alias("note")
         )
         text = F.concat_ws("\n", "content", F.concat(F.lit(f"{name}: "), F.col("note")))
-        context = context.join(notes, "id", "left").withColumn("content", text).drop("note")
+        joined = context.join(notes.withColumn("kb", F.lit(kb)), ["kb", "id"], "left")
+        context = joined.withColumn("content", text).select(*context.columns)
     return context
 
 
@@ -122,20 +126,20 @@ def extractive_answers(context: DataFrame, questions: DataFrame) -> DataFrame:
 class Agent:
     """Knowledge bases and tables, a template and, if given, a user model that answers prompts."""
 
-    kbs: Mapping[str, DataFrame]
+    kbs: Mapping[str, Base | DataFrame]
     template: str = DEFAULT_TEMPLATE
     k: int = 5
     model: Callable[[pd.Series], pd.Series] | None = None
-    tables: Mapping[str, tuple[DataFrame, str]] = field(default_factory=dict)
+    tables: Mapping[str, tuple[DataFrame, str, str]] = field(default_factory=dict)
+    filters: Mapping[str, Mapping[str, Any]] = field(default_factory=dict)
 
     def answer(self, questions: DataFrame) -> DataFrame:
-        """``question_id, answer`` for every question."""
-        found = with_tables(retrieve(self.kbs, questions, self.k), self.tables)
+        """``question_id, answer`` for every question; the model sees those with context only."""
+        found = checkpointed(with_tables(retrieve(self.kbs, questions, self.k, self.filters), self.tables))
         if self.model is None:
             return extractive_answers(found, questions)
-        asked = prompts(found, questions, self.template)
-        answered = generate(asked.select("question_id", "context", "prompt"), self.model)
-        empty = F.col("context") == ""
-        return answered.select(
-            "question_id", F.when(empty, F.lit(NO_RESULT)).otherwise(F.col("answer")).alias("answer")
+        asked = prompts(found, questions, self.template).filter(F.col("context") != "")
+        answered = generate(asked.select("question_id", "prompt"), self.model).drop("prompt")
+        return questions.select("question_id").join(answered, "question_id", "left").select(
+            "question_id", F.coalesce("answer", F.lit(NO_RESULT)).alias("answer")
         )

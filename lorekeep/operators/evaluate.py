@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.scorers import PairScorer, PandasPairScorer, coverage, score_pairs
 from lorekeep.functions.text import sentences
-from lorekeep.operators.embed import hash_bags
+from lorekeep.operators.kb import Base, FrameBase
 from lorekeep.operators.limits import first_rows
-from lorekeep.operators.search import fetch, search
+from lorekeep.operators.search import fetch
+from lorekeep.session import checkpointed
 from lorekeep.sources.sinks import save_table
 
 DEFAULT_TESTS = 20
@@ -47,16 +48,26 @@ def generate_tests_from_sql(
     missing = [c for c in required if c not in rows.columns]
     if missing:
         raise ValueError(f"the query must return columns {missing}")
-    return rows.limit(count)
+    return rows.limit(count)  # in the order of the query; without ORDER BY any rows
 
 
-def evaluate_doc_id(kb: DataFrame, tests: DataFrame, k: int = 5) -> DataFrame:
+def as_base(kb: Base | DataFrame) -> Base:
+    """A frame counts as a base of hashed bags of the default dimension; other vectors raise."""
+    if isinstance(kb, Base):
+        return kb
+    base = FrameBase(kb)
+    base.check()
+    return base
+
+
+def evaluate_doc_id(kb: Base | DataFrame, tests: DataFrame, k: int = 5, filters: Mapping[str, Any] | None = None) -> DataFrame:
     """``questions, found, accuracy, mrr, avg_rank`` over (question, expected document) rows.
 
-    ``kb`` has ``id, vector``. Tests whose document is not found count as misses.
+    Questions are embedded, compared and reranked as the base says. Tests whose document is not
+    found count as misses.
     """
-    questions = hash_bags(tests.select("question_id", "question").dropDuplicates(["question_id"]), "question")
-    hits = search(kb, questions, k).select(
+    questions = tests.select("question_id", "question").dropDuplicates(["question_id"])
+    hits = as_base(kb).score(questions, k, filters).select(
         "question_id", F.col("id").alias("expected_doc_id"), "rank"
     )
     reciprocal = F.coalesce(1.0 / F.col("rank"), F.lit(0.0))
@@ -70,7 +81,7 @@ def evaluate_doc_id(kb: DataFrame, tests: DataFrame, k: int = 5) -> DataFrame:
 
 
 def evaluate_relevancy(
-    kb: DataFrame,
+    kb: Base | DataFrame,
     tests: DataFrame,
     k: int = 5,
     threshold: float = 0.5,
@@ -79,7 +90,7 @@ def evaluate_relevancy(
 ) -> DataFrame:
     """``question_id, hits, mean_relevancy, precision_at_k, ndcg`` per test question.
 
-    ``kb`` has ``id, content, vector``. The wanted text is ``expected_content`` or
+    The wanted text is ``expected_content`` or
     ``expected_answer`` where the test set has one, else the question. Questions without hits
     stay, with zeros.
     """
@@ -87,8 +98,9 @@ def evaluate_relevancy(
     tests = tests.select(
         "question_id", "question", F.coalesce(*wanted, F.col("question")).alias("wanted")
     )
-    hits = search(kb, hash_bags(tests, "question"), k)
-    pairs = fetch(hits, kb, ["content"]).join(
+    base = as_base(kb)
+    hits = base.score(tests, k)
+    pairs = fetch(hits, base.rows(), ["content"]).join(
         tests.select("question_id", "wanted"), "question_id"
     )
     scored = score_pairs(pairs, "wanted", "content", scorer or coverage, pandas_scorer, "relevancy")
@@ -120,7 +132,7 @@ def _dcg(gains):
 
 
 def evaluate(
-    kb: DataFrame,
+    kb: Base | DataFrame,
     tests: DataFrame | None = None,
     version: str = "doc_id",
     k: int = 5,
@@ -137,11 +149,12 @@ def evaluate(
     """
     if version not in ("doc_id", "relevancy", "llm_relevancy"):
         raise ValueError(f"unknown evaluation {version!r}")
-    spark = kb.sparkSession
+    base = as_base(kb)
+    spark = base.spark
     if generate_sql is not None:
         tests = generate_tests_from_sql(spark, generate_sql, generate or DEFAULT_TESTS)
     elif generate is not None:
-        tests = generate_tests(kb, generate)
+        tests = generate_tests(base.rows(), generate)
     elif not run:
         raise ValueError("nothing to do: no generation option and no evaluation")
     if tests is None:
@@ -150,12 +163,14 @@ def evaluate(
         tests = spark.table(test_table)
     elif test_table is not None:
         tests = save_table(tests, test_table)
+    else:
+        tests = checkpointed(tests)  # read as questions and again as the expected documents
     if "question_id" not in tests.columns:
         tests = tests.withColumn("question_id", F.xxhash64("question"))
     if not run:
         return tests
     if version == "doc_id":
-        result = evaluate_doc_id(kb, tests, k)
+        result = evaluate_doc_id(base, tests, k)
     else:
-        result = evaluate_relevancy(kb, tests, k, **scoring)
+        result = evaluate_relevancy(base, tests, k, **scoring)
     return result if save_to is None else save_table(result, save_to)

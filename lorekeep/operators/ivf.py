@@ -7,8 +7,10 @@ makes the default search exact while lists that cannot win are not read.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from lorekeep.functions.filters import compile_filter
 from lorekeep.operators.kernels import dense_matrix, usable
 from lorekeep.operators.search import (
     BROADCAST_BYTES,
@@ -28,10 +32,11 @@ from lorekeep.operators.search import (
     scan_scores,
     search,
 )
-from lorekeep.session import checkpointed
+from lorekeep.session import checkpointed, stored_table
 
 ROUNDING = 2e-6
-MAX_LISTS = 16_384
+TRAINING_ROWS_PER_LIST = 256
+MARK = "_mark"
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
@@ -47,58 +52,95 @@ def distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def _unit_features(vectors: DataFrame) -> DataFrame:
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
-    scaled = F.transform(
-        "vector", lambda x: F.coalesce(F.try_divide(x.cast("double"), norm), F.lit(0.0))
-    )
-    return vectors.select(array_to_vector(scaled).alias("features"))
+    """Unit vectors for training, made in one Arrow pass."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = usable(pa.Table.from_batches([batch]), "id").column("vector")
+            if len(rows):
+                units = unit_rows(dense_matrix(rows))
+                sizes = np.arange(len(units) + 1, dtype=np.int32) * units.shape[1]
+                yield pa.RecordBatch.from_pydict({"unit": pa.ListArray.from_arrays(sizes, units.ravel())})
+
+    units = vectors.select("id", "vector").mapInArrow(run, "unit array<double>")
+    return units.select(array_to_vector("unit").alias("features"))
+
+
+def _assign(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Add ``list_id`` of the nearest centre and ``away``, the distance to it.
+
+    Centres beyond the broadcast limit are met in blocks, each a pass that keeps the nearer one.
+    """
+    step = max(1, BROADCAST_BYTES // max(1, centres[0].nbytes))
+    added = [T.StructField("away", T.DoubleType()), T.StructField("list_id", T.IntegerType())]
+    schema = T.StructType([*rows.schema.fields, *added])
+    rows = rows.withColumn("away", F.lit(None).cast("double")).withColumn("list_id", F.lit(None).cast("int"))
+    for first in range(0, len(centres), step):
+        shared = rows.sparkSession.sparkContext.broadcast((first, centres[first : first + step]))
+        rows = rows.mapInArrow(_nearer(shared, to_arrow_schema(schema)), schema)
+    return rows
 
-def _assign(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
-    """Add ``list_id`` of the nearest centre and ``away``, the distance to it."""
-    shared = vectors.sparkSession.sparkContext.broadcast(centres)  # lists x dimensions
-    vectors = vectors.select("id", "vector")
 
+def _nearer(shared, arrow: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, centres = shared.value
         for batch in batches:
             table = usable(pa.Table.from_batches([batch]), "id")
             if not table.num_rows:
                 continue
-            away = distances(unit_rows(dense_matrix(table.column("vector"))), shared.value)
+            away = distances(unit_rows(dense_matrix(table.column("vector"))), centres)
             nearest = away.argmin(axis=1)
             away = away[np.arange(len(nearest)), nearest]
-            lists = pa.array(nearest, pa.int32())
-            table = table.append_column("away", pa.array(away, pa.float64()))
-            yield from table.append_column("list_id", lists).to_batches()
+            before = table.column("away").to_numpy(zero_copy_only=False).astype(np.float64)
+            lists = np.nan_to_num(table.column("list_id").to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)
+            nearer = np.isnan(before) | (away < before)
+            table = table.drop_columns(["away", "list_id"])
+            table = table.append_column("away", pa.array(np.where(nearer, away, before), pa.float64()))
+            table = table.append_column("list_id", pa.array(np.where(nearer, nearest + first, lists), pa.int32()))
+            yield from table.select(arrow.names).cast(arrow).to_batches()
+
+    return run
 
-    added = [T.StructField("away", T.DoubleType()), T.StructField("list_id", T.IntegerType())]
-    return vectors.mapInArrow(run, T.StructType([*vectors.schema.fields, *added]))
 
+def marked(rows: DataFrame) -> DataFrame:
+    """``rows`` with a hash of all they hold, by which changed rows are found."""
+    return rows.withColumn(MARK, F.xxhash64(F.to_json(F.struct(*[c for c in rows.columns]))))
 
-def _write(assigned: DataFrame, path: str, mode: str) -> None:
-    """One folder per list. Rebalancing merges small lists and splits a hot one over tasks."""
+
+def _write(assigned: DataFrame, path: str, version: int) -> None:
+    """One folder per version and list. Rebalancing merges small lists and splits a hot one over
+    tasks. The largest distance of each list is stored beside it."""
     balanced = assigned.hint("rebalance", "list_id")
-    balanced.write.mode(mode).partitionBy("list_id").parquet(f"{path}/lists")
+    balanced.write.mode("overwrite").partitionBy("list_id").parquet(f"{path}/lists/version={version}")
+    written = assigned.sparkSession.read.parquet(f"{path}/lists/version={version}")
+    radii = written.groupBy("list_id").agg(F.max("away").alias("radius"))
+    radii.coalesce(1).write.mode("overwrite").parquet(f"{path}/radii/version={version}")
 
 
 def default_lists(rows: int) -> int:
     """The square root of the number of rows, the usual balance of lists and list length."""
-    return max(1, min(MAX_LISTS, math.isqrt(rows)))
+    return max(1, math.isqrt(rows))
 
 
 def build_index(
-    vectors: DataFrame, path: str, lists: int | None = None, seed: int = 42, iterations: int = 10
+    vectors: DataFrame, path: str, lists: int | None = None, seed: int = 42, iterations: int = 5
 ) -> None:
-    """Train ``lists`` centres on ``id, vector`` rows and write every row to its list."""
-    lists = lists or default_lists(vectors.count())
-    trained = KMeans(k=lists, seed=seed, maxIter=iterations).fit(_unit_features(vectors))
+    """Train ``lists`` centres and write every row to its list as version 0.
+
+    ``vectors`` has ``id, vector`` and columns to filter by. Centres are trained on about
+    ``TRAINING_ROWS_PER_LIST`` rows per list, by the hash of the id.
+    """
+    rows = vectors.count()
+    lists = lists or default_lists(rows)
+    share = min(1.0, lists * TRAINING_ROWS_PER_LIST / max(1, rows))
+    sample = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    features = checkpointed(_unit_features(sample))
+    trained = KMeans(k=lists, seed=seed, maxIter=iterations, initMode="random").fit(features)
     centres = np.array(trained.clusterCenters())
-    if centres.nbytes > BROADCAST_BYTES:
-        raise ValueError(f"{lists} centres of this length are too large to broadcast")
-    rows = [(i, [float(x) for x in centre]) for i, centre in enumerate(centres)]
-    saved = vectors.sparkSession.createDataFrame(rows, "list_id int, centre array<double>")
+    numbered = [(i, [float(x) for x in centre]) for i, centre in enumerate(centres)]
+    saved = vectors.sparkSession.createDataFrame(numbered, "list_id int, centre array<double>")
     saved.coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
-    _write(_assign(vectors, centres), path, "overwrite")
+    _write(_assign(marked(vectors), centres), path, 0)
 
 
 def read_centres(spark: SparkSession, path: str) -> np.ndarray:
@@ -107,22 +149,31 @@ def read_centres(spark: SparkSession, path: str) -> np.ndarray:
 
 
 def refresh_index(vectors: DataFrame, path: str) -> None:
-    """Add the ids that the index lacks; the lists themselves stay.
+    """Bring the index up to date with ``vectors``: new and changed rows are added as the next
+    version, the former rows of changed and removed ids are noted as gone. The centres stay.
 
-    Ids are compared first, so vectors already in the index are not shuffled.
+    Only ids and marks are compared, so vectors that are indexed already are not shuffled.
     """
     spark = vectors.sparkSession
-    indexed = read_index(spark, path).select("id")
-    new = checkpointed(vectors.select("id").join(indexed, "id", "left_anti"))
-    if new.isEmpty():
-        return
-    rows = vectors.join(new, "id", "left_semi")
-    _write(_assign(rows, read_centres(spark, path)), path, "append")
+    known, wanted = read_index(spark, path).select("id", MARK), marked(vectors)
+    new = checkpointed(wanted.select("id", MARK).join(known, ["id", MARK], "left_anti"))
+    gone = checkpointed(known.join(wanted.select("id", MARK), ["id", MARK], "left_anti").select("id").distinct())
+    version = 1 + spark.read.parquet(f"{path}/lists").agg(F.max("version")).first()[0]
+    if not gone.isEmpty():
+        gone.write.mode("overwrite").parquet(f"{path}/gone/before={version}")
+    if not new.isEmpty():
+        rows = wanted.join(new.select("id").distinct(), "id", "left_semi")
+        _write(_assign(rows, read_centres(spark, path)), path, version)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """``id, vector, away, list_id``; a filter on ``list_id`` prunes folders."""
-    return spark.read.parquet(f"{path}/lists")
+    """The current rows with ``away, list_id``; a filter on ``list_id`` prunes folders."""
+    rows, gone = spark.read.parquet(f"{path}/lists"), stored_table(spark, f"{path}/gone")
+    if gone is not None:
+        last = gone.groupBy("id").agg(F.max("before").alias("_before"))
+        rows = rows.join(last, "id", "left").filter(F.col("_before").isNull() | (F.col("version") >= F.col("_before")))
+        rows = rows.drop("_before")
+    return rows.drop("version")
 
 
 def search_index(
@@ -131,22 +182,36 @@ def search_index(
     questions: DataFrame,
     k: int = 5,
     nprobe: int | None = None,
+    filters: Mapping[str, Any] | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``question_id, id, score, rank``.
 
     With ``nprobe`` each question reads that many nearest lists (approximate). Without it the
     nearest list gives a first k-th score, then only lists whose bound reaches that score are
-    read (exact). Question sets beyond the broadcast limit use the full blocked search.
+    read (exact). Filters apply before scoring. Question sets beyond the broadcast limit are
+    searched block by block, each in the same way.
     """
     index, centres = read_index(spark, path), read_centres(spark, path)
+    if filters is not None:
+        index = index.filter(compile_filter(filters, index.schema))
     questions = questions.select("question_id", "vector")
-    if question_bytes(questions, 16 * len(centres)) > broadcast_bytes:
-        return search(index, questions, k, kind=DENSE, broadcast_bytes=broadcast_bytes)
-
+    blocks = max(1, math.ceil(question_bytes(questions, 16 * len(centres)) / broadcast_bytes))
+    if blocks > 1:
+        questions = checkpointed(questions)
+    found = []
+    for block in range(blocks):
+        chosen = questions if blocks == 1 else questions.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == block)
+        found.append(_search_block(spark, path, index, centres, chosen, k, nprobe))
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _search_block(
+    spark: SparkSession, path: str, index: DataFrame, centres: np.ndarray, questions: DataFrame, k: int, nprobe: int | None
+) -> DataFrame:
     table = usable(questions.toArrow(), "question_id")
     if not table.num_rows:
-        return search(index, questions, k, kind=DENSE)
+        return search(index.limit(0), questions, k, kind=DENSE)
     schema, arrow = hit_schema(questions.schema["question_id"].dataType, index.schema["id"].dataType)
     away = distances(centres, unit_rows(dense_matrix(table.column("vector"))))
 
@@ -165,7 +230,7 @@ def search_index(
     for row in first.filter(F.col("rank") == k).select("question_id", "score").collect():
         floor[position[row["question_id"]]] = row["score"]
     radius = np.zeros(len(centres))
-    for row in index.groupBy("list_id").agg(F.max("away").alias("radius")).collect():
+    for row in spark.read.parquet(f"{path}/radii").groupBy("list_id").agg(F.max("radius").alias("radius")).collect():
         radius[row["list_id"]] = row["radius"]
     gap = np.maximum(away - radius[:, None], 0.0)
     return probe(1.0 - gap * gap / 2.0 >= floor[None, :] - ROUNDING)

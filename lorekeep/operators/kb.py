@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -11,13 +13,14 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.scorers import PairScorer
 from lorekeep.functions.text import DEFAULT_DIM
+from lorekeep.operators import ivf
 from lorekeep.operators.embed import hash_bags
 from lorekeep.operators.limits import first_rows
 from lorekeep.operators.rerank import rerank
 from lorekeep.operators.search import BAG, VectorKind, fetch, search
-from lorekeep.session import checkpointed, new_dir, union_all
+from lorekeep.session import checkpointed, new_dir, stored_table, union_all
 
-RESERVED = ("id", "content", "vector", "batch_id", "ingest_ts")
+RESERVED = ("id", "content", "vector", "batch_id", "feed", "ingest_ts")
 
 
 @dataclass(frozen=True)
@@ -79,124 +82,244 @@ def one_row_per_id(rows: DataFrame) -> DataFrame:
 
     Only ids are grouped at first. Rows whose id does not repeat are then written from the scan
     without a shuffle. Among the others the rank filter works ahead of the shuffle, so a hot id
-    sends one row per task.
+    sends one row per task. The last row by content, then by the other columns, wins.
     """
     repeated = checkpointed(rows.groupBy("id").count().filter("count > 1").select("id"))
     if repeated.isEmpty():
         return rows
-    order = Window.partitionBy("id").orderBy(F.desc("content"))
+    others = [F.desc(F.to_json(F.struct(c))) for c in rows.columns if c not in ("id", "content")]
+    order = Window.partitionBy("id").orderBy(F.desc("content"), *others)
     picked = rows.join(repeated, "id", "left_semi").withColumn("_n", F.row_number().over(order))
     single = rows.join(repeated, "id", "left_anti")
     return union_all([single, picked.filter("_n = 1").drop("_n")])
 
 
-def latest_rows(rows: DataFrame) -> DataFrame:
-    """Latest batch wins per id.
+def latest_rows(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The latest row of every id; ``repeated`` names at least all ids that several batches hold.
 
-    Only ids and batch numbers are grouped. The repeated ids are written first, so Spark knows
-    their size: small sets are broadcast and the content is not shuffled at all.
+    Only these ids are looked up and only their small stored table meets the rows: Spark
+    broadcasts it where it is small, and no content is shuffled then.
     """
-    repeated = checkpointed(
-        rows.groupBy("id")
-        .agg(F.max("batch_id").alias("_keep"), F.count("*").alias("_n"))
-        .filter("_n > 1")
-        .select("id", "_keep")
-    )
-    return (
-        rows.join(repeated, "id", "left")
-        .filter(F.col("_keep").isNull() | (F.col("_keep") == F.col("batch_id")))
-        .drop("_keep")
-    )
+    batch = F.struct("batch_id", "feed")
+    keep = rows.select("id", batch.alias("batch")).join(repeated, "id", "left_semi")
+    keep = checkpointed(keep.groupBy("id").agg(F.max("batch").alias("_keep")))
+    joined = rows.join(keep, "id", "left")
+    return joined.filter(F.col("_keep").isNull() | (F.col("_keep") == batch)).drop("_keep")
 
 
 Embedder = Callable[[DataFrame, str], DataFrame]
 
 
-class KnowledgeBase:
-    """Rows under ``path``, one folder per batch, with the vectors stored beside the content.
+class Base:
+    """Rows to search with the way their vectors were made and are compared.
 
-    Writing a batch again replaces it, so a retried load changes nothing. ``embedder`` adds a
-    ``vector`` column for a text column (default: bags of hashed terms) and ``kind`` says how
-    such vectors are compared. A ``reranker`` (scorer of question and content columns) turns
-    on a second stage over ``overfetch`` times as many candidates.
+    ``embedder`` adds a ``vector`` column for a text column (default: bags of hashed terms of
+    ``dim`` buckets) and ``kind`` says how such vectors are compared. A ``reranker`` (scorer of
+    question and content columns) turns on a second stage over ``overfetch`` times as many
+    candidates. Everything that asks a base goes through it, so questions are always embedded
+    and compared as its rows were.
     """
 
     def __init__(
         self,
         spark: SparkSession,
-        path: str,
-        spec: KnowledgeBaseSpec,
+        dim: int = DEFAULT_DIM,
         embedder: Embedder | None = None,
         kind: VectorKind = BAG,
         reranker: PairScorer | None = None,
         overfetch: int = 4,
     ) -> None:
-        self.spark, self.path, self.spec = spark, path.rstrip("/"), spec
+        self.spark, self.dim = spark, dim
         self.embedder, self.kind = embedder, kind
         self.reranker, self.overfetch = reranker, overfetch
 
-    def append(self, source: DataFrame, batch_id: int, limit: int | None = None) -> None:
+    def rows(self) -> DataFrame:
+        """``id, content, vector`` and metadata."""
+        raise TypeError("a base needs rows")
+
+    def embed(self, texts: DataFrame, column: str = "question") -> DataFrame:
+        if self.embedder is not None:
+            return self.embedder(texts, column)
+        return hash_bags(texts, column, self.dim)
+
+    def score(
+        self,
+        questions: DataFrame,
+        k: int | None = 5,
+        filters: Mapping[str, Any] | None = None,
+        rows: DataFrame | None = None,
+    ) -> DataFrame:
+        """``question_id, id, score`` and, with a positive ``k``, ``rank``: one row per hit.
+
+        With a reranker the score column is that of the second stage.
+        """
+        rows = self.rows() if rows is None else rows
+        asked = self.embed(questions.select("question_id", "question")).select("question_id", "vector")
+        if self.reranker is None or not k or k < 1:
+            return search(rows, asked, k, filters, self.kind)
+        found = search(rows, asked, k * self.overfetch, filters, self.kind)
+        return rerank(found, questions, rows, k, self.reranker).withColumnRenamed("rerank_score", "score")
+
+    def search(
+        self,
+        questions: DataFrame,
+        k: int | None = 5,
+        filters: Mapping[str, Any] | None = None,
+        columns: Sequence[str] = ("content",),
+    ) -> DataFrame:
+        """``question_id, id, <columns>, score, rank`` for ``question_id, question`` rows.
+
+        With a reranker the score column is ``rerank_score``. Without a positive ``k`` every
+        match is returned and there is no ``rank``.
+        """
+        rows = self.rows()
+        hits = self.score(questions, k, filters, rows)
+        if self.reranker is not None and k and k > 0:
+            hits = hits.withColumnRenamed("score", "rerank_score")
+        return fetch(hits, rows, columns) if columns else hits
+
+    def query(
+        self,
+        text: str,
+        filters: Mapping[str, Any] | None = None,
+        limit: int | None = 5,
+        columns: Sequence[str] = ("content",),
+    ) -> DataFrame:
+        """One question: the batch form with a single row."""
+        question = self.spark.createDataFrame([(0, text)], "question_id bigint, question string")
+        return self.search(question, limit, filters, columns).drop("question_id")
+
+
+class FrameBase(Base):
+    """A base over a frame with ``id, content, vector`` and metadata columns.
+
+    The frame's vectors must have been made as the options say; hashed bags beyond ``dim`` buckets raise.
+    """
+
+    def __init__(self, frame: DataFrame, **options: Any) -> None:
+        super().__init__(frame.sparkSession, **options)
+        self.frame = frame
+        if self.embedder is None and not self.kind.dense:
+            beyond = F.max(F.array_max("vector")).alias("most")
+            self._most = lambda: frame.agg(beyond).first()["most"]
+
+    def check(self) -> None:
+        """Raise if a hashed bag has a bucket that questions of this base cannot have."""
+        if self.embedder is None and not self.kind.dense and (self._most() or 0) >= self.dim:
+            raise ValueError(f"the frame's vectors have more than {self.dim} buckets")
+
+    def rows(self) -> DataFrame:
+        return self.frame
+
+
+COMPACTED = "compacted"
+
+
+class KnowledgeBase(Base):
+    """A base stored under ``path``: one folder per batch of a feed, vectors beside the content.
+
+    A batch is known by its feed and number: writing it again replaces it, so a retried load
+    changes nothing, and feeds with numbers of their own do not meet. Of one id the row of the
+    highest batch number wins (ties: the feed's name that sorts last). Ids that occur in several batches are noted when
+    a batch is written, so reading costs one look-up of these, however many batches there are.
+    How vectors were made is stored with the first batch; opening the folder otherwise raises. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, spec: KnowledgeBaseSpec, **options: Any) -> None:
+        super().__init__(spark, spec.dim, **options)
+        self.path, self.spec, self.options = path.rstrip("/"), spec, options
+        self.data, self.repeats = f"{self.path}/rows", f"{self.path}/_repeats"
+
+    def _made(self) -> dict[str, Any]:
+        return {"dim": self.spec.dim if self.embedder is None else None, "dense": self.kind.dense, "embedder": self.embedder is not None}
+
+    def check(self) -> bool:
+        """Whether the base has been written; raises if its vectors were made in another way."""
+        stored = stored_table(self.spark, f"{self.path}/_made")
+        if stored is None:
+            return False
+        known = json.loads(stored.first()["made"])
+        if known != self._made():
+            raise ValueError(f"the base was made with {known}, not {self._made()}")
+        return True
+
+    def append(self, source: DataFrame, batch_id: int, limit: int | None = None, feed: str = "main") -> None:
+        """Project, embed and store a batch."""
+        if feed == COMPACTED or not re.fullmatch(r"\w+", feed):
+            raise ValueError("a feed is named by letters, digits and underscores, and not as compactions are")
         newest_rows = newest(source.select(*self.spec.source_columns()), limit, self.spec.id_column)
         rows = one_row_per_id(project_source(newest_rows, self.spec))
         rows = self.embed(rows, "content").withColumn("ingest_ts", F.current_timestamp())
-        self._write(rows, f"{self.path}/batch_id={batch_id}")
+        self._write(rows, self.data, feed, batch_id)
+        own = (F.col("feed") == feed) & (F.col("batch_id") == batch_id)
+        ids = self.all_rows().select("id", "feed", "batch_id")
+        again = ids.filter(own).select("id").join(ids.filter(~own).select("id"), "id", "left_semi")
+        again.distinct().write.mode("overwrite").parquet(f"{self.repeats}/feed={feed}/batch_id={batch_id}")
 
-    def _write(self, rows: DataFrame, path: str) -> None:
+    def _write(self, rows: DataFrame, data: str, feed: str, batch_id: int) -> None:
         """Bloom filters on the id let a lookup of few hits skip most row groups."""
+        if not self.check():
+            made = self.spark.createDataFrame([(json.dumps(self._made()),)], "made string")
+            made.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_made")
+        path = f"{data}/feed={feed}/batch_id={batch_id}"
         rows.write.mode("overwrite").option("parquet.bloom.filter.enabled#id", "true").parquet(path)
 
     def all_rows(self) -> DataFrame:
         """Every stored row of every batch."""
-        rows = self.spark.read.parquet(self.path)
-        return rows.withColumn("batch_id", F.col("batch_id").cast("bigint"))
+        self.check()
+        rows = self.spark.read.parquet(self.data)
+        return rows.withColumns({"batch_id": F.col("batch_id").cast("bigint"), "feed": F.col("feed").cast("string")})
 
     def rows(self) -> DataFrame:
         """The current row of every id."""
-        rows = self.all_rows()
-        batches = rows.select("batch_id").distinct().limit(2).count()
-        return rows if batches < 2 else latest_rows(rows)
+        rows, repeated = self.all_rows(), stored_table(self.spark, self.repeats)
+        if repeated is None or repeated.isEmpty():
+            return rows
+        return latest_rows(rows, repeated.select("id").distinct())
 
     def compact(self, path: str | None = None) -> KnowledgeBase:
-        """Write the current rows as a single batch of a new folder and return it."""
-        target = path or new_dir(self.spark, "kb")
-        rows = self.rows().drop("batch_id")
-        self._write(rows, f"{target}/batch_id=0")
-        return KnowledgeBase(
-            self.spark, target, self.spec, self.embedder, self.kind, self.reranker, self.overfetch
-        )
+        """Write the current rows to a new folder and return the base there.
+
+        They become a batch that no append replaces and that every other batch supersedes.
+        """
+        base = KnowledgeBase(self.spark, path or new_dir(self.spark, "kb"), self.spec, **self.options)
+        base._write(self.rows().drop("batch_id", "feed"), base.data, COMPACTED, -1)
+        return base
 
     def register(self, name: str) -> None:
         """Make the current rows readable by SQL as ``name``."""
         self.rows().createOrReplaceTempView(name)
 
-    def embed(self, texts: DataFrame, column: str = "question") -> DataFrame:
-        if self.embedder is not None:
-            return self.embedder(texts, column)
-        return hash_bags(texts, column, self.spec.dim)
-
-    def search(
+    def query(
         self,
-        questions: DataFrame,
-        k: int | None = 5,
+        text: str,
         filters: Mapping[str, Any] | None = None,
-        columns: Sequence[str] = ("content",),
+        limit: int | None = 5,
+        columns: Sequence[str] | None = None,
     ) -> DataFrame:
-        """``question_id, id, <columns>, score, rank`` for ``question_id, question`` rows.
-
-        With a reranker the score column is ``rerank_score``.
-        """
-        rows, asked = self.rows(), self.embed(questions)
-        if self.reranker is not None and k and k > 0:
-            found = search(rows, asked, k * self.overfetch, filters, self.kind)
-            hits = rerank(found, questions, rows, k, self.reranker)
+        """One question, by default with content and metadata of its hits."""
+        return super().query(text, filters, limit, ["content", *self.spec.metadata] if columns is None else columns)
+
+    def index_path(self) -> str:
+        return f"{self.path}/_ivf"
+
+    def index(self, lists: int | None = None) -> None:
+        """Build the inverted-file index of a base with dense vectors, or bring it up to date."""
+        if not self.kind.dense:
+            raise ValueError("the inverted file holds dense vectors; for bags use a postings table")
+        rows = self.rows().drop("content", "batch_id", "feed", "ingest_ts")
+        if stored_table(self.spark, f"{self.index_path()}/centres") is None:
+            ivf.build_index(rows, self.index_path(), lists)
         else:
-            hits = search(rows, asked, k, filters, self.kind)
-        return fetch(hits, rows, columns) if columns else hits
+            ivf.refresh_index(rows, self.index_path())
 
-    def query(
-        self, text: str, filters: Mapping[str, Any] | None = None, limit: int | None = 5
+    def search_indexed(
+        self,
+        questions: DataFrame,
+        k: int = 5,
+        filters: Mapping[str, Any] | None = None,
+        nprobe: int | None = None,
     ) -> DataFrame:
-        """One question: the batch form with a single row."""
-        question = self.spark.createDataFrame([(0, text)], "question_id bigint, question string")
-        columns = ["content", *self.spec.metadata]
-        return self.search(question, limit, filters, columns).drop("question_id")
+        """``question_id, id, score, rank`` from the index as it was last brought up to date."""
+        asked = self.embed(questions.select("question_id", "question")).select("question_id", "vector")
+        return ivf.search_index(self.spark, self.index_path(), asked, k, nprobe, filters)

@@ -1,32 +1,23 @@
-"""Ordered limits that do not gather a large result in one task."""
+"""Ordered limits with a total order."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lorekeep.session import checkpointed, union_all
 
-ROWS_IN_ONE_TASK = 100_000
+def tie_breakers(df: DataFrame) -> list[Column]:
+    """Columns in their order; maps and the like, which do not sort, by their JSON."""
+    plain = (T.AtomicType, T.ArrayType, T.StructType)
+    return [
+        F.col(f"`{f.name}`") if isinstance(f.dataType, plain) and "map<" not in f.dataType.simpleString()
+        else F.to_json(F.struct(F.col(f"`{f.name}`")))
+        for f in df.schema.fields
+    ]
 
 
-def first_rows(
-    df: DataFrame, order: list[Column], limit: int, rows_in_one_task: int = ROWS_IN_ONE_TASK
-) -> DataFrame:
-    """The first ``limit`` rows in ``order``.
-
-    Small limits are one top-n. Beyond, the rows are range partitioned once; whole leading
-    ranges are kept as they are and only the range where the limit falls is sorted again.
-    """
-    if limit <= rows_in_one_task:
-        return df.orderBy(*order).limit(limit)
-    ranged = df.repartitionByRange(*order, F.xxhash64(*df.columns))
-    ranged = checkpointed(ranged.withColumn("_range", F.spark_partition_id()))
-    kept, last = 0, -1
-    for row in ranged.groupBy("_range").count().orderBy("_range").collect():  # one per range
-        last = row["_range"]
-        if kept + row["count"] >= limit:
-            break
-        kept += row["count"]
-    rest = ranged.filter(F.col("_range") == last).orderBy(*order).limit(limit - kept)
-    return union_all([ranged.filter(F.col("_range") < last), rest]).drop("_range")
+def first_rows(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first ``limit`` rows in ``order``; ties are broken by all columns, so the rows do not
+    depend on partitions or runs. Spark plans a top-n, beyond its own bound a distributed sort."""
+    return df.orderBy(*order, *tie_breakers(df)).limit(limit)

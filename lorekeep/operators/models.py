@@ -1,7 +1,7 @@
 """Models fitted from a query and applied to tables.
 
-A fitted naive Bayes model is a bounded table (classes x hash buckets) of whole numbers. It is
-applied as one column expression: prediction needs no join and no shuffle, filters still reach
+A fitted naive Bayes model is a table (classes x hash buckets) of whole numbers. It is applied in
+an Arrow pass per block of classes: prediction needs no join and no shuffle, filters still reach
 the scan, and sums of whole numbers do not depend on the order of rows or partitions.
 """
 
@@ -10,23 +10,27 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, IndexToString, RegexTokenizer, StringIndexer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lorekeep.functions.prompt import render
 from lorekeep.functions.text import DEFAULT_DIM, TOKEN_BREAK, bucket, each, term_buckets, tokens
+from lorekeep.operators.kernels import flat_values
+from lorekeep.session import checkpointed, stored_table
 
 LOG_SCALE = 1_000_000
-MAX_MODEL_NUMBERS = 4_000_000
-MAX_CLASSES = 1_000
+BLOCK_NUMBERS = 4_000_000
 
 
 def number_array(values: Sequence[int]) -> Column:
@@ -53,35 +57,74 @@ def token_counts(labelled: DataFrame, text: str, target: str, dim: int = DEFAULT
 
 @dataclass(frozen=True)
 class NaiveBayes:
-    """Multinomial naive Bayes with add-one smoothing over hash buckets."""
+    """Multinomial naive Bayes with add-one smoothing over hash buckets.
+
+    Classes, priors and totals are small; the counts stay a stored table (class number, bucket,
+    n) and are met in blocks of classes of at most ``BLOCK_NUMBERS`` numbers.
+    """
 
     classes: tuple[Any, ...]
     priors: tuple[int, ...]
-    log_probs: tuple[tuple[int, ...], ...]
+    totals: tuple[int, ...]
+    counts: DataFrame = field(compare=False, repr=False)
+    kind: T.DataType
     dim: int
 
-    def predict(self, text: Column) -> Column:
-        """The most likely class; texts without tokens get the most frequent one.
-
-        Ties go to the class that sorts first.
-        """
-        bag = term_buckets(F.coalesce(text, F.lit("")), self.dim)
-        start = F.array(*[F.lit(p).cast("bigint") for p in self.priors])
-        tables = F.array(*[number_array(row) for row in self.log_probs])
-        totals = F.aggregate(
-            bag,
-            start,
-            lambda sums, b: F.zip_with(sums, tables, lambda s, table: s + F.get(table, b)),
-        )
-        labels = F.array(*[F.lit(c) for c in self.classes])
-        best = F.array_min(
-            F.zip_with(totals, labels, lambda s, c: F.struct((-s).alias("cost"), c.alias("label")))
-        )
-        return best["label"]
-
-    def transform(self, df: DataFrame, text: str, out: str = "prediction") -> DataFrame:
-        """One row out for every row in."""
-        return df.withColumn(out, self.predict(F.col(text)))
+    def log_probs(self, first: int, last: int) -> np.ndarray:
+        """Scaled logarithms of the bucket probabilities, buckets x classes ``first`` to ``last``."""
+        rows = self.counts.filter(F.col("class").between(first, last - 1)).toArrow()
+        table = np.zeros((self.dim, last - first))
+        at = [rows.column(c).to_numpy() for c in ("bucket", "class", "n")]
+        table[at[0], at[1] - first] = at[2]
+        smoothed = (table + 1) / (np.array(self.totals[first:last]) + self.dim)
+        return np.floor(np.log(smoothed) * LOG_SCALE + 0.5).astype(np.int64)
+
+    def transform(self, df: DataFrame, text: str, out: str = "prediction", block_numbers: int = BLOCK_NUMBERS) -> DataFrame:
+        """One row out for every row in, with the most likely class; texts without tokens get the
+        most frequent one, ties go to the class that sorts first. No shuffle, filters still reach the
+        scan; each block of classes is one more Arrow pass that keeps the better class."""
+        spark = df.sparkSession
+        step = max(1, block_numbers // self.dim)
+        bag = term_buckets(F.coalesce(F.col(text), F.lit("")), self.dim)
+        rows = df.withColumns({"_bag": bag, "_best": F.lit(None).cast("bigint"), "_class": F.lit(None).cast("int")})
+        for first in range(0, len(self.classes), step):
+            last = min(first + step, len(self.classes))
+            block = first, np.array(self.priors[first:last]), self.log_probs(first, last)
+            rows = rows.mapInArrow(_better_class(spark.sparkContext.broadcast(block)), rows.schema)
+        schema = T.StructType([*df.drop(out).schema.fields, T.StructField(out, self.kind)])
+        arrow, classes, kept = to_arrow_schema(schema), spark.sparkContext.broadcast(self.classes), df.drop(out).columns
+
+        def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            labels = pa.array(classes.value, arrow.field(len(kept)).type)
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), labels.take(batch.column("_class"))], schema=arrow)
+
+        return rows.drop("_bag", "_best").mapInArrow(name, schema)
+
+
+def _better_class(shared):
+    """Keep each row's class or take a better one of the block; blocks come in the classes' order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, priors, logs = shared.value
+        for batch in batches:
+            values, owner = flat_values(pa.chunked_array([batch.column("_bag")]))
+            ends = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            scores = np.tile(priors, (batch.num_rows, 1))
+            for row in np.flatnonzero(np.diff(ends)):
+                bag, n = np.unique(values[ends[row] : ends[row + 1]], return_counts=True)
+                scores[row] += n @ logs[bag]
+            best, which = scores.max(axis=1, initial=np.iinfo(np.int64).min), scores.argmax(axis=1)
+            before = batch.column("_best")
+            known = before.is_valid().to_numpy(zero_copy_only=False)
+            old = before.fill_null(0).to_numpy(zero_copy_only=False)
+            better = ~known | (best > old)
+            label = np.where(better, which + first, batch.column("_class").fill_null(0).to_numpy(zero_copy_only=False))
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            columns |= {"_best": pa.array(np.where(better, best, old)), "_class": pa.array(label.astype(np.int32))}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
+
+    return run
 
 
 def _scaled_log(x: float) -> int:
@@ -89,34 +132,30 @@ def _scaled_log(x: float) -> int:
 
 
 def naive_bayes_from_counts(classes: DataFrame, counts: DataFrame, target: str, dim: int) -> NaiveBayes:
-    """A model from ``target, n_docs`` and ``target, bucket, n`` rows.
-
-    The number of classes is checked first, so at most ``MAX_MODEL_NUMBERS`` counts reach the
-    driver, however many rows were counted.
-    """
+    """A model from ``target, n_docs`` and stored ``target, bucket, n`` rows. One row per class reaches
+    the driver; the counts do so in blocks, when the model is applied."""
     known = F.col(target).isNotNull()
-    found = classes.filter(known).select(target, "n_docs").limit(MAX_CLASSES + 1).collect()
-    if len(found) > MAX_CLASSES or len(found) * dim > MAX_MODEL_NUMBERS:
-        raise ValueError(f"column {target!r} has too many classes for a class model")
+    sums = counts.filter(known).groupBy(target).agg(F.sum("n").alias("total"))
+    found = classes.filter(known).select(target, "n_docs").join(sums, target, "left").collect()
     if not found:
         raise ValueError(f"no labelled rows in column {target!r}")
-    docs = {r[target]: r["n_docs"] for r in sorted(found, key=lambda r: r[target])}
-    table = {c: [0] * dim for c in docs}
-    for row in counts.filter(known).select(target, "bucket", "n").collect():
-        table[row[target]][row["bucket"]] = row["n"]
-    total = sum(docs.values())
-    logs = {c: [_scaled_log((n + 1) / (sum(row) + dim)) for n in row] for c, row in table.items()}
+    found = sorted(found, key=lambda r: r[target])
+    kind = classes.schema[target].dataType
+    numbers = classes.sparkSession.createDataFrame([(r[target], i) for i, r in enumerate(found)], T.StructType([T.StructField(target, kind), T.StructField("class", T.IntegerType())]))
+    total = sum(r["n_docs"] for r in found)
     return NaiveBayes(
-        classes=tuple(docs),
-        priors=tuple(_scaled_log(n / total) for n in docs.values()),
-        log_probs=tuple(tuple(row) for row in logs.values()),
+        classes=tuple(r[target] for r in found),
+        priors=tuple(_scaled_log(r["n_docs"] / total) for r in found),
+        totals=tuple(r["total"] or 0 for r in found),
+        counts=checkpointed(counts.join(numbers, target).select("class", "bucket", "n")),
+        kind=kind,
         dim=dim,
     )
 
 
 def fit_naive_bayes(labelled: DataFrame, text: str, target: str, dim: int = DEFAULT_DIM) -> NaiveBayes:
-    classes = labelled.groupBy(target).agg(F.count("*").alias("n_docs"))
-    return naive_bayes_from_counts(classes, token_counts(labelled, text, target, dim), target, dim)
+    classes = checkpointed(labelled.groupBy(target).agg(F.count("*").alias("n_docs")))
+    return naive_bayes_from_counts(classes, checkpointed(token_counts(labelled, text, target, dim)), target, dim)
 
 
 def fit_version(labelled: DataFrame, text: str, target: str, path: str, version: int,
@@ -148,16 +187,51 @@ def load_version(spark: SparkSession, target: str, path: str, version: int | Non
     return naive_bayes_from_counts(classes.filter(at), counts.filter(at), target, dim)
 
 
+def create_model(spark: SparkSession, path: str, query: str, text: str, target: str,
+                 dim: int = DEFAULT_DIM) -> None:
+    """Store a model's training query and parameters below ``path`` and fit version 1."""
+    if stored_table(spark, f"{path}/definition") is not None:
+        raise ValueError(f"there is a model at {path}")
+    definition = [(query, text, target, dim)]
+    schema = "query string, text string, target string, dim int"
+    spark.createDataFrame(definition, schema).coalesce(1).write.parquet(f"{path}/definition")
+    refit_model(spark, path)
+
+
+def refit_model(spark: SparkSession, path: str) -> int:
+    """Run the stored training query again and write the next version; returns its number."""
+    made = spark.read.parquet(f"{path}/definition").first()
+    known = stored_table(spark, f"{path}/classes")
+    version = 1 if known is None else known.agg(F.max("version")).first()[0] + 1
+    fit_version(spark.sql(made["query"]), made["text"], made["target"], path, version, made["dim"])
+    return version
+
+
+def predict_model(spark: SparkSession, path: str, df: DataFrame, text: str, out: str = "prediction",
+                  version: int | None = None) -> DataFrame:
+    """Apply a stored model, by default its latest version."""
+    made = spark.read.parquet(f"{path}/definition").first()
+    return load_version(spark, made["target"], path, version, made["dim"]).transform(df, text, out)
+
+
 def fit_classifier(labelled: DataFrame, text: str, target: str, dim: int = DEFAULT_DIM,
                    iterations: int = 10) -> PipelineModel:
-    """Hashed TF-IDF and logistic regression from MLlib."""
+    """Hashed TF-IDF and logistic regression from MLlib.
+
+    Text targets are numbered in their order; the fitted model then adds ``predicted``, the text,
+    beside ``prediction``. Rows without a target are left out. ``fitted.write().save(path)`` stores it.
+    """
+    rows = labelled.select(text, target).filter(F.col(target).isNotNull())
     stages = [
         RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=TOKEN_BREAK),
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dim),
         IDF(inputCol="_tf", outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol=target, maxIter=iterations),
     ]
-    return Pipeline(stages=stages).fit(labelled.select(text, target))
+    if not isinstance(rows.schema[target].dataType, T.StringType):
+        return Pipeline(stages=[*stages, LogisticRegression(featuresCol="_features", labelCol=target, maxIter=iterations)]).fit(rows)
+    index = StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc").fit(rows)
+    trained = Pipeline(stages=[*stages, LogisticRegression(featuresCol="_features", labelCol="_label", maxIter=iterations)]).fit(index.transform(rows))
+    return PipelineModel([*trained.stages, IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels)])
 
 
 def render_prompts(df: DataFrame, template: str, out: str = "prompt") -> DataFrame:

@@ -7,71 +7,118 @@ skips the pages of all other terms.
 
 from __future__ import annotations
 
+import functools
+import math
+from collections.abc import Mapping
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.functions.filters import compile_filter
 from lorekeep.operators.embed import postings
 from lorekeep.operators.search import BROADCAST_BYTES, question_bytes, rank_hits
-from lorekeep.session import checkpointed
+from lorekeep.session import checkpointed, stored_table
+
+
+ROWS_PER_PART = 200_000
+
+
+def default_parts(rows: int) -> int:
+    """Buckets grow with the data, so a bucket stays one task's work."""
+    return max(1, math.ceil(rows / ROWS_PER_PART))
+
 
+def _marked(bags: DataFrame) -> DataFrame:
+    return bags.select("id", "vector", F.xxhash64("vector").alias("mark"))
 
-def _save(rows: DataFrame, table: str, path: str, parts: int, mode: str) -> None:
+
+def _save(bags: DataFrame, table: str, path: str, parts: int, version: int, mode: str) -> None:
+    rows = postings(bags).withColumn("version", F.lit(version))
     (
         rows.repartition(parts, "id")
         .write.mode(mode)
         .bucketBy(parts, "id")
         .sortBy("bucket")
-        .option("path", path)
+        .option("path", f"{path}/postings")
         .saveAsTable(table)
     )
+    known = _marked(bags).drop("vector").withColumn("parts", F.lit(parts))
+    known.write.mode("overwrite").parquet(f"{path}/known/version={version}")
 
 
 def build_postings(bags: DataFrame, table: str, path: str, parts: int | None = None) -> None:
     """Write the postings of ``id, vector`` rows as bucketed table ``table`` below ``path``.
 
-    ``parts`` should grow with the data; by default it is the session's shuffle partitions.
+    ``parts`` buckets, by default as many as the number of rows asks for.
     """
-    spark = bags.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    _save(postings(bags.select("id", "vector")), table, path, parts, "overwrite")
+    _save(bags.select("id", "vector"), table, path, parts or default_parts(bags.count()), 0, "overwrite")
+
 
+def _current(spark: SparkSession, path: str) -> DataFrame:
+    """``id, mark, version`` of the rows that count."""
+    known, gone = spark.read.parquet(f"{path}/known"), stored_table(spark, f"{path}/gone")
+    if gone is not None:
+        last = gone.groupBy("id").agg(F.max("before").alias("before"))
+        known = known.join(last, "id", "left").filter("before IS NULL OR version >= before").drop("before")
+    return known
 
-def refresh_postings(bags: DataFrame, table: str, path: str, parts: int | None = None) -> None:
-    """Add the ids that the index lacks. ``parts`` must be that of the build."""
+
+def refresh_postings(bags: DataFrame, table: str, path: str) -> None:
+    """Bring the index up to date: new and changed rows are added as the next version, the former
+    postings of changed and removed ids are noted as gone."""
     spark = bags.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    indexed = spark.table(table).select("id").distinct()
-    new = checkpointed(bags.select("id").join(indexed, "id", "left_anti"))
+    stored = spark.read.parquet(f"{path}/known")
+    last = stored.agg(F.max("version").alias("v"), F.max("parts").alias("p")).first()
+    known, wanted = _current(spark, path).select("id", "mark"), _marked(bags)
+    new = checkpointed(wanted.select("id", "mark").join(known, ["id", "mark"], "left_anti").select("id").distinct())
+    gone = checkpointed(known.join(wanted.select("id", "mark"), ["id", "mark"], "left_anti").select("id").distinct())
+    if not gone.isEmpty():
+        gone.write.mode("overwrite").parquet(f"{path}/gone/before={last['v'] + 1}")
     if not new.isEmpty():
         rows = bags.select("id", "vector").join(new, "id", "left_semi")
-        _save(postings(rows), table, path, parts, "append")
+        _save(rows, table, path, last["p"], last["v"] + 1, "append")
 
 
 def search_postings(
     spark: SparkSession,
     table: str,
+    path: str,
     questions: DataFrame,
     k: int = 5,
+    filters: Mapping[str, Any] | None = None,
+    rows: DataFrame | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``question_id, id, score, rank``, equal to ``search`` over the indexed rows.
 
-    Question terms within the broadcast limit become the scan's filter. Larger sets are joined
-    by shuffle, where adaptive execution splits hot terms; for those ``search`` is faster.
+    Question terms are broadcast, those of larger sets in blocks of the limit; the terms are
+    the scan's filter. Scores are summed and cut to the best k within each bucket, before
+    anything is shuffled. ``filters`` apply to ``rows``, which has their columns by id.
     """
     bags = questions.select(F.col("question_id").alias("id"), "vector")
     terms = checkpointed(postings(bags)).select(
         F.col("id").alias("question_id"), "bucket", F.col("w").alias("q"), F.col("norm").alias("q_norm")
     )
-    rows = spark.table(table)
-    if question_bytes(questions) <= broadcast_bytes:
-        wanted = [str(r["bucket"]) for r in terms.select("bucket").distinct().collect()]
-        rows = rows.filter(f"bucket IN ({', '.join(wanted) or 'NULL'})")
-        terms = F.broadcast(terms)
-    dots = (
-        rows.join(terms, "bucket")
-        .groupBy("question_id", "id", "norm", "q_norm")
-        .agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
-    )
-    score = F.round(F.col("dot") / (F.col("norm") * F.col("q_norm")), 6)
-    return rank_hits(dots.select("question_id", "id", score.alias("score")), k)
+    stored, gone = spark.table(table), stored_table(spark, f"{path}/gone")
+    blocks = max(1, math.ceil(question_bytes(questions) / broadcast_bytes))
+    found = []
+    for block in range(blocks):
+        asked = terms if blocks == 1 else terms.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == block)
+        wanted = [str(r["bucket"]) for r in asked.select("bucket").distinct().collect()]
+        dots = (
+            stored.filter(f"bucket IN ({', '.join(wanted) or 'NULL'})")
+            .join(F.broadcast(asked), "bucket")
+            .groupBy("id", "version", "question_id", "norm", "q_norm")
+            .agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
+        )
+        if gone is not None:
+            last = gone.groupBy("id").agg(F.max("before").alias("before"))
+            dots = dots.join(last, "id", "left").filter("before IS NULL OR version >= before")
+        if filters is not None:
+            if rows is None:
+                raise ValueError("filters need the rows that have their columns")
+            dots = dots.join(rows.filter(compile_filter(filters, rows.schema)).select("id"), "id", "left_semi")
+        score = F.round(F.col("dot") / (F.col("norm") * F.col("q_norm")), 6)
+        found.append(rank_hits(dots.select("question_id", "id", score.alias("score")), k))
+    return functools.reduce(DataFrame.unionByName, found)

@@ -2,14 +2,16 @@
 
 One pass over the knowledge base scores every block of rows against all questions with
 numpy and keeps k rows per question, so only ``questions x k`` rows per task are shuffled.
-Question vectors are broadcast when their measured size is below a limit; larger question
-sets are cut into blocks and cogrouped with hashed knowledge-base blocks. Both ways are exact.
+Question vectors are measured before they are broadcast; larger question sets are cut into blocks
+of broadcast size, and each block is one more pass over the knowledge base. Nothing of the base is
+replicated or shuffled.
 
 Scores are rounded to six decimals and ties are broken by id.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
@@ -27,9 +29,8 @@ from lorekeep.operators.kernels import BagKernel, DenseKernel, score_tables, usa
 from lorekeep.session import checkpointed
 
 BROADCAST_BYTES = 64 << 20
-KB_ROWS_PER_BLOCK = 100_000
+LOOKUP_BYTES = 32 << 20
 LOOKUP_IDS = 1_000
-FEW_QUESTIONS = 1_000
 
 
 @dataclass(frozen=True)
@@ -103,7 +104,6 @@ def score_vectors(
     k: int | None,
     kind: VectorKind = BAG,
     broadcast_bytes: int = BROADCAST_BYTES,
-    kb_rows_per_block: int = KB_ROWS_PER_BLOCK,
 ) -> DataFrame:
     """``question_id, id, score`` of at most k rows per question and task.
 
@@ -114,38 +114,13 @@ def score_vectors(
     schema, arrow = hit_schema(
         questions.schema["question_id"].dataType, kb.schema["id"].dataType
     )
-    kb = kb.select("id", "vector")
-    questions = questions.select("question_id", "vector")
-    few = questions.limit(FEW_QUESTIONS + 1).toArrow()
-    if few.num_rows <= FEW_QUESTIONS and few.nbytes <= broadcast_bytes:
-        return scan_scores(kb, few, k, kind, schema, arrow)
-    measured = question_bytes(questions)
-    if measured <= broadcast_bytes:
-        return scan_scores(kb, questions.toArrow(), k, kind, schema, arrow)
-
-    question_blocks = math.ceil(measured / broadcast_bytes)
-    kb_blocks = max(1, math.ceil(kb.count() / kb_rows_per_block))
-    kb_side = kb.withColumn("kb_block", F.pmod(F.xxhash64("id"), F.lit(kb_blocks))).withColumn(
-        "q_block", F.explode(F.sequence(F.lit(0), F.lit(question_blocks - 1)).cast("array<bigint>"))
-    )
-    question_side = questions.withColumn(
-        "q_block", F.pmod(F.xxhash64("question_id"), F.lit(question_blocks))
-    ).withColumn(
-        "kb_block", F.explode(F.sequence(F.lit(0), F.lit(kb_blocks - 1)).cast("array<bigint>"))
-    )
-
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = usable(right, "question_id")
-        if not left.num_rows or not right.num_rows:
-            return arrow.empty_table()
-        kernel = kind.kernel(right.column("vector"))
-        ids = right.column("question_id").combine_chunks()
-        return pa.Table.from_batches(list(score_tables(iter([left]), kernel, ids, k, arrow)), arrow)
-
-    keys = ["kb_block", "q_block"]
-    return (
-        kb_side.groupBy(*keys).cogroup(question_side.groupBy(*keys)).applyInArrow(pair, schema)
-    )
+    kb, questions = kb.select("id", "vector"), checkpointed(questions.select("question_id", "vector"))
+    blocks = max(1, math.ceil(question_bytes(questions) / broadcast_bytes))
+    found = []
+    for block in range(blocks):
+        chosen = questions if blocks == 1 else questions.filter(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == block)
+        found.append(scan_scores(kb, chosen.toArrow(), k, kind, schema, arrow))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def rank_hits(hits: DataFrame, k: int, by: str = "score", keys: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -168,7 +143,7 @@ def search(
     """``question_id, id, score, rank``: the k most similar rows for every question.
 
     Filters apply before scoring, so the result is the exact top k of the qualifying rows.
-    Without a positive ``k`` every match is returned and ``rank`` is left out: ranking all
+    Without a positive ``k`` the result is ``question_id, id, score`` of every match: ranking all
     rows of a question would put them in one task.
     """
     if filters is not None:
@@ -181,23 +156,53 @@ def search(
 def lookup(hits: DataFrame, kb: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Join columns of ``kb`` to hits that are stored, not computed again.
 
-    The ids of few hits become a filter, so the scan can skip row groups by their statistics
-    or Bloom filters instead of reading all content.
+    Only winners move. Few ids become a filter, so the scan can skip row groups by their
+    statistics or Bloom filters. More are counted; up to ``LOOKUP_BYTES`` they are broadcast, so no content is
+    shuffled. Beyond, each id sets one bit of a filter of at most that size; what gets through is
+    little more than the hits' own rows, and only that is joined by a shuffle.
     """
-    wanted = [row["id"] for row in hits.select("id").distinct().limit(LOOKUP_IDS + 1).collect()]
+    ids = hits.select("id").distinct()
+    rows = kb.select("id", *columns)
+    wanted = [row["id"] for row in ids.limit(LOOKUP_IDS + 1).collect()]
     if len(wanted) <= LOOKUP_IDS:
-        if wanted and all(isinstance(i, int) for i in wanted):
-            few = F.expr(f"id IN ({', '.join(map(str, wanted))})")  # one call, not one per id
-        else:
-            few = F.col("id").isin(wanted)
-        kb = kb.filter(few)
-    return hits.join(kb.select("id", *columns), "id")
+        whole = wanted and all(isinstance(i, int) for i in wanted)
+        few = F.expr(f"id IN ({', '.join(map(str, wanted))})") if whole else F.col("id").isin(wanted)
+        found = rows.filter(few)
+    elif ids.count() * 64 <= LOOKUP_BYTES:
+        found = rows.join(F.broadcast(ids), "id", "left_semi")
+    else:
+        found = _maybe_wanted(rows, ids)
+    return hits.join(found, "id")
+
+
+def _maybe_wanted(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id shares its bit with one of ``ids``; the bits have at most ``LOOKUP_BYTES``."""
+    n_bits = LOOKUP_BYTES * 8
+    slot = F.pmod(F.xxhash64("id"), F.lit(n_bits))
+    buckets = (
+        ids.select((slot + 1).alias("s"))
+        .groupBy(F.bitmap_bucket_number("s").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("bits"))
+        .collect()
+    )
+    flags = np.zeros(n_bits // 8, np.uint8)
+    for row in buckets:
+        start = (row["bucket"] - 1) * 4096
+        flags[start : start + 4096] = np.frombuffer(row["bits"], np.uint8)
+    told = rows.sparkSession.sparkContext.broadcast(flags)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("_slot").to_numpy()
+            good = (told.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            yield batch.drop_columns(["_slot"]).filter(pa.array(good))
+
+    return rows.withColumn("_slot", slot).mapInArrow(keep, rows.schema)
 
 
 def fetch(hits: DataFrame, kb: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Join content and metadata of ``kb`` to hits.
 
-    The hits are written first: they are scored once however often they are used, and their
-    size on disk tells Spark whether they may be broadcast, which spares ``kb`` a shuffle.
+    The hits are written first: they are scored once however often they are used.
     """
     return lookup(checkpointed(hits), kb, columns)

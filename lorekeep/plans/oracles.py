@@ -153,6 +153,19 @@ s AS (
   FROM embeddings e CROSS JOIN q)
 SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id)::BIGINT AS rank
 FROM s QUALIFY rank <= 5"""
+VECTOR_OF_SMALL_LABELS = VECTOR.replace("CROSS JOIN q)", "CROSS JOIN q WHERE e.label < 5)")
+
+
+def context(docs: str, talks: str, dim: int = 4096, where: str = "") -> str:
+    """CTE ``ctx``: the best five rows of documents and conversations per benchmark question."""
+    return f"""WITH {bags('kb', docs + where, dim)}, {bags('qd', ASKED, dim)}, {bags('talk', talks)}, {bags('qs', ASKED)},
+{hits('dhit', 'kb', 'qd', 5)}, {hits('thit', 'talk', 'qs', 5)},
+both_kb AS (
+  SELECT 'documents' AS kb, question_id, id::VARCHAR AS id, score FROM dhit
+  UNION ALL SELECT 'conversations', question_id, id::VARCHAR, score FROM thit)"""
+
+
+ONE_TALK = """SELECT conv_id::VARCHAR AS id, max(role || ' ' || text) AS text FROM conversations GROUP BY conv_id"""
 
 SEARCH_COLUMNS = "question_id, id, score, rank::BIGINT AS rank"
 STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
@@ -162,8 +175,9 @@ ORACLES: dict[str, str] = {
         f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}"
         for t in ("conversations", "documents", "events", "orders", "pages")
     ),
-    "source_refresh": """SELECT o_orderstatus, count(*) AS n_orders FROM orders
-        WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY o_orderstatus""",
+    "source_refresh": """SELECT o_orderstatus, count(*) AS n_orders, 1::INT AS version FROM orders
+        WHERE o_orderstatus <> 'O' GROUP BY o_orderstatus UNION ALL
+        SELECT o_orderstatus, count(*), 2 FROM orders GROUP BY o_orderstatus""",
     "sql_passthrough": """SELECT d.doc_id AS id, d.source AS author, d.n_chars, l.quality
         FROM documents d JOIN labels l ON d.doc_id = l.doc_id
         WHERE d.lang = 'en' AND d.n_chars > 500""",
@@ -274,14 +288,47 @@ ORACLES: dict[str, str] = {
     "kb_incremental": """SELECT count(*) AS n_rows, count(DISTINCT event_id) AS n_ids,
         max(event_id) AS max_id, 3::BIGINT AS n_batches FROM events""",
     "kb_feed": """SELECT conv_id * 1000 + turn AS id, conv_id * 1000 + turn AS comment_id,
-        role AS author, md5(text) AS content_md5,
-        CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END::BIGINT AS batch_id
-        FROM conversations""",
+        role AS author, md5(text) AS content_md5 FROM conversations""",
     "job_gated": """SELECT 'gate_true' AS name, 'done' AS status, count(*) AS n_rows FROM orders
         WHERE o_orderpriority = '1-URGENT'
         UNION ALL SELECT 'gate_false', 'skipped', 0""",
     "job_staged": """SELECT CASE WHEN date_trunc('month', o_orderdate) = DATE '1996-03-01'
           THEN 'main' ELSE 'staging' END AS place, count(*) AS n_rows FROM orders GROUP BY 1""",
+    "kb_search_ivf_nprobe": VECTOR,
+    "kb_search_ivf_filtered": VECTOR_OF_SMALL_LABELS,
+    "kb_index_refresh": VECTOR,
+    "kb_postings_refresh": f"""{text_search(5, DOCS + " WHERE lang <> 'fr' AND n_chars > 500")}
+        SELECT {SEARCH_COLUMNS} FROM hit""",
+    "kb_compact": """SELECT doc_id AS id, CASE WHEN lang IN ('de', 'fr') THEN 'main' ELSE 'compacted' END AS feed,
+        md5(CASE WHEN lang IN ('de', 'fr') THEN 'new: ' || text ELSE text END) AS content_md5 FROM documents""",
+    "eval_doc_id_custom": f"""WITH {bags('kb', DOCS, 256)}, {bags('qs', ASKED, 256)}, {hits('hit', 'kb', 'qs', 5)},
+        tests AS (SELECT b.item_id, d.doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))
+        SELECT count(*) AS questions, count(rank) AS found, round(count(rank) / count(*), 6) AS accuracy,
+          round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr
+        FROM tests t LEFT JOIN hit h ON h.question_id = t.item_id AND h.id = t.doc_id""",
+    "rag_context_custom": f"""{context(DOCS, TALKS, 256, " WHERE lang = 'en'")}
+        SELECT question_id, kb, id::BIGINT AS id, score,
+          row_number() OVER (PARTITION BY question_id ORDER BY score DESC, kb, id::BIGINT) AS rank
+        FROM both_kb QUALIFY rank <= 5""",
+    "rag_with_tables": f"""{context(DOCS.replace("doc_id AS", "doc_id::VARCHAR AS"), ONE_TALK)},
+        ctx AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, kb, id) AS rank
+          FROM both_kb QUALIFY rank <= 5)
+        SELECT question_id, kb, ctx.id, rank, md5(CASE WHEN kb = 'conversations' THEN t.text
+            WHEN l.doc_id IS NULL THEN d.text
+            ELSE d.text || chr(10) || 'labels: {{"quality":' || quality || ',"toxic":' || toxic || '}}' END) AS content_md5
+        FROM ctx LEFT JOIN ({ONE_TALK}) t ON kb = 'conversations' AND t.id = ctx.id
+        LEFT JOIN documents d ON kb = 'documents' AND d.doc_id::VARCHAR = ctx.id
+        LEFT JOIN labels l ON kb = 'documents' AND l.doc_id::VARCHAR = ctx.id""",
+    "model_predict_text_label": bayes_predict(DOCS, "doc_id").replace(
+        LABELLED, "SELECT doc_id AS id, text, lang AS quality FROM documents").replace(
+        "% 4096", "% 256").replace("+ 4096)", "+ 256)").replace("range(4096)", "range(256)").replace(
+        "predicted_quality", "predicted_lang"),
+    "model_refit_by_name": bayes_predict(DOCS, "doc_id"),
+    "job_staged_late": """WITH o AS (SELECT *, date_trunc('month', o_orderdate) = DATE '1996-03-01' AS due FROM orders)
+        SELECT CASE WHEN due AND o_orderstatus <> 'P' THEN 'first' WHEN due THEN 'second' ELSE 'staging' END AS run_id,
+          count(*) AS n_rows, count(DISTINCT o_orderkey) AS n_keys FROM o GROUP BY 1""",
+    "run_errors": """SELECT 'broken' AS name, 'failed' AS status, true AS has_message
+        UNION ALL SELECT 'gated', 'skipped', false""",
     "run_history": f"""SELECT user_id::VARCHAR AS name, {STAMP.format('ts')} AS end_ts,
         CASE WHEN value < 1 THEN 'failed' ELSE 'done' END AS status
         FROM events WHERE event_type = 'error'""",

@@ -15,6 +15,8 @@ from lorekeep.operators import ivf, models, summarize
 from lorekeep.operators import postings as posting_index
 from lorekeep.operators.embed import hash_bags, idf_kind, postings
 from lorekeep.operators.kb import (
+    Base,
+    FrameBase,
     KnowledgeBase,
     KnowledgeBaseSpec,
     newest,
@@ -24,7 +26,7 @@ from lorekeep.operators.kb import (
 from lorekeep.operators.rerank import rerank
 from lorekeep.operators.search import DENSE, fetch, search
 from lorekeep.plans import jobs
-from lorekeep.session import new_dir, spread, union_all
+from lorekeep.session import checkpointed, new_dir, union_all
 from lorekeep.sources import catalog, mapping
 from lorekeep.sources.sinks import save_table
 from lorekeep.streaming.incremental import folder_per_batch, ingest_new
@@ -47,7 +49,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents"), "doc_id")
+    return table(spark, sf, "documents")
 
 
 def document_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +62,7 @@ def document_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def conversation_source(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations in the shape of a comments table."""
-    return spread(table(spark, sf, "conversations"), "conv_id").select(
+    return table(spark, sf, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
         F.col("role").alias("by"),
         "text",
@@ -113,12 +115,14 @@ def source_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def source_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Version 1 is the table without open orders, version 2 all of it; both stay readable."""
     orders = table(spark, sf, "orders")
-    root, split = new_dir(spark, "refresh"), F.lit("1996-01-01").cast("timestamp")
-    day = F.col("o_orderdate").cast("timestamp")
-    catalog.refresh_table(orders.filter(day < split), "lore_refresh", "orders", root, 1)
-    current = catalog.refresh_table(orders.filter(day >= split), "lore_refresh", "orders", root, 2)
-    return current.groupBy("o_orderstatus").agg(F.count("*").alias("n_orders"))
+    root = new_dir(spark, "refresh")
+    first = catalog.refresh_table(orders.filter("o_orderstatus <> 'O'"), "lore_refresh", "orders", root, 1)
+    before = checkpointed(first.groupBy("o_orderstatus").agg(F.count("*").alias("n_orders")))
+    current = catalog.refresh_table(orders, "lore_refresh", "orders", root, 2)
+    after = checkpointed(current.groupBy("o_orderstatus").agg(F.count("*").alias("n_orders")))
+    return union_all([before.withColumn("version", F.lit(1)), after.withColumn("version", F.lit(2))])
 
 
 def sql_passthrough(spark: SparkSession, sf: str) -> DataFrame:
@@ -257,7 +261,7 @@ def kb_index_postings(spark: SparkSession, sf: str) -> DataFrame:
     rows = document_rows(spark, sf).select("id", "vector")
     posting_index.build_postings(rows, name, path)
     questions = hash_bags(benchmark_questions(spark, sf), "question")
-    return posting_index.search_postings(spark, name, questions, 5)
+    return posting_index.search_postings(spark, name, path, questions, 5)
 
 
 # --- search ----------------------------------------------------------------------------------
@@ -432,7 +436,7 @@ def rag_context(spark: SparkSession, sf: str) -> DataFrame:
 def rag_context_tables(spark: SparkSession, sf: str) -> DataFrame:
     found = ctx.retrieve(_bases(spark, sf), benchmark_questions(spark, sf), 5)
     labels = table(spark, sf, "labels")
-    attached = ctx.attach_table(found, labels, "doc_id", ["quality", "toxic"], kb="documents")
+    attached = ctx.attach_table(found, labels, "doc_id", ["quality", "toxic"], "documents")
     return attached.select("question_id", "id", "quality", "toxic")
 
 
@@ -451,13 +455,17 @@ def rag_answer(spark: SparkSession, sf: str) -> DataFrame:
 # --- jobs ------------------------------------------------------------------------------------
 
 
+def delivery_of(key: str, count: int):
+    """Which of ``count`` deliveries a row comes in: no row, whatever it holds, is left out."""
+    return F.coalesce(F.pmod(F.xxhash64(key), F.lit(count)), F.lit(0))
+
+
 def kb_incremental(spark: SparkSession, sf: str) -> DataFrame:
     """Events arrive in three deliveries; one run per delivery takes only what is new."""
     events = table(spark, sf, "events")
     source, target, checkpoint = (new_dir(spark, n) for n in ("feed", "target", "checkpoint"))
-    deliveries = (["click", "view"], ["purchase"], ["signup", "error"])
-    for number, kinds in enumerate(deliveries):
-        arrived = events.filter(F.col("event_type").isin(kinds))
+    for number in range(3):
+        arrived = events.filter(delivery_of("event_id", 3) == number)
         arrived.write.parquet(f"{source}/delivery={number}")
         ingest_new(spark, f"{source}/*", events.schema, checkpoint, folder_per_batch(target))
     return spark.read.parquet(target).agg(
@@ -469,15 +477,15 @@ def kb_incremental(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kb_feed(spark: SparkSession, sf: str) -> DataFrame:
-    """Comments delivered role by role into a knowledge base with the feed's default mapping."""
+    """Comments delivered in three parts into a knowledge base with the feed's default mapping."""
     comments = conversation_source(spark, sf)
     source, checkpoint = new_dir(spark, "feed"), new_dir(spark, "checkpoint")
     kb = KnowledgeBase(spark, new_dir(spark, "kb"), mapping.feed_spec("comments"))
-    for number, role in enumerate(("system", "user", "assistant")):
-        arrived = comments.filter(F.col("by") == role)
+    for number in range(3):
+        arrived = comments.filter(delivery_of("id", 3) == number)
         arrived.write.parquet(f"{source}/delivery={number}")
         ingest_new(spark, f"{source}/*", comments.schema, checkpoint, kb.append)
-    rows = kb.rows().select("id", "comment_id", "author", "batch_id", "content")
+    rows = kb.rows().select("id", "comment_id", "author", "content")
     return rows.withColumn("content_md5", F.md5("content")).drop("content")
 
 
@@ -535,7 +543,163 @@ def run_history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_status(spark: SparkSession, sf: str) -> DataFrame:
-    return _stamp(jobs.latest_status(event_log(spark, sf)))
+    return _stamp(jobs.latest_status(event_log(spark, sf)).select("project", "name", "end_ts", "status"))
+
+
+# --- further shapes of the same operators ----------------------------------------------------
+
+
+SMALL_DIM = 256
+
+
+def _vector_base(spark: SparkSession) -> KnowledgeBase:
+    """A stored base of dense vectors: content is the vector's JSON, which the embedder reads back."""
+    spec = KnowledgeBaseSpec("id", ("text",), {"label": "label"})
+    return KnowledgeBase(spark, new_dir(spark, "kb"), spec, embedder=_read_vector, kind=DENSE)
+
+
+def _read_vector(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn("vector", F.from_json(column, "array<double>"))
+
+
+def _vector_questions(spark: SparkSession, sf: str) -> DataFrame:
+    return class_questions(spark, sf).select("question_id", F.to_json("vector").alias("question"))
+
+
+def kb_search_ivf_nprobe(spark: SparkSession, sf: str) -> DataFrame:
+    """As many probes as lists, with questions cut into blocks: the exact result."""
+    path = new_dir(spark, "ivf")
+    ivf.build_index(vectors(spark, sf), path, lists=8)
+    return ivf.search_index(spark, path, class_questions(spark, sf), 5, nprobe=8, broadcast_bytes=4096)
+
+
+def kb_search_ivf_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_dir(spark, "ivf")
+    ivf.build_index(vectors(spark, sf), path)
+    return ivf.search_index(spark, path, class_questions(spark, sf), 5, filters={"label": {"$lt": 5}})
+
+
+def kb_index_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """An index built before rows were changed, removed and added, then brought up to date through its base."""
+    rows = vectors(spark, sf)
+    third = F.pmod(F.col("id"), F.lit(3))
+    turned = F.transform("vector", lambda x: -x)
+    kb = _vector_base(spark)
+    kb.append(kb_source(rows.filter(third != 0).withColumn("vector", F.when(third == 1, turned).otherwise(F.col("vector")))), 0)
+    kb.index()
+    kb.append(kb_source(rows.filter(third != 2)), 1)  # changed and new rows
+    kb.index()
+    return kb.search_indexed(_vector_questions(spark, sf), 5)
+
+
+def kb_source(rows: DataFrame) -> DataFrame:
+    return rows.select("id", F.to_json(F.col("vector").cast("array<double>")).alias("text"), "label")
+
+
+def kb_postings_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings built from cut texts, then brought up to date with the real ones; rows of one language go."""
+    path = new_dir(spark, "postings")
+    catalog.ensure_source(spark, "lore_index")
+    name = "lore_index." + re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
+    rows = document_rows(spark, sf)
+    cut = hash_bags(rows.select("id", F.substring_index("content", "\n", 1).alias("content")))
+    posting_index.build_postings(cut.select("id", "vector"), name, path, parts=4)
+    posting_index.refresh_postings(rows.filter("lang <> 'fr'").select("id", "vector"), name, path)
+    questions = hash_bags(benchmark_questions(spark, sf), "question")
+    return posting_index.search_postings(spark, name, path, questions, 5, {"n_chars": {"$gt": 500}}, rows)
+
+
+def kb_compact(spark: SparkSession, sf: str) -> DataFrame:
+    """Compaction, then a batch with a number that was used before, and once more as a retry."""
+    source = documents(spark, sf).select("doc_id", "text", "lang")
+    kb = KnowledgeBase(spark, new_dir(spark, "kb"), KnowledgeBaseSpec("doc_id", ("text",)))
+    kb.append(source.filter("lang <> 'de'"), 0)
+    small = kb.compact()
+    for _ in range(2):
+        small.append(source.filter("lang IN ('de', 'fr')").withColumn("text", F.concat(F.lit("new: "), "text")), 0)
+    return small.rows().select("id", "feed", F.md5("content").alias("content_md5"))
+
+
+def _small_base(spark: SparkSession, sf: str) -> FrameBase:
+    rows = documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "lang")
+    return FrameBase(hash_bags(rows, dim=SMALL_DIM), dim=SMALL_DIM)
+
+
+def eval_doc_id_custom(spark: SparkSession, sf: str) -> DataFrame:
+    """A base of another dimension, asked every benchmark text with each document that holds it."""
+    held = documents(spark, sf).join(F.broadcast(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"))), F.expr("contains(text, question)"))
+    tests = held.select(F.col("item_id").alias("question_id"), "question", F.col("doc_id").alias("expected_doc_id"))
+    found = ev.evaluate(_small_base(spark, sf), tests)
+    return found.select("questions", "found", "accuracy", "mrr")
+
+
+def rag_context_custom(spark: SparkSession, sf: str) -> DataFrame:
+    """Bases of two dimensions, one of them filtered."""
+    talks = conversation_source(spark, sf).select("id", F.col("text").alias("content"))
+    bases = {"documents": _small_base(spark, sf), "conversations": FrameBase(hash_bags(talks))}
+    found = ctx.retrieve(bases, benchmark_questions(spark, sf), 5, {"documents": {"lang": "en"}})
+    return found.select("question_id", "kb", "id", "score", "rank")
+
+
+def rag_with_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels appended to documents only, beside a base whose ids are texts that look the same."""
+    talks = conversation_source(spark, sf).select(F.col("parent").cast("string").alias("id"), F.concat_ws(" ", "by", "text").alias("content"))
+    bases: dict[str, Base] = {
+        "documents": FrameBase(document_rows(spark, sf).select("id", "content", "vector")),
+        "conversations": FrameBase(hash_bags(one_row_per_id(talks))),
+    }
+    found = ctx.retrieve(bases, benchmark_questions(spark, sf), 5)
+    labels = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    noted = ctx.with_tables(found, {"labels": (labels, "doc_id", "documents")})
+    return noted.select("question_id", "kb", "id", "rank", F.md5("content").alias("content_md5"))
+
+
+def model_predict_text_label(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages, a text label, predicted for every document by a stored model with blocks of one class."""
+    docs = documents(spark, sf).filter("lang IS NOT NULL")
+    model = models.fit_naive_bayes(docs, "text", "lang", dim=SMALL_DIM)
+    return model.transform(docs.select("doc_id", "text"), "text", "predicted_lang", block_numbers=1).select("doc_id", "predicted_lang")
+
+
+def model_refit_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """A model knows its query: more rows arrive, and refitting needs its place only."""
+    path = new_dir(spark, "model")
+    view = "lore_training_" + re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
+    rows = labelled_documents(spark, sf)
+    rows.filter("lang = 'en'").createOrReplaceTempView(view)
+    models.create_model(spark, path, f"SELECT text, quality FROM {view}", "text", "quality")
+    rows.createOrReplaceTempView(view)
+    models.refit_model(spark, path)
+    return models.predict_model(spark, path, documents(spark, sf).select("doc_id", "text"), "text", "predicted_quality").select(
+        "doc_id", "predicted_quality"
+    )
+
+
+def job_staged_late(spark: SparkSession, sf: str) -> DataFrame:
+    """A date is loaded, a late row arrives, the run is repeated, then another run takes the rest."""
+    orders = table(spark, sf, "orders").withColumn("date", F.trunc("o_orderdate", "month"))
+    root = new_dir(spark, "staged")
+    database = "lore_" + re.sub(r"\W", "_", root.rsplit("/", 1)[-1])
+    catalog.ensure_source(spark, database, f"{root}/db")
+    staging, main = f"{database}.staging", f"{root}/main"
+    late = F.col("o_orderstatus") == "P"
+    jobs.create_staging(orders.filter(~late), staging)
+    moved = [jobs.load_staged(spark, staging, main, "1996-03-01", run_id="first")]
+    jobs.stage_rows(orders.filter(late), staging)
+    moved += [jobs.load_staged(spark, staging, main, "1996-03-01", run_id=r) for r in ("first", "second", "second")]
+    rows = spark.read.parquet(main).groupBy("run_id").agg(F.count("*").alias("n_rows"), F.countDistinct("o_orderkey").alias("n_keys"))
+    left = spark.table(staging).agg(F.lit("staging").alias("run_id"), F.count("*").alias("n_rows"), F.countDistinct("o_orderkey").alias("n_keys"))
+    return union_all([checkpointed(rows), checkpointed(left)])
+
+
+def run_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """A job of SQL steps over the longest text as its parameter: its error is logged whole."""
+    log = jobs.RunLog(spark, new_dir(spark, "log"))
+    longest = table(spark, sf, "documents").orderBy(F.desc(F.length("text")), "doc_id").first()["text"]
+    jobs.run_job("texts", "broken", ["SELECT raise_error(:message)"], log, "SELECT 1", {"message": longest})
+    jobs.run_job("texts", "gated", ["SELECT raise_error('not run')"], log, "SELECT 1 WHERE :message = ''", {"message": longest})
+    whole = F.coalesce(F.instr("error", F.lit(longest)) > 0, F.lit(False)) if len(longest) < 1 << 20 else F.length("error") >= len(longest)
+    return log.read().select("name", "status", whole.alias("has_message"))
 
 
 QUERIES: dict[str, Query] = {
@@ -551,5 +715,8 @@ QUERIES: dict[str, Query] = {
         model_predict_literal, model_refit, model_summarize,
         rag_context, rag_context_tables, rag_prompt, rag_answer,
         kb_incremental, kb_feed, job_gated, job_staged, run_history, run_status,
+        kb_search_ivf_nprobe, kb_search_ivf_filtered, kb_index_refresh, kb_postings_refresh, kb_compact,
+        eval_doc_id_custom, rag_context_custom, rag_with_tables, model_predict_text_label,
+        model_refit_by_name, job_staged_late, run_errors,
     )
 }

@@ -1,37 +1,29 @@
-"""Settings read from the session: the shared folder and the parallelism of small scans."""
+"""The shared folder named by the session, and tables written there."""
 
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
-@functools.cache
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="lorekeep-")
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach, as the cluster names it.
-
-    Only a local master may fall back to a temporary folder: there the driver and the
-    executors are one process.
-    """
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return _local_scratch()
+    return (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder name below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh folder name below the shared folder; nothing is created yet.
+
+    All folders of an application lie below one named after it, which may be deleted when the
+    application and the readers of its results are done.
+    """
+    application = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/lorekeep-{application}/{label}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -41,25 +33,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None where there is none yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     """Union by column name.
 
     Spark 4.1 may treat the union of hash-partitioned inputs as hash-partitioned although
     adaptive execution has since merged partitions of one input only; rows then miss each other
-    in a later grouping or join. The switch below only costs a possible extra shuffle.
+    in a later grouping or join. Plans are made when a result is read, so the switch below must
+    outlive this call; it only costs a possible extra shuffle.
     """
     frames[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
     return functools.reduce(DataFrame.unionByName, frames)
-
-
-def spread(scan: DataFrame, key: str) -> DataFrame:
-    """Hash a scan with fewer splits than task slots over all slots by ``key``.
-
-    Per-row text work is CPU bound, and one small file would keep a single core busy. Scans
-    that already offer enough splits are returned as they are, so large inputs never move.
-    Call it on plain scans only: counting the splits of a plan with a shuffle would run it.
-    """
-    slots = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= slots:
-        return scan
-    return scan.repartition(slots, key)

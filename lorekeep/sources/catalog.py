@@ -80,10 +80,11 @@ def table_counts(spark: SparkSession, source: str, tables: list[str]) -> DataFra
 def refresh_table(df: DataFrame, source: str, table: str, root: str, version: int | str) -> DataFrame:
     """Write a fresh snapshot beside the old one, then point the view at it.
 
-    Readers see the old or the new snapshot, never a gap; the plan may read the old one.
+    Readers see the old or the new snapshot, never a gap; the plan may read the old one. A version
+    that exists is refused: overwriting it would delete files under its readers.
     """
     path = f"{root.rstrip('/')}/{table}/v={version}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("errorifexists").parquet(path)
     return register_table(df.sparkSession, source, table, path)
 
 

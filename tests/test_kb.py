@@ -97,8 +97,10 @@ def test_no_limit_keeps_everything(stories, limit):
 def test_large_limits_equal_small_ones(spark, limit):
     df = spark.range(1000).select("id", (F.col("id") % 7).alias("group")).repartition(3)
     order = [F.desc("group"), F.col("id")]
-    got = first_rows(df, order, limit, rows_in_one_task=10).collect()
+    got = first_rows(df, order, limit).collect()
     assert sorted(got) == sorted(df.orderBy(*order).limit(limit).collect())
+    tied = first_rows(df, [F.desc("group")], limit).collect()
+    assert sorted(tied) == sorted(df.orderBy(F.desc("group"), "id").limit(limit).collect())
 
 
 def test_newest_is_planned_as_top_n(stories):
@@ -165,3 +167,42 @@ def test_reranker_and_user_embedder(spark, stories):
     dense = kb_of(spark, spec, embedder=letters, kind=DENSE)
     dense.append(stories, 0)
     assert dense.query("xx", limit=1).first()["id"] == 1
+
+
+def test_a_compaction_is_never_replaced(spark, stories):
+    kb = kb_of(spark, KnowledgeBaseSpec("id", ("title", "text")))
+    kb.append(stories, 0)
+    small = kb.compact()
+    changed = stories.filter("id = 1").withColumn("title", F.lit("Blue fox"))
+    for _ in range(2):
+        small.append(changed, 0)
+    small.append(stories.filter("id = 2").withColumn("text", F.lit("other")), 0, feed="stream")
+    got = {r["id"]: r["content"] for r in small.rows().collect()}
+    assert got == {1: "Blue fox\nIt ran", 2: "other", 3: "Only title"}
+    with pytest.raises(ValueError):
+        small.append(stories, 0, feed="compacted")
+
+
+def test_content_is_not_shuffled_by_later_batches(spark, stories):
+    kb = kb_of(spark, KnowledgeBaseSpec("id", ("title", "text")))
+    for number in range(3):
+        kb.append(stories.withColumn("title", F.concat("title", F.lit(str(number)))), number)
+    shown = plan(kb.rows())
+    assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown
+    assert {r["id"]: r["content"] for r in kb.rows().collect()} == {1: "Red fox2\nIt ran", 2: "Only text", 3: "Only title2"}
+
+
+def test_a_base_is_opened_as_it_was_made(spark, stories):
+    kb = kb_of(spark, KnowledgeBaseSpec("id", ("title",), dim=128))
+    kb.append(stories, 0)
+    again = KnowledgeBase(spark, kb.path, KnowledgeBaseSpec("id", ("title",)))
+    with pytest.raises(ValueError, match="made with"):
+        again.rows()
+    with pytest.raises(ValueError, match="made with"):
+        again.append(stories, 1)
+
+
+def test_equal_content_has_one_winner(spark):
+    rows = spark.createDataFrame([(1, "same", i) for i in range(20)], "id int, content string, points int")
+    for parts in (1, 7):
+        assert one_row_per_id(rows.repartition(parts)).first()["points"] == 9  # the last by its JSON text

@@ -8,6 +8,7 @@ from lorekeep.operators import context as ctx
 from lorekeep.operators import evaluate as ev
 from lorekeep.operators import models, summarize
 from lorekeep.operators.embed import hash_bags
+from lorekeep.operators.kb import FrameBase
 from lorekeep.session import new_dir
 
 
@@ -108,9 +109,12 @@ def test_versions_and_refit(spark, reviews):
 
 
 def test_model_limits(spark, reviews):
-    many = spark.range(models.MAX_CLASSES + 1).select(F.lit("a").alias("t"), F.col("id").alias("label"))
-    with pytest.raises(ValueError, match="too many"):
-        models.fit_naive_bayes(many, "t", "label")
+    many = spark.range(1_500).select(F.concat(F.lit("word"), "id").alias("t"), F.col("id").alias("label"))
+    model = models.fit_naive_bayes(many, "t", "label", dim=4096)
+    got = model.transform(many.filter("id % 100 = 7"), "t", block_numbers=4096 * 400)
+    buckets = {r["t"]: r["b"] for r in many.select("t", models.term_buckets("t", 4096)[0].alias("b")).collect()}
+    for r in got.collect():  # ties of one bucket go to the smallest label
+        assert r["prediction"] == min(i for i in range(1_500) if buckets[f"word{i}"] == buckets[r["t"]])
     with pytest.raises(ValueError, match="no labelled"):
         models.fit_naive_bayes(reviews.filter("sentiment IS NULL"), "review", "sentiment")
 
@@ -177,14 +181,67 @@ def test_answers(kb, second, questions):
 def test_context_tables(spark, kb, questions):
     notes = spark.createDataFrame([(3, "space"), (3, "sky"), (77, "x")], "key bigint, topic string")
     found = ctx.retrieve({"a": kb}, questions, 1)
-    assert {(r["id"], r["topic"]) for r in ctx.attach_table(found, notes, "key", ["topic"]).collect()} == {
+    assert {(r["id"], r["topic"]) for r in ctx.attach_table(found, notes, "key", ["topic"], "a").collect()} == {
         (3, "space"), (3, "sky")
     }
-    rows = {r["id"]: r["content"] for r in ctx.with_tables(found, {"notes": (notes, "key")}).collect()}
+    rows = {r["id"]: r["content"] for r in ctx.with_tables(found, {"notes": (notes, "key", "a")}).collect()}
     assert 'notes: {"topic":"sky"}\n{"topic":"space"}' in rows[3]
     assert rows[1] == "The red fox ran. It was quick and red."
-    many = spark.range(ctx.MAX_NOTES + 1).select(F.lit(3).cast("bigint").alias("key"), "id")
-    with pytest.raises(ValueError, match="too many rows"):
-        ctx.with_tables(found, {"many": (many, "key")})
-    agent = ctx.Agent({"a": kb}, model=lambda p: p, tables={"notes": (notes, "key")})
+    many = spark.range(1_200).select(F.lit(3).cast("bigint").alias("key"), "id")
+    text = {r["id"]: r["content"] for r in ctx.with_tables(found, {"many": (many, "key", "a")}).collect()}[3]
+    assert text.count("\n") == 1_200
+    other = ctx.with_tables(found, {"many": (many, "key", "b")})
+    assert sorted(other.collect()) == sorted(found.collect())
+    agent = ctx.Agent({"a": kb}, model=lambda p: p, tables={"notes": (notes, "key", "a")})
     assert "space" in agent.answer(questions.filter("question_id = 2")).first()["answer"]
+
+
+def test_context_of_ids_of_several_types(spark, kb, questions):
+    talks = hash_bags(spark.createDataFrame([("x3", "Moon and stars"), ("3", "Sun")], "id string, content string"))
+    found = ctx.retrieve({"a": kb, "b": talks}, questions.filter("question_id = 2"), 3)
+    assert {(r["kb"], r["id"]) for r in found.collect()} == {("a", "3"), ("b", "x3")}
+
+
+def test_other_dimensions_find_their_documents(spark, kb):
+    rows = kb.select("id", "content")
+    small = FrameBase(hash_bags(rows, dim=64), dim=64)
+    tests = rows.filter("id < 4").selectExpr("id AS question_id", "content AS question", "id AS expected_doc_id")
+    assert ev.evaluate_doc_id(small, tests, 5).first()["found"] == 3
+    assert ev.evaluate_doc_id(kb, tests, 5).first()["found"] == 3
+    with pytest.raises(ValueError, match="buckets"):
+        ev.evaluate_doc_id(hash_bags(rows, dim=1 << 19), tests)
+    asked = tests.select("question_id", "question")
+    assert ctx.retrieve({"s": small}, asked, 1).filter("id = question_id").count() == 3
+
+
+def test_text_targets(spark, reviews):
+    fitted = models.fit_classifier(reviews, "review", "sentiment", dim=256)
+    got = {r["review"]: r["predicted"] for r in fitted.transform(reviews).collect()}
+    assert got["bad awful"] == "neg" and got["great fun"] == "pos" and len(got) == 5
+    path = new_dir(spark, "classifier")
+    fitted.write().save(path)
+    again = type(fitted).load(path).transform(reviews).select("predicted").collect()
+    assert again == fitted.transform(reviews).select("predicted").collect()
+
+
+def test_stored_definitions(spark, reviews):
+    reviews.filter("sentiment = 'pos'").createOrReplaceTempView("reviews_now")
+    path = new_dir(spark, "model")
+    models.create_model(spark, path, "SELECT * FROM reviews_now", "review", "sentiment")
+    asked = spark.createDataFrame([("bad awful",)], "text string")
+    assert models.predict_model(spark, path, asked, "text").first()["prediction"] == "pos"
+    reviews.createOrReplaceTempView("reviews_now")
+    assert models.refit_model(spark, path) == 2
+    assert models.predict_model(spark, path, asked, "text").first()["prediction"] == "neg"
+    assert models.predict_model(spark, path, asked, "text", version=1).first()["prediction"] == "pos"
+    with pytest.raises(ValueError, match="there is a model"):
+        models.create_model(spark, path, "SELECT 1", "review", "sentiment")
+
+
+def test_model_is_asked_with_context_only(spark, kb, questions):
+    def note(prompts):
+        return prompts.map(lambda p: "?" if p.endswith("|") else "ok")
+
+    agent = ctx.Agent({"a": kb}, "{{question}}|{{context}}", model=note)
+    got = {r["question_id"]: r["answer"] for r in agent.answer(questions).collect()}
+    assert got == {1: "ok", 2: "ok", 3: ctx.NO_RESULT, 4: ctx.NO_RESULT}

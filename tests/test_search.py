@@ -52,7 +52,7 @@ def test_search_equals_brute_force(spark, docs, asked, k):
     questions = hash_bags(texts(spark, asked, "question", "question_id"), "question")
     want = brute(docs, asked, k)
     assert rows(search(kb, questions, k)) == want
-    blocked = search(kb, questions, k, broadcast_bytes=10, kb_rows_per_block=4)
+    blocked = search(kb, questions, k, broadcast_bytes=100)
     assert rows(blocked) == want
 
 
@@ -173,11 +173,11 @@ def test_postings_index_equals_search_without_a_shuffle_of_scores(spark):
     path = new_dir(spark, "postings")
     build_postings(kb.filter("id < 90"), "test_index.terms", path, parts=3)
     for _ in range(2):
-        refresh_postings(kb, "test_index.terms", path, parts=3)
-    found = search_postings(spark, "test_index.terms", asked, 4)
+        refresh_postings(kb, "test_index.terms", path)
+    found = search_postings(spark, "test_index.terms", path, asked, 4)
     assert rows(found) == rows(search(kb, asked, 4))
-    assert rows(search_postings(spark, "test_index.terms", asked, 4, broadcast_bytes=1)) == rows(found)
-    shown = plan(search_postings(spark, "test_index.terms", asked, 4))
+    assert rows(search_postings(spark, "test_index.terms", path, asked, 4, broadcast_bytes=200)) == rows(found)
+    shown = plan(search_postings(spark, "test_index.terms", path, asked, 4))
     assert "In(bucket" in shown or "EqualTo(bucket" in shown
     assert len(re.findall(r"^\(\d+\) Exchange", shown, re.M)) == 1  # only the final ranking
 

@@ -1,8 +1,9 @@
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from lorekeep.plans import jobs
-from lorekeep.session import checkpointed, new_dir, shared_dir, spread, union_all
+from lorekeep.session import checkpointed, new_dir, shared_dir, union_all
 from lorekeep.sources import catalog
 from lorekeep.sources.sinks import append_columns, save_table
 from lorekeep.streaming.incremental import folder_per_batch, ingest_new
@@ -13,12 +14,6 @@ def test_shared_dir_comes_from_the_session(spark):
     assert checkpointed(spark.range(3)).count() == 3
 
 
-def test_spread_only_touches_small_scans(spark):
-    assert spread(spark.range(0, 100, 1, 1), "id").rdd.getNumPartitions() == 4
-    wide = spark.range(0, 100, 1, 9)
-    assert spread(wide, "id") is wide
-
-
 def test_union_of_partitioned_inputs_groups_right(spark):
     small = spark.range(10).repartition(2, "id")
     large = spark.range(1000).repartition(7, "id")
@@ -32,6 +27,9 @@ def test_register_scan_and_refresh(spark):
     old = catalog.scan(spark, "test_src", "numbers")
     new = catalog.refresh_table(old.filter("id > 0"), "test_src", "numbers", root, 2)
     assert sorted(r["id"] for r in new.collect()) == [1, 2]
+    with pytest.raises(AnalysisException):
+        catalog.refresh_table(spark.range(9), "test_src", "numbers", root, 2)
+    assert sorted(r["id"] for r in catalog.scan(spark, "test_src", "numbers").collect()) == [1, 2]
     catalog.ensure_source(spark, "test_src")
     counts = catalog.table_counts(spark, "test_src", ["numbers"]).collect()
     assert [tuple(r) for r in counts] == [("numbers", 2)]
@@ -139,3 +137,46 @@ def test_staged_load_moves_one_date_once(spark):
     assert spark.table("test_stage.staging").count() == 20
     assert jobs.load_staged(spark, "test_stage.staging", main, "2024-01-03") == 10
     assert spark.read.parquet(main).select("id").distinct().count() == 20
+
+
+def test_late_rows_and_crashes_lose_nothing(spark, monkeypatch):
+    catalog.ensure_source(spark, "test_stage")
+    day = F.lit("2024-01-02").cast("date").alias("date")
+    jobs.create_staging(spark.range(10).select("id", day), "test_stage.late")
+    main = new_dir(spark, "main")
+    assert jobs.load_staged(spark, "test_stage.late", main, "2024-01-02", "r1") == 10
+    jobs.stage_rows(spark.range(10, 13).select("id", day), "test_stage.late")
+    assert jobs.load_staged(spark, "test_stage.late", main, "2024-01-02", "r1") == 0
+    assert spark.read.parquet(main).count() == 10 and spark.table("test_stage.late").count() == 3
+
+    real = spark.sql
+
+    def broken(text, *more, **named):
+        if "DROP" in text:
+            raise RuntimeError("lost")
+        return real(text, *more, **named)
+
+    monkeypatch.setattr(spark, "sql", broken, raising=False)
+    with pytest.raises(RuntimeError):  # written, but not dropped
+        jobs.load_staged(spark, "test_stage.late", main, "2024-01-02")
+    monkeypatch.undo()
+    jobs.stage_rows(spark.range(13, 15).select("id", day), "test_stage.late")
+    assert jobs.load_staged(spark, "test_stage.late", main, "2024-01-02") == 2
+    assert sorted(r["id"] for r in spark.read.parquet(main).collect()) == list(range(15))
+    assert spark.table("test_stage.late").count() == 0
+
+
+def test_sql_steps_and_whole_errors(spark):
+    log = jobs.RunLog(spark, new_dir(spark, "log"))
+    catalog.ensure_source(spark, "test_other")
+    steps = ["CREATE OR REPLACE TEMP VIEW step_one AS SELECT 5 AS a", "CREATE TABLE test_other.made_by_step AS SELECT a FROM step_one"]
+    assert jobs.run_job("p", "sql", steps, log, "SELECT 1 WHERE :x = 1", {"x": 1}) == "done"
+    assert spark.table("test_other.made_by_step").first()["a"] == 5
+    assert jobs.run_job("p", "gate", steps, log, "SELECT 1 WHERE :x = 1", {"x": 2}) == "skipped"
+
+    def fails():
+        raise RuntimeError("x" * 9_000)
+
+    jobs.run_job("p", "long", [fails], log)
+    last = {r["name"]: r for r in jobs.latest_status(log.read()).collect()}
+    assert len(last["long"]["error"]) > 9_000 and last["sql"]["rows"] == 0 and last["sql"]["start_ts"] is not None

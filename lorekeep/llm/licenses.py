@@ -109,7 +109,8 @@ def unit_numbers(data: np.ndarray, offsets: np.ndarray, bigrams: Bigrams) -> Ite
     blank = np.zeros(len(data), bool)  # the feed that ends a blank line
     ends = np.flatnonzero(feed)
     dark = np.concatenate([[0], np.cumsum(~np.isin(data, (0x20, 0x09, 0x0B, 0x0C, 0x0D, 0x0A)))])
-    blank[ends[1:]] = dark[ends[1:]] == dark[ends[:-1]]
+    row = np.searchsorted(offsets, ends, "right")
+    blank[ends[1:]] = (dark[ends[1:]] == dark[ends[:-1]]) & (row[1:] == row[:-1])
     for kind, marks in ((LINE, feed), (PARAGRAPH, blank), (TEXT, None)):
         before = np.zeros(len(data) + 1, np.int64) if marks is None else np.concatenate([[0], np.cumsum(marks)])
         number = before[starts] - before[offsets[rows]]

@@ -60,6 +60,13 @@ def test_odd_rows(spark):
     assert found(spark, []) == [] and found(spark, docs, templates=[]) == []
 
 
+def test_paragraph_numbers_do_not_depend_on_other_rows(spark):
+    notice = "Released under the\nMIT License."
+    docs = [(1, "x\n"), (2, "\n" + notice), (3, "a\n\n" + notice)]
+    rows = {r["doc_id"]: (r["unit"], r["number"]) for r in found(spark, docs)}
+    assert rows == {2: ("paragraph", 0), 3: ("paragraph", 1)}
+
+
 def test_every_template_finds_itself(spark):
     rows = found(spark, [(i, t.replace("\n", " ")) for i, (_, t) in enumerate(TEMPLATES)])
     exact = {r["doc_id"] for r in rows if r["dice"] == 1 and r["license"] == TEMPLATES[r["doc_id"]][0]}

@@ -120,9 +120,10 @@ def unit_numbers(data: np.ndarray, offsets: np.ndarray, bigrams: Bigrams) -> Ite
 
 
 def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
-    """``id, license, unit, number, dice`` for every unit that reaches ``least`` with a template:
-    the best text of each licence, and the unit's kind and number within the text. A paragraph that is one line, or a
-    text that is one paragraph, is reported as the smaller unit only. The id keeps its name."""
+    """``id, license, unit, number, dice`` for every unit that reaches ``least`` with a template: the
+    licence with the largest coefficient (ties: each), the unit's kind and its number within the
+    text. A paragraph that is one line, or a text that is one paragraph, is reported as the smaller
+    unit only. The id keeps its name."""
     require(docs, id_column, text)
     if not 0 < least <= 1:
         raise ValueError("least must be above 0 and at most 1")
@@ -143,15 +144,16 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
                     own = np.where(unit[1:] == unit[:-1], unit[:-1], -1)
                     first = np.searchsorted(unit, np.arange(len(number)))
                     last = np.append(first[1:], len(unit)) - 1
-                    best: dict[tuple[int, str], float] = {}
+                    best: dict[int, dict[str, float]] = {}
                     for u, t, d in index.match(bigrams.hashes, own, known, which):
-                        key = u, index.names[t]
-                        best[key] = max(best.get(key, 0.0), d)
-                    for (u, license_), d in sorted(best.items()):
-                        words = int(first[u]), int(last[u]), license_
+                        of = best.setdefault(u, {})
+                        of[index.names[t]] = max(of.get(index.names[t], 0.0), d)
+                    for u, of in sorted(best.items()):
+                        words = int(first[u]), int(last[u])
                         if words not in seen:
                             seen.add(words)
-                            found.append((int(bigrams.rows[first[u]]), license_, name, int(number[u]), d))
+                            top = max(of.values())
+                            found += [(int(bigrams.rows[words[0]]), x, name, int(number[u]), d) for x, d in of.items() if d == top]
                 if found:
                     row, license_, name, number, dice = zip(*found, strict=True)
                     yield pa.RecordBatch.from_pydict(

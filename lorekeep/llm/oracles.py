@@ -1,6 +1,7 @@
 """The queries of this subpackage in SQL, where SQL can express them."""
 
 from lorekeep.llm import urls
+from lorekeep.llm.license_texts import TEMPLATES
 
 _PAYLOADS = """SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
   sha256(coalesce(html, '')) AS payload_digest FROM pages"""
@@ -30,17 +31,61 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en
     WHEN rule IS NOT NULL THEN 'block' WHEN strict_hits > 0 OR soft_hits >= {urls.SOFT_LIMIT} THEN 'block'
     ELSE 'allow' END AS verdict, strict_hits, soft_hits FROM ruled"""
 
-_NEAREST = """
-WITH good AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
-    FROM good q JOIN good c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
-ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM pairs)
-SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20"""
+_COMPONENTS = f"""
+WITH RECURSIVE words AS (SELECT doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingle_lists AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM shingle_lists),
+shingles AS (SELECT doc_id, unnest(s) AS s FROM shingle_lists),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach AS (SELECT DISTINCT a, a AS b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT doc_id, n AS n_shingles, coalesce((SELECT min(b) FROM reach WHERE a = doc_id), doc_id) AS component_id FROM sizes"""
+
+_LATIN = [c for c in range(0xC0, 0xDF) if c != 0xD7]
+_UP, _LOW = urls.UPPER + "".join(map(chr, _LATIN)), urls.LOWER + "".join(chr(c + 32) for c in _LATIN)
+
+
+def _words(text: str) -> str:
+    return f"regexp_extract_all(translate({text}, '{_UP}', '{_LOW}'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')"
+
+
+_TEMPLATES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
+
+_LICENSES = f"""
+WITH template AS (SELECT * FROM (VALUES {_TEMPLATES}) v(template, license, text)),
+template_words AS (SELECT template, license, {_words('text')} AS w FROM template),
+template_grams AS (SELECT DISTINCT template, license, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM template_words),
+template_sizes AS (SELECT template, count(*) AS size FROM template_grams GROUP BY template),
+split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+line AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS number, len(parts) AS n FROM split),
+lined AS (SELECT doc_id, number, {_words('line')} AS w,
+    sum((number > 0 AND number < n - 1 AND regexp_full_match(line, '[ \\t\\x0B\\f\\r]*'))::INT) OVER (PARTITION BY doc_id ORDER BY number) AS paragraph FROM line),
+word AS (SELECT doc_id, number, paragraph, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM lined),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY number, i) AS pos,
+    lead(w) OVER (PARTITION BY doc_id ORDER BY number, i) AS after, lead(number) OVER (PARTITION BY doc_id ORDER BY number, i) AS after_line,
+    lead(paragraph) OVER (PARTITION BY doc_id ORDER BY number, i) AS after_paragraph FROM word),
+unit_words AS (
+  SELECT doc_id, 'line' AS unit, 0 AS o, number, pos, w || ' ' || after AS g, after_line = number AS inside FROM placed
+  UNION ALL SELECT doc_id, 'paragraph', 1, paragraph, pos, w || ' ' || after, after_paragraph = paragraph FROM placed
+  UNION ALL SELECT doc_id, 'text', 2, 0, pos, w || ' ' || after, after IS NOT NULL FROM placed),
+unit AS (SELECT doc_id, unit, o, number, min(pos) AS first, max(pos) AS last, count(DISTINCT g) FILTER (inside) AS size FROM unit_words GROUP BY ALL),
+shared AS (SELECT u.doc_id, u.unit, u.number, t.template, t.license, count(DISTINCT u.g) AS c
+  FROM unit_words u JOIN template_grams t ON t.g = u.g WHERE u.inside GROUP BY ALL),
+scored AS (SELECT s.doc_id, s.license, s.unit, u.o, s.number, u.first, u.last, max(2 * s.c / (u.size + t.size)) AS dice
+  FROM shared s JOIN unit u ON u.doc_id = s.doc_id AND u.unit = s.unit AND u.number = s.number
+  JOIN template_sizes t ON t.template = s.template GROUP BY ALL HAVING max(2 * s.c / (u.size + t.size)) >= 0.8)
+SELECT doc_id, license, unit, number::INT AS number, dice FROM scored
+QUALIFY rank() OVER (PARTITION BY doc_id, first, last ORDER BY o, dice DESC) = 1"""
 
 ORACLES: dict[str, str] = {
     "op2_warc_revisits": f"""
 WITH p AS ({_PAYLOADS}), f AS (SELECT *, {_FIRST} AS refers_to FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
   refers_to FROM f""",
+    "op3_license_scan": _LICENSES,
     "op4_url_filter": _URL,
+    "op10_jaccard_join": _COMPONENTS,
 }

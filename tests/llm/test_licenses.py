@@ -29,7 +29,11 @@ def test_equals_brute_force(spark):
     rows = found(spark, docs, templates=templates, least=0.7)
     got = {(r["doc_id"], r["unit"], r["number"], r["license"]): r["dice"] for r in rows}
     assert len(got) == len(rows) > 20
-    want = {(i, *k): d for i, t in docs for k, d in licenses(t, templates, 0.7).items()}
+    every = {(i, *k): d for i, t in docs for k, d in licenses(t, templates, 0.7).items()}
+    top = {}
+    for (i, kind, number, _), d in every.items():
+        top[i, kind, number] = max(d, top.get((i, kind, number), 0))
+    want = {k: d for k, d in every.items() if d == top[k[:3]]}
     assert all(got[k] == pytest.approx(want[k]) for k in got)
     # what is missing is a larger unit of the same words as a smaller one
     order = ["line", "paragraph", "text"]
@@ -63,11 +67,10 @@ def test_odd_rows(spark):
 def test_paragraph_numbers_do_not_depend_on_other_rows(spark):
     notice = "Released under the\nMIT License."
     docs = [(1, "x\n"), (2, "\n" + notice), (3, "a\n\n" + notice)]
-    rows = {r["doc_id"]: (r["unit"], r["number"]) for r in found(spark, docs)}
+    rows = {r["doc_id"]: (r["unit"], r["number"]) for r in found(spark, docs) if r["dice"] == 1}
     assert rows == {2: ("paragraph", 0), 3: ("paragraph", 1)}
 
 
 def test_every_template_finds_itself(spark):
     rows = found(spark, [(i, t.replace("\n", " ")) for i, (_, t) in enumerate(TEMPLATES)])
-    exact = {r["doc_id"] for r in rows if r["dice"] == 1 and r["license"] == TEMPLATES[r["doc_id"]][0]}
-    assert exact == set(range(len(TEMPLATES)))
+    assert sorted((r["doc_id"], r["license"], r["dice"]) for r in rows) == [(i, name, 1.0) for i, (name, _) in enumerate(TEMPLATES)]

@@ -7,8 +7,8 @@ equals the same variant of a line with another word there). Lines with equal key
 apart, so the earliest line of a key answers for all of them, and groups need no pairs. The one
 pair per line that is left is verified on the words themselves.
 
-Before that, lines without a partner are left out exactly: one edit leaves one half of a line
-untouched, so only lines whose half, at its place, occurs in another line of fitting length emit variants.
+Before that, what has no partner is left out exactly: one edit lies within one quarter of a line, so
+a variant is only made where another line of fitting length agrees on all the rest.
 
 Earliest is by document id, then line number. Lines of fewer than ``min_words`` words stay, those of fewer than
 ``near_words`` go only as exact repeats. Defined results: a text that is NULL or has no line to
@@ -35,7 +35,8 @@ from lorekeep.llm.textkit import _BASE, _INVERSE, RangeHash, folded, mix, powers
 
 MIN_WORDS = 5
 NEAR_WORDS = 10
-HALVES = ("k0", "k1", "k2", "k3")
+QUARTERS = 4
+LINES_PER_PART = 65_536
 SUBSTITUTED, DELETED, WHOLE = 0, 1, 2
 
 
@@ -62,29 +63,31 @@ class Lines:
     def part(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (self.sums[b] - self.sums[a]) * self.inverse[a]
 
-    def halves(self, at: np.ndarray) -> list[np.ndarray]:
-        """Keys of both halves, as a line of its own length and as the longer of two lines."""
-        a, b, keys = self.a[at], self.b[at], []
-        for shorter in (0, 1):
-            c = self.count[at] - shorter
-            half, size = c // 2, c.astype(np.uint64) * np.uint64(4)
-            keys.append(mix(self.part(a, a + half) ^ mix(size + np.uint64(1))))
-            keys.append(mix(self.part(b - (c - half), b) ^ mix(size + np.uint64(2))))
-        return keys
-
-    def gaps(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each word of the lines ``at``: the line, the hash without the word, the same with its place."""
-        count = self.count[at]
-        line = np.repeat(at, count)
-        place = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count)
+    def quarter(self, at: np.ndarray, shorter: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last word (exclusive) of a quarter of the lines ``at`` and the hash of the rest.
+
+        With ``shorter`` 1 the line counts as the longer of two: quarters are those of a line of one
+        word less, and the quarter has one word more.
+        """
+        a, b, c = self.a[at], self.b[at], self.count[at] - shorter
+        first, last = c * which // QUARTERS, c * (which + 1) // QUARTERS
+        rest = self.part(a, a + first) + self.part(b - (c - last), b) * powers(_BASE, int(first.max(initial=0)) + 1)[first]
+        return first, last + shorter, mix(rest ^ mix((c * QUARTERS + which).astype(np.uint64)))
+
+    def gaps(self, line: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word ``first`` to ``last`` of each line: the line, the hash without the word, the
+        same with its place."""
+        count = last - first
+        line = np.repeat(line, count)
+        place = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
         a, b = self.a[line], self.b[line]
-        rest = self.part(a, a + place) + self.part(a + place + 1, b) * powers(_BASE, int(count.max(initial=0)) + 1)[place]
+        rest = self.part(a, a + place) + self.part(a + place + 1, b) * powers(_BASE, int(place.max(initial=0)) + 1)[place]
         variant = mix(rest + (self.count[line] - 1).astype(np.uint64))
         return line, variant, mix(variant ^ mix(place.astype(np.uint64) + np.uint64(1)))
 
 
 def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """``id, number, hash, count`` and the half keys of every line that may go."""
+    """``id, number, hash`` of every line that may go."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,54 +95,98 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
             for part, data, offsets in text_slices(batch, "text"):
                 lines = Lines(data, offsets)
                 at = np.flatnonzero(lines.count >= min_words)
-                columns = {"id": part.column("id").take(pa.array(lines.row[at])), "number": lines.number[at].astype(np.int32)}
-                columns |= {"hash": signed(lines.hash[at]), "count": lines.count[at].astype(np.int32)}
-                columns |= {k: signed(v) for k, v in zip(HALVES, lines.halves(at), strict=True)}
-                yield pa.RecordBatch.from_pydict(columns)
+                ids = part.column("id").take(pa.array(lines.row[at]))
+                yield pa.RecordBatch.from_pydict({"id": ids, "number": lines.number[at].astype(np.int32), "hash": signed(lines.hash[at])})
 
-    return checkpointed(docs.mapInArrow(scan, f"id {kind}, number int, hash bigint, count int, " + ", ".join(f"{k} bigint" for k in HALVES)))
+    return checkpointed(docs.mapInArrow(scan, f"id {kind}, number int, hash bigint"))
 
 
-def variant_table(docs: DataFrame, distinct: DataFrame, near_words: int) -> DataFrame:
-    """``key, role, hash, at`` of the lines that share a half with another line."""
-    near = distinct.filter(F.col("count") >= near_words)
-    shared = near.select(F.explode(F.array(*HALVES)).alias("key")).groupBy("key").count().filter("count > 1").select("key")
-    shared = checkpointed(shared)
+def earliest(lines: Lines, ids: pa.Array, near_words: int) -> np.ndarray:
+    """The earliest line of each hash among those long enough."""
+    at = np.flatnonzero(lines.count >= near_words)
+    rank = np.empty(len(ids), np.int64)
+    rank[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+    at = at[np.lexsort((lines.number[at], rank[lines.row[at]]))]
+    return at[np.unique(lines.hash[at], return_index=True)[1]]
+
+
+def short(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Keys by 32 high and a few low bits; others may share a flag, which costs time only."""
+    return mix((keys >> np.uint64(32) << np.uint64(32)) | (keys & np.uint64(parts - 1)))
+
+
+def shared_rests(docs: DataFrame, n_lines: int, near_words: int) -> tuple[np.ndarray, int]:
+    """One bit per rest of a line that different lines share, and the number of parts.
+
+    Rests travel packed, eight bytes each with half of the line's hash, one array per part and slice.
+    """
+    parts = 1 << min(20, max(2, math.ceil(math.log2(max(1, n_lines / LINES_PER_PART)))))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in text_slices(batch, "text"):
+                lines = Lines(data, offsets)
+                at = earliest(lines, part.column("id"), near_words)
+                keys = np.concatenate([lines.quarter(at, s, q)[2] for s in (0, 1) for q in range(QUARTERS)])
+                owner = np.tile(lines.hash[at], 2 * QUARTERS)
+                place = (keys & np.uint64(parts - 1)).astype(np.int32)
+                order = np.argsort(place, kind="stable")
+                values = (keys[order] >> np.uint64(32) << np.uint64(32)) | (owner[order] >> np.uint64(32))
+                names, first = np.unique(place[order], return_index=True)
+                packed = [x.tobytes() for x in np.split(values, first[1:])] if len(names) else []
+                yield pa.RecordBatch.from_pydict({"part": names, "keys": pa.array(packed, pa.binary())})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for part, packed in zip(batch.column("part").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+                held.setdefault(part, []).append(np.frombuffer(packed, np.uint64))
+        for part, arrays in held.items():
+            rests = np.unique(np.concatenate(arrays)) >> np.uint64(32) << np.uint64(32)
+            values, lines = np.unique(rests, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"key": signed(mix(values[lines > 1] | np.uint64(part)))})
+
+    packed = docs.mapInArrow(pack, "part int, keys binary")
+    shared = checkpointed(packed.repartition(parts, "part").mapInArrow(count, "key bigint"))
     n_bits = 1 << min(28, max(18, math.ceil(math.log2(16 * max(1, shared.count())))))
-    told = docs.sparkSession.sparkContext.broadcast(np.frombuffer(flag_bits(shared, "key", n_bits), np.uint8))
+    return np.frombuffer(flag_bits(shared, "key", n_bits), np.uint8), parts
+
+
+def variant_table(docs: DataFrame, n_lines: int, near_words: int) -> DataFrame:
+    """``key, role, hash, id, number`` of the variants with a gap where another line agrees on the rest."""
+    told = docs.sparkSession.sparkContext.broadcast(shared_rests(docs, n_lines, near_words))
     kind = docs.schema["id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = told.value
+        flags, parts = told.value
         for batch in batches:
             for part, data, offsets in text_slices(batch, "text"):
                 lines = Lines(data, offsets)
-                at = np.flatnonzero(lines.count >= near_words)
-                rank = np.empty(part.num_rows, np.int64)
-                rank[pc.sort_indices(part.column("id")).to_numpy()] = np.arange(part.num_rows)
-                at = at[np.lexsort((lines.number[at], rank[lines.row[at]]))]
-                at = at[np.unique(lines.hash[at], return_index=True)[1]]  # the earliest of equal lines
-                marks = []
-                for key in lines.halves(at):
-                    slot = signed(key) & (len(flags) * 8 - 1)
-                    marks.append((flags[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0)
-                equal, longer = at[marks[0] | marks[1]], at[marks[2] | marks[3]]
-                line, _, replaced = lines.gaps(equal)
-                longer_line, left, _ = lines.gaps(longer)
-                lines_of = np.concatenate([line, longer_line, equal])
-                role = np.repeat([SUBSTITUTED, DELETED, WHOLE], [len(line), len(longer_line), len(equal)]).astype(np.int8)
+                at = earliest(lines, part.column("id"), near_words)
+                keys, owners, roles, whole = [], [], [], np.zeros(len(at), bool)
+                for longer in (0, 1):
+                    for which in range(QUARTERS):
+                        first, last, key = lines.quarter(at, longer, which)
+                        slot = signed(short(key, parts)) & (len(flags) * 8 - 1)
+                        meets = (flags[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+                        line, left, replaced = lines.gaps(at[meets], first[meets], last[meets])
+                        keys.append(left if longer else replaced)
+                        owners.append(line)
+                        roles.append(np.full(len(line), DELETED if longer else SUBSTITUTED, np.int8))
+                        whole |= meets & (longer == 0)
+                lines_of = np.concatenate([*owners, at[whole]])
+                roles.append(np.full(int(whole.sum()), WHOLE, np.int8))
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "key": signed(np.concatenate([replaced, left, lines.hash[equal]])),
-                        "role": role,
+                        "key": signed(np.concatenate([*keys, lines.hash[at[whole]]])),
+                        "role": np.concatenate(roles),
                         "hash": signed(lines.hash[lines_of]),
                         "id": part.column("id").take(pa.array(lines.row[lines_of])),
                         "number": lines.number[lines_of].astype(np.int32),
                     }
                 )
 
-    rows = docs.mapInArrow(scan, f"key bigint, role tinyint, hash bigint, id {kind}, number int")
-    return checkpointed(rows)
+    return checkpointed(docs.mapInArrow(scan, f"key bigint, role tinyint, hash bigint, id {kind}, number int"))
 
 
 def near_pairs(variants: DataFrame) -> DataFrame:
@@ -209,11 +256,10 @@ def verified_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def repeated_lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     """``id, numbers``: the lines of each document that go. ``docs`` has ``id, text`` without NULL ids."""
     lines = line_table(docs, min_words)
-    firsts = [F.first(k).alias(k) for k in ("count", *HALVES)]
-    distinct = checkpointed(lines.groupBy("hash").agg(F.min(F.struct("id", "number")).alias("first"), F.count("*").alias("n"), *firsts))
+    distinct = lines.groupBy("hash").agg(F.min(F.struct("id", "number")).alias("first"), F.count("*").alias("n"))
     again = checkpointed(distinct.filter("n > 1").select("hash", "first"))
     later = within(lines.select("id", "number", "hash"), again, "hash", "inner").filter("struct(id, number) > first").select("id", "number")
-    near = near_pairs(variant_table(docs, distinct, near_words))
+    near = near_pairs(variant_table(docs, lines.count(), near_words))
     gone = later.union(verified_pairs(docs, near))
     return checkpointed(gone.groupBy("id").agg(F.collect_set("number").alias("numbers")))
 

@@ -229,18 +229,21 @@ class KnowledgeBase(Base):
         super().__init__(spark, spec.dim, **options)
         self.path, self.spec, self.options = path.rstrip("/"), spec, options
         self.data, self.repeats = f"{self.path}/rows", f"{self.path}/_repeats"
+        self.checked = False
 
     def _made(self) -> dict[str, Any]:
         return {"dim": self.spec.dim if self.embedder is None else None, "dense": self.kind.dense, "embedder": self.embedder is not None}
 
     def check(self) -> bool:
         """Whether the base has been written; raises if its vectors were made in another way."""
-        stored = stored_table(self.spark, f"{self.path}/_made")
-        if stored is None:
-            return False
-        known = json.loads(stored.first()["made"])
-        if known != self._made():
-            raise ValueError(f"the base was made with {known}, not {self._made()}")
+        if not self.checked:
+            stored = stored_table(self.spark, f"{self.path}/_made", "made string")
+            if stored is None:
+                return False
+            known = json.loads(stored.first()["made"])
+            if known != self._made():
+                raise ValueError(f"the base was made with {known}, not {self._made()}")
+            self.checked = True
         return True
 
     def append(self, source: DataFrame, batch_id: int, limit: int | None = None, feed: str = "main") -> None:

@@ -48,8 +48,19 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(scan: DataFrame, key: str) -> DataFrame:
+    """A table that is one single file, hashed over the task slots; others as they are.
+
+    One file of one row group keeps one core busy with per-row text work. Large tables have many
+    files and never move.
+    """
+    if len(scan.inputFiles()) > 1:
+        return scan
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return dealt(table(spark, sf, "documents"), "doc_id")
 
 
 def document_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,7 +73,7 @@ def document_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def conversation_source(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations in the shape of a comments table."""
-    return table(spark, sf, "conversations").select(
+    return dealt(table(spark, sf, "conversations"), "conv_id").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
         F.col("role").alias("by"),
         "text",

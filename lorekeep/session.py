@@ -33,10 +33,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The Parquet table at ``path``, or None where there is none yet."""
+def stored_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The Parquet table at ``path``, or None where there is none yet. A given schema is not read
+    from the files."""
     try:
-        return spark.read.parquet(path)
+        return (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise

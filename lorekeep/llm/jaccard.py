@@ -40,6 +40,7 @@ FREQUENT = 32
 MAX_FREQUENT = 2_000_000
 LOW_BITS = 32
 DOCS_PER_PART = 8_192
+LEADER_TOKENS = 16
 
 
 def token_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +63,7 @@ def token_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nd
 
 def short(tokens: np.ndarray, parts: int) -> np.ndarray:
     """Tokens by 32 high and a few low bits; others may share a count, which costs time only."""
-    return (tokens >> np.uint64(LOW_BITS) << np.uint64(LOW_BITS)) | (tokens & np.uint64(parts - 1))
+    return mix((tokens >> np.uint64(LOW_BITS) << np.uint64(LOW_BITS)) | (tokens & np.uint64(parts - 1)))
 
 
 def shared_tokens(docs: DataFrame, width: int) -> tuple[DataFrame, int]:
@@ -91,7 +92,7 @@ def shared_tokens(docs: DataFrame, width: int) -> tuple[DataFrame, int]:
         for part, arrays in held.items():
             values, n = np.unique(np.concatenate(arrays), return_counts=True)
             more = n > 1
-            tokens = (values[more].astype(np.uint64) << np.uint64(LOW_BITS)) | np.uint64(part)
+            tokens = mix((values[more].astype(np.uint64) << np.uint64(LOW_BITS)) | np.uint64(part))
             yield pa.RecordBatch.from_pydict({"token": signed(tokens), "n": n[more]})
 
     packed = docs.select("text").mapInArrow(pack, "part int, tokens binary")
@@ -192,8 +193,8 @@ def star_pairs(entries: DataFrame, percent: int) -> DataFrame:
     chosen = []
     for shift in (0.0, 0.5):
         blocks = entries.select("token", "rep", "own", size_class(F.col("n"), percent, shift).alias("block"))
-        leaders = blocks.groupBy("token", "block").agg(F.min(F.struct("own", "rep")).alias("leader"), F.count("*").alias("c")).filter("c > 1")
-        led = blocks.join(leaders.select("token", "block", F.col("leader.rep").alias("leader")), ["token", "block"]).filter("rep <> leader")
+        leaders = blocks.groupBy("token", "block").agg(F.min_by("rep", "own").alias("leader"), F.count("*").alias("c")).filter("c > 1")
+        led = blocks.join(leaders.drop("c"), ["token", "block"]).filter("rep <> leader")
         counted = led.groupBy("rep", "leader").agg(F.count("*").alias("c"))
         most = counted.groupBy("rep").agg(F.max_by("leader", "c").alias("leader"))
         chosen.append(most.select(F.col("rep").alias("a"), F.col("leader").alias("b")))
@@ -255,7 +256,9 @@ def jaccard_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
         pair = F.explode(F.arrays_zip("tokens", "positions")).alias("e")
         return rows.select(F.col("id").alias("rep"), "n", *more, pair).select("rep", "n", *more, F.col("e.tokens").alias("token"), F.col("e.positions").alias("position"))
 
-    stars = checkpointed(star_pairs(entries(index, "own"), percent))
+    # leaders only save work: a set's first tokens by hash, the same ones in similar sets, name them
+    few = index.withColumns({c: F.slice(c, 1, LEADER_TOKENS) for c in ("tokens", "positions")})
+    stars = checkpointed(star_pairs(entries(few, "own"), percent))
     stars = checkpointed(promising(index, stars, percent))
     links = checkpointed(verified(docs, stars, width, percent))
     roots = checkpointed(connected(links))

@@ -83,7 +83,8 @@ def build_index(rows: DataFrame, dim: int, k: int, seed: int = 7) -> tuple[DataF
     """
     centre, turn = mean_vector(rows, dim), rotation(dim, seed)
     same = Window.partitionBy(F.xxhash64("vector"), "vector").orderBy("id")
-    rows = rows.withColumn("_n", F.dense_rank().over(same)).filter(F.col("_n") <= k + 1).select("id", "vector")
+    rows = rows.withColumn("_n", F.dense_rank().over(same)).filter(F.col("_n") <= k + 1)
+    rows = rows.withColumn("_before", F.lag("id").over(same)).filter("_before IS NULL OR _before <> id").select("id", "vector")
     schema = T.StructType([*rows.schema.fields, T.StructField("code", T.BinaryType()), T.StructField("scale", T.DoubleType()), T.StructField("spread", T.DoubleType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

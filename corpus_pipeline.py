@@ -43,8 +43,9 @@ def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Ids of every document's text, and whether decoding them gives the text back."""
     model = pieces.load_pieces(PIECE_MODEL)
     coded = pieces.encode_texts(docs.select("doc_id", "lang", "source", "text"), model)
-    back = pieces.decode_ids(coded, model, text="decoded")
-    exact = F.col("decoded").eqNullSafe(F.col("text"))
+    slim = coded.select("doc_id", "lang", "source", "ids", F.md5("text").alias("text_md5"))
+    back = pieces.decode_ids(slim, model, text="decoded")
+    exact = F.md5("decoded").eqNullSafe(F.col("text_md5"))
     return back.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_ids"), exact.alias("exact"))
 
 

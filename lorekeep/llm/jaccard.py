@@ -118,7 +118,7 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``id, n, own, key, tokens, positions``: size of each set, tokens of its own, its hash, and the
     prefix tokens that other texts hold."""
     shared, parts = shared_tokens(docs, width)
-    n_bits = 1 << min(28, max(18, math.ceil(math.log2(16 * max(1, shared.count())))))
+    n_bits = 1 << min(28, max(18, math.ceil(math.log2(8 * max(1, shared.count())))))
     flags = np.frombuffer(flag_bits(shared, "token", n_bits), np.uint8)
     told = docs.sparkSession.sparkContext.broadcast((frequent_tokens(shared), flags))
 

@@ -148,7 +148,7 @@ def shared_rests(docs: DataFrame, n_lines: int, near_words: int) -> tuple[np.nda
 
     packed = docs.mapInArrow(pack, "part int, keys binary")
     shared = checkpointed(packed.repartition(parts, "part").mapInArrow(count, "key bigint"))
-    n_bits = 1 << min(28, max(18, math.ceil(math.log2(16 * max(1, shared.count())))))
+    n_bits = 1 << min(28, max(24, math.ceil(math.log2(64 * max(1, shared.count())))))
     return np.frombuffer(flag_bits(shared, "key", n_bits), np.uint8), parts
 
 

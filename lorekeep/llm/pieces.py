@@ -35,7 +35,7 @@ MARKER = "▁"
 BLANK = 0x20
 UNKNOWN_PENALTY = 10.0
 UNKNOWN_TEXT = " ⁇ "
-CACHE_UNITS = 300_000
+CACHE_UNITS = 150_000
 SHORT_BYTES = 48
 CELLS = 1 << 20
 
@@ -130,7 +130,7 @@ def load_pieces(path: str) -> Pieces:
     score = np.zeros(len(ids))
     score[plain] = [model.get_score(i) for i in plain]
     known = {int(names[i][3:-1], 16): i for i in ids if model.is_byte(i)}
-    text = [b"" if model.is_control(i) or model.is_unused(i) else b"" for i in ids]
+    text = [b""] * len(ids)  # control pieces decode to nothing
     for i, word in zip(plain, words, strict=True):
         text[i] = word
     for byte, i in known.items():

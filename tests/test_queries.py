@@ -20,6 +20,8 @@ def duck(sf):
 
 
 def plain(value):
+    if isinstance(value, list):
+        return tuple(map(plain, value))
     if isinstance(value, decimal.Decimal):
         return int(value) if value == int(value) else float(value)
     return value.isoformat() if isinstance(value, dt.datetime) else value

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm import jaccard, leaks, lines, pieces, quality
 from lorekeep.llm.queries import PIECE_MODEL
-from lorekeep.llm.tables import checkpointed, table
+from lorekeep.llm.tables import checkpointed, table, with_small_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -50,11 +50,11 @@ def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("quality classifier", good_documents),
-    ("line dedup", distinct_lines),
-    ("n-gram Jaccard join", distinct_documents),
-    ("benchmark decontamination", unleaked_documents),
-    ("SentencePiece encoding and decoding", encoded_documents),
+    ("quality classifier", with_small_batches(good_documents)),
+    ("line dedup", with_small_batches(distinct_lines)),
+    ("n-gram Jaccard join", with_small_batches(distinct_documents)),
+    ("benchmark decontamination", with_small_batches(unleaked_documents)),
+    ("SentencePiece encoding and decoding", with_small_batches(encoded_documents)),
 ]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm import ann, jaccard, leaks, licenses, lines, pieces, quality, toxicity, urls, warc
-from lorekeep.llm.tables import table
+from lorekeep.llm.tables import table, with_small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,7 +82,7 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f
+    f.__name__: with_small_batches(f)
     for f in (
         op1_line_dedup,
         op2_warc_revisits,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Sequence
 
@@ -11,14 +12,31 @@ from pyspark.sql import functions as F
 from lorekeep.session import checkpointed, new_dir
 
 BROADCAST_BYTES = 32 << 20
+ROWS_PER_BATCH = 1_000
 
-__all__ = ["checkpointed", "connected", "flag_bits", "new_dir", "private", "require", "table", "within"]
+__all__ = ["checkpointed", "connected", "flag_bits", "new_dir", "private", "require", "table", "with_small_batches", "within"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_small_batches(job):
+    """A registered query or stage whose Arrow batches hold ``ROWS_PER_BATCH`` rows.
+
+    Texts are long: ten thousand of them, Spark's default, are tens of MB on both sides of every
+    Python worker. Results are read later, so the setting stays on the session; it changes
+    memory only. Operators do not set it.
+    """
+
+    @functools.wraps(job)
+    def run(spark: SparkSession, *args):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+        return job(spark, *args)
+
+    return run
+
+
 def require(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:

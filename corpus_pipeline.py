@@ -25,7 +25,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat earlier ones; those left without a word go."""
-    clean = lines.deduplicate_lines(docs, drop_empty=True)
+    clean = lines.deduplicate_lines(docs, min_words=1, drop_empty=True)
     return clean.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else clean
 
 

@@ -26,7 +26,7 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Lines and words left of every document, with a digest of its new text."""
     docs = table(spark, sf, "documents").select("doc_id", "text", F.size(F.split("text", "\n")).alias("n_lines"))
-    clean = lines.deduplicate_lines(docs)
+    clean = lines.deduplicate_lines(docs, min_words=1, near_words=5)
     left = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", "\n")))
     return clean.select("doc_id", "n_lines", left.alias("n_kept"), F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
 

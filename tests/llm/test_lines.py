@@ -5,7 +5,9 @@ from brute import deduplicated
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from lorekeep.llm.lines import deduplicate_lines, one_edit
+from lorekeep.llm.queries import op1_line_dedup
 
 SCHEMA = "doc_id bigint, text string, numbers string, `key` bigint"
 
@@ -78,3 +80,14 @@ def test_any_texts(spark, lines):
 def test_one_edit():
     assert one_edit([1, 2, 3], [1, 3]) and one_edit([1], []) and one_edit([1, 2], [1, 9]) and one_edit([], [])
     assert not one_edit([1, 2], [2, 1]) and not one_edit([1, 2, 3], [1]) and not one_edit([1, 2, 3], [3, 1, 2, 3, 4])
+
+
+def test_short_lines(spark, tmp_path):
+    rows = [(1, "Menu\n\nsee also\none two three four five"), (2, "menu\n\nsee  also\none two three four 5"), (3, "see this\n \none three four five"), (4, "a b c d e f g h i"), (5, "a b c d e f g h")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: (0 if t == "" else len(t.split("\n")), len(t)) for i, t in deduplicated(rows, 1, 5).items()}
+    assert {r["doc_id"]: (r["n_kept"], r["n_chars"]) for r in op1_line_dedup(spark, str(tmp_path)).collect()} == want
+    assert want[2] == (0, 0) and want[5] == (0, 0)
+    left = corpus_pipeline.distinct_lines(spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["text"] for r in left} == {i: t for i, t in deduplicated(rows, 1, 10).items() if t.strip() or t == dict(rows)[i]}

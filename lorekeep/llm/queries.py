@@ -39,7 +39,7 @@ def op2_warc_revisits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return licenses.scan_licenses(table(spark, sf, "documents"))
+    return licenses.scan_licenses(table(spark, sf, "documents"), windows=True)
 
 
 def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:

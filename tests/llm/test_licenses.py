@@ -74,3 +74,35 @@ def test_paragraph_numbers_do_not_depend_on_other_rows(spark):
 def test_every_template_finds_itself(spark):
     rows = found(spark, [(i, t.replace("\n", " ")) for i, (_, t) in enumerate(TEMPLATES)])
     assert sorted((r["doc_id"], r["license"], r["dice"]) for r in rows) == [(i, name, 1.0) for i, (name, _) in enumerate(TEMPLATES)]
+
+
+def test_licences_inside_texts(spark):
+    parted = MIT.replace("Permission", "\n\nPermission").replace("The above", "\n\nThe above").replace("THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    prose = " ".join(f"w{random.Random(k).randrange(900)}" for k in range(1500)) + "."
+    docs = [(1, prose + "\n\n" + parted + "\n\n" + prose), (2, prose + "\nCopyright 2020 Foo. Released under the MIT License. " + prose),
+            (3, prose), (4, (prose + "\n\n" + parted) * 3), (5, "Released under the MIT License.")]
+    got = [(r["doc_id"], r["license"], r["unit"]) for r in found(spark, docs, windows=True)]
+    assert sorted(got) == [(1, "mit", "window"), (2, "mit", "window"), *[(4, "mit", "window")] * 3, (5, "mit", "line")]
+
+
+def test_windows_equal_brute_force(spark):
+    rng = random.Random(7)
+    templates = [("a", "one two three four five six"), ("b", "uno dos tres cuatro cinco")]
+    gram = lambda w: set(zip(w, w[1:]))
+    docs, want = [], {}
+    for i in range(60):
+        words = rng.choices("p q r one two three dos".split(), k=12)
+        at = rng.randrange(12)
+        words[at:at] = [w if rng.random() < 0.85 else "x" for w in rng.choice(templates)[1].split()]
+        docs.append((i, "\n\n".join(" ".join(words[k : k + 3]) for k in range(0, len(words), 3))))
+        for name, text in templates:
+            b = gram(text.split())
+            runs = [gram(words[k:m]) for k in range(len(words)) for m in range(k + 2, len(words) + 1)]
+            top = max(2 * len(a & b) / (len(a) + len(b)) for a in runs)
+            if top >= 0.8:
+                want[i, name] = top
+    rows = found(spark, docs, templates=templates, windows=True)
+    got = {}
+    for r in rows:
+        got[r["doc_id"], r["license"]] = max(r["dice"], got.get((r["doc_id"], r["license"]), 0))
+    assert len(want) > 10 and got == pytest.approx(want)

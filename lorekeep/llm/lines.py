@@ -1,4 +1,5 @@
-"""Line deduplication by deletion neighbourhoods: a line goes if an earlier one is at most one word away.
+"""Line deduplication by deletion neighbourhoods: a line goes if an earlier one is at most one word away, or from
+60 words on at most one word in 30 of the shorter line.
 
 A line is the words between line feeds, ASCII and Latin-1 letters in lower case. Its edit distance to another counts
 inserted, deleted and replaced words. Every variant of a line with one word left out is a hashed
@@ -10,6 +11,10 @@ pair per line that is left is verified on the words themselves.
 Before that, what has no partner is left out exactly: one edit lies within one quarter of a line, so
 a variant is only made where another line of fitting length agrees on all the rest.
 
+Long lines of e edits or less between them share an unedited run of (n - e) / (e + 1) words, at least 20. So of 13
+successive runs of 8 words the one of least hash is a key (winnowing), and such lines share a key for certain. Each
+line first meets the earliest line of each key; those still there meet every earlier line of their keys.
+
 Earliest is by document id, then line number. Lines of fewer than ``min_words`` words stay, those of fewer than
 ``near_words`` go only as exact repeats. Defined results: a text that is NULL or has no line to
 remove stays as it is; rows without an id stay; rows of one id count as one document, and lines at equal
@@ -35,6 +40,8 @@ from lorekeep.llm.textkit import _BASE, _INVERSE, RangeHash, folded, mix, powers
 
 MIN_WORDS = 5
 NEAR_WORDS = 10
+WORDS_PER_EDIT = 30
+RUN, RUNS = 8, 13  # a common run of RUN + RUNS - 1 = 20 words has a common key
 QUARTERS = 4
 LINES_PER_PART = 65_536
 SUBSTITUTED, DELETED, WHOLE = 0, 1, 2
@@ -215,6 +222,88 @@ def one_edit(x: list[bytes], y: list[bytes]) -> bool:
     return x[same + (len(x) == len(y)) :] == y[same + 1 :]
 
 
+def edits_within(x: list[bytes], y: list[bytes], budget: int) -> bool:
+    """Whether two lists of words are at most ``budget`` edits apart; only diagonals that near are filled."""
+    same = 0
+    while same < min(len(x), len(y)) and x[same] == y[same]:
+        same += 1
+    x, y = x[same:], y[same:]
+    while x and y and x[-1] == y[-1]:
+        x, y = x[:-1], y[:-1]
+    if abs(len(x) - len(y)) > budget:
+        return False
+    names = {w: i for i, w in enumerate({*x, *y})}
+    wide, far = 2 * budget + 1, budget + 1
+    steps = np.arange(wide)
+    padded = np.full(max(len(x), len(y)) + wide + budget, -1)
+    padded[budget : budget + len(y)] = [names[w] for w in y]
+    ends = steps - budget
+    row = np.where((ends >= 0) & (ends <= len(y)), ends, far)
+    for i, word in enumerate(x):
+        change = row + (padded[i : i + wide] != names[word])
+        best = np.minimum(change, np.append(row[1:], far) + 1)
+        best = np.minimum.accumulate(best - steps) + steps
+        ends = steps - budget + i + 1
+        row = np.where((ends >= 0) & (ends <= len(y)), np.minimum(best, far), far)
+        if row.min() > budget:
+            return False
+    return bool(row[len(y) - len(x) + budget] <= budget)
+
+
+def near_words_apart(x: list[bytes], y: list[bytes]) -> bool:
+    return one_edit(x, y) or edits_within(x, y, min(len(x), len(y)) // WORDS_PER_EDIT)
+
+
+def run_table(docs: DataFrame, near_words: int) -> DataFrame:
+    """``key, hash, id, number, n`` of the keys of lines long enough for two edits."""
+    kind = docs.schema["id"].dataType.simpleString()
+    least = max(near_words, 2 * WORDS_PER_EDIT)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in text_slices(batch, "text"):
+                lines = Lines(data, offsets)
+                at = earliest(lines, part.column("id"), least)
+                count = lines.count[at] - RUN + 1
+                line = np.repeat(at, count)
+                place = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count) + lines.a[line]
+                runs, n = mix(lines.part(place, place + RUN)), max(0, len(line) - RUNS + 1)
+                keys = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+                for step in range(RUNS):
+                    keys = np.minimum(keys, runs[step : step + n])
+                inside = line[:n] == line[len(line) - n :]
+                keys, line = keys[inside], line[:n][inside]
+                new = np.ones(len(keys), bool)
+                new[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
+                keys, line = keys[new], line[new]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "key": signed(keys),
+                        "hash": signed(lines.hash[line]),
+                        "id": part.column("id").take(pa.array(lines.row[line])),
+                        "number": lines.number[line].astype(np.int32),
+                        "n": lines.count[line].astype(np.int32),
+                    }
+                )
+
+    return checkpointed(docs.mapInArrow(scan, f"key bigint, hash bigint, id {kind}, number int, n int"))
+
+
+def near_long(docs: DataFrame, near_words: int) -> DataFrame:
+    """Places ``id, number`` of long lines with an earlier one within their bound of edits."""
+    runs = run_table(docs, near_words)
+    line = F.struct("id", "number", "hash", "n")
+    keys = checkpointed(runs.groupBy("key").agg(F.min(line).alias("other"), F.min("hash").alias("lo"), F.max("hash").alias("hi")).filter("lo <> hi").drop("lo", "hi"))
+    met = runs.join(keys, "key").groupBy("key", "hash", "other").agg(F.min(line).alias("at"))
+    met = checkpointed(met.select("key", "at", "other"))
+    fits = f"other.hash <> at.hash AND struct(other.id, other.number) < struct(at.id, at.number) AND abs(at.n - other.n) <= greatest(1, least(at.n, other.n) div {WORDS_PER_EDIT})"
+    first = checkpointed(verified_pairs(docs, checkpointed(met.filter(fits).select("at", "other").distinct())).distinct())
+    left = met.drop("other").join(first.select(F.struct("id", "number").alias("place")), F.expr("struct(at.id, at.number) = place"), "left_anti")
+    pairs = left.join(met.select("key", F.col("at").alias("another"), F.col("other").alias("leader")), "key")
+    pairs = pairs.filter("another <> leader").select("at", F.col("another").alias("other")).filter(fits).distinct()
+    return first.unionByName(verified_pairs(docs, checkpointed(pairs)))
+
+
 def line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``id, number, words`` of the wanted lines; ``wanted`` has ``id, numbers``."""
     kind = docs.schema["id"].dataType.simpleString()
@@ -247,7 +336,7 @@ def verified_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [one_edit(x.split(), y.split()) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            good = [near_words_apart(x.split(), y.split()) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield batch.select(["id", "number"]).filter(pa.array(good, pa.bool_()))
 
     return both.mapInArrow(check, f"id {kind}, number int")
@@ -260,7 +349,7 @@ def repeated_lines(docs: DataFrame, min_words: int, near_words: int) -> DataFram
     again = checkpointed(distinct.filter("n > 1").select("hash", "first"))
     later = within(lines.select("id", "number", "hash"), again, "hash", "inner").filter("struct(id, number) > first").select("id", "number")
     near = near_pairs(variant_table(docs, lines.count(), near_words))
-    gone = later.union(verified_pairs(docs, near))
+    gone = later.union(verified_pairs(docs, near)).union(near_long(docs, near_words))
     return checkpointed(gone.groupBy("id").agg(F.collect_set("number").alias("numbers")))
 
 

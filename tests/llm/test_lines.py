@@ -1,12 +1,12 @@
 import random
 
 import pytest
-from brute import deduplicated
+from brute import deduplicated, word_edits
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from lorekeep.llm.lines import deduplicate_lines, one_edit
+from lorekeep.llm.lines import deduplicate_lines, edits_within, one_edit
 from lorekeep.llm.queries import op1_line_dedup
 
 SCHEMA = "doc_id bigint, text string, numbers string, `key` bigint"
@@ -91,3 +91,31 @@ def test_short_lines(spark, tmp_path):
     assert want[2] == (0, 0) and want[5] == (0, 0)
     left = corpus_pipeline.distinct_lines(spark, docs, str(tmp_path)).collect()
     assert {r["doc_id"]: r["text"] for r in left} == {i: t for i, t in deduplicated(rows, 1, 10).items() if t.strip() or t == dict(rows)[i]}
+
+
+def test_long_lines(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(5000)}"
+    passage = [word() for _ in range(30)]
+    pool = [passage + [word() for _ in range(n)] for n in (25, 40, 70, 150, 300)]
+    rows = []
+    for i in range(60):
+        words = list(rng.choice(pool))
+        for _ in range(rng.randint(0, 14)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randint(0, 1)] = [word()] * rng.randint(0, 1)
+        rows.append((i, " ".join(words)))
+    gone, lines = set(), [t.split() for _, t in rows]
+    for i, x in enumerate(lines):
+        if any(word_edits(x, y) <= max(1, min(len(x), len(y)) // 30) for y in lines[:i]):
+            gone.add(i)
+    assert kept(spark, rows) == {i: "" if i in gone else t for i, t in rows}
+    one = {i for i, x in enumerate(lines) if any(word_edits(x, y) <= 1 for y in lines[:i])}
+    assert len(gone - one) > 5 and len(gone) < 58
+
+
+def test_edits_within():
+    rng = random.Random(2)
+    for _ in range(300):
+        x, y = rng.choices("abc", k=rng.randint(0, 9)), rng.choices("abc", k=rng.randint(0, 9))
+        assert all(edits_within(x, y, k) == (word_edits(x, y) <= k) for k in range(6))

@@ -1,7 +1,7 @@
 import datetime as dt
 
 import pytest
-from conftest import plan
+from plans_text import plan
 from pyspark.sql import functions as F
 
 from lorekeep.functions.filters import compile_filter

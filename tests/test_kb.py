@@ -1,5 +1,5 @@
 import pytest
-from conftest import plan
+from plans_text import plan
 from pyspark.sql import functions as F
 
 from lorekeep.functions.scorers import jaccard

@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from conftest import plan
+from plans_text import plan
 from pyspark.sql import functions as F
 
 from lorekeep.operators import context as ctx

@@ -2,7 +2,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import plan
+from plans_text import plan
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

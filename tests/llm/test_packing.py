@@ -70,18 +70,22 @@ def text(rng, n):
 @given(st.lists(st.text(alphabet=" \n\tab'sé1.  　日🙂\x85\x1c<|>", max_size=30), min_size=1, max_size=5))
 def test_ids_equal_the_tokenizers(texts):
     raw = [t.encode() for t in texts]
-    ids, bounds = packing.Coder(PATH)(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    ids, bounds = packing.coder(PATH)(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [ids_of(t) for t in texts]
 
 
-def test_table_of_pieces_is_bounded(monkeypatch):
-    monkeypatch.setattr(packing, "KEPT_PIECES", 50)
-    rng, coder = random.Random(1), packing.Coder(PATH)
-    for _ in range(30):
-        words = " ".join(str(rng.random()) for _ in range(40)) + " " + "y" * 500
-        ids, _ = coder(np.frombuffer(words.encode(), np.uint8), np.array([0, len(words.encode())]))
-        assert ids.tolist() == ids_of(words)
-        assert len(coder.known) <= 50 + 41
+def test_ids_of_every_vocabulary_entry_and_long_words(monkeypatch):
+    words = [t for t in (TOKENIZER.decode([i]) for i in range(TOKENIZER.get_vocab_size())) if "\ufffd" not in t]
+    words += ["xq" * 4000, "e" * 5000, " " * 700 + "a", "don't " * 300, "é" * 999, "a|b " * 50, "<|endoftext|> x<|endoftext|>"]
+    raw = [t.encode() for t in words]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    want = [ids_of(t) for t in words]
+    coder = packing.coder(PATH)
+    assert coder.fast is not None
+    for _ in range(2):
+        ids, bounds = coder(data, offsets)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == want
+        monkeypatch.setattr(coder, "fast", None)
 
 
 def test_knapsack_and_patterns_against_plain_search():

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.filters import compile_filter
 from lorekeep.operators.embed import postings
+from lorekeep.operators.ivf import next_version
 from lorekeep.operators.search import BROADCAST_BYTES, question_bytes, rank_hits
 from lorekeep.session import checkpointed, stored_table
 
@@ -24,9 +25,9 @@ from lorekeep.session import checkpointed, stored_table
 ROWS_PER_PART = 200_000
 
 
-def default_parts(rows: int) -> int:
-    """Buckets grow with the data, so a bucket stays one task's work."""
-    return max(1, math.ceil(rows / ROWS_PER_PART))
+def default_parts(spark: SparkSession, rows: int) -> int:
+    """One bucket per task slot at least; buckets grow with the data, so a bucket stays one task's work."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(rows / ROWS_PER_PART))
 
 
 def _marked(bags: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def build_postings(bags: DataFrame, table: str, path: str, parts: int | None = N
 
     ``parts`` buckets, by default as many as the number of rows asks for.
     """
-    _save(bags.select("id", "vector"), table, path, parts or default_parts(bags.count()), 0, "overwrite")
+    _save(bags.select("id", "vector"), table, path, parts or default_parts(bags.sparkSession, bags.count()), 0, "overwrite")
 
 
 def _current(spark: SparkSession, path: str) -> DataFrame:
@@ -68,16 +69,16 @@ def refresh_postings(bags: DataFrame, table: str, path: str) -> None:
     """Bring the index up to date: new and changed rows are added as the next version, the former
     postings of changed and removed ids are noted as gone."""
     spark = bags.sparkSession
-    stored = spark.read.parquet(f"{path}/known")
-    last = stored.agg(F.max("version").alias("v"), F.max("parts").alias("p")).first()
+    parts = spark.read.parquet(f"{path}/known").agg(F.max("parts")).first()[0]
+    version = next_version(spark, path, "known")
     known, wanted = _current(spark, path).select("id", "mark"), _marked(bags)
     new = checkpointed(wanted.select("id", "mark").join(known, ["id", "mark"], "left_anti").select("id").distinct())
     gone = checkpointed(known.join(wanted.select("id", "mark"), ["id", "mark"], "left_anti").select("id").distinct())
     if not gone.isEmpty():
-        gone.write.mode("overwrite").parquet(f"{path}/gone/before={last['v'] + 1}")
+        gone.write.parquet(f"{path}/gone/before={version}")
     if not new.isEmpty():
         rows = bags.select("id", "vector").join(new, "id", "left_semi")
-        _save(rows, table, path, last["p"], last["v"] + 1, "append")
+        _save(rows, table, path, parts, version, "append")
 
 
 def search_postings(

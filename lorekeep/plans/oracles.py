@@ -295,6 +295,10 @@ ORACLES: dict[str, str] = {
     "job_staged": """SELECT CASE WHEN date_trunc('month', o_orderdate) = DATE '1996-03-01'
           THEN 'main' ELSE 'staging' END AS place, count(*) AS n_rows FROM orders GROUP BY 1""",
     "kb_search_ivf_nprobe": VECTOR,
+    "kb_search_ivf_tree": VECTOR,
+    "kb_search_postings_pruned": f"{text_search(5)} SELECT {SEARCH_COLUMNS} FROM hit",
+    "kb_index_removed": VECTOR.replace("CROSS JOIN q)", "CROSS JOIN q WHERE e.vec_id % 7 <> 0)"),
+    "kb_postings_removed": f"{text_search(5, DOCS + ' WHERE doc_id % 7 <> 0')} SELECT {SEARCH_COLUMNS} FROM hit",
     "kb_search_ivf_filtered": VECTOR_OF_SMALL_LABELS,
     "kb_index_refresh": VECTOR,
     "kb_postings_refresh": f"""{text_search(5, DOCS + " WHERE lang <> 'fr' AND n_chars > 500")}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions.filters import compile_filter
 from lorekeep.operators import context as ctx
 from lorekeep.operators import evaluate as ev
+from lorekeep.operators import blocks as block_index
 from lorekeep.operators import ivf, models, summarize
 from lorekeep.operators import postings as posting_index
 from lorekeep.operators.embed import hash_bags, idf_kind, postings
@@ -584,6 +585,49 @@ def kb_search_ivf_nprobe(spark: SparkSession, sf: str) -> DataFrame:
     return ivf.search_index(spark, path, class_questions(spark, sf), 5, nprobe=8, broadcast_bytes=4096)
 
 
+def kb_search_ivf_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Two levels of centres with every list of every group probed: the exact result."""
+    path = new_dir(spark, "ivf")
+    ivf.build_tree_index(vectors(spark, sf), path, lists=16)
+    n = ivf.read_tree(spark, path)
+    return ivf.search_index(spark, path, class_questions(spark, sf), 5, nprobe=len(n.lists), groups=len(n.groups))
+
+
+def kb_search_postings_pruned(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings in blocks of falling weight; blocks that cannot reach the best five are not read."""
+    path, rows = new_dir(spark, "blocks"), document_rows(spark, sf).select("id", "vector")
+    block_index.build_blocks(rows, path)
+    return block_index.search_blocks(spark, path, rows, hash_bags(benchmark_questions(spark, sf), "question"), 5)
+
+
+def _refreshes(rows: DataFrame) -> list[DataFrame]:
+    """What an index follows: a third removed, then two, then one of them back with its rows as they were."""
+    third = F.pmod(F.xxhash64("id"), F.lit(3))
+    return [rows.filter(third != 0), rows.filter(third == 2), rows.filter(third != 1), rows.filter("id % 7 <> 0")]
+
+
+def kb_index_removed(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows leave the index in three refreshes, some come back: what is gone stays gone."""
+    path, rows = new_dir(spark, "ivf"), vectors(spark, sf)
+    ivf.build_index(rows, path)
+    for kept in _refreshes(rows):
+        ivf.refresh_index(kept, path)
+    return ivf.search_index(spark, path, class_questions(spark, sf), 5)
+
+
+def kb_postings_removed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same for postings."""
+    path = new_dir(spark, "postings")
+    catalog.ensure_source(spark, "lore_index")
+    name = "lore_index." + re.sub(r"\W", "_", path.rsplit("/", 1)[-1])
+    rows = document_rows(spark, sf).select("id", "vector")
+    posting_index.build_postings(rows, name, path, parts=8)
+    for kept in _refreshes(rows):
+        posting_index.refresh_postings(kept, name, path)
+    questions = hash_bags(benchmark_questions(spark, sf), "question")
+    return posting_index.search_postings(spark, name, path, questions, 5)
+
+
 def kb_search_ivf_filtered(spark: SparkSession, sf: str) -> DataFrame:
     path = new_dir(spark, "ivf")
     ivf.build_index(vectors(spark, sf), path)
@@ -726,7 +770,7 @@ QUERIES: dict[str, Query] = {
         model_predict_literal, model_refit, model_summarize,
         rag_context, rag_context_tables, rag_prompt, rag_answer,
         kb_incremental, kb_feed, job_gated, job_staged, run_history, run_status,
-        kb_search_ivf_nprobe, kb_search_ivf_filtered, kb_index_refresh, kb_postings_refresh, kb_compact,
+        kb_search_ivf_nprobe, kb_search_ivf_tree, kb_search_postings_pruned, kb_index_removed, kb_postings_removed, kb_search_ivf_filtered, kb_index_refresh, kb_postings_refresh, kb_compact,
         eval_doc_id_custom, rag_context_custom, rag_with_tables, model_predict_text_label,
         model_refit_by_name, job_staged_late, run_errors,
     )

@@ -21,6 +21,7 @@ from lorekeep.session import checkpointed, union_all
 
 # Fixed value: the answer to a question without any context.
 NO_RESULT = "Agent returned no results or an empty DataFrame."
+FUSED_FROM = 60  # reciprocal ranks count from here, the usual constant
 DEFAULT_TEMPLATE = "{{question}}\n{{context}}"
 
 
@@ -29,22 +30,29 @@ def retrieve(
     questions: DataFrame,
     k: int = 5,
     filters: Mapping[str, Mapping[str, Any]] | None = None,
+    fuse: bool = False,
 ) -> DataFrame:
     """``question_id, kb, id, content, score, rank``: the best k rows over all bases.
 
+    Scores of one kind are ranked against each other. Bases that score in different ways (bags or dense vectors,
+    other embedders or rerankers) need ``fuse``: a row's score is then ``1 / (60 + rank)`` by its rank within its base.
+
     Each base embeds, compares and reranks in its own way. Bases with ids of different types
     give ids as text. Content is joined after the global top k, so only winners are read with their text.
     """
     if not kbs:
         raise ValueError("at least one knowledge base is needed")
     bases = {name: as_base(kb) for name, kb in kbs.items()}
+    ways = {(base.kind, base.embedder, base.reranker) for base in bases.values()}
+    if len(ways) > 1 and not fuse:
+        raise ValueError("the bases score in different ways: use fuse=True to merge them by their ranks")
     rows = {name: base.rows() for name, base in bases.items()}
     if len({r.schema["id"].dataType for r in rows.values()}) > 1:
         rows = {name: r.withColumn("id", F.col("id").cast("string")) for name, r in rows.items()}
     per_kb = [
         checkpointed(
             base.score(questions, k, (filters or {}).get(name), rows[name])
-            .select("question_id", "id", "score")
+            .select("question_id", "id", (F.lit(1.0) / (FUSED_FROM + F.col("rank")) if fuse else F.col("score")).alias("score"))
             .withColumn("kb", F.lit(name))
         )
         for name, base in bases.items()

@@ -16,11 +16,12 @@ from lorekeep.operators.kernels import bag_entries, usable
 from lorekeep.operators.search import VectorKind
 
 IDF_SCALE = 100
+HASH_DIM = "hash_dim"  # in the metadata of a column of bags: the number of its buckets
 
 
 def hash_bags(df: DataFrame, content: str = "content", dim: int = DEFAULT_DIM) -> DataFrame:
-    """Add ``vector``: one hash bucket per token. Row-local, no shuffle."""
-    return df.withColumn("vector", term_buckets(F.col(content), dim))
+    """Add ``vector``: one hash bucket per token. Row-local, no shuffle. The column knows its ``dim``."""
+    return df.withColumn("vector", term_buckets(F.col(content), dim)).withMetadata("vector", {HASH_DIM: dim})
 
 
 def postings(bags: DataFrame) -> DataFrame:

@@ -52,12 +52,8 @@ def generate_tests_from_sql(
 
 
 def as_base(kb: Base | DataFrame) -> Base:
-    """A frame counts as a base of hashed bags of the default dimension; other vectors raise."""
-    if isinstance(kb, Base):
-        return kb
-    base = FrameBase(kb)
-    base.check()
-    return base
+    """A frame counts as a base of hashed bags, whose column names their dimension; other vectors raise."""
+    return kb if isinstance(kb, Base) else FrameBase(kb)
 
 
 def evaluate_doc_id(kb: Base | DataFrame, tests: DataFrame, k: int = 5, filters: Mapping[str, Any] | None = None) -> DataFrame:

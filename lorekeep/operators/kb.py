@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -13,11 +14,11 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.scorers import PairScorer
 from lorekeep.functions.text import DEFAULT_DIM
-from lorekeep.operators import ivf
-from lorekeep.operators.embed import hash_bags
+from lorekeep.operators import blocks, ivf
+from lorekeep.operators.embed import HASH_DIM, hash_bags
 from lorekeep.operators.limits import first_rows
 from lorekeep.operators.rerank import rerank
-from lorekeep.operators.search import BAG, VectorKind, fetch, search
+from lorekeep.operators.search import BAG, LOOKUP_BYTES, VectorKind, fetch, maybe_wanted, search
 from lorekeep.session import checkpointed, new_dir, stored_table, union_all
 
 RESERVED = ("id", "content", "vector", "batch_id", "feed", "ingest_ts")
@@ -107,6 +108,22 @@ def latest_rows(rows: DataFrame, repeated: DataFrame) -> DataFrame:
     return joined.filter(F.col("_keep").isNull() | (F.col("_keep") == batch)).drop("_keep")
 
 
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is one of the stored ``ids``, which are broadcast while they are few; beyond, bits of bounded size thin the rows before they are shuffled."""
+    if ids.count() * 64 <= LOOKUP_BYTES:
+        return rows.join(F.broadcast(ids), "id", "left_semi")
+    return maybe_wanted(rows, ids).join(ids, "id", "left_semi")
+
+
+def without_removed(rows: DataFrame, removed: DataFrame) -> DataFrame:
+    """Rows that no removal of their own or a later batch names."""
+    batch = F.struct(F.col("batch_id").cast("bigint").alias("batch_id"), F.col("feed").cast("string").alias("feed"))
+    last = checkpointed(removed.groupBy("id").agg(F.max(batch).alias("_removed")))
+    small = last.count() * 96 <= LOOKUP_BYTES
+    joined = rows.join(F.broadcast(last) if small else last, "id", "left")
+    return joined.filter(F.col("_removed").isNull() | (batch > F.col("_removed"))).drop("_removed")
+
+
 Embedder = Callable[[DataFrame, str], DataFrame]
 
 
@@ -193,20 +210,20 @@ class Base:
 class FrameBase(Base):
     """A base over a frame with ``id, content, vector`` and metadata columns.
 
-    The frame's vectors must have been made as the options say; hashed bags beyond ``dim`` buckets raise.
+    The frame's vectors must have been made as the options say. Bags need their dimension: that of ``hash_bags``
+    is known from its column, for others ``dim`` names it. A ``dim`` that is not the column's raises.
     """
 
-    def __init__(self, frame: DataFrame, **options: Any) -> None:
-        super().__init__(frame.sparkSession, **options)
+    def __init__(self, frame: DataFrame, dim: int | None = None, **options: Any) -> None:
+        if options.get("embedder") is None and not options.get("kind", BAG).dense:
+            known = frame.schema["vector"].metadata.get(HASH_DIM)
+            if dim is None and known is None:
+                raise ValueError("the frame's bags do not name their dimension: give dim")
+            if known is not None and dim not in (None, known):
+                raise ValueError(f"the frame's bags have {known} buckets, not {dim}")
+            dim = dim or known
+        super().__init__(frame.sparkSession, dim or DEFAULT_DIM, **options)
         self.frame = frame
-        if self.embedder is None and not self.kind.dense:
-            beyond = F.max(F.array_max("vector")).alias("most")
-            self._most = lambda: frame.agg(beyond).first()["most"]
-
-    def check(self) -> None:
-        """Raise if a hashed bag has a bucket that questions of this base cannot have."""
-        if self.embedder is None and not self.kind.dense and (self._most() or 0) >= self.dim:
-            raise ValueError(f"the frame's vectors have more than {self.dim} buckets")
 
     def rows(self) -> DataFrame:
         return self.frame
@@ -221,18 +238,19 @@ class KnowledgeBase(Base):
     A batch is known by its feed and number: writing it again replaces it, so a retried load
     changes nothing, and feeds with numbers of their own do not meet. Of one id the row of the
     highest batch number wins (ties: the feed's name that sorts last). Ids that occur in several batches are noted when
-    a batch is written, so reading costs one look-up of these, however many batches there are.
+    a batch is written, so reading costs one look-up of these, however many batches there are. Removals are notes by batch too.
     How vectors were made is stored with the first batch; opening the folder otherwise raises. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, spec: KnowledgeBaseSpec, **options: Any) -> None:
         super().__init__(spark, spec.dim, **options)
         self.path, self.spec, self.options = path.rstrip("/"), spec, options
-        self.data, self.repeats = f"{self.path}/rows", f"{self.path}/_repeats"
+        self.data, self.repeats, self.removed = f"{self.path}/rows", f"{self.path}/_repeats", f"{self.path}/_removed"
         self.checked = False
 
     def _made(self) -> dict[str, Any]:
-        return {"dim": self.spec.dim if self.embedder is None else None, "dense": self.kind.dense, "embedder": self.embedder is not None}
+        name = None if self.embedder is None else getattr(self.embedder, "__qualname__", type(self.embedder).__qualname__)
+        return {"dim": self.spec.dim if self.embedder is None else None, "dense": self.kind.dense, "embedder": name}
 
     def check(self) -> bool:
         """Whether the base has been written; raises if its vectors were made in another way."""
@@ -252,12 +270,30 @@ class KnowledgeBase(Base):
             raise ValueError("a feed is named by letters, digits and underscores, and not as compactions are")
         newest_rows = newest(source.select(*self.spec.source_columns()), limit, self.spec.id_column)
         rows = one_row_per_id(project_source(newest_rows, self.spec))
+        self._note_repeats(rows.select("id"), feed, batch_id)
         rows = self.embed(rows, "content").withColumn("ingest_ts", F.current_timestamp())
         self._write(rows, self.data, feed, batch_id)
+
+    def _note_repeats(self, ids: DataFrame, feed: str, batch_id: int) -> None:
+        """Note the ids that other batches hold before the rows can be read, so no reader sees one twice.
+
+        Stored ids meet the batch's ids where they lie: these are broadcast, or a filter of bounded size thins the
+        stored ones first. Notes only grow; one id too many costs a look-up.
+        """
+        stored = stored_table(self.spark, self.data)
+        if stored is None:
+            return
         own = (F.col("feed") == feed) & (F.col("batch_id") == batch_id)
-        ids = self.all_rows().select("id", "feed", "batch_id")
-        again = ids.filter(own).select("id").join(ids.filter(~own).select("id"), "id", "left_semi")
-        again.distinct().write.mode("overwrite").parquet(f"{self.repeats}/feed={feed}/batch_id={batch_id}")
+        again = among(stored.filter(~own).select("id"), checkpointed(ids.distinct()))
+        again.distinct().write.mode("append").parquet(f"{self.repeats}/feed={feed}/batch_id={batch_id}")
+
+    def delete(self, ids: DataFrame, batch_id: int, feed: str = "main") -> None:
+        """Remove the rows of ``ids`` (column ``id``) in all batches up to this one, which has a number like an append.
+
+        Rows of later batches come back; a retried delete replaces its note. Rows of a batch of the same number and feed go too.
+        """
+        noted = ids.select("id").filter("id IS NOT NULL").distinct()
+        noted.write.mode("overwrite").parquet(f"{self.removed}/feed={feed}/batch_id={batch_id}")
 
     def _write(self, rows: DataFrame, data: str, feed: str, batch_id: int) -> None:
         """Bloom filters on the id let a lookup of few hits skip most row groups."""
@@ -275,10 +311,10 @@ class KnowledgeBase(Base):
 
     def rows(self) -> DataFrame:
         """The current row of every id."""
-        rows, repeated = self.all_rows(), stored_table(self.spark, self.repeats)
-        if repeated is None or repeated.isEmpty():
-            return rows
-        return latest_rows(rows, repeated.select("id").distinct())
+        rows, repeated, removed = self.all_rows(), stored_table(self.spark, self.repeats), stored_table(self.spark, self.removed)
+        if repeated is not None and not repeated.isEmpty():
+            rows = latest_rows(rows, repeated.select("id").distinct())
+        return rows if removed is None else without_removed(rows, removed)
 
     def compact(self, path: str | None = None) -> KnowledgeBase:
         """Write the current rows to a new folder and return the base there.
@@ -304,12 +340,21 @@ class KnowledgeBase(Base):
         return super().query(text, filters, limit, ["content", *self.spec.metadata] if columns is None else columns)
 
     def index_path(self) -> str:
-        return f"{self.path}/_ivf"
+        return f"{self.path}/{'_ivf' if self.kind.dense else '_blocks'}"
 
     def index(self, lists: int | None = None) -> None:
-        """Build the inverted-file index of a base with dense vectors, or bring it up to date."""
+        """Build the index of the base or bring it up to date: an inverted file of dense vectors, postings in blocks
+        of bags, which are written anew with a copy of ids and bags. Weighted bags are not indexed."""
         if not self.kind.dense:
-            raise ValueError("the inverted file holds dense vectors; for bags use a postings table")
+            if self.kind != BAG:
+                raise ValueError("postings hold plain bags, not weighted ones")
+            bags = self.rows().select("id", "vector")
+            path = f"{self.index_path()}/{uuid.uuid4().hex}"
+            bags.write.parquet(f"{path}/rows")
+            indexed = self.spark.read.parquet(f"{path}/rows")
+            blocks.build_blocks(indexed, path)
+            self.spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_indexed")
+            return
         rows = self.rows().drop("content", "batch_id", "feed", "ingest_ts")
         if stored_table(self.spark, f"{self.index_path()}/centres") is None:
             ivf.build_index(rows, self.index_path(), lists)
@@ -325,4 +370,9 @@ class KnowledgeBase(Base):
     ) -> DataFrame:
         """``question_id, id, score, rank`` from the index as it was last brought up to date."""
         asked = self.embed(questions.select("question_id", "question")).select("question_id", "vector")
+        if not self.kind.dense:
+            if filters is not None or nprobe is not None:
+                raise ValueError("the postings of a base take neither filters nor probes; search() filters")
+            path = self.spark.read.parquet(f"{self.path}/_indexed").first()["path"]
+            return blocks.search_blocks(self.spark, path, self.spark.read.parquet(f"{path}/rows"), asked, k)
         return ivf.search_index(self.spark, self.index_path(), asked, k, nprobe, filters)

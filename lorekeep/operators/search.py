@@ -171,11 +171,11 @@ def lookup(hits: DataFrame, kb: DataFrame, columns: Sequence[str]) -> DataFrame:
     elif ids.count() * 64 <= LOOKUP_BYTES:
         found = rows.join(F.broadcast(ids), "id", "left_semi")
     else:
-        found = _maybe_wanted(rows, ids)
+        found = maybe_wanted(rows, ids)
     return hits.join(found, "id")
 
 
-def _maybe_wanted(rows: DataFrame, ids: DataFrame) -> DataFrame:
+def maybe_wanted(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose id shares its bit with one of ``ids``; the bits have at most ``LOOKUP_BYTES``."""
     n_bits = LOOKUP_BYTES * 8
     slot = F.pmod(F.xxhash64("id"), F.lit(n_bits))

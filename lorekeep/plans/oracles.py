@@ -198,6 +198,19 @@ ORACLES: dict[str, str] = {
     "kb_upsert": """SELECT doc_id AS id, (lang = 'fr')::BIGINT AS batch_id,
         md5(CASE WHEN lang = 'fr' THEN 'new: ' || text ELSE text END) AS content_md5
         FROM documents""",
+    "kb_delete": """SELECT doc_id AS id, 'compacted' AS feed, md5(CASE WHEN lang = 'fr' THEN 'back: ' || text ELSE text END) AS content_md5
+        FROM documents WHERE NOT coalesce(lang = 'fr' AND doc_id % 2 <> 0, false) AND NOT coalesce(lang = 'de' AND doc_id % 3 = 0, false)""",
+    "kb_index_bags": f"{text_search(5, DOCS + ' WHERE lang IS NOT NULL AND doc_id % 11 <> 0')} SELECT {SEARCH_COLUMNS} FROM hit",
+    "rag_fused": f"""{text_search(6)},
+        vowel AS (SELECT id, which, list_transform(['a', 'e', 'i', 'o', 'u'], lambda v: length(t) - length(replace(t, v, ''))) AS c
+          FROM (SELECT id, 'kb' AS which, lower(text) AS t FROM ({DOCS}) UNION ALL SELECT id, 'q', lower(text) FROM ({ASKED}))),
+        near AS (SELECT q.id AS question_id, d.id, round(list_sum(list_transform(range(1, 6), lambda i: q.c[i] * d.c[i]))
+            / (sqrt(list_sum(list_transform(q.c, lambda x: x * x))) * sqrt(list_sum(list_transform(d.c, lambda x: x * x)))), 6) AS score
+          FROM vowel q JOIN vowel d ON q.which = 'q' AND d.which = 'kb' WHERE list_sum(d.c) > 0 AND list_sum(q.c) > 0),
+        ranked AS (SELECT 'vowels' AS kb, question_id, id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id) AS r FROM near QUALIFY r <= 6
+          UNION ALL SELECT 'words', question_id, id, rank FROM hit)
+        SELECT question_id, kb, id, round(1.0::DOUBLE / (60 + r), 6) AS score,
+          row_number() OVER (PARTITION BY question_id ORDER BY 1.0::DOUBLE / (60 + r) DESC, kb, id)::BIGINT AS rank FROM ranked QUALIFY rank <= 6""",
     "kb_embed": f"WITH {bags('kb', DOCS)} SELECT id, b AS bucket, w FROM kb",
     "kb_index_ivf": """SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_ids,
         0::BIGINT AS n_repeated FROM embeddings""",

@@ -227,6 +227,31 @@ def kb_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return kb.rows().select("id", "batch_id", F.md5("content").alias("content_md5"))
 
 
+def kb_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows are removed, some come back with other content, others go, then the base is compacted."""
+    source = documents(spark, sf).select("doc_id", "text", "lang")
+    ids = source.select(F.col("doc_id").alias("id"), "lang")
+    kb = KnowledgeBase(spark, new_dir(spark, "kb"), KnowledgeBaseSpec("doc_id", ("text",)))
+    kb.append(source, 0)
+    kb.delete(ids.filter("lang = 'fr'"), 1)
+    back = source.filter("lang = 'fr' AND doc_id % 2 = 0").withColumn("text", F.concat(F.lit("back: "), "text"))
+    kb.append(back, 2)
+    kb.delete(ids.filter("lang = 'de' AND id % 3 = 0"), 3)
+    return kb.compact().rows().select("id", "feed", F.md5("content").alias("content_md5"))
+
+
+def kb_index_bags(spark: SparkSession, sf: str) -> DataFrame:
+    """A base of bags follows its rows: indexed, changed, indexed again and asked through its index."""
+    source = documents(spark, sf).select("doc_id", "text", "lang")
+    kb = KnowledgeBase(spark, new_dir(spark, "kb"), KnowledgeBaseSpec("doc_id", ("text",)))
+    kb.append(source.filter("lang <> 'en'"), 0)
+    kb.index()
+    kb.append(source.filter("lang = 'en'"), 1)
+    kb.delete(source.select(F.col("doc_id").alias("id")).filter("id % 11 = 0"), 2)
+    kb.index()
+    return kb.search_indexed(benchmark_questions(spark, sf), 5)
+
+
 def kb_embed(spark: SparkSession, sf: str) -> DataFrame:
     return postings(document_rows(spark, sf)).select("id", "bucket", "w")
 
@@ -445,6 +470,21 @@ def rag_context(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("question_id", "kb", "id", "score", "rank")
 
 
+def _vowels(df: DataFrame, column: str) -> DataFrame:
+    """A small dense embedding: how often each vowel occurs."""
+    text = F.lower(column)
+    counts = [(F.length(text) - F.length(F.replace(text, F.lit(v), F.lit("")))).cast("double") for v in "aeiou"]
+    return df.withColumn("vector", F.array(*counts))
+
+
+def rag_fused(spark: SparkSession, sf: str) -> DataFrame:
+    """Two bases that score in different ways, merged by the rows' ranks."""
+    rows = documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    dense = FrameBase(_vowels(rows, "content"), embedder=_vowels, kind=DENSE)
+    found = ctx.retrieve({"words": document_rows(spark, sf), "vowels": dense}, benchmark_questions(spark, sf), 6, fuse=True)
+    return found.select("question_id", "kb", "id", F.round("score", 6).alias("score"), "rank")
+
+
 def rag_context_tables(spark: SparkSession, sf: str) -> DataFrame:
     found = ctx.retrieve(_bases(spark, sf), benchmark_questions(spark, sf), 5)
     labels = table(spark, sf, "labels")
@@ -762,7 +802,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         source_scan, source_refresh, sql_passthrough, sql_top,
         kb_content, kb_metadata, kb_defaults, kb_ingest_topn, kb_append, kb_upsert, kb_embed,
-        kb_index_ivf, kb_index_postings,
+        kb_index_ivf, kb_index_postings, kb_delete, kb_index_bags, rag_fused,
         kb_search_text, kb_search_stored, kb_search_idf, kb_search_vector, kb_search_ivf,
         kb_filter_eq, kb_filter_range, kb_search_filtered, kb_search_batch, kb_search_rerank,
         eval_doc_id, eval_relevancy, eval_generate, eval_generate_sql, eval_saved,

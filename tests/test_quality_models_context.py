@@ -208,8 +208,9 @@ def test_other_dimensions_find_their_documents(spark, kb):
     tests = rows.filter("id < 4").selectExpr("id AS question_id", "content AS question", "id AS expected_doc_id")
     assert ev.evaluate_doc_id(small, tests, 5).first()["found"] == 3
     assert ev.evaluate_doc_id(kb, tests, 5).first()["found"] == 3
+    assert ev.evaluate_doc_id(hash_bags(rows, dim=1 << 19), tests, 5).first()["found"] == 3  # the column names its buckets
     with pytest.raises(ValueError, match="buckets"):
-        ev.evaluate_doc_id(hash_bags(rows, dim=1 << 19), tests)
+        FrameBase(hash_bags(rows, dim=1 << 19), dim=4096)
     asked = tests.select("question_id", "question")
     assert ctx.retrieve({"s": small}, asked, 1).filter("id = question_id").count() == 3
 

@@ -42,13 +42,11 @@ def usable(vector: str) -> Column:
     return F.col(vector).isNotNull() & ~odd & F.exists(vector, lambda x: x != 0)
 
 
-def prepared(rows: DataFrame, id_column: str, vector: str) -> tuple[DataFrame, int]:
-    """``id, vector`` (doubles) of the rows that take part, and their dimension (0: none does)."""
+def prepared(rows: DataFrame, id_column: str, vector: str) -> DataFrame:
+    """``id`` (bigint), ``vector`` of the rows that take part."""
     require(rows, id_column, vector)
-    good = rows.select(F.col(id_column).alias("id"), F.col(vector).alias("vector")).filter(usable("vector")).filter("id IS NOT NULL")
-    sizes = good.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    dim = sizes["d"] if sizes else 0
-    return good.filter(F.size("vector") == dim), dim
+    good = rows.select(F.col(id_column).cast("bigint").alias("id"), F.col(vector).alias("vector"))
+    return good.filter(usable("vector")).filter("id IS NOT NULL")
 
 
 def _matrix(column: pa.Array, dim: int, kind: type = np.float64) -> np.ndarray:
@@ -171,19 +169,31 @@ def scan_block(index: DataFrame, queries: pa.Table, centre: np.ndarray, dim: int
 
 
 def nearest(rows: DataFrame, queries: DataFrame, id_column: str, vector: str, k: int = 20, epsilon: float = EPSILON, block_bytes: int = BLOCK_BYTES, seed: int = 7) -> DataFrame:
-    """``query_id, rank, vec_id, score``: for each query row its k nearest rows of another id.
+    """``query_id, rank, vec_id, score``: for each query id its k nearest rows of another id.
 
-    ``queries`` has the columns of ``rows``. Ids are integers. An empty side gives no rows.
+    ``queries`` has the columns of ``rows``. Ids are integers of any width. Inner products need equal lengths, so every
+    length of vector has an index of its own and its queries are answered from it. Query rows of one id share one
+    list. An empty side gives no rows.
     """
     if k < 1:
         raise ValueError("k must be positive")
     empty = rows.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    good, dim = prepared(rows, id_column, vector)
-    if not dim:
+    good, asked = prepared(rows, id_column, vector), checkpointed(prepared(queries, id_column, vector).distinct())
+    sizes = [r["d"] for r in asked.select(F.size("vector").alias("d")).distinct().collect()]
+    hits = [h for dim in sorted(sizes) for h in _hits(good.filter(F.size("vector") == dim), asked.filter(F.size("vector") == dim), dim, k, epsilon, block_bytes, seed)]
+    if not hits:
         return empty
+    found = functools.reduce(DataFrame.unionAll, hits)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _hits(good: DataFrame, asked: DataFrame, dim: int, k: int, epsilon: float, block_bytes: int, seed: int) -> list[DataFrame]:
+    """``query_id, vec_id, score`` per block of the queries of one length; no block where no row has that length."""
+    if good.isEmpty():
+        return []
     index, centre = build_index(good, dim, k, seed)
-    asked = queries.select(F.col(id_column).alias("id"), F.col(vector).alias("vector")).filter(usable("vector") & (F.size("vector") == dim))
-    asked = checkpointed(asked.filter("id IS NOT NULL").distinct())
     count = asked.count()
     blocks = max(1, math.ceil(count * (8 * dim + 16) / block_bytes))
     hits = []
@@ -191,9 +201,4 @@ def nearest(rows: DataFrame, queries: DataFrame, id_column: str, vector: str, k:
         block = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
         if block.num_rows:
             hits.append(scan_block(index, block, centre, dim, k, epsilon, seed))
-    if not hits:
-        return empty
-    found = functools.reduce(DataFrame.unionAll, hits)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return hits

@@ -67,3 +67,15 @@ def test_odd_rows(spark):
     assert found(nearest(df.filter("vec_id = 0"), df.filter("vec_id = 0"), "vec_id", "embedding")) == {}
     with pytest.raises(ValueError):
         nearest(df, df, "vec_id", "embedding", 0)
+
+
+def test_every_length_of_vectors_and_narrow_ids(spark):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(60)] + [(100 + i, [float(i), 2.0, -1.0]) for i in range(41)] + [(300, [5.0])]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<float>")
+    got = found(nearest(df, df.filter("vec_id % 20 = 0"), "vec_id", "embedding", 5))
+    for length in (2, 3):
+        same = [r for r in rows if len(r[1]) == length]
+        asked = [i for i, _ in same if i % 20 == 0]
+        want = brute(same, asked, 5)
+        assert {q: [i for i, _ in got[q]] for q in asked} == {q: [i for i, _ in want[q]] for q in asked}
+    assert 300 not in got

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lorekeep.llm.tables import checkpointed, require
 from lorekeep.llm.textkit import _BASE, _INVERSE, mix, powers, text_slices
@@ -131,8 +132,12 @@ def align(item: np.ndarray, region: np.ndarray, budget: int, low: int, high: int
     return int(row[k]), int(low + k + len(item))
 
 
-def scan_rows(chars: np.ndarray, offsets: np.ndarray, items: Items, q: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """``row, item, edits, start, end`` of the leaks of a buffer; places count within the row."""
+def scan_rows(chars: np.ndarray, offsets: np.ndarray, items: Items, q: int, every: bool = True) -> Iterator[tuple[int, int, int, int, int]]:
+    """``row, item, edits, start, end`` of the leaks of a buffer; places count within the row.
+
+    Of regions of one item that overlap, that with fewest edits counts (ties: the one with more shared q-grams).
+    Without ``every`` one region per row and item is enough.
+    """
     n_items = len(items.names)
     hashes = gram_hashes(chars, q)
     if not len(hashes) or not n_items:
@@ -163,13 +168,16 @@ def scan_rows(chars: np.ndarray, offsets: np.ndarray, items: Items, q: int) -> I
     which = (keys // n_bands) % n_items
     enough = counts >= items.bound[which]
     keys, counts, which = keys[enough], counts[enough], which[enough]
-    done = set()
+    done: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
     for k in np.argsort(-counts, kind="stable"):
         owner, i = int(keys[k] // n_bands // n_items), int(which[k])
-        if (owner, i) in done:
+        known = done.get((owner, i), [])
+        if known and not every:
             continue
         budget, pattern = int(items.edits[i]), items.chars[i]
         low = int(keys[k] % n_bands) * (budget + 1) - shift
+        if any(2 * (min(e, low + len(pattern)) - max(s, low)) > len(pattern) for _, s, e in known):
+            continue
         text = chars[offsets[owner] : offsets[owner + 1]]
         left = max(0, low - budget)
         right = min(len(text), low + 2 * (budget + 1) + len(pattern) + budget)
@@ -178,16 +186,21 @@ def scan_rows(chars: np.ndarray, offsets: np.ndarray, items: Items, q: int) -> I
         found = align(pattern, region, budget, *span)
         if found is None:
             continue
-        done.add((owner, i))
         edits, end = found
         back = align(pattern[::-1], region[:end][::-1], edits, -edits, edits, True) if edits else (0, len(pattern))
         start = end - (back[1] if back else len(pattern))
-        yield owner, i, edits, left + start, left + end
+        span = left + start, left + end
+        over = [x for x in known if x[1] < span[1] and span[0] < x[2]]
+        if all(edits < x[0] for x in over):
+            done[owner, i] = [x for x in known if x not in over] + [(edits, *span)]
+    for (owner, i), regions in done.items():
+        for edits, start, end in sorted(regions, key=lambda x: x[1]):
+            yield owner, i, edits, start, end
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE, q: int = Q, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``id, item_id, edits, start, end`` (characters) of each item that leaks into a text, once per
-    text and item; both ids keep their names."""
+    """``id, item_id, edits, start, end`` (characters) of each region of a text into which an item leaks; both ids
+    keep their names, with ``item_`` before the item's where they are equal. Regions of one item do not overlap."""
     require(docs, id_column, text)
     require(benchmark, item_id, item_text)
     if min_chars < q or not 0 <= rate < 1 / q:
@@ -199,6 +212,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
     rows = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text"))
     kinds = rows.schema["id"].dataType.simpleString(), items.schema["item"].dataType.simpleString()
     schema = f"id {kinds[0]}, item {kinds[1]}, edits int, start int, `end` int"
+    named = to_arrow_schema(items.schema).field("item").type
     spark = docs.sparkSession
 
     def scanned(block: int) -> DataFrame:
@@ -214,7 +228,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
                     found = list(scan_rows(*points(data, offsets), known, q))
                     if found:
                         owner, item, edits, start, end = zip(*found, strict=True)
-                        names = pa.array([known.names[i] for i in item])
+                        names = pa.array([known.names[i] for i in item], named)
                         yield pa.RecordBatch.from_pydict(
                             {"id": part.column("id").take(pa.array(owner)), "item": names, "edits": pa.array(edits, pa.int32()), "start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32())}
                         )
@@ -222,7 +236,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
         return rows.mapInArrow(scan, schema)
 
     leaks = functools.reduce(DataFrame.unionAll, [scanned(b) for b in range(blocks)])
-    return leaks.select(F.col("id").alias(id_column), F.col("item").alias(item_id), "edits", "start", "end")
+    return leaks.select(F.col("id").alias(id_column), F.col("item").alias(item_id if item_id != id_column else f"item_{item_id}"), "edits", "start", "end")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", item_text: str = "text", rate: float = RATE, q: int = Q, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -245,7 +259,7 @@ def _cleaner(told, text: str, q: int, rate: float):
             for part, data, offsets in text_slices(batch, text):
                 clean = np.ones(part.num_rows, bool)
                 if known:
-                    for owner, *_ in scan_rows(*points(data, offsets), known, q):
+                    for owner, *_ in scan_rows(*points(data, offsets), known, q, every=False):
                         clean[owner] = False
                 yield part.filter(pa.array(clean))
 

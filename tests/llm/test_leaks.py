@@ -38,7 +38,7 @@ def test_equals_brute_force(spark, seed):
             if len(item) >= 40 and leak_edits(item, text) <= min(int(0.05 * len(item) + 1e-9), (len(item) - 10) // 10):
                 want.add((i, j))
     found = find_leaks(*frames(spark, docs, items)).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in found} == want and len(found) == len(want) > 5
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want and len(found) >= len(want) > 5
     for r in found:
         stretch = dict(docs)[r["doc_id"]][r["start"] : r["end"]]
         assert leak_edits(dict(items)[r["item_id"]], stretch) <= r["edits"]
@@ -66,3 +66,24 @@ def test_align():
     assert align(to("abcd"), to("xxabcdxx"), 1, 0, 4) == (0, 6)
     assert align(to("abcd"), to("xxabdxx"), 1, 0, 4) == (1, 5)
     assert align(to("abcd"), to("zzzzzz"), 1, 0, 4) is None
+
+
+def test_every_region_integer_ids_and_equal_names(spark):
+    item = "how many legs does a spider have when it stands on the kitchen table at noon"
+    filler = " ".join(f"word{i}" for i in range(60))
+    near = item.replace("spider", "spidor")
+    text = f"{filler} {item} {filler} {near} {filler}"
+    docs = spark.createDataFrame([(1, text), (2, filler), (3, item)], "id int, text string")
+    items = spark.createDataFrame([(7, item), (8, None)], "id int, text string")
+    got = sorted(tuple(r) for r in find_leaks(docs, items, "id", "text", "id", "text").select("id", "item_id", "edits", "start", "end").collect())
+    second = text.index(near)
+    assert [g[:3] for g in got] == [(1, 7, 0), (1, 7, 1), (3, 7, 0)]
+    assert text[got[0][3] : got[0][4]] == item and abs(got[1][3] - second) <= 1 and abs(got[1][4] - second - len(near)) <= 1
+
+
+def test_overlapping_regions_count_once(spark):
+    item = "ab cd ef gh " * 8
+    docs = spark.createDataFrame([(1, "ab cd ef gh " * 40)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(5, item)], "item_id bigint, text string")
+    got = sorted((r["start"], r["end"]) for r in find_leaks(docs, items).collect())
+    assert got and all(a[1] <= b[0] for a, b in zip(got, got[1:]))

@@ -12,8 +12,8 @@ from lorekeep.functions.scorers import PairScorer, PandasPairScorer, coverage, s
 from lorekeep.functions.text import sentences
 from lorekeep.operators.kb import Base, FrameBase
 from lorekeep.operators.limits import first_rows
-from lorekeep.operators.search import fetch
-from lorekeep.session import checkpointed
+from lorekeep.operators.search import LOOKUP_BYTES, fetch, lookup
+from lorekeep.session import checkpointed, union_all
 from lorekeep.sources.sinks import save_table
 
 DEFAULT_TESTS = 20
@@ -51,6 +51,34 @@ def generate_tests_from_sql(
     return rows.limit(count)  # in the order of the query; without ORDER BY any rows
 
 
+RUN = 5  # words by which a passage and a text meet
+
+
+def passage_tests(rows: DataFrame, passages: DataFrame) -> DataFrame:
+    """``question_id, question, expected_doc_id``: every passage (``question_id, question``) with each of the rows (``id, content``) that hold it.
+
+    A passage of seven words or more is met by its second to sixth word, which stand in the text as they are; only
+    rows that share this run are searched. Passages are broadcast while they are few, else both sides meet by
+    a shuffle of hashes. Shorter passages, if there are any, are searched in every row.
+    """
+    words = F.split("question", " ")
+    known = passages.select("question_id", "question", F.size(words).alias("_n"), F.xxhash64(F.array_join(F.slice(words, 2, RUN), " ")).alias("_key"))
+    known = checkpointed(known.filter("question IS NOT NULL"))
+    keys = known.filter(F.col("_n") >= RUN + 2).select("question_id", "_key")
+    small = keys.count() * 64 <= LOOKUP_BYTES
+    text = F.split("content", " ")
+    runs = F.transform(F.sequence(F.lit(1), F.size(text) - RUN + 1), lambda i: F.xxhash64(F.array_join(F.slice(text, i, RUN), " ")))
+    runs = F.when(F.size(text) >= RUN, F.array_distinct(runs))
+    met = rows.select("id", F.explode_outer(runs).alias("_key")).join(F.broadcast(keys) if small else keys, "_key")
+    met = checkpointed(met.select("id", "question_id").distinct())
+    held = lookup(met, rows, ["content"]).join(known.select("question_id", "question"), "question_id").filter(F.contains("content", "question"))
+    found = [held.select("question_id", "question", F.col("id").alias("expected_doc_id"))]
+    short = known.filter(F.col("_n") < RUN + 2).select("question_id", "question")
+    if not short.isEmpty():
+        found.append(rows.join(short, F.contains("content", "question")).select("question_id", "question", F.col("id").alias("expected_doc_id")))
+    return union_all(found)
+
+
 def as_base(kb: Base | DataFrame) -> Base:
     """A frame counts as a base of hashed bags, whose column names their dimension; other vectors raise."""
     return kb if isinstance(kb, Base) else FrameBase(kb)

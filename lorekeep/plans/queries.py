@@ -722,8 +722,8 @@ def _small_base(spark: SparkSession, sf: str) -> FrameBase:
 
 def eval_doc_id_custom(spark: SparkSession, sf: str) -> DataFrame:
     """A base of another dimension, asked every benchmark text with each document that holds it."""
-    held = documents(spark, sf).join(F.broadcast(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("question"))), F.expr("contains(text, question)"))
-    tests = held.select(F.col("item_id").alias("question_id"), "question", F.col("doc_id").alias("expected_doc_id"))
+    rows = documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    tests = ev.passage_tests(rows, benchmark_questions(spark, sf))
     found = ev.evaluate(_small_base(spark, sf), tests)
     return found.select("questions", "found", "accuracy", "mrr")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lorekeep.operators import kb as kb_module
 from lorekeep.operators.context import retrieve
 from lorekeep.operators.embed import embed_with, hash_bags
-from lorekeep.operators.evaluate import evaluate_doc_id
+from lorekeep.operators.evaluate import evaluate_doc_id, passage_tests
 from lorekeep.operators.kb import FrameBase, KnowledgeBase, KnowledgeBaseSpec, among
 from lorekeep.operators.search import DENSE, search
 from lorekeep.session import checkpointed, new_dir
@@ -126,3 +126,12 @@ def test_index_of_bags_follows_its_base(spark):
         assert sorted(kb.search_indexed(asked, 4).collect()) == sorted(search(kb.rows(), bags, 4).collect())
     with pytest.raises(ValueError, match="filters"):
         kb.search_indexed(asked, 4, {"x": 1})
+
+
+def test_passages_meet_the_texts_that_hold_them(spark):
+    passages = ["one two three four five six seven", "ne two  three four five six seven eigh", "short one", "", None, "a b c d e f g h"]
+    texts = ["zero one two three four five six seven eight", "one two  three four five six seven eight nine", "a short one", None, "", "xa b c d e f g hx a b", "one two three four five six"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, content string")
+    asked = spark.createDataFrame(list(enumerate(passages)), "question_id bigint, question string")
+    got = {(r["question_id"], r["expected_doc_id"]) for r in passage_tests(rows, asked).collect()}
+    assert got == {(q, i) for q, p in enumerate(passages) for i, t in enumerate(texts) if p is not None and t is not None and p in t}

@@ -11,9 +11,12 @@ pair per line that is left is verified on the words themselves.
 Before that, what has no partner is left out exactly: one edit lies within one quarter of a line, so
 a variant is only made where another line of fitting length agrees on all the rest.
 
-Long lines of e edits or less between them share an unedited run of (n - e) / (e + 1) words, at least 20. So of 13
-successive runs of 8 words the one of least hash is a key (winnowing), and such lines share a key for certain. Each
-line first meets the earliest line of each key; those still there meet every earlier line of their keys.
+Long lines of e edits or less between them share an unedited run of words, and each has at most 3 e runs of three
+words that the other lacks. So the first 3 e + 1 of a line's different runs of three, in one order for all lines, are
+its keys, and such lines share one for certain. The order is by how often a run occurs, rare ones first, so passages
+that many lines share are keys of few. Each line first meets the earliest line of each key; those still there meet
+the earlier lines of their keys whose words, counted modulo two in 128 classes, differ in at most 2 e classes, as they
+do for all lines that near; only pairs that pass are verified.
 
 Earliest is by document id, then line number. Lines of fewer than ``min_words`` words stay, those of fewer than
 ``near_words`` go only as exact repeats. Defined results: a text that is NULL or has no line to
@@ -41,7 +44,9 @@ from lorekeep.llm.textkit import _BASE, _INVERSE, RangeHash, folded, mix, powers
 MIN_WORDS = 5
 NEAR_WORDS = 10
 WORDS_PER_EDIT = 30
-RUN, RUNS = 8, 13  # a common run of RUN + RUNS - 1 = 20 words has a common key
+RUN = 3
+CHUNK = 4096  # counts of runs travel in pieces of this many
+MAX_COUNTS = 1 << 24
 QUARTERS = 4
 LINES_PER_PART = 65_536
 SUBSTITUTED, DELETED, WHOLE = 0, 1, 2
@@ -66,6 +71,22 @@ class Lines:
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(words * powers(_BASE, len(words) + 1)[: len(words)], dtype=np.uint64)])
         self.inverse = powers(_INVERSE, len(words) + 1)
         self.hash = mix(self.part(self.a, self.b) + self.count.astype(np.uint64))
+        self.words = words
+
+    def runs(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For every RUN successive words of the lines ``at``: the line and the hash."""
+        count = np.maximum(self.count[at] - RUN + 1, 0)
+        line = np.repeat(at, count)
+        place = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count) + self.a[line]
+        return line, mix(self.part(place, place + RUN))
+
+    def parities(self) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of words of each line modulo two, in 128 classes of words: two times 64 bits."""
+        if not len(self.a):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        bit, low = np.uint64(1) << (self.words & np.uint64(63)), self.words & np.uint64(64) > 0
+        zero = np.uint64(0)
+        return np.bitwise_xor.reduceat(np.where(low, bit, zero), self.a), np.bitwise_xor.reduceat(np.where(low, zero, bit), self.a)
 
     def part(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return (self.sums[b] - self.sums[a]) * self.inverse[a]
@@ -122,14 +143,22 @@ def short(keys: np.ndarray, parts: int) -> np.ndarray:
     return mix((keys >> np.uint64(32) << np.uint64(32)) | (keys & np.uint64(parts - 1)))
 
 
-def shared_rests(docs: DataFrame, n_lines: int, near_words: int) -> tuple[np.ndarray, int]:
-    """One bit per rest of a line that different lines share, and the number of parts.
+def count_slots(n_lines: int) -> int:
+    return 1 << min(MAX_COUNTS.bit_length() - 1, max(16, math.ceil(math.log2(8 * max(1, n_lines)))))
+
+
+def shared_rests(docs: DataFrame, n_lines: int, near_words: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """One bit per rest of a line that different lines share, the number of parts, and how often runs of words occur.
 
     Rests travel packed, eight bytes each with half of the line's hash, one array per part and slice.
+    Runs of long lines are counted by their hash modulo ``count_slots``, in one array per task; the result has
+    a byte per slot, eight times the binary logarithm of one more than the count. The negative parts are its pieces.
     """
     parts = 1 << min(20, max(2, math.ceil(math.log2(max(1, n_lines / LINES_PER_PART)))))
+    slots, least = count_slots(n_lines), max(near_words, 2 * WORDS_PER_EDIT)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(slots, np.uint16)
         for batch in batches:
             for part, data, offsets in text_slices(batch, "text"):
                 lines = Lines(data, offsets)
@@ -141,27 +170,45 @@ def shared_rests(docs: DataFrame, n_lines: int, near_words: int) -> tuple[np.nda
                 values = (keys[order] >> np.uint64(32) << np.uint64(32)) | (owner[order] >> np.uint64(32))
                 names, first = np.unique(place[order], return_index=True)
                 packed = [x.tobytes() for x in np.split(values, first[1:])] if len(names) else []
+                met, n = np.unique(lines.runs(at[lines.count[at] >= least])[1] & np.uint64(slots - 1), return_counts=True)
+                counts[met] = np.minimum(counts[met] + n, np.iinfo(np.uint16).max)
                 yield pa.RecordBatch.from_pydict({"part": names, "keys": pa.array(packed, pa.binary())})
+        pieces = counts.reshape(-1, CHUNK)
+        used = np.flatnonzero(pieces.any(axis=1))
+        for some in np.array_split(used, max(1, len(used) // 256)):
+            yield pa.RecordBatch.from_pydict({"part": (-1 - some).astype(np.int32), "keys": pa.array([pieces[c].tobytes() for c in some], pa.binary())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, packed in zip(batch.column("part").to_pylist(), batch.column("keys").to_pylist(), strict=True):
-                held.setdefault(part, []).append(np.frombuffer(packed, np.uint64))
+                if part < 0:
+                    totals.setdefault(part, np.zeros(CHUNK, np.int64))[:] += np.frombuffer(packed, np.uint16)
+                else:
+                    held.setdefault(part, []).append(np.frombuffer(packed, np.uint64))
         for part, arrays in held.items():
             rests = np.unique(np.concatenate(arrays)) >> np.uint64(32) << np.uint64(32)
             values, lines = np.unique(rests, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"key": signed(mix(values[lines > 1] | np.uint64(part)))})
+            keys = pa.array(signed(mix(values[lines > 1] | np.uint64(part))))
+            yield pa.RecordBatch.from_arrays([keys, pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.binary())], names=["key", "piece", "counts"])
+        for part, total in totals.items():
+            scaled = np.minimum(8 * np.log2(1 + total), 255).astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1 - part], pa.int32()), pa.array([scaled], pa.binary())], names=["key", "piece", "counts"])
 
     packed = docs.mapInArrow(pack, "part int, keys binary")
-    shared = checkpointed(packed.repartition(parts, "part").mapInArrow(count, "key bigint"))
+    found = checkpointed(packed.repartition(parts, "part").mapInArrow(count, "key bigint, piece int, counts binary"))
+    shared = found.filter("key IS NOT NULL").select("key")
     n_bits = 1 << min(28, max(24, math.ceil(math.log2(64 * max(1, shared.count())))))
-    return np.frombuffer(flag_bits(shared, "key", n_bits), np.uint8), parts
+    often = np.zeros(slots, np.uint8)
+    for row in found.filter("piece IS NOT NULL").select("piece", "counts").collect():
+        often[row["piece"] * CHUNK : (row["piece"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.uint8)
+    return np.frombuffer(flag_bits(shared, "key", n_bits), np.uint8), parts, often
 
 
-def variant_table(docs: DataFrame, n_lines: int, near_words: int) -> DataFrame:
+def variant_table(docs: DataFrame, rests: tuple[np.ndarray, int], near_words: int) -> DataFrame:
     """``key, role, hash, id, number`` of the variants with a gap where another line agrees on the rest."""
-    told = docs.sparkSession.sparkContext.broadcast(shared_rests(docs, n_lines, near_words))
+    told = docs.sparkSession.sparkContext.broadcast(rests)
     kind = docs.schema["id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,59 +270,57 @@ def one_edit(x: list[bytes], y: list[bytes]) -> bool:
 
 
 def edits_within(x: list[bytes], y: list[bytes], budget: int) -> bool:
-    """Whether two lists of words are at most ``budget`` edits apart; only diagonals that near are filled."""
-    same = 0
-    while same < min(len(x), len(y)) and x[same] == y[same]:
-        same += 1
-    x, y = x[same:], y[same:]
-    while x and y and x[-1] == y[-1]:
-        x, y = x[:-1], y[:-1]
-    if abs(len(x) - len(y)) > budget:
+    """Whether two lists of words are at most ``budget`` edits apart.
+
+    Per number of edits and shift of ``y`` against ``x``: how many words of ``x`` can be passed at most.
+    """
+    shift = len(y) - len(x)
+    if abs(shift) > budget:
         return False
-    names = {w: i for i, w in enumerate({*x, *y})}
-    wide, far = 2 * budget + 1, budget + 1
-    steps = np.arange(wide)
-    padded = np.full(max(len(x), len(y)) + wide + budget, -1)
-    padded[budget : budget + len(y)] = [names[w] for w in y]
-    ends = steps - budget
-    row = np.where((ends >= 0) & (ends <= len(y)), ends, far)
-    for i, word in enumerate(x):
-        change = row + (padded[i : i + wide] != names[word])
-        best = np.minimum(change, np.append(row[1:], far) + 1)
-        best = np.minimum.accumulate(best - steps) + steps
-        ends = steps - budget + i + 1
-        row = np.where((ends >= 0) & (ends <= len(y)), np.minimum(best, far), far)
-        if row.min() > budget:
-            return False
-    return bool(row[len(y) - len(x) + budget] <= budget)
+    none = -2 - budget
+    reach: dict[int, int] = {}
+    for edits in range(budget + 1):
+        last, reach = reach, {}
+        for at in range(max(-edits, shift - budget + edits), min(edits, shift + budget - edits) + 1):
+            i = max(last.get(at, none) + 1, last.get(at - 1, none), last.get(at + 1, none) + 1) if edits else 0
+            end = min(len(x), len(y) - at)
+            i = min(i, end)
+            while i < end and x[i] == y[i + at]:
+                i += 1
+            reach[at] = i
+        if reach.get(shift) == len(x):
+            return True
+    return False
 
 
 def near_words_apart(x: list[bytes], y: list[bytes]) -> bool:
     return one_edit(x, y) or edits_within(x, y, min(len(x), len(y)) // WORDS_PER_EDIT)
 
 
-def run_table(docs: DataFrame, near_words: int) -> DataFrame:
-    """``key, hash, id, number, n`` of the keys of lines long enough for two edits."""
+def run_table(docs: DataFrame, often: np.ndarray, near_words: int) -> DataFrame:
+    """``key, hash, id, number, n, low, high`` of the keys of lines long enough for two edits."""
     kind = docs.schema["id"].dataType.simpleString()
     least = max(near_words, 2 * WORDS_PER_EDIT)
+    told = docs.sparkSession.sparkContext.broadcast(often)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = told.value
         for batch in batches:
             for part, data, offsets in text_slices(batch, "text"):
                 lines = Lines(data, offsets)
-                at = earliest(lines, part.column("id"), least)
-                count = lines.count[at] - RUN + 1
-                line = np.repeat(at, count)
-                place = np.arange(len(line)) - np.repeat(np.cumsum(count) - count, count) + lines.a[line]
-                runs, n = mix(lines.part(place, place + RUN)), max(0, len(line) - RUNS + 1)
-                keys = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-                for step in range(RUNS):
-                    keys = np.minimum(keys, runs[step : step + n])
-                inside = line[:n] == line[len(line) - n :]
-                keys, line = keys[inside], line[:n][inside]
-                new = np.ones(len(keys), bool)
-                new[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
-                keys, line = keys[new], line[new]
+                line, keys = lines.runs(earliest(lines, part.column("id"), least))
+                weight = weights[keys & np.uint64(len(weights) - 1)]
+                rank = (weight.astype(np.uint64) << np.uint64(56)) | (keys >> np.uint64(8))
+                order = np.lexsort((rank, line))
+                line, keys, rank, weight = line[order], keys[order], rank[order], weight[order]
+                new = np.ones(len(line), bool)
+                new[1:] = (rank[1:] != rank[:-1]) | (line[1:] != line[:-1])
+                line, keys, weight = line[new], keys[new], weight[new]
+                begins = np.searchsorted(line, line)
+                chosen = np.arange(len(line)) - begins <= RUN * (lines.count[line] // WORDS_PER_EDIT)
+                chosen &= weight > 8  # a run that occurs once is no other line's
+                line, keys = line[chosen], keys[chosen]
+                low, high = lines.parities()
                 yield pa.RecordBatch.from_pydict(
                     {
                         "key": signed(keys),
@@ -283,25 +328,34 @@ def run_table(docs: DataFrame, near_words: int) -> DataFrame:
                         "id": part.column("id").take(pa.array(lines.row[line])),
                         "number": lines.number[line].astype(np.int32),
                         "n": lines.count[line].astype(np.int32),
+                        "low": signed(low[line]),
+                        "high": signed(high[line]),
                     }
                 )
 
-    return checkpointed(docs.mapInArrow(scan, f"key bigint, hash bigint, id {kind}, number int, n int"))
+    return checkpointed(docs.mapInArrow(scan, f"key bigint, hash bigint, id {kind}, number int, n int, low bigint, high bigint"))
+
+
+#: Pairs ``at, other`` of different lines that can be within their bound of edits, the other one earlier.
+FITS = (
+    "other.hash <> at.hash AND struct(other.id, other.number) < struct(at.id, at.number) "
+    f"AND abs(at.n - other.n) <= least(at.n, other.n) div {WORDS_PER_EDIT} "
+    f"AND bit_count(at.low ^ other.low) + bit_count(at.high ^ other.high) <= 2 * (least(at.n, other.n) div {WORDS_PER_EDIT})"
+)
 
 
-def near_long(docs: DataFrame, near_words: int) -> DataFrame:
+def near_long(docs: DataFrame, often: np.ndarray, near_words: int) -> DataFrame:
     """Places ``id, number`` of long lines with an earlier one within their bound of edits."""
-    runs = run_table(docs, near_words)
-    line = F.struct("id", "number", "hash", "n")
+    runs = run_table(docs, often, near_words)
+    line = F.struct("id", "number", "hash", "n", "low", "high")
     keys = checkpointed(runs.groupBy("key").agg(F.min(line).alias("other"), F.min("hash").alias("lo"), F.max("hash").alias("hi")).filter("lo <> hi").drop("lo", "hi"))
     met = runs.join(keys, "key").groupBy("key", "hash", "other").agg(F.min(line).alias("at"))
     met = checkpointed(met.select("key", "at", "other"))
-    fits = f"other.hash <> at.hash AND struct(other.id, other.number) < struct(at.id, at.number) AND abs(at.n - other.n) <= greatest(1, least(at.n, other.n) div {WORDS_PER_EDIT})"
-    first = checkpointed(verified_pairs(docs, checkpointed(met.filter(fits).select("at", "other").distinct())).distinct())
+    first = checkpointed(verified_pairs(docs, checkpointed(met.filter(FITS).select("at", "other").distinct())).distinct())
     left = met.drop("other").join(first.select(F.struct("id", "number").alias("place")), F.expr("struct(at.id, at.number) = place"), "left_anti")
-    pairs = left.join(met.select("key", F.col("at").alias("another"), F.col("other").alias("leader")), "key")
-    pairs = pairs.filter("another <> leader").select("at", F.col("another").alias("other")).filter(fits).distinct()
-    return first.unionByName(verified_pairs(docs, checkpointed(pairs)))
+    pairs = left.join(met.select("key", F.col("at").alias("other"), F.col("other").alias("leader")), "key")
+    pairs = checkpointed(pairs.filter("other <> leader").filter(FITS).select("at", "other").distinct())
+    return first.unionByName(verified_pairs(docs, pairs))
 
 
 def line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -348,8 +402,9 @@ def repeated_lines(docs: DataFrame, min_words: int, near_words: int) -> DataFram
     distinct = lines.groupBy("hash").agg(F.min(F.struct("id", "number")).alias("first"), F.count("*").alias("n"))
     again = checkpointed(distinct.filter("n > 1").select("hash", "first"))
     later = within(lines.select("id", "number", "hash"), again, "hash", "inner").filter("struct(id, number) > first").select("id", "number")
-    near = near_pairs(variant_table(docs, lines.count(), near_words))
-    gone = later.union(verified_pairs(docs, near)).union(near_long(docs, near_words))
+    flags, parts, often = shared_rests(docs, lines.count(), near_words)
+    near = near_pairs(variant_table(docs, (flags, parts), near_words))
+    gone = later.union(verified_pairs(docs, near)).union(near_long(docs, often, near_words))
     return checkpointed(gone.groupBy("id").agg(F.collect_set("number").alias("numbers")))
 
 

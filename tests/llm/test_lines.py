@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from brute import deduplicated, word_edits
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
+from lorekeep.llm import lines
 from lorekeep.llm.lines import deduplicate_lines, edits_within, one_edit
 from lorekeep.llm.queries import op1_line_dedup
 
@@ -105,12 +107,12 @@ def test_long_lines(spark):
             at = rng.randrange(len(words))
             words[at : at + rng.randint(0, 1)] = [word()] * rng.randint(0, 1)
         rows.append((i, " ".join(words)))
-    gone, lines = set(), [t.split() for _, t in rows]
-    for i, x in enumerate(lines):
-        if any(word_edits(x, y) <= max(1, min(len(x), len(y)) // 30) for y in lines[:i]):
+    gone, words_in = set(), [t.split() for _, t in rows]
+    for i, x in enumerate(words_in):
+        if any(word_edits(x, y) <= max(1, min(len(x), len(y)) // 30) for y in words_in[:i]):
             gone.add(i)
     assert kept(spark, rows) == {i: "" if i in gone else t for i, t in rows}
-    one = {i for i, x in enumerate(lines) if any(word_edits(x, y) <= 1 for y in lines[:i])}
+    one = {i for i, x in enumerate(words_in) if any(word_edits(x, y) <= 1 for y in words_in[:i])}
     assert len(gone - one) > 5 and len(gone) < 58
 
 
@@ -119,3 +121,30 @@ def test_edits_within():
     for _ in range(300):
         x, y = rng.choices("abc", k=rng.randint(0, 9)), rng.choices("abc", k=rng.randint(0, 9))
         assert all(edits_within(x, y, k) == (word_edits(x, y) <= k) for k in range(6))
+
+
+def test_shared_passage_needs_no_pairs(spark, monkeypatch):
+    """Lines that share only a passage are not verified against each other, however many they are."""
+    rng, met = random.Random(8), []
+    passage = [f"p{i}" for i in range(25)]
+    real = lines.verified_pairs
+    monkeypatch.setattr(lines, "verified_pairs", lambda docs, pairs: met.append(pairs.count()) or real(docs, pairs))
+    for n in (200, 800):
+        rows = [(i, " ".join([f"w{rng.randrange(10**6)}" for _ in range(30)] + passage + [f"w{rng.randrange(10**6)}" for _ in range(30)])) for i in range(n)]
+        rows.append((n, rows[5][1].replace(" p3 ", " ").replace(" p9 ", " x ")))
+        left = kept(spark, rows)
+        assert left == {**dict(rows), n: ""}
+    assert met[0:3] == met[3:6] and sum(met) <= 4
+
+
+def test_parities_change_by_two_per_edit():
+    rng = random.Random(4)
+    for _ in range(50):
+        x = [f"w{rng.randrange(300)}" for _ in range(rng.randint(1, 90))]
+        y = list(x)
+        for _ in range(3):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randint(0, 1)] = [f"w{rng.randrange(300)}"] * rng.randint(0, 1)
+        data = f"{' '.join(x)}\n{' '.join(y) or 'w'}".encode()
+        both = lines.Lines(np.frombuffer(data, np.uint8), np.array([0, len(data)])).parities()
+        assert sum(int(p[0] ^ p[1]).bit_count() for p in both) <= 2 * word_edits(x, y or ["w"])

@@ -47,9 +47,10 @@ WORDS_PER_EDIT = 30
 RUN = 3
 CHUNK = 4096  # counts of runs travel in pieces of this many
 MAX_COUNTS = 1 << 24
+ONCE = 8  # a run with this count, scaled, is no other line's
 QUARTERS = 4
 LINES_PER_PART = 65_536
-SUBSTITUTED, DELETED, WHOLE = 0, 1, 2
+SUBSTITUTED, DELETED, WHOLE, RARE = 0, 1, 2, 3
 
 
 class Lines:
@@ -59,14 +60,15 @@ class Lines:
         lower = folded(data)
         starts, ends, rows = word_bounds(lower, offsets)
         words = RangeHash(lower).of(starts, ends) if len(starts) else np.zeros(0, np.uint64)
-        feeds = np.concatenate([[0], np.cumsum(lower == 10)])
-        group = feeds[starts] + rows
+        feeds = np.flatnonzero(lower == 10)
+        before = np.searchsorted(feeds, starts)
+        group = before + rows
         new = np.ones(len(group), bool)
         new[1:] = group[1:] != group[:-1]
         self.a = np.flatnonzero(new)
         self.b = np.append(self.a[1:], len(group))
         self.row = rows[self.a]
-        self.number = feeds[starts[self.a]] - feeds[offsets[self.row]]
+        self.number = before[self.a] - np.searchsorted(feeds, offsets[self.row])
         self.count = self.b - self.a
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(words * powers(_BASE, len(words) + 1)[: len(words)], dtype=np.uint64)])
         self.inverse = powers(_INVERSE, len(words) + 1)
@@ -206,13 +208,15 @@ def shared_rests(docs: DataFrame, n_lines: int, near_words: int) -> tuple[np.nda
     return np.frombuffer(flag_bits(shared, "key", n_bits), np.uint8), parts, often
 
 
-def variant_table(docs: DataFrame, rests: tuple[np.ndarray, int], near_words: int) -> DataFrame:
-    """``key, role, hash, id, number`` of the variants with a gap where another line agrees on the rest."""
-    told = docs.sparkSession.sparkContext.broadcast(rests)
+def key_table(docs: DataFrame, n_lines: int, near_words: int) -> DataFrame:
+    """``key, role, hash, id, number, n, low, high`` of the variants with a gap where another line agrees on the rest,
+    and (role RARE) of the rarest runs of lines long enough for two edits, which alone have ``n, low, high``."""
+    told = docs.sparkSession.sparkContext.broadcast(shared_rests(docs, n_lines, near_words))
     kind = docs.schema["id"].dataType.simpleString()
+    least = max(near_words, 2 * WORDS_PER_EDIT)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, parts = told.value
+        flags, parts, often = told.value
         for batch in batches:
             for part, data, offsets in text_slices(batch, "text"):
                 lines = Lines(data, offsets)
@@ -228,19 +232,47 @@ def variant_table(docs: DataFrame, rests: tuple[np.ndarray, int], near_words: in
                         owners.append(line)
                         roles.append(np.full(len(line), DELETED if longer else SUBSTITUTED, np.int8))
                         whole |= meets & (longer == 0)
-                lines_of = np.concatenate([*owners, at[whole]])
-                roles.append(np.full(int(whole.sum()), WHOLE, np.int8))
+                keys.append(lines.hash[at[whole]])
+                owners.append(at[whole])
+                roles.append(np.full(len(owners[-1]), WHOLE, np.int8))
+                low, high = lines.parities()
+                line, rare = rarest_runs(lines, at[lines.count[at] >= least], often)
+                before = sum(len(x) for x in owners)
+                filled = np.arange(before + len(line)) < before
+                owners, roles = np.concatenate([*owners, line]), np.concatenate([*roles, np.full(len(line), RARE, np.int8)])
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "key": signed(np.concatenate([*keys, lines.hash[at[whole]]])),
-                        "role": np.concatenate(roles),
-                        "hash": signed(lines.hash[lines_of]),
-                        "id": part.column("id").take(pa.array(lines.row[lines_of])),
-                        "number": lines.number[lines_of].astype(np.int32),
+                        "key": signed(np.concatenate([*keys, rare])),
+                        "role": roles,
+                        "hash": signed(lines.hash[owners]),
+                        "id": part.column("id").take(pa.array(lines.row[owners])),
+                        "number": lines.number[owners].astype(np.int32),
+                        "n": pa.array(lines.count[owners].astype(np.int32), mask=filled),
+                        "low": pa.array(signed(low[owners]), mask=filled),
+                        "high": pa.array(signed(high[owners]), mask=filled),
                     }
                 )
 
-    return checkpointed(docs.mapInArrow(scan, f"key bigint, role tinyint, hash bigint, id {kind}, number int"))
+    return checkpointed(docs.mapInArrow(scan, f"key bigint, role tinyint, hash bigint, id {kind}, number int, n int, low bigint, high bigint"))
+
+
+def rarest_runs(lines: Lines, at: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines and hashes of their first 3 e + 1 different runs, rare ones first, but for those that occur once."""
+    line, keys = lines.runs(at)
+    bits = np.uint64(max(1, len(at)).bit_length())
+    weight = often[keys & np.uint64(len(often) - 1)]
+    ordinal = np.repeat(np.arange(len(at), dtype=np.uint64), np.maximum(lines.count[at] - RUN + 1, 0))
+    order = np.argsort((ordinal << (np.uint64(64) - bits)) | (weight.astype(np.uint64) << (np.uint64(56) - bits)) | (keys >> (bits + np.uint64(8))))
+    line, keys, weight = line[order], keys[order], weight[order]
+    new = np.ones(len(line), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (line[1:] != line[:-1])
+    line, keys, weight = line[new], keys[new], weight[new]
+    head = np.ones(len(line), bool)
+    head[1:] = line[1:] != line[:-1]
+    starts = np.flatnonzero(head)
+    place = np.arange(len(line)) - np.repeat(starts, np.diff(np.append(starts, len(line))))
+    chosen = (place <= RUN * (lines.count[line] // WORDS_PER_EDIT)) & (weight > ONCE)
+    return line[chosen], keys[chosen]
 
 
 def near_pairs(variants: DataFrame) -> DataFrame:
@@ -297,45 +329,6 @@ def near_words_apart(x: list[bytes], y: list[bytes]) -> bool:
     return one_edit(x, y) or edits_within(x, y, min(len(x), len(y)) // WORDS_PER_EDIT)
 
 
-def run_table(docs: DataFrame, often: np.ndarray, near_words: int) -> DataFrame:
-    """``key, hash, id, number, n, low, high`` of the keys of lines long enough for two edits."""
-    kind = docs.schema["id"].dataType.simpleString()
-    least = max(near_words, 2 * WORDS_PER_EDIT)
-    told = docs.sparkSession.sparkContext.broadcast(often)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = told.value
-        for batch in batches:
-            for part, data, offsets in text_slices(batch, "text"):
-                lines = Lines(data, offsets)
-                line, keys = lines.runs(earliest(lines, part.column("id"), least))
-                weight = weights[keys & np.uint64(len(weights) - 1)]
-                rank = (weight.astype(np.uint64) << np.uint64(56)) | (keys >> np.uint64(8))
-                order = np.lexsort((rank, line))
-                line, keys, rank, weight = line[order], keys[order], rank[order], weight[order]
-                new = np.ones(len(line), bool)
-                new[1:] = (rank[1:] != rank[:-1]) | (line[1:] != line[:-1])
-                line, keys, weight = line[new], keys[new], weight[new]
-                begins = np.searchsorted(line, line)
-                chosen = np.arange(len(line)) - begins <= RUN * (lines.count[line] // WORDS_PER_EDIT)
-                chosen &= weight > 8  # a run that occurs once is no other line's
-                line, keys = line[chosen], keys[chosen]
-                low, high = lines.parities()
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "key": signed(keys),
-                        "hash": signed(lines.hash[line]),
-                        "id": part.column("id").take(pa.array(lines.row[line])),
-                        "number": lines.number[line].astype(np.int32),
-                        "n": lines.count[line].astype(np.int32),
-                        "low": signed(low[line]),
-                        "high": signed(high[line]),
-                    }
-                )
-
-    return checkpointed(docs.mapInArrow(scan, f"key bigint, hash bigint, id {kind}, number int, n int, low bigint, high bigint"))
-
-
 #: Pairs ``at, other`` of different lines that can be within their bound of edits, the other one earlier.
 FITS = (
     "other.hash <> at.hash AND struct(other.id, other.number) < struct(at.id, at.number) "
@@ -344,9 +337,8 @@ FITS = (
 )
 
 
-def near_long(docs: DataFrame, often: np.ndarray, near_words: int) -> DataFrame:
+def near_long(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """Places ``id, number`` of long lines with an earlier one within their bound of edits."""
-    runs = run_table(docs, often, near_words)
     line = F.struct("id", "number", "hash", "n", "low", "high")
     keys = checkpointed(runs.groupBy("key").agg(F.min(line).alias("other"), F.min("hash").alias("lo"), F.max("hash").alias("hi")).filter("lo <> hi").drop("lo", "hi"))
     met = runs.join(keys, "key").groupBy("key", "hash", "other").agg(F.min(line).alias("at"))
@@ -402,9 +394,9 @@ def repeated_lines(docs: DataFrame, min_words: int, near_words: int) -> DataFram
     distinct = lines.groupBy("hash").agg(F.min(F.struct("id", "number")).alias("first"), F.count("*").alias("n"))
     again = checkpointed(distinct.filter("n > 1").select("hash", "first"))
     later = within(lines.select("id", "number", "hash"), again, "hash", "inner").filter("struct(id, number) > first").select("id", "number")
-    flags, parts, often = shared_rests(docs, lines.count(), near_words)
-    near = near_pairs(variant_table(docs, (flags, parts), near_words))
-    gone = later.union(verified_pairs(docs, near)).union(near_long(docs, often, near_words))
+    keys = key_table(docs, lines.count(), near_words)
+    near = near_pairs(keys.filter(f"role <> {RARE}").drop("n", "low", "high"))
+    gone = later.union(verified_pairs(docs, near)).union(near_long(docs, keys.filter(f"role = {RARE}").drop("role")))
     return checkpointed(gone.groupBy("id").agg(F.collect_set("number").alias("numbers")))
 
 

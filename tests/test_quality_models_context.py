@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from plans_text import plan
 from pyspark.sql import functions as F
@@ -246,3 +247,14 @@ def test_model_is_asked_with_context_only(spark, kb, questions):
     agent = ctx.Agent({"a": kb}, "{{question}}|{{context}}", model=note)
     got = {r["question_id"]: r["answer"] for r in agent.answer(questions).collect()}
     assert got == {1: "ok", 2: "ok", 3: ctx.NO_RESULT, 4: ctx.NO_RESULT}
+
+
+def test_token_sums():
+    rng = np.random.default_rng(5)
+    logs = rng.integers(-9_000_000, 0, (16, 3))
+    for numbers in (1, 9, 60, 10**6):
+        lengths = rng.integers(0, 9, 40) * (rng.random(40) < 0.7)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        values = rng.integers(0, 16, ends[-1])
+        want = [logs[values[a:b]].sum(axis=0) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        assert np.array_equal(models._token_sums(values, ends, logs, numbers), want)

@@ -40,6 +40,11 @@ def term_buckets(text: Column | str, dim: int = DEFAULT_DIM) -> Column:
     return F.transform(tokens(text), lambda t: bucket(t, dim))
 
 
+def bucket_sql(text: str, dim: int) -> str:
+    """``term_buckets`` of the SQL expression ``text``, for the bodies of SQL functions."""
+    return f"transform(array_remove(split(lower({text}), r'{TOKEN_BREAK}'), ''), t -> CAST(crc32(t) % {int(dim)} AS INT))"
+
+
 def each(array: Column) -> Column:
     """Explode an array that is costly to compute; drop the NULL row of empty arrays after it.
 

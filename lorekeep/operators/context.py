@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.prompt import render
 from lorekeep.functions.scorers import coverage
-from lorekeep.functions.text import sentences
+from lorekeep.functions.text import DEFAULT_DIM, sentences
+from lorekeep.operators.embed import hash_bags, idf_kind
 from lorekeep.operators.evaluate import as_base
-from lorekeep.operators.kb import Base
+from lorekeep.operators.kb import Base, one_row_per_id
 from lorekeep.operators.models import generate
-from lorekeep.operators.search import lookup, rank_hits
+from lorekeep.operators.search import lookup, rank_hits, search
 from lorekeep.session import checkpointed, union_all
 
 # Fixed value: the answer to a question without any context.
@@ -89,6 +90,50 @@ def with_tables(context: DataFrame, tables: Mapping[str, tuple[DataFrame, str, s
     return context
 
 
+@dataclass(frozen=True)
+class TableRows:
+    """A table without the ids of any base: its rows are found by the words of a question.
+
+    ``key`` names a row, ``text`` the columns whose words count, ``columns`` what a prompt shows (all by default).
+    """
+
+    table: DataFrame
+    key: str
+    text: Sequence[str]
+    columns: Sequence[str] | None = None
+    k: int = 5
+    dim: int = DEFAULT_DIM
+
+
+def table_rows(name: str, source: TableRows, questions: DataFrame) -> DataFrame:
+    """``question_id, kb, id, content, score, rank``: the table's best ``k`` rows that share words with a question.
+
+    Words weigh by how few rows of this table hold them. Only rows with a common word are hits, and every task keeps
+    ``k`` per question ahead of the shuffle; columns are read for hits only. ``kb`` is ``name``, ``id`` the key as
+    text, ``content`` the row as JSON. NULLs in text columns are left out, rows without a key are never found, of rows
+    of one key that whose JSON sorts last counts.
+    """
+    shown = F.to_json(F.struct(*(source.columns or source.table.columns)))
+    words = F.concat_ws(" ", *[F.col(c).cast("string") for c in source.text])
+    rows = one_row_per_id(source.table.select(F.col(source.key).alias("id"), shown.alias("content"), words.alias("words")))
+    bags = hash_bags(rows.select("id", "words"), "words", source.dim).select("id", "vector")
+    asked = hash_bags(questions.select("question_id", "question"), "question", source.dim)
+    hits = checkpointed(search(bags, asked.select("question_id", "vector"), source.k, kind=idf_kind(bags, source.dim)))
+    return lookup(hits, rows, ["content"]).select(
+        "question_id", F.lit(name).alias("kb"), F.col("id").cast("string").alias("id"), "content", "score", "rank"
+    )
+
+
+def with_rows(context: DataFrame, questions: DataFrame, sources: Mapping[str, TableRows]) -> DataFrame:
+    """``context`` and, ranked behind it, the rows of tables that share words with a question."""
+    parts, before = [context.withColumn("id", F.col("id").cast("string"))], context.agg(F.max("rank")).first()[0] or 0
+    for name, source in sources.items():
+        found = table_rows(name, source, questions)
+        parts.append(found.withColumn("rank", F.col("rank") + before))
+        before += source.k
+    return union_all([p.select("question_id", "kb", "id", "content", "score", "rank") for p in parts])
+
+
 def context_texts(context: DataFrame, questions: DataFrame, separator: str = "\n") -> DataFrame:
     """``question_id, question, context``: contents in rank order, empty without hits."""
     ranked = F.array_sort(F.collect_list(F.struct("rank", "content")))
@@ -140,10 +185,12 @@ class Agent:
     model: Callable[[pd.Series], pd.Series] | None = None
     tables: Mapping[str, tuple[DataFrame, str, str]] = field(default_factory=dict)
     filters: Mapping[str, Mapping[str, Any]] = field(default_factory=dict)
+    rows: Mapping[str, TableRows] = field(default_factory=dict)
 
     def answer(self, questions: DataFrame) -> DataFrame:
         """``question_id, answer`` for every question; the model sees those with context only."""
-        found = checkpointed(with_tables(retrieve(self.kbs, questions, self.k, self.filters), self.tables))
+        found = with_tables(retrieve(self.kbs, questions, self.k, self.filters), self.tables)
+        found = checkpointed(with_rows(found, questions, self.rows) if self.rows else found)
         if self.model is None:
             return extractive_answers(found, questions)
         asked = prompts(found, questions, self.template).filter(F.col("context") != "")

@@ -198,7 +198,7 @@ def build_tree_index(
     numbered = [(i, [float(x) for x in centre]) for i, centre in enumerate(groups)]
     tops = vectors.sparkSession.createDataFrame(numbered, "group_id int, centre array<double>")
     tops.coalesce(1).write.mode("overwrite").parquet(f"{path}/groups")
-    _write(_assigned(marked(vectors), path), path, 0)
+    _write(assigned(marked(vectors), path), path, 0)
 
 
 @dataclass(frozen=True)
@@ -244,7 +244,21 @@ def read_tree(spark: SparkSession, path: str) -> Centres:
     return Centres(lists, np.array([r["centre"] for r in groups.orderBy("group_id").collect()]), group_of)
 
 
-def _assigned(rows: DataFrame, path: str) -> DataFrame:
+def read_radii(spark: SparkSession, path: str, lists: int) -> np.ndarray:
+    """The radius of every list over all versions; 0 for lists without rows."""
+    radius = np.zeros(lists)
+    for row in spark.read.parquet(f"{path}/radii").groupBy("list_id").agg(F.max("radius").alias("radius")).collect():
+        radius[row["list_id"]] = row["radius"]
+    return radius
+
+
+def best_scores(away: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """The best cosine that a list can offer a question ``away`` from its centre, lists x questions."""
+    gap = np.minimum(np.maximum(away - radius[:, None], 0.0), 2.0)
+    return 1.0 - gap * gap / 2.0
+
+
+def assigned(rows: DataFrame, path: str) -> DataFrame:
     """``rows`` with ``away, list_id``: through the groups where the index has them."""
     tree = read_tree(rows.sparkSession, path)
     if tree.groups is None:
@@ -289,7 +303,7 @@ def refresh_index(vectors: DataFrame, path: str) -> None:
         gone.write.parquet(f"{path}/gone/before={version}")
     if not new.isEmpty():
         rows = wanted.join(new.select("id").distinct(), "id", "left_semi")
-        _write(_assigned(rows, path), path, version)
+        _write(assigned(rows, path), path, version)
 
 
 def next_version(spark: SparkSession, path: str, rows: str) -> int:
@@ -368,8 +382,4 @@ def _search_block(
     position = {q: i for i, q in enumerate(table.column("question_id").to_pylist())}
     for row in first.filter(F.col("rank") == k).select("question_id", "score").collect():
         floor[position[row["question_id"]]] = row["score"]
-    radius = np.zeros(len(centres.lists))
-    for row in spark.read.parquet(f"{path}/radii").groupBy("list_id").agg(F.max("radius").alias("radius")).collect():
-        radius[row["list_id"]] = row["radius"]
-    gap = np.minimum(np.maximum(away - radius[:, None], 0.0), 2.0)
-    return probe(1.0 - gap * gap / 2.0 >= floor[None, :] - ROUNDING)
+    return probe(best_scores(away, read_radii(spark, path, len(centres.lists))) >= floor[None, :] - ROUNDING)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.scorers import PairScorer
 from lorekeep.functions.text import DEFAULT_DIM
-from lorekeep.operators import blocks, ivf
+from lorekeep.operators import blocks, ivf, listjoin
 from lorekeep.operators.embed import HASH_DIM, hash_bags
 from lorekeep.operators.limits import first_rows
 from lorekeep.operators.rerank import rerank
@@ -367,12 +367,20 @@ class KnowledgeBase(Base):
         k: int = 5,
         filters: Mapping[str, Any] | None = None,
         nprobe: int | None = None,
+        join: bool = False,
     ) -> DataFrame:
-        """``question_id, id, score, rank`` from the index as it was last brought up to date."""
+        """``question_id, id, score, rank`` from the index as it was last brought up to date.
+
+        With ``join`` questions, however many, meet an inverted file by lists (exact, so without ``nprobe``).
+        """
         asked = self.embed(questions.select("question_id", "question")).select("question_id", "vector")
         if not self.kind.dense:
-            if filters is not None or nprobe is not None:
-                raise ValueError("the postings of a base take neither filters nor probes; search() filters")
+            if filters is not None or nprobe is not None or join:
+                raise ValueError("the postings of a base take neither filters nor probes nor joins; search() filters")
             path = self.spark.read.parquet(f"{self.path}/_indexed").first()["path"]
             return blocks.search_blocks(self.spark, path, self.spark.read.parquet(f"{path}/rows"), asked, k)
+        if join:
+            if nprobe is not None:
+                raise ValueError("a join by lists is exact and takes no nprobe")
+            return listjoin.search_join(self.spark, self.index_path(), asked, k, filters)
         return ivf.search_index(self.spark, self.index_path(), asked, k, nprobe, filters)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, IndexToString, RegexTokenizer, StringIndexer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from lorekeep.functions.prompt import render
 from lorekeep.functions.text import DEFAULT_DIM, TOKEN_BREAK, bucket, each, term_buckets, tokens
 from lorekeep.operators.kernels import flat_values
-from lorekeep.session import checkpointed, stored_table
+from lorekeep.session import checkpointed, stored_table, union_all
 
 LOG_SCALE = 1_000_000
 BLOCK_NUMBERS = 4_000_000
@@ -121,16 +121,21 @@ def _token_sums(values: np.ndarray, ends: np.ndarray, logs: np.ndarray, numbers:
     return sums
 
 
+def best_class(bags: pa.Array, priors: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best score of every bag over a block of classes and the class that has it, counted within the block."""
+    values, owner = flat_values(pa.chunked_array([bags]))
+    ends = np.searchsorted(owner, np.arange(len(bags) + 1))
+    scores = np.tile(priors, (len(bags), 1)) + _token_sums(values, ends, logs)
+    return scores.max(axis=1, initial=np.iinfo(np.int64).min), scores.argmax(axis=1)
+
+
 def _better_class(shared):
     """Keep each row's class or take a better one of the block; blocks come in the classes' order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, priors, logs = shared.value
         for batch in batches:
-            values, owner = flat_values(pa.chunked_array([batch.column("_bag")]))
-            ends = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            scores = np.tile(priors, (batch.num_rows, 1)) + _token_sums(values, ends, logs)
-            best, which = scores.max(axis=1, initial=np.iinfo(np.int64).min), scores.argmax(axis=1)
+            best, which = best_class(batch.column("_bag"), priors, logs)
             before = batch.column("_best")
             known = before.is_valid().to_numpy(zero_copy_only=False)
             old = before.fill_null(0).to_numpy(zero_copy_only=False)
@@ -182,8 +187,12 @@ def fit_version(labelled: DataFrame, text: str, target: str, path: str, version:
     """
     counts = token_counts(labelled, text, target, dim)
     counts.write.mode("overwrite").parquet(f"{path}/tokens/version={version}")
-    classes = labelled.groupBy(target).agg(F.count("*").alias("n_docs"))
-    classes.write.mode("overwrite").parquet(f"{path}/classes/version={version}")
+    _write_classes(labelled.groupBy(target).agg(F.count("*").alias("n_docs")), path, version)
+
+
+def _write_classes(classes: DataFrame, path: str, version: int, batch: str | None = None) -> None:
+    """The classes of a version, which make it the latest, and the batch of differences that it took."""
+    classes.withColumn(BATCH, F.lit(batch).cast("string")).write.mode("overwrite").parquet(f"{path}/classes/version={version}")
 
 
 def refit(spark: SparkSession, query: str, text: str, target: str, path: str, version: int,
@@ -203,31 +212,105 @@ def load_version(spark: SparkSession, target: str, path: str, version: int | Non
     return naive_bayes_from_counts(classes.filter(at), counts.filter(at), target, dim)
 
 
+BATCH = "_batch"
+DEFINITION = "query string, text string, target string, dim int, kind string"
+
+
 def create_model(spark: SparkSession, path: str, query: str, text: str, target: str,
-                 dim: int = DEFAULT_DIM) -> None:
-    """Store a model's training query and parameters below ``path`` and fit version 1."""
+                 dim: int = DEFAULT_DIM, kind: str = "bayes") -> None:
+    """Store a model's training query and parameters below ``path`` and fit version 1.
+
+    ``kind`` is ``bayes`` (naive Bayes) or ``classifier`` (``fit_classifier``).
+    """
+    if kind not in ("bayes", "classifier"):
+        raise ValueError(f"there is no kind of model {kind!r}")
     if stored_table(spark, f"{path}/definition") is not None:
         raise ValueError(f"there is a model at {path}")
-    definition = [(query, text, target, dim)]
-    schema = "query string, text string, target string, dim int"
-    spark.createDataFrame(definition, schema).coalesce(1).write.parquet(f"{path}/definition")
+    made = [(query, text, target, dim, kind)]
+    spark.createDataFrame(made, DEFINITION).coalesce(1).write.parquet(f"{path}/definition")
     refit_model(spark, path)
 
 
+def definition(spark: SparkSession, path: str) -> Row:
+    """Training query, columns and parameters of the model at ``path``."""
+    return spark.read.schema(DEFINITION).parquet(f"{path}/definition").first()
+
+
+def _last_version(spark: SparkSession, path: str) -> int:
+    known = stored_table(spark, f"{path}/classes")
+    return 0 if known is None else known.agg(F.max("version")).first()[0]
+
+
 def refit_model(spark: SparkSession, path: str) -> int:
     """Run the stored training query again and write the next version; returns its number."""
-    made = spark.read.parquet(f"{path}/definition").first()
-    known = stored_table(spark, f"{path}/classes")
-    version = 1 if known is None else known.agg(F.max("version")).first()[0] + 1
-    fit_version(spark.sql(made["query"]), made["text"], made["target"], path, version, made["dim"])
+    made, version = definition(spark, path), _last_version(spark, path) + 1
+    labelled = spark.sql(made["query"])
+    if made["kind"] == "classifier":
+        fitted = fit_classifier(labelled, made["text"], made["target"], made["dim"])
+        fitted.write().overwrite().save(f"{path}/fitted/{version}")
+        _write_classes(labelled.groupBy(made["target"]).agg(F.count("*").alias("n_docs")), path, version)
+    else:
+        fit_version(labelled, made["text"], made["target"], path, version, made["dim"])
+    return version
+
+
+def refit_delta(spark: SparkSession, path: str, batch: str, added: DataFrame | None, removed: DataFrame | None = None) -> int:
+    """The next version of a naive Bayes model from differences only; returns its number.
+
+    ``added`` are new labelled rows and the new form of changed ones, ``removed`` the former rows of changed and
+    removed ones, with the text and target columns of the training query. Their counts are added to and taken from
+    those of the latest version, so the result equals a fit on all rows as they are now and reads none of the old ones.
+    A ``batch`` counts once: its name is stored with the version it makes, so a lost one is done again and a repeated
+    one changes nothing.
+    A class that has lost its last row is gone; removing rows that the model never counted raises.
+    """
+    made = definition(spark, path)
+    if made["kind"] == "classifier":
+        raise ValueError("only counts can be refitted from differences")
+    done = stored_table(spark, f"{path}/classes", f"version int, {BATCH} string").filter(F.col(BATCH) == batch).agg(F.max("version")).first()[0]
+    if done is not None:
+        return done
+    last = _last_version(spark, path)
+    text, target, dim, version = made["text"], made["target"], made["dim"], last + 1
+    parts = [(rows.select(text, target), sign) for rows, sign in ((added, 1), (removed, -1)) if rows is not None]
+
+    at = F.col("version") == last
+    tokens_then = spark.read.parquet(f"{path}/tokens").filter(at).select(target, "bucket", "n")
+    classes_then = spark.read.parquet(f"{path}/classes").filter(at).select(target, "n_docs")
+    signed = lambda counts, n, sign: counts.withColumn(n, F.col(n) * sign)
+    tokens_now = union_all([tokens_then, *(signed(token_counts(rows, text, target, dim), "n", sign) for rows, sign in parts)])
+    classes_now = union_all(
+        [classes_then, *(signed(rows.groupBy(target).agg(F.count("*").alias("n_docs")), "n_docs", sign) for rows, sign in parts)]
+    )
+    counts = checkpointed(tokens_now.groupBy(target, "bucket").agg(F.sum("n").alias("n")).filter("n <> 0"))
+    classes = checkpointed(classes_now.groupBy(target).agg(F.sum("n_docs").alias("n_docs")).filter("n_docs <> 0"))
+    if not (counts.filter("n < 0").isEmpty() and classes.filter("n_docs < 0").isEmpty()):
+        raise ValueError("rows were removed that the model was not fitted on")
+    if classes.isEmpty():
+        raise ValueError("no labelled rows are left")
+    counts.write.mode("overwrite").parquet(f"{path}/tokens/version={version}")
+    _write_classes(classes, path, version, batch)
     return version
 
 
 def predict_model(spark: SparkSession, path: str, df: DataFrame, text: str, out: str = "prediction",
                   version: int | None = None) -> DataFrame:
     """Apply a stored model, by default its latest version."""
-    made = spark.read.parquet(f"{path}/definition").first()
-    return load_version(spark, made["target"], path, version, made["dim"]).transform(df, text, out)
+    made = definition(spark, path)
+    if made["kind"] != "classifier":
+        return load_version(spark, made["target"], path, version, made["dim"]).transform(df, text, out)
+    version = version or _last_version(spark, path)
+    fitted = PipelineModel.load(f"{path}/fitted/{version}")
+    kind = spark.read.parquet(f"{path}/classes").schema[made["target"]].dataType
+    clash = set(df.columns) & {"_text", "_tokens", "_tf", "_features", "rawPrediction", "probability", "prediction", "predicted", made["text"]} - {text, out}
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} clash with those of the classifier")
+    rows = df.drop(out).withColumn("_text", F.col(text))
+    asked = rows.withColumn(made["text"], F.coalesce(F.col(text), F.lit("")))
+    found = fitted.transform(asked)
+    label = found["predicted"] if "predicted" in found.columns else found["prediction"].cast(kind)
+    restored = [F.col("_text").alias(c) if c == text else F.col(c) for c in df.columns if c != out]
+    return found.select(*restored, label.alias(out))
 
 
 def fit_classifier(labelled: DataFrame, text: str, target: str, dim: int = DEFAULT_DIM,

@@ -167,6 +167,19 @@ both_kb AS (
 
 ONE_TALK = """SELECT conv_id::VARCHAR AS id, max(role || ' ' || text) AS text FROM conversations GROUP BY conv_id"""
 
+def idf_search(docs: str, table: str) -> str:
+    """Search with words weighted by how few rows of ``table`` hold them."""
+    return f"""WITH {bags('kb0', docs)}, {bags('qs0', ASKED)},
+        idf AS (
+          SELECT b, round(ln(((SELECT count(*) FROM {table}) + 1) / (count(*) + 1)) * 100)::BIGINT + 1 AS i
+          FROM kb0 GROUP BY b),
+        kb AS (SELECT id, b, w * i AS w FROM kb0 JOIN idf USING (b)),
+        kb_n AS (SELECT id, sqrt(sum(w * w)) AS n FROM kb GROUP BY id),
+        qs AS (SELECT id, b, w * coalesce(i, 1) AS w FROM qs0 LEFT JOIN idf USING (b)),
+        qs_n AS (SELECT id, sqrt(sum(w * w)) AS n FROM qs GROUP BY id),
+        {hits('hit', 'kb', 'qs', 5)}"""
+
+
 SEARCH_COLUMNS = "question_id, id, score, rank::BIGINT AS rank"
 STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
 
@@ -219,15 +232,7 @@ ORACLES: dict[str, str] = {
     "kb_search_stored": f"""{text_search(5)}
         SELECT question_id, id, lang, score, rank::BIGINT AS rank
         FROM hit JOIN documents d ON d.doc_id = hit.id""",
-    "kb_search_idf": f"""WITH {bags('kb0', DOCS)}, {bags('qs0', ASKED)},
-        idf AS (
-          SELECT b, round(ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) * 100)::BIGINT + 1 AS i
-          FROM kb0 GROUP BY b),
-        kb AS (SELECT id, b, w * i AS w FROM kb0 JOIN idf USING (b)),
-        kb_n AS (SELECT id, sqrt(sum(w * w)) AS n FROM kb GROUP BY id),
-        qs AS (SELECT id, b, w * coalesce(i, 1) AS w FROM qs0 LEFT JOIN idf USING (b)),
-        qs_n AS (SELECT id, sqrt(sum(w * w)) AS n FROM qs GROUP BY id),
-        {hits('hit', 'kb', 'qs', 5)} SELECT {SEARCH_COLUMNS} FROM hit""",
+    "kb_search_idf": f"""{idf_search(DOCS, 'documents')} SELECT {SEARCH_COLUMNS} FROM hit""",
     "kb_search_vector": VECTOR,
     "kb_search_ivf": VECTOR,
     "kb_filter_eq": "SELECT doc_id AS id, lang, n_chars FROM documents WHERE lang = 'fr'",
@@ -354,4 +359,21 @@ ORACLES: dict[str, str] = {
         FROM events QUALIFY row_number() OVER (
           PARTITION BY event_type, user_id
           ORDER BY ts DESC, CASE WHEN value < 1 THEN 'failed' ELSE 'done' END DESC) = 1""",
+    "kb_search_join": """
+        WITH s AS (
+          SELECT q.vec_id AS question_id, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+          FROM embeddings e CROSS JOIN embeddings q)
+        SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, id)::BIGINT AS rank
+        FROM s QUALIFY rank <= 5""",
+    "rag_table_rows": f"""{idf_search("SELECT page_id AS id, concat_ws(' ', url, html) AS text FROM pages", 'pages')}
+        SELECT question_id, id, score, rank::BIGINT AS rank, url FROM hit JOIN pages ON page_id = id""",
+    "model_refit_delta": bayes_predict(DOCS, "doc_id"),
+    "model_classifier_versions": """SELECT doc_id, coalesce(lang, 'none') AS predicted_lang,
+        count(*) OVER (PARTITION BY coalesce(lang, 'none')) AS n_docs FROM documents""",
+    "sql_search": f"""{text_search(10, asked=ASKED + " ORDER BY id LIMIT 1")},
+        fr_rank AS (
+          SELECT h.id, h.score, row_number() OVER (ORDER BY h.score DESC, h.id) AS rank
+          FROM hit_r h JOIN documents d ON d.doc_id = h.id WHERE d.lang = 'fr' QUALIFY rank <= 5)
+        SELECT 'all' AS part, id, score, rank::BIGINT AS rank FROM hit UNION ALL SELECT 'fr', id, score, rank FROM fr_rank""",
+    "sql_predict": bayes_predict(DOCS, "doc_id"),
 }

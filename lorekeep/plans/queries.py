@@ -24,12 +24,14 @@ from lorekeep.operators.kb import (
     one_row_per_id,
     project_source,
 )
+from lorekeep.operators.listjoin import search_join
 from lorekeep.operators.rerank import rerank
 from lorekeep.operators.search import DENSE, fetch, search
 from lorekeep.plans import jobs
 from lorekeep.session import checkpointed, new_dir, union_all
 from lorekeep.sources import catalog, mapping
 from lorekeep.sources.sinks import save_table
+from lorekeep.sources.sqlfunctions import register_base, register_model
 from lorekeep.streaming.incremental import folder_per_batch, ingest_new
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -798,6 +800,75 @@ def run_errors(spark: SparkSession, sf: str) -> DataFrame:
     return log.read().join(expected, "name").select("name", "status", whole.alias("has_message"))
 
 
+def kb_search_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector as a question: questions and rows meet by the lists of an inverted file."""
+    path, rows = new_dir(spark, "ivf"), vectors(spark, sf).select("id", "vector")
+    ivf.build_index(rows, path)
+    return search_join(spark, path, rows.withColumnRenamed("id", "question_id"), 5)
+
+
+def rag_table_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages, whose ids no base knows, found by the words of the benchmark texts."""
+    source = ctx.TableRows(dealt(table(spark, sf, "pages"), "page_id"), "page_id", ("url", "html"), ("page_id", "url"))
+    found = ctx.table_rows("pages", source, benchmark_questions(spark, sf))
+    url = F.get_json_object("content", "$.url").alias("url")
+    return found.select("question_id", F.col("id").cast("bigint").alias("id"), "score", "rank", url)
+
+
+def model_refit_delta(spark: SparkSession, sf: str) -> DataFrame:
+    """Fitted on a part with some labels turned, then brought up to date from differences: rows added, changed and removed."""
+    path, view = new_dir(spark, "model"), "lore_delta"
+    rows = labelled_documents(spark, sf).select("doc_id", "text", "quality")
+    part = F.pmod(F.col("doc_id"), F.lit(3))
+    turned = rows.filter(part == 1).withColumn("quality", 1 - F.col("quality"))
+    gone = rows.filter(part == 2).withColumn("text", F.concat(F.lit("removed "), "text"))
+    union_all([rows.filter(part == 2), turned, gone]).createOrReplaceTempView(view)
+    models.create_model(spark, path, f"SELECT text, quality FROM {view}", "text", "quality")
+    for _ in range(2):  # a repeated batch changes nothing
+        models.refit_delta(spark, path, "changes", rows.filter(part == 1), union_all([turned, gone]))
+    models.refit_delta(spark, path, "new", rows.filter(part == 0))
+    found = models.predict_model(spark, path, documents(spark, sf).select("doc_id", "text"), "text", "predicted_quality")
+    return found.select("doc_id", "predicted_quality")
+
+
+def model_classifier_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored classifier of texts that name their language, fitted without the French ones, then again with all."""
+    path, view = new_dir(spark, "model"), "lore_languages"
+    lang = F.coalesce("lang", F.lit("none")).alias("lang")
+    rows = documents(spark, sf).select("doc_id", F.concat_ws(" ", lang, "source").alias("words"), lang)
+    rows.filter("lang <> 'fr'").createOrReplaceTempView(view)
+    models.create_model(spark, path, f"SELECT words, lang FROM {view}", "words", "lang", SMALL_DIM, "classifier")
+    rows.createOrReplaceTempView(view)
+    last = models.refit_model(spark, path)
+    asked = rows.select("doc_id", "words")
+    found = models.predict_model(spark, path, asked, "words", "predicted_lang")
+    n_docs = spark.read.parquet(f"{path}/classes").filter(F.col("version") == last).select(F.col("lang").alias("predicted_lang"), "n_docs")
+    return found.join(n_docs, "predicted_lang").select("doc_id", "predicted_lang", "n_docs")
+
+
+def sql_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A base asked in SQL: the best rows of a question, and the best of one language by the score."""
+    register_base(spark, FrameBase(document_rows(spark, sf)), "lore_docs")
+    table(spark, sf, "benchmark").createOrReplaceTempView("lore_asked")
+    asked = "(SELECT text FROM lore_asked ORDER BY item_id LIMIT 1)"
+    return catalog.run_sql(spark, f"""
+        SELECT 'all' AS part, id, score, rank FROM lore_docs_search({asked}, 10)
+        UNION ALL
+        SELECT 'fr', id, score, row_number() OVER (ORDER BY score DESC, id) FROM (
+            SELECT id, lore_docs_score(vector, {asked}) AS score FROM lore_docs WHERE lang = 'fr'
+            ORDER BY score DESC NULLS LAST, id LIMIT 5) WHERE score IS NOT NULL""")
+
+
+def sql_predict(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored model applied by a SQL text."""
+    path = new_dir(spark, "model")
+    labelled_documents(spark, sf).createOrReplaceTempView("lore_labelled")
+    models.create_model(spark, path, "SELECT text, quality FROM lore_labelled", "text", "quality")
+    register_model(spark, path, "lore_quality")
+    documents(spark, sf).createOrReplaceTempView("lore_texts")
+    return catalog.run_sql(spark, "SELECT doc_id, lore_quality(text) AS predicted_quality FROM lore_texts")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -814,5 +885,6 @@ QUERIES: dict[str, Query] = {
         kb_search_ivf_nprobe, kb_search_ivf_tree, kb_search_postings_pruned, kb_index_removed, kb_postings_removed, kb_search_ivf_filtered, kb_index_refresh, kb_postings_refresh, kb_compact,
         eval_doc_id_custom, rag_context_custom, rag_with_tables, model_predict_text_label,
         model_refit_by_name, job_staged_late, run_errors,
+        kb_search_join, rag_table_rows, model_refit_delta, model_classifier_versions, sql_search, sql_predict,
     )
 }

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.tables import checkpointed, connected, flag_bits, require, within
-from lorekeep.llm.textkit import LOWER, RangeHash, mix, signed, text_slices, window_hashes, word_bounds
+from lorekeep.llm.textkit import LOWER, RangeHash, mix, signed, text_slices, tidy, window_hashes, word_bounds
 
 WIDTH = 5
 PERCENT = 80
@@ -95,8 +95,8 @@ def shared_tokens(docs: DataFrame, width: int) -> tuple[DataFrame, int]:
             tokens = mix((values[more].astype(np.uint64) << np.uint64(LOW_BITS)) | np.uint64(part))
             yield pa.RecordBatch.from_pydict({"token": signed(tokens), "n": n[more]})
 
-    packed = docs.select("text").mapInArrow(pack, "part int, tokens binary")
-    counted = packed.repartition(parts, "part").mapInArrow(count, "token bigint, n bigint")
+    packed = docs.select("text").mapInArrow(tidy(pack), "part int, tokens binary")
+    counted = packed.repartition(parts, "part").mapInArrow(tidy(count), "token bigint, n bigint")
     return checkpointed(counted), parts
 
 
@@ -161,7 +161,7 @@ def prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return checkpointed(docs.mapInArrow(index, f"id {kind}, n bigint, own bigint, key bigint, tokens array<bigint>, positions array<int>"))
+    return checkpointed(docs.mapInArrow(tidy(index), f"id {kind}, n bigint, own bigint, key bigint, tokens array<bigint>, positions array<int>"))
 
 
 def size_class(n: Column, percent: int, shift: float = 0.0) -> Column:
@@ -180,8 +180,8 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
                 names = [c for c in part.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(bounds.astype(np.int32), signed(tokens))], names=[*names, "tokens"])
 
-    left = within(docs, pairs.withColumnRenamed("a", "id"), "id", "inner").mapInArrow(sets, f"id {kind}, b {kind}, tokens array<bigint>")
-    right = within(docs, pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi").mapInArrow(sets, f"id {kind}, tokens array<bigint>")
+    left = within(docs, pairs.withColumnRenamed("a", "id"), "id", "inner").mapInArrow(tidy(sets), f"id {kind}, b {kind}, tokens array<bigint>")
+    right = within(docs, pairs.select(F.col("b").alias("id")).distinct(), "id", "left_semi").mapInArrow(tidy(sets), f"id {kind}, tokens array<bigint>")
     both = left.select(F.col("id").alias("a"), "b", F.col("tokens").alias("x")).join(right.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lorekeep.llm.tables import checkpointed, require
-from lorekeep.llm.textkit import _BASE, _INVERSE, mix, powers, text_slices
+from lorekeep.llm.textkit import _BASE, _INVERSE, mix, powers, text_slices, tidy
 
 Q = 10
 RATE = 0.05
@@ -233,7 +233,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id",
                             {"id": part.column("id").take(pa.array(owner)), "item": names, "edits": pa.array(edits, pa.int32()), "start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32())}
                         )
 
-        return rows.mapInArrow(scan, schema)
+        return rows.mapInArrow(tidy(scan), schema)
 
     leaks = functools.reduce(DataFrame.unionAll, [scanned(b) for b in range(blocks)])
     return leaks.select(F.col("id").alias(id_column), F.col("item").alias(item_id if item_id != id_column else f"item_{item_id}"), "edits", "start", "end")
@@ -248,7 +248,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()
         told = docs.sparkSession.sparkContext.broadcast(sorted({(i, r["text"]) for i, r in enumerate(part)}))
-        docs = docs.mapInArrow(_cleaner(told, text, q, rate), docs.schema)
+        docs = docs.mapInArrow(tidy(_cleaner(told, text, q, rate)), docs.schema)
     return docs
 
 

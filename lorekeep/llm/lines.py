@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lorekeep.llm.tables import checkpointed, flag_bits, private, require, within
-from lorekeep.llm.textkit import _BASE, _INVERSE, RangeHash, folded, mix, powers, signed, text_slices, word_bounds
+from lorekeep.llm.textkit import _BASE, _INVERSE, RangeHash, folded, mix, powers, signed, text_slices, tidy, word_bounds
 
 MIN_WORDS = 5
 NEAR_WORDS = 10
@@ -128,7 +128,7 @@ def line_table(docs: DataFrame, min_words: int) -> DataFrame:
                 ids = part.column("id").take(pa.array(lines.row[at]))
                 yield pa.RecordBatch.from_pydict({"id": ids, "number": lines.number[at].astype(np.int32), "hash": signed(lines.hash[at])})
 
-    return checkpointed(docs.mapInArrow(scan, f"id {kind}, number int, hash bigint"))
+    return checkpointed(docs.mapInArrow(tidy(scan), f"id {kind}, number int, hash bigint"))
 
 
 def earliest(lines: Lines, ids: pa.Array, near_words: int) -> np.ndarray:
@@ -198,8 +198,8 @@ def shared_rests(docs: DataFrame, n_lines: int, near_words: int) -> tuple[np.nda
             scaled = np.minimum(8 * np.log2(1 + total), 255).astype(np.uint8).tobytes()
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1 - part], pa.int32()), pa.array([scaled], pa.binary())], names=["key", "piece", "counts"])
 
-    packed = docs.mapInArrow(pack, "part int, keys binary")
-    found = checkpointed(packed.repartition(parts, "part").mapInArrow(count, "key bigint, piece int, counts binary"))
+    packed = docs.mapInArrow(tidy(pack), "part int, keys binary")
+    found = checkpointed(packed.repartition(parts, "part").mapInArrow(tidy(count), "key bigint, piece int, counts binary"))
     shared = found.filter("key IS NOT NULL").select("key")
     n_bits = 1 << min(28, max(24, math.ceil(math.log2(64 * max(1, shared.count())))))
     often = np.zeros(slots, np.uint8)
@@ -253,7 +253,7 @@ def key_table(docs: DataFrame, n_lines: int, near_words: int) -> DataFrame:
                     }
                 )
 
-    return checkpointed(docs.mapInArrow(scan, f"key bigint, role tinyint, hash bigint, id {kind}, number int, n int, low bigint, high bigint"))
+    return checkpointed(docs.mapInArrow(tidy(scan), f"key bigint, role tinyint, hash bigint, id {kind}, number int, n int, low bigint, high bigint"))
 
 
 def rarest_runs(lines: Lines, at: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -368,7 +368,7 @@ def line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 arrays = [pa.array(ids, part.schema.field("id").type), pa.array(numbers, pa.int32()), pa.array(words, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "number", "words"])
 
-    return within(docs, checkpointed(wanted), "id", "inner").mapInArrow(scan, f"id {kind}, number int, words binary")
+    return within(docs, checkpointed(wanted), "id", "inner").mapInArrow(tidy(scan), f"id {kind}, number int, words binary")
 
 
 def verified_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -385,7 +385,7 @@ def verified_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             good = [near_words_apart(x.split(), y.split()) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
             yield batch.select(["id", "number"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(check, f"id {kind}, number int")
+    return both.mapInArrow(tidy(check), f"id {kind}, number int")
 
 
 def repeated_lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
@@ -424,4 +424,4 @@ def deduplicate_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "t
             arrays = [pa.array(texts, arrow.field(c).type) if c == text else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([a.cast(t) for a, t in zip(arrays, arrow.types, strict=True)], schema=arrow).filter(pa.array(keep))
 
-    return joined.select(*docs.columns, lists).mapInArrow(rewrite, schema)
+    return joined.select(*docs.columns, lists).mapInArrow(tidy(rewrite), schema)

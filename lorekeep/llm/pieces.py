@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lorekeep.llm.tables import require
-from lorekeep.llm.textkit import RangeHash, text_slices
+from lorekeep.llm.textkit import RangeHash, text_slices, tidy
 
 MARKER = "▁"
 BLANK = 0x20
@@ -309,7 +309,7 @@ def encode_texts(docs: DataFrame, pieces: Pieces, text: str = "text", ids: str =
                 column = pa.ListArray.from_arrays(bounds, pa.array(found)).cast(arrow.field(ids).type)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in arrow.names[:-1]), column], schema=arrow)
 
-    return docs.mapInArrow(scan, schema)
+    return docs.mapInArrow(tidy(scan), schema)
 
 
 def decode_ids(rows: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "text") -> DataFrame:
@@ -342,4 +342,4 @@ def decode_ids(rows: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "t
                 ]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in arrow.names[:-1]), pa.array(texts, arrow.field(text).type)], schema=arrow)
 
-    return rows.mapInArrow(scan, schema)
+    return rows.mapInArrow(tidy(scan), schema)

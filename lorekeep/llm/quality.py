@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.llm.labelled import fold, to_rows, training_labels
 from lorekeep.llm.tables import checkpointed, require
-from lorekeep.llm.textkit import LOWER, RangeHash, row_sums, text_slices, window_hashes, word_bounds
+from lorekeep.llm.textkit import LOWER, RangeHash, row_sums, text_slices, tidy, window_hashes, word_bounds
 
 FIT_ROWS = 40_000
 THRESHOLD = 0.3
@@ -115,7 +115,7 @@ def feature_table(docs: DataFrame, id_column: str, text: str) -> DataFrame:
             for part, data, offsets in text_slices(batch, "text"):
                 yield pa.RecordBatch.from_pydict({"id": part.column("id"), **shape_features(data, offsets)})
 
-    return checkpointed(rows.mapInArrow(scan, f"id {kind}, " + ", ".join(f"{n} float" for n in NAMES)))
+    return checkpointed(rows.mapInArrow(tidy(scan), f"id {kind}, " + ", ".join(f"{n} float" for n in NAMES)))
 
 
 @dataclass
@@ -252,7 +252,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
             score = np.full(len(x), model) if isinstance(model, float) else model.score(x)
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "score": score})
 
-    scored = features.mapInArrow(scan, f"id {kind}, score double")
+    scored = features.mapInArrow(tidy(scan), f"id {kind}, score double")
     return scored.select(
         F.col("id").alias(id_column), (fold(F.col("id")) == 0).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
@@ -278,4 +278,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", tex
                     good = model.score(np.column_stack([found[n] for n in NAMES]).astype(np.float64)) >= threshold
                 yield part.filter(pa.array(good))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(tidy(scan), docs.schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm import ann, jaccard, leaks, licenses, lines, merkle, packing, pieces, quality, toxicity, trie, urls, warc
-from lorekeep.llm.tables import table, with_small_batches
+from lorekeep.llm.tables import checkpointed, table, with_small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,7 +52,8 @@ def op5_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of every text, their digest, and whether decoding gives the text back."""
     model = pieces.load_pieces(PIECE_MODEL)
     coded = pieces.encode_texts(table(spark, sf, "documents").select("doc_id", "text"), model)
-    back = pieces.decode_ids(coded.select("doc_id", "ids", F.md5("text").alias("text_md5")), model, text="decoded")
+    slim = checkpointed(coded.select("doc_id", "ids", F.md5("text").alias("text_md5")))  # one Python worker per task at a time
+    back = pieces.decode_ids(slim, model, text="decoded")
     spelled = F.size(F.filter("ids", lambda i: i.isin([int(b) for b in model.byte_ids])))
     return back.select(
         "doc_id", F.size("ids").alias("n_ids"), spelled.alias("n_byte_ids"), F.xxhash64("ids").alias("ids_hash"), F.md5("decoded").eqNullSafe(F.col("text_md5")).alias("exact")

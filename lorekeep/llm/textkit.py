@@ -8,7 +8,9 @@ byte of text), not the size of a batch or a partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,27 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 19
 
+ArrowTask = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(task: ArrowTask) -> ArrowTask:
+    """``task``, giving back what its worker has freed when it ends.
+
+    Workers outlive their tasks, and what they freed would stay with them, beside the workers of the next stage.
+    """
+
+    @functools.wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries have none
+            if trim is not None:
+                trim(0)
+
+    return run
+
 #: ASCII white space, the only bytes that end a word.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

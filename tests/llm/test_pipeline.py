@@ -53,7 +53,7 @@ def test_stages(spark, folder):
         held.append({r["doc_id"]: r["text"] for r in kept})
         assert all(r["n_chars"] == len(r["text"]) for r in kept if r["text"] is not None)
     assert held[0] == {i: t for i, t in rows.items() if scored[i]}
-    lines = deduplicated(list(held[0].items()), 5, 10)
+    lines = deduplicated(list(held[0].items()), 1, 5)
     assert held[1] == {i: t for i, t in lines.items() if t is None or t.strip() or t == held[0][i]}
     root = {i: c for i, _, c in components(list(held[1].items()))}
     assert held[2] == {i: t for i, t in held[1].items() if root[i] == i}

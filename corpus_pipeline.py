@@ -25,7 +25,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat earlier ones; those left without a word go."""
-    clean = lines.deduplicate_lines(docs, min_words=1, drop_empty=True)
+    clean = lines.deduplicate_lines(docs, min_words=1, near_words=5, drop_empty=True)
     return clean.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else clean
 
 
@@ -44,7 +44,7 @@ def encoded_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = pieces.load_pieces(PIECE_MODEL)
     coded = pieces.encode_texts(docs.select("doc_id", "lang", "source", "text"), model)
     slim = coded.select("doc_id", "lang", "source", "ids", F.md5("text").alias("text_md5"))
-    back = pieces.decode_ids(slim, model, text="decoded")
+    back = pieces.decode_ids(checkpointed(slim), model, text="decoded")  # one Python worker per task at a time
     exact = F.md5("decoded").eqNullSafe(F.col("text_md5"))
     return back.select("doc_id", "lang", "source", "ids", F.size("ids").alias("n_ids"), exact.alias("exact"))
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lorekeep.functions.scorers import PairScorer, PandasPairScorer, coverage, score_pairs
 from lorekeep.functions.text import sentences
@@ -52,33 +57,91 @@ def generate_tests_from_sql(
 
 
 RUN = 5  # words by which a passage and a text meet
+ROWS_PER_SLICE = 1_000
 
 
 def passage_tests(rows: DataFrame, passages: DataFrame) -> DataFrame:
     """``question_id, question, expected_doc_id``: every passage (``question_id, question``) with each of the rows (``id, content``) that hold it.
 
     A passage of seven words or more is met by its second to sixth word, which stand in the text as they are; only
-    rows that share this run are searched. Passages are broadcast while they are few, else both sides meet by
-    a shuffle of hashes. Shorter passages, if there are any, are searched in every row.
+    texts that share this run are searched. While the passages are few they are broadcast and met in one Arrow pass over
+    the rows, else both sides meet by a shuffle of hashes. Shorter passages, if there are any, are searched in every row.
     """
     words = F.split("question", " ")
-    known = passages.select("question_id", "question", F.size(words).alias("_n"), F.xxhash64(F.array_join(F.slice(words, 2, RUN), " ")).alias("_key"))
+    known = passages.select("question_id", "question", F.size(words).alias("_n"), F.slice(words, 2, RUN).alias("_run"))
     known = checkpointed(known.filter("question IS NOT NULL"))
-    keys = known.filter(F.col("_n") >= RUN + 2).select("question_id", "_key")
-    small = keys.count() * 64 <= LOOKUP_BYTES
-    text = F.split("content", " ")
-    runs = F.transform(F.sequence(F.lit(1), F.size(text) - RUN + 1), lambda i: F.xxhash64(F.array_join(F.slice(text, i, RUN), " ")))
-    runs = F.when(F.size(text) >= RUN, F.array_distinct(runs))
-    met = rows.select("id", F.explode_outer(runs).alias("_key")).join(F.broadcast(keys) if small else keys, "_key")
-    met = checkpointed(met.select("id", "question_id").distinct())
-    held = lookup(met, rows, ["content"]).join(known.select("question_id", "question"), "question_id").filter(F.contains("content", "question"))
-    found = [held.select("question_id", "question", F.col("id").alias("expected_doc_id"))]
+    whole = known.filter((F.col("_n") >= RUN + 2) & F.col("question_id").isNotNull())
+    size = whole.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("question")), F.lit(0)).alias("bytes")).first()
+    found = [_met_in_pass(rows, whole) if 256 * size["n"] + 2 * size["bytes"] <= LOOKUP_BYTES else _met_by_shuffle(rows, whole)]
     short = known.filter(F.col("_n") < RUN + 2).select("question_id", "question")
     if not short.isEmpty():
         found.append(rows.join(short, F.contains("content", "question")).select("question_id", "question", F.col("id").alias("expected_doc_id")))
     return union_all(found)
 
 
+def _met_in_pass(rows: DataFrame, whole: DataFrame) -> DataFrame:
+    """Texts are split into words once; only words of the passages' runs are numbered, and runs are compared as numbers."""
+    kinds = (whole.schema["question_id"].dataType, T.StringType(), rows.schema["id"].dataType)
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(("question_id", "question", "expected_doc_id"), kinds, strict=True)])
+    arrow = to_arrow_schema(schema)
+    shared = rows.sparkSession.sparkContext.broadcast(whole.select("question_id", "question", "_run").toArrow())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = shared.value
+        vocabulary = pc.unique(pc.list_flatten(asked.column("_run")))
+        keys = _run_keys(pc.index_in(pc.list_flatten(asked.column("_run")), vocabulary), np.full(len(asked), RUN))[0]
+        order = np.argsort(keys, kind="stable")
+        keys, questions = keys[order], asked.column("question").to_pylist()
+        for batch in batches:
+            for start in range(0, batch.num_rows if len(keys) else 0, ROWS_PER_SLICE):
+                part = pa.Table.from_batches([batch.slice(start, ROWS_PER_SLICE)])
+                part = part.filter(pc.and_(part.column("id").is_valid(), part.column("content").is_valid()))
+                text = part.column("content").combine_chunks()
+                split = pc.split_pattern(text, " ")
+                met, row = _run_keys(pc.index_in(pc.list_flatten(split), vocabulary), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+                first, last = np.searchsorted(keys, met, "left"), np.searchsorted(keys, met, "right")
+                at = np.flatnonzero(last > first)
+                pairs = np.unique(row[at] * len(keys) + first[at])
+                held, which = [], []
+                for r, f in zip(pairs // len(keys), pairs % len(keys), strict=True):
+                    content = text[int(r)].as_py()
+                    some = [int(q) for q in order[f : np.searchsorted(keys, keys[f], "right")] if questions[q] in content]
+                    held += [int(r)] * len(some)
+                    which += some
+                which = pa.array(which, pa.int64())
+                out = [*(asked.column(c).take(which) for c in ("question_id", "question")), part.column("id").take(pa.array(held, pa.int64()))]
+                yield from pa.Table.from_arrays([c.cast(t) for c, t in zip(out, arrow.types, strict=True)], schema=arrow).to_batches()
+
+    return rows.select("id", "content").mapInArrow(run, schema)
+
+
+def _run_keys(words: pa.Array | pa.ChunkedArray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each run of ``RUN`` known words and the row it is in; ``words`` are numbers of the words of all rows, NULL for unknown ones."""
+    words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+    number = words.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    if len(number) < RUN:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    unknown = np.concatenate([[0], np.cumsum(number < 0)])
+    starts = np.flatnonzero((unknown[RUN:] == unknown[:-RUN]) & (row[: len(row) - RUN + 1] == row[RUN - 1 :]))
+    hashed = np.zeros(len(starts), np.uint64)
+    for i in range(RUN):
+        hashed = hashed * np.uint64(0x9E3779B97F4A7C15) + number[starts + i].astype(np.uint64) + np.uint64(1)
+        hashed ^= hashed >> np.uint64(29)
+    return hashed, row[starts]
+
+
+def _met_by_shuffle(rows: DataFrame, whole: DataFrame) -> DataFrame:
+    """Runs of all texts and of the passages as hashes in a join; texts that share one are then searched."""
+    keys = whole.select("question_id", F.xxhash64(F.array_join("_run", " ")).alias("_key"))
+    text = F.split("content", " ")
+    runs = F.transform(F.sequence(F.lit(1), F.size(text) - RUN + 1), lambda i: F.xxhash64(F.array_join(F.slice(text, i, RUN), " ")))
+    runs = F.when(F.size(text) >= RUN, F.array_distinct(runs))
+    met = checkpointed(rows.select("id", F.explode_outer(runs).alias("_key")).join(keys, "_key").select("id", "question_id").distinct())
+    held = lookup(met, rows, ["content"]).join(whole.select("question_id", "question"), "question_id").filter(F.contains("content", "question"))
+    return held.select("question_id", "question", F.col("id").alias("expected_doc_id"))
+
+
 def as_base(kb: Base | DataFrame) -> Base:
     """A frame counts as a base of hashed bags, whose column names their dimension; other vectors raise."""
     return kb if isinstance(kb, Base) else FrameBase(kb)

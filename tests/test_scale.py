@@ -40,3 +40,20 @@ def test_passages_are_met_in_one_pass_over_the_texts(spark, monkeypatch, few):
     assert sorted((r["question_id"], r["expected_doc_id"]) for r in found.collect()) == [(7, 1), (7, 1), (8, 5), (8, 5)]
     assert not few or "MapInArrow" in plan(found)
     assert evaluate.passage_tests(base, passages.limit(0)).count() == 0
+
+
+def test_vectors_are_not_copied_for_every_list(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    matrix = rng.normal(size=(400, 12))  # without clusters: nearly every list may hold a better row
+    matrix[50:120] = matrix[50]
+    base = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(matrix)], "id bigint, vector array<double>")
+    path, asked, seen, met = new_dir(spark, "ivf"), base.withColumnRenamed("id", "question_id"), [], listjoin._meet
+    ivf.build_index(base, path, lists=20)
+
+    def count(some, *others):
+        seen.append(some.count())
+        return met(some, *others)
+
+    monkeypatch.setattr(listjoin, "_meet", count)
+    assert rows(listjoin.search_join(spark, path, asked, 5, part_rows=64)) == rows(search(base, asked, 5, kind=DENSE))
+    assert seen[0] == 400 and seen[1] <= 400

@@ -5,8 +5,8 @@ posting weight. Postings of a term are sorted by weight and cut into blocks; a s
 each block's largest weight. A search reads the first block of every term of a question and scores the
 rows that look best there, which bounds the k-th score from below. That bound is shared out as cuts over the question's terms: a row that
 stays below every cut cannot reach the bound, so blocks that begin below their term's cut are not
-read. Costly terms get a cut that leaves them out altogether as long as the bound allows it. Rows met in the
-blocks that are read are then scored exactly on their own vectors.
+read. Costly terms get a cut that leaves them out altogether as long as the bound allows it. Rows that reach a cut in the
+blocks that are read are then scored exactly on their own vectors, each row once with all questions of a block.
 
 The result equals ``search``, ties and rounding included.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators.embed import postings
 from lorekeep.operators.kernels import bag_entries, cosine, usable
-from lorekeep.operators.search import BROADCAST_BYTES, hit_schema, lookup, question_bytes, rank_hits
+from lorekeep.operators.search import BROADCAST_BYTES, hit_schema, lookup, question_bytes, rank_hits, score_vectors, thinned
 from lorekeep.session import checkpointed
 
 ROWS_PER_BLOCK = 256
@@ -79,6 +79,19 @@ def read_blocks(spark: SparkSession, path: str, chosen: DataFrame, id_type: str)
     return met.select("question_id", "id", (F.col("q") * F.col("weight")).alias("part_score"))
 
 
+def candidates(spark: SparkSession, path: str, chosen: DataFrame, id_type: str) -> DataFrame:
+    """Distinct ``id`` of the rows that reach the cut of a term of some question.
+
+    A term's chosen blocks hold what reaches its lowest cut, one number per term, which is broadcast. So a posting is
+    read once for all questions, and only ids are shuffled, not pairs with questions.
+    """
+    parts = [r["part"] for r in chosen.select("part").distinct().collect()]
+    least = chosen.groupBy("bucket").agg((F.min(F.col("cut") / F.col("q")) * (1 - 1e-9)).alias("least"))
+    stored = spark.read.schema(f"bucket bigint, weight double, id {id_type}, part int").parquet(f"{path}/postings")
+    met = stored.filter(F.col("part").isin(parts)).join(F.broadcast(checkpointed(least)), "bucket")
+    return met.filter("weight >= least").select("id").distinct()
+
+
 def lower_bounds(spark: SparkSession, path: str, blocks: DataFrame, rows: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """``question_id, bound``: a score that k rows surely reach; none where fewer are met.
 
@@ -158,6 +171,6 @@ def search_blocks(
         asked = questions if n == 1 else questions.filter(F.pmod(F.xxhash64("question_id"), F.lit(n)) == i)
         id_type = rows.schema["id"].dataType.simpleString()
         chosen, _ = chosen_blocks(spark, path, rows, asked, k)
-        candidates = checkpointed(read_blocks(spark, path, chosen, id_type).select("question_id", "id").distinct())
-        found.append(pair_scores(lookup(candidates, rows, ["vector"]), asked))
+        ids = checkpointed(candidates(spark, path, chosen, id_type))
+        found.append(score_vectors(thinned(rows.select("id", "vector"), ids), asked, k, broadcast_bytes=broadcast_bytes))
     return rank_hits(functools.reduce(DataFrame.unionByName, found), k)

@@ -156,23 +156,26 @@ def search(
 def lookup(hits: DataFrame, kb: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Join columns of ``kb`` to hits that are stored, not computed again.
 
-    Only winners move. Few ids become a filter, so the scan can skip row groups by their
-    statistics or Bloom filters. More are counted; up to ``LOOKUP_BYTES`` they are broadcast, so no content is
-    shuffled. Beyond, each id sets one bit of a filter of at most that size; what gets through is
-    little more than the hits' own rows, and only that is joined by a shuffle.
+    Only winners move: what ``thinned`` lets through is little more than the hits' own rows, and only that is joined.
+    """
+    return hits.join(thinned(kb.select("id", *columns), hits.select("id").distinct()), "id")
+
+
+def thinned(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is one of the distinct ``ids``, and where these are many perhaps some others.
+
+    Few ids become a filter, so the scan can skip row groups by their statistics or Bloom filters. More are counted; up
+    to ``LOOKUP_BYTES`` they are broadcast, so no content is shuffled. Beyond, each id sets one bit of a filter of at
+    most that size, and rows that share a bit get through.
     """
-    ids = hits.select("id").distinct()
-    rows = kb.select("id", *columns)
     wanted = [row["id"] for row in ids.limit(LOOKUP_IDS + 1).collect()]
     if len(wanted) <= LOOKUP_IDS:
         whole = wanted and all(isinstance(i, int) for i in wanted)
         few = F.expr(f"id IN ({', '.join(map(str, wanted))})") if whole else F.col("id").isin(wanted)
-        found = rows.filter(few)
-    elif ids.count() * 64 <= LOOKUP_BYTES:
-        found = rows.join(F.broadcast(ids), "id", "left_semi")
-    else:
-        found = maybe_wanted(rows, ids)
-    return hits.join(found, "id")
+        return rows.filter(few)
+    if ids.count() * 64 <= LOOKUP_BYTES:
+        return rows.join(F.broadcast(ids), "id", "left_semi")
+    return maybe_wanted(rows, ids)
 
 
 def maybe_wanted(rows: DataFrame, ids: DataFrame) -> DataFrame:

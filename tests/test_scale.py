@@ -57,3 +57,17 @@ def test_vectors_are_not_copied_for_every_list(spark, monkeypatch):
     monkeypatch.setattr(listjoin, "_meet", count)
     assert rows(listjoin.search_join(spark, path, asked, 5, part_rows=64)) == rows(search(base, asked, 5, kind=DENSE))
     assert seen[0] == 400 and seen[1] <= 400
+
+
+def test_candidates_of_blocks_are_rows_not_pairs(spark, monkeypatch, words):
+    kb, asked, path, pairs, scored = bags(spark, words), bags(spark, words[:4], "question_id"), new_dir(spark, "blocks"), [], blocks.pair_scores
+
+    def count(some, questions):
+        pairs.append(some.count())
+        return scored(some, questions)
+
+    monkeypatch.setattr(blocks, "pair_scores", count)
+    monkeypatch.setattr(blocks, "TRIED", 0)
+    blocks.build_blocks(kb, path, rows_per_block=4)
+    assert rows(blocks.search_blocks(spark, path, kb, asked, 1)) == rows(search(kb, asked, 1))
+    assert sum(pairs) <= 4 * blocks.TRIED_PER_HIT  # those that bound the k-th score

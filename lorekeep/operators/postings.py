@@ -22,38 +22,41 @@ from lorekeep.operators.search import BROADCAST_BYTES, question_bytes, rank_hits
 from lorekeep.session import checkpointed, stored_table
 
 
-ROWS_PER_PART = 200_000
+ROWS_PER_PART = 4_000  # a task sorts their postings, and sums the scores of a question set over them
+MOST_PARTS = 50_000  # Spark itself takes 100,000 buckets
 
 
-def default_parts(spark: SparkSession, rows: int) -> int:
-    """One bucket per task slot at least; buckets grow with the data, so a bucket stays one task's work."""
-    return max(spark.sparkContext.defaultParallelism, math.ceil(rows / ROWS_PER_PART))
+def default_parts(spark: SparkSession, rows: int, least: int | None = None) -> int:
+    """``least`` buckets, by default one per task slot; more where the rows ask for them, so a bucket stays one task's work."""
+    return max(least or spark.sparkContext.defaultParallelism, min(MOST_PARTS, math.ceil(rows / ROWS_PER_PART)))
 
 
-def _marked(bags: DataFrame) -> DataFrame:
-    return bags.select("id", "vector", F.xxhash64("vector").alias("mark"))
+def _marks(bags: DataFrame) -> DataFrame:
+    return bags.select("id", F.xxhash64("vector").alias("mark"))
 
 
-def _save(bags: DataFrame, table: str, path: str, parts: int, version: int, mode: str) -> None:
+def _save(bags: DataFrame, marks: DataFrame, table: str, path: str, parts: int, version: int, mode: str, files: int = 1) -> None:
+    """Write postings and the marks of their rows. ``files`` tasks share a bucket: a hash of so many times the parts
+    deals every task rows of one bucket only."""
     rows = postings(bags).withColumn("version", F.lit(version))
     (
-        rows.repartition(parts, "id")
+        rows.repartition(parts * files, "id")
         .write.mode(mode)
         .bucketBy(parts, "id")
         .sortBy("bucket")
         .option("path", f"{path}/postings")
         .saveAsTable(table)
     )
-    known = _marked(bags).drop("vector").withColumn("parts", F.lit(parts))
-    known.write.mode("overwrite").parquet(f"{path}/known/version={version}")
+    marks.withColumn("parts", F.lit(parts)).write.mode("overwrite").parquet(f"{path}/known/version={version}")
 
 
 def build_postings(bags: DataFrame, table: str, path: str, parts: int | None = None) -> None:
     """Write the postings of ``id, vector`` rows as bucketed table ``table`` below ``path``.
 
-    ``parts`` buckets, by default as many as the number of rows asks for.
+    At least ``parts`` buckets, by default one per task slot; more where the number of rows asks for them.
     """
-    _save(bags.select("id", "vector"), table, path, parts or default_parts(bags.sparkSession, bags.count()), 0, "overwrite")
+    parts = default_parts(bags.sparkSession, bags.count(), parts)
+    _save(bags.select("id", "vector"), _marks(bags), table, path, parts, 0, "overwrite")
 
 
 def _current(spark: SparkSession, path: str) -> DataFrame:
@@ -71,14 +74,14 @@ def refresh_postings(bags: DataFrame, table: str, path: str) -> None:
     spark = bags.sparkSession
     parts = spark.read.parquet(f"{path}/known").agg(F.max("parts")).first()[0]
     version = next_version(spark, path, "known")
-    known, wanted = _current(spark, path).select("id", "mark"), _marked(bags)
-    new = checkpointed(wanted.select("id", "mark").join(known, ["id", "mark"], "left_anti").select("id").distinct())
-    gone = checkpointed(known.join(wanted.select("id", "mark"), ["id", "mark"], "left_anti").select("id").distinct())
+    known, wanted = _current(spark, path).select("id", "mark"), checkpointed(_marks(bags))
+    new = checkpointed(wanted.join(known, ["id", "mark"], "left_anti").select("id").distinct())
+    gone = checkpointed(known.join(wanted, ["id", "mark"], "left_anti").select("id").distinct())
     if not gone.isEmpty():
         gone.write.parquet(f"{path}/gone/before={version}")
     if not new.isEmpty():
-        rows = bags.select("id", "vector").join(new, "id", "left_semi")
-        _save(rows, table, path, parts, version, "append")
+        rows, marks = (some.join(new, "id", "left_semi") for some in (bags.select("id", "vector"), wanted))
+        _save(rows, marks, table, path, parts, version, "append", math.ceil(new.count() / ROWS_PER_PART / parts))
 
 
 def search_postings(

@@ -42,6 +42,20 @@ def test_passages_are_met_in_one_pass_over_the_texts(spark, monkeypatch, few):
     assert evaluate.passage_tests(base, passages.limit(0)).count() == 0
 
 
+def test_buckets_of_postings_grow_with_the_rows(spark, monkeypatch, words):
+    monkeypatch.setattr(postings, "ROWS_PER_PART", 5)
+    kb, asked = bags(spark, words), bags(spark, words[:3], "question_id")
+    spark.sql("CREATE DATABASE IF NOT EXISTS test_scale")
+    path = new_dir(spark, "postings")
+    postings.build_postings(kb.filter("id < 20"), "test_scale.grown", path, parts=2)
+    assert spark.read.parquet(f"{path}/known").agg(F.max("parts")).first()[0] == 4
+    assert rows(postings.search_postings(spark, "test_scale.grown", path, asked, 6)) == rows(search(kb.filter("id < 20"), asked, 6))
+    postings.refresh_postings(kb.filter("id <> 7"), "test_scale.grown", path)  # 40 new rows: two tasks a bucket
+    files = spark.table("test_scale.grown").filter("version = 1").select(F.input_file_name().alias("f")).distinct().count()
+    assert files > 4
+    assert rows(postings.search_postings(spark, "test_scale.grown", path, asked, 6)) == rows(search(kb.filter("id <> 7"), asked, 6))
+
+
 def test_vectors_are_not_copied_for_every_list(spark, monkeypatch):
     rng = np.random.default_rng(8)
     matrix = rng.normal(size=(400, 12))  # without clusters: nearly every list may hold a better row

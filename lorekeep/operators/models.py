@@ -16,21 +16,23 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, IndexToString, RegexTokenizer, StringIndexer
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lorekeep.functions.prompt import render
 from lorekeep.functions.text import DEFAULT_DIM, TOKEN_BREAK, bucket, each, term_buckets, tokens
-from lorekeep.operators.kernels import flat_values
 from lorekeep.session import checkpointed, stored_table, union_all
 
 LOG_SCALE = 1_000_000
 BLOCK_NUMBERS = 4_000_000
+GATHERED_NUMBERS = 1_000_000  # logarithms that a task holds at a time, 8 MB
+BEST = T.StructType([T.StructField("score", T.LongType()), T.StructField("class", T.IntegerType())])
 
 
 def number_array(values: Sequence[int]) -> Column:
@@ -82,27 +84,21 @@ class NaiveBayes:
     def transform(self, df: DataFrame, text: str, out: str = "prediction", block_numbers: int = BLOCK_NUMBERS) -> DataFrame:
         """One row out for every row in, with the most likely class; texts without tokens get the
         most frequent one, ties go to the class that sorts first. No shuffle, filters still reach the
-        scan; each block of classes is one more Arrow pass that keeps the better class."""
+        scan; each block of classes is one more Arrow pass that keeps the better class. Only bags go through Python."""
         spark = df.sparkSession
         step = max(1, block_numbers // self.dim)
-        bag = term_buckets(F.coalesce(F.col(text), F.lit("")), self.dim)
-        rows = df.withColumns({"_bag": bag, "_best": F.lit(None).cast("bigint"), "_class": F.lit(None).cast("int")})
+        kept = [c for c in df.columns if c != out]
+        rows = df.withColumn("_bag", term_buckets(F.coalesce(F.col(text), F.lit("")), self.dim))
         for first in range(0, len(self.classes), step):
             last = min(first + step, len(self.classes))
-            block = first, np.array(self.priors[first:last]), self.log_probs(first, last)
-            rows = rows.mapInArrow(_better_class(spark.sparkContext.broadcast(block)), rows.schema)
-        schema = T.StructType([*df.drop(out).schema.fields, T.StructField(out, self.kind)])
-        arrow, classes, kept = to_arrow_schema(schema), spark.sparkContext.broadcast(self.classes), df.drop(out).columns
+            block = spark.sparkContext.broadcast((first, np.array(self.priors[first:last]), self.log_probs(first, last)))
+            best = F.arrow_udf(next_best(block), BEST)("_bag", "_best") if first else F.arrow_udf(first_best(block), BEST)("_bag")
+            rows = rows.withColumn("_best", best)
+        label = F.arrow_udf(labels(spark.sparkContext.broadcast(self.classes), self.kind), self.kind)
+        return rows.select(*[F.col(f"`{c}`") for c in kept], label("_best").alias(out))
 
-        def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            labels = pa.array(classes.value, arrow.field(len(kept)).type)
-            for batch in batches:
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), labels.take(batch.column("_class"))], schema=arrow)
 
-        return rows.drop("_bag", "_best").mapInArrow(name, schema)
-
-
-def _token_sums(values: np.ndarray, ends: np.ndarray, logs: np.ndarray, numbers: int = BLOCK_NUMBERS) -> np.ndarray:
+def _token_sums(values: np.ndarray, ends: np.ndarray, logs: np.ndarray, numbers: int = GATHERED_NUMBERS) -> np.ndarray:
     """Per row the sum of ``logs`` over its buckets ``values[ends[row] : ends[row + 1]]``.
 
     Many rows at a time, as long as ``numbers`` hold their tokens; a longer row is counted by bucket.
@@ -123,27 +119,45 @@ def _token_sums(values: np.ndarray, ends: np.ndarray, logs: np.ndarray, numbers:
 
 def best_class(bags: pa.Array, priors: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The best score of every bag over a block of classes and the class that has it, counted within the block."""
-    values, owner = flat_values(pa.chunked_array([bags]))
-    ends = np.searchsorted(owner, np.arange(len(bags) + 1))
+    values = bags.flatten().to_numpy(zero_copy_only=False)  # no owner of each value: ends of the rows say it
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(bags).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
     scores = np.tile(priors, (len(bags), 1)) + _token_sums(values, ends, logs)
     return scores.max(axis=1, initial=np.iinfo(np.int64).min), scores.argmax(axis=1)
 
 
-def _better_class(shared):
-    """Keep each row's class or take a better one of the block; blocks come in the classes' order."""
+def _struct(score: np.ndarray, number: np.ndarray) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(score.astype(np.int64)), pa.array(number.astype(np.int32))], ["score", "class"])
+
+
+def first_best(shared):
+    """The best class of every bag among those of the first block."""
+
+    def run(bags: pa.Array) -> pa.Array:
+        _, priors, logs = shared.value
+        return _struct(*best_class(bags, priors, logs))
+
+    return run
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def next_best(shared):
+    """The class found before, or a better one of this block; blocks come in the classes' order."""
+
+    def run(bags: pa.Array, before: pa.Array) -> pa.Array:
         first, priors, logs = shared.value
-        for batch in batches:
-            best, which = best_class(batch.column("_bag"), priors, logs)
-            before = batch.column("_best")
-            known = before.is_valid().to_numpy(zero_copy_only=False)
-            old = before.fill_null(0).to_numpy(zero_copy_only=False)
-            better = ~known | (best > old)
-            label = np.where(better, which + first, batch.column("_class").fill_null(0).to_numpy(zero_copy_only=False))
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            columns |= {"_best": pa.array(np.where(better, best, old)), "_class": pa.array(label.astype(np.int32))}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
+        score, which = best_class(bags, priors, logs)
+        old, old_class = (before.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+        better = score > old
+        return _struct(np.where(better, score, old), np.where(better, which + first, old_class))
+
+    return run
+
+
+def labels(classes, kind: T.DataType):
+    """The labels of numbered classes."""
+    arrow = to_arrow_type(kind)
+
+    def run(best: pa.Array) -> pa.Array:
+        return pa.array(classes.value, arrow).take(best.field(1))
 
     return run
 

@@ -15,8 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from lorekeep.functions.text import bucket_sql
 from lorekeep.operators import models
@@ -99,50 +97,17 @@ def register_model(spark: SparkSession, path: str, name: str, version: int | Non
         raise ValueError("only naive Bayes models are functions; predict_model applies the others")
     model = models.load_version(spark, made["target"], path, version, made["dim"])
     step = max(1, models.BLOCK_NUMBERS // model.dim)
-    best = T.StructType([T.StructField("score", T.LongType()), T.StructField("class", T.IntegerType())])
     body = "NULL"
     for first in range(0, len(model.classes), step):
         last = min(first + step, len(model.classes))
         shared = spark.sparkContext.broadcast((first, np.array(model.priors[first:last]), model.log_probs(first, last)))
         block = f"{_name(name)}_{first}"
         if first == 0:
-            spark.udf.register(block, F.arrow_udf(_first_best(shared), best))
+            spark.udf.register(block, F.arrow_udf(models.first_best(shared), models.BEST))
             body = f"{block}({bucket_sql("coalesce(text, '')", model.dim)})"
         else:
-            spark.udf.register(block, F.arrow_udf(_next_best(shared), best))
+            spark.udf.register(block, F.arrow_udf(models.next_best(shared), models.BEST))
             body = f"{block}({bucket_sql("coalesce(text, '')", model.dim)}, {body})"
     classes = spark.sparkContext.broadcast(model.classes)
-    spark.udf.register(f"{name}_label", F.arrow_udf(_labels(classes, model.kind), model.kind))
+    spark.udf.register(f"{name}_label", F.arrow_udf(models.labels(classes, model.kind), model.kind))
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(text STRING) RETURNS {model.kind.simpleString()} RETURN {name}_label({body})")
-
-
-def _struct(score: np.ndarray, number: np.ndarray) -> pa.Array:
-    return pa.StructArray.from_arrays([pa.array(score.astype(np.int64)), pa.array(number.astype(np.int32))], ["score", "class"])
-
-
-def _first_best(shared):
-    def run(bags: pa.Array) -> pa.Array:
-        _, priors, logs = shared.value
-        return _struct(*models.best_class(bags, priors, logs))
-
-    return run
-
-
-def _next_best(shared):
-    def run(bags: pa.Array, before: pa.Array) -> pa.Array:
-        first, priors, logs = shared.value
-        score, which = models.best_class(bags, priors, logs)
-        old, old_class = (before.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-        better = score > old
-        return _struct(np.where(better, score, old), np.where(better, which + first, old_class))
-
-    return run
-
-
-def _labels(classes, kind: T.DataType):
-    arrow = to_arrow_type(kind)
-
-    def run(best: pa.Array) -> pa.Array:
-        return pa.array(classes.value, arrow).take(best.field(1))
-
-    return run

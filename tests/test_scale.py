@@ -85,3 +85,13 @@ def test_candidates_of_blocks_are_rows_not_pairs(spark, monkeypatch, words):
     blocks.build_blocks(kb, path, rows_per_block=4)
     assert rows(blocks.search_blocks(spark, path, kb, asked, 1)) == rows(search(kb, asked, 1))
     assert sum(pairs) <= 4 * blocks.TRIED_PER_HIT  # those that bound the k-th score
+
+
+def test_only_bags_go_through_python_in_prediction(spark):
+    docs = spark.createDataFrame([(1, "red fox", "a"), (2, "blue dog", "b"), (3, "red red", "a"), (4, None, "b")], "id bigint, text string, lang string")
+    model = models.fit_naive_bayes(docs, "text", "lang", dim=64)
+    for numbers in (1, models.BLOCK_NUMBERS):
+        found = model.transform(docs, "text", "lang", block_numbers=numbers)
+        assert found.columns == ["id", "text", "lang"]
+        assert {r["id"]: r["lang"] for r in found.collect()} == {1: "a", 2: "b", 3: "a", 4: "a"}
+        assert "MapInArrow" not in plan(found)

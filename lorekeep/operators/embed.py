@@ -16,6 +16,7 @@ from lorekeep.operators.kernels import bag_entries, usable
 from lorekeep.operators.search import VectorKind
 
 IDF_SCALE = 100
+ROWS_PER_SLICE = 512  # of an Arrow batch whose postings are made at a time
 HASH_DIM = "hash_dim"  # in the metadata of a column of bags: the number of its buckets
 
 
@@ -41,16 +42,17 @@ def postings(bags: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = usable(pa.Table.from_batches([batch]), "id")
-            row, bucket, counts, norms = bag_entries(table.column("vector"))
-            ids = table.column("id").combine_chunks().take(pa.array(row, pa.int64()))
-            columns = [
-                ids.cast(arrow.field(0).type),
-                pa.array(bucket, pa.int64()),
-                pa.array(counts.astype("int64")),
-                pa.array(norms[row], pa.float64()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            for start in range(0, batch.num_rows, ROWS_PER_SLICE):
+                table = usable(pa.Table.from_batches([batch.slice(start, ROWS_PER_SLICE)]), "id")
+                row, bucket, counts, norms = bag_entries(table.column("vector"))
+                ids = table.column("id").combine_chunks().take(pa.array(row, pa.int64()))
+                columns = [
+                    ids.cast(arrow.field(0).type),
+                    pa.array(bucket, pa.int64()),
+                    pa.array(counts.astype("int64")),
+                    pa.array(norms[row], pa.float64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return bags.select("id", "vector").mapInArrow(run, schema)
 

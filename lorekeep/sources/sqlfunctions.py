@@ -23,6 +23,9 @@ from lorekeep.operators.kernels import bag_entries, cosine, dense_matrix
 from lorekeep.operators.search import VectorKind
 
 
+ROWS_PER_SLICE = 512  # of an Arrow batch: what a task holds beside the batch does not grow with it
+
+
 def _name(name: str) -> str:
     if not re.fullmatch(r"[A-Za-z_]\w*", name):
         raise ValueError(f"{name!r} is no name of letters, digits and underscores")
@@ -46,11 +49,15 @@ def pair_scores(kind: VectorKind) -> Callable[[pa.Array, pa.Array], pa.Array]:
         return (a * b).sum(axis=1), scale, scale > 0
 
     def score(rows: pa.Array, asked: pa.Array) -> pa.Array:
+        slices = [some(rows.slice(at, ROWS_PER_SLICE), asked.slice(at, ROWS_PER_SLICE)) for at in range(0, max(1, len(rows)), ROWS_PER_SLICE)]
+        return pa.concat_arrays(slices)
+
+    def some(rows: pa.Array, asked: pa.Array) -> pa.Array:
         known = np.flatnonzero(rows.is_valid().to_numpy(False) & asked.is_valid().to_numpy(False))
         out, found = np.zeros(len(rows)), np.zeros(len(rows), bool)
         if len(known):
-            some = [pa.chunked_array([c.take(pa.array(known))]) for c in (rows, asked)]
-            dots, scale, found[known] = (dense if kind.dense else bags)(*some)
+            pairs = [pa.chunked_array([c.take(pa.array(known))]) for c in (rows, asked)]
+            dots, scale, found[known] = (dense if kind.dense else bags)(*pairs)
             out[known] = cosine(dots, scale)
         return pa.array(out, mask=~found)
 

@@ -95,3 +95,14 @@ def test_only_bags_go_through_python_in_prediction(spark):
         assert found.columns == ["id", "text", "lang"]
         assert {r["id"]: r["lang"] for r in found.collect()} == {1: "a", 2: "b", 3: "a", 4: "a"}
         assert "MapInArrow" not in plan(found)
+
+
+def test_scores_and_postings_are_made_in_slices(monkeypatch):
+    sizes, entries = [], sqlfunctions.bag_entries
+    monkeypatch.setattr(sqlfunctions, "bag_entries", lambda c, w=None: (sizes.append(len(c)), entries(c, w))[1])
+    left = pa.array([[i % 5, 7] if i % 9 else None for i in range(2000)], pa.list_(pa.int32()))
+    right = pa.array([[i % 3] for i in range(2000)], pa.list_(pa.int32()))
+    got = sqlfunctions.pair_scores(BAG)(left, right)
+    assert max(sizes) <= 512 and embed.ROWS_PER_SLICE <= 512
+    assert got.to_pylist() == [0.707107 if i % 9 and i % 5 == i % 3 else None for i in range(2000)]
+    assert len(sqlfunctions.pair_scores(BAG)(left.slice(0, 0), right.slice(0, 0))) == 0

@@ -92,7 +92,7 @@ def test_short_lines(spark, tmp_path):
     assert {r["doc_id"]: (r["n_kept"], r["n_chars"]) for r in op1_line_dedup(spark, str(tmp_path)).collect()} == want
     assert want[2] == (0, 0) and want[5] == (0, 0)
     left = corpus_pipeline.distinct_lines(spark, docs, str(tmp_path)).collect()
-    assert {r["doc_id"]: r["text"] for r in left} == {i: t for i, t in deduplicated(rows, 1, 10).items() if t.strip() or t == dict(rows)[i]}
+    assert {r["doc_id"]: r["text"] for r in left} == {i: t for i, t in deduplicated(rows, 1, 5).items() if t.strip() or t == dict(rows)[i]}
 
 
 def test_long_lines(spark):

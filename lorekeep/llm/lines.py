@@ -28,6 +28,7 @@ about 5e-20 per pair, and then the verification keeps the line.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lorekeep.llm.tables import checkpointed, flag_bits, private, require, within
+from lorekeep.llm.tables import checkpointed, fits, flag_bits, flag_count, private, require, with_partners, within
 from lorekeep.llm.textkit import _BASE, _INVERSE, RangeHash, folded, mix, powers, signed, text_slices, tidy, word_bounds
 
 MIN_WORDS = 5
@@ -50,6 +51,8 @@ MAX_COUNTS = 1 << 24
 ONCE = 8  # a run with this count, scaled, is no other line's
 QUARTERS = 4
 LINES_PER_PART = 65_536
+LINE_STEP = 2_654_435_761  # spreads the lines of one document over the bits; its product with a number is a bigint
+KEYS_PER_PACK = 1 << 19  # keys a task gathers before it sends them
 SUBSTITUTED, DELETED, WHOLE, RARE = 0, 1, 2, 3
 
 
@@ -149,36 +152,99 @@ def count_slots(n_lines: int) -> int:
     return 1 << min(MAX_COUNTS.bit_length() - 1, max(16, math.ceil(math.log2(8 * max(1, n_lines)))))
 
 
-def shared_rests(docs: DataFrame, n_lines: int, near_words: int) -> tuple[np.ndarray, int, np.ndarray]:
-    """One bit per rest of a line that different lines share, the number of parts, and how often runs of words occur.
+def part_count(n_lines: int) -> int:
+    return 1 << min(20, max(2, math.ceil(math.log2(max(1, n_lines / LINES_PER_PART)))))
 
-    Rests travel packed, eight bytes each with half of the line's hash, one array per part and slice.
+
+def two_owners(values: np.ndarray) -> np.ndarray:
+    """Of sorted packed keys, the first and the last owner of each key: enough to see whether there are two."""
+    key = values >> np.uint64(32)
+    new = np.ones(len(values) + 1, bool)
+    new[1:-1] = key[1:] != key[:-1]
+    return values[new[:-1] | new[1:]]
+
+
+class Packer:
+    """Keys with their lines' hashes, eight bytes a key, gathered into one array per part of keys."""
+
+    def __init__(self, parts: int) -> None:
+        self.parts = parts
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, owners: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((keys, owners))
+        self.size += len(keys)
+        if self.size >= KEYS_PER_PACK:
+            yield from self.sent()
+
+    def sent(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            keys, owners = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            place = (keys & np.uint64(self.parts - 1)).astype(np.int32)
+            order = np.argsort(place, kind="stable")
+            values = (keys[order] >> np.uint64(32) << np.uint64(32)) | (owners[order] >> np.uint64(32))
+            names, first = np.unique(place[order], return_index=True)
+            packed = [two_owners(np.unique(x)).tobytes() for x in np.split(values, first[1:])]
+            yield pa.RecordBatch.from_pydict({"part": names, "keys": pa.array(packed, pa.binary())})
+        self.held, self.size = [], 0
+
+
+def shared(part: int, arrays: list[np.ndarray]) -> pa.Array:
+    """Keys of a part, as ``short`` makes them, that different lines have."""
+    values = np.unique(np.concatenate(arrays))
+    names, lines = np.unique(values >> np.uint64(32) << np.uint64(32), return_counts=True)
+    return pa.array(signed(mix(names[lines > 1] | np.uint64(part))))
+
+
+def key_flags(keys: DataFrame) -> np.ndarray:
+    """A bit per ``key``, in bytes."""
+    return np.frombuffer(flag_bits(keys, "key", flag_count(keys.count())), np.uint8)
+
+
+def flagged(keys: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    slot = signed(keys) & (len(flags) * 8 - 1)
+    return (flags[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+
+
+def packed_counts(piece: np.ndarray) -> bytes:
+    """Counts, most of them zero: a bit for each that is not, then their low and high bytes."""
+    used = piece > 0
+    counts = piece[used]
+    return zlib.compress(np.packbits(used).tobytes() + counts.astype(np.uint8).tobytes() + (counts >> np.uint16(8)).astype(np.uint8).tobytes(), 1)
+
+
+def add_counts(total: np.ndarray, packed: bytes) -> None:
+    """Adds what ``packed_counts`` has packed."""
+    data = np.frombuffer(zlib.decompress(packed), np.uint8)
+    low, high = np.split(data[len(total) // 8 :].astype(np.int64), 2)
+    total[np.flatnonzero(np.unpackbits(data[: len(total) // 8]))] += low + (high << 8)
+
+
+def shared_rests(docs: DataFrame, n_lines: int, near_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """One bit per rest of a line that different lines share, and how often runs of words occur.
+
+    Rests travel packed, eight bytes each with half of the line's hash, some hundred thousand of a task at once.
     Runs of long lines are counted by their hash modulo ``count_slots``, in one array per task; the result has
     a byte per slot, eight times the binary logarithm of one more than the count. The negative parts are its pieces.
     """
-    parts = 1 << min(20, max(2, math.ceil(math.log2(max(1, n_lines / LINES_PER_PART)))))
+    parts = part_count(n_lines)
     slots, least = count_slots(n_lines), max(near_words, 2 * WORDS_PER_EDIT)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(slots, np.uint16)
+        counts, packer = np.zeros(slots, np.uint16), Packer(parts)
         for batch in batches:
             for part, data, offsets in text_slices(batch, "text"):
                 lines = Lines(data, offsets)
                 at = earliest(lines, part.column("id"), near_words)
-                keys = np.concatenate([lines.quarter(at, s, q)[2] for s in (0, 1) for q in range(QUARTERS)])
-                owner = np.tile(lines.hash[at], 2 * QUARTERS)
-                place = (keys & np.uint64(parts - 1)).astype(np.int32)
-                order = np.argsort(place, kind="stable")
-                values = (keys[order] >> np.uint64(32) << np.uint64(32)) | (owner[order] >> np.uint64(32))
-                names, first = np.unique(place[order], return_index=True)
-                packed = [x.tobytes() for x in np.split(values, first[1:])] if len(names) else []
                 met, n = np.unique(lines.runs(at[lines.count[at] >= least])[1] & np.uint64(slots - 1), return_counts=True)
                 counts[met] = np.minimum(counts[met] + n, np.iinfo(np.uint16).max)
-                yield pa.RecordBatch.from_pydict({"part": names, "keys": pa.array(packed, pa.binary())})
+                yield from packer.add(np.concatenate([lines.quarter(at, s, q)[2] for s in (0, 1) for q in range(QUARTERS)]), np.tile(lines.hash[at], 2 * QUARTERS))
+        yield from packer.sent()
         pieces = counts.reshape(-1, CHUNK)
         used = np.flatnonzero(pieces.any(axis=1))
         for some in np.array_split(used, max(1, len(used) // 256)):
-            yield pa.RecordBatch.from_pydict({"part": (-1 - some).astype(np.int32), "keys": pa.array([pieces[c].tobytes() for c in some], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": (-1 - some).astype(np.int32), "keys": pa.array([packed_counts(pieces[c]) for c in some], pa.binary())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
@@ -186,13 +252,11 @@ def shared_rests(docs: DataFrame, n_lines: int, near_words: int) -> tuple[np.nda
         for batch in batches:
             for part, packed in zip(batch.column("part").to_pylist(), batch.column("keys").to_pylist(), strict=True):
                 if part < 0:
-                    totals.setdefault(part, np.zeros(CHUNK, np.int64))[:] += np.frombuffer(packed, np.uint16)
+                    add_counts(totals.setdefault(part, np.zeros(CHUNK, np.int64)), packed)
                 else:
                     held.setdefault(part, []).append(np.frombuffer(packed, np.uint64))
         for part, arrays in held.items():
-            rests = np.unique(np.concatenate(arrays)) >> np.uint64(32) << np.uint64(32)
-            values, lines = np.unique(rests, return_counts=True)
-            keys = pa.array(signed(mix(values[lines > 1] | np.uint64(part))))
+            keys = shared(part, arrays)
             yield pa.RecordBatch.from_arrays([keys, pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.binary())], names=["key", "piece", "counts"])
         for part, total in totals.items():
             scaled = np.minimum(8 * np.log2(1 + total), 255).astype(np.uint8).tobytes()
@@ -200,23 +264,22 @@ def shared_rests(docs: DataFrame, n_lines: int, near_words: int) -> tuple[np.nda
 
     packed = docs.mapInArrow(tidy(pack), "part int, keys binary")
     found = checkpointed(packed.repartition(parts, "part").mapInArrow(tidy(count), "key bigint, piece int, counts binary"))
-    shared = found.filter("key IS NOT NULL").select("key")
-    n_bits = 1 << min(28, max(24, math.ceil(math.log2(64 * max(1, shared.count())))))
     often = np.zeros(slots, np.uint8)
     for row in found.filter("piece IS NOT NULL").select("piece", "counts").collect():
         often[row["piece"] * CHUNK : (row["piece"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.uint8)
-    return np.frombuffer(flag_bits(shared, "key", n_bits), np.uint8), parts, often
+    return key_flags(found.filter("key IS NOT NULL").select("key")), often
 
 
-def key_table(docs: DataFrame, n_lines: int, near_words: int) -> DataFrame:
-    """``key, role, hash, id, number, n, low, high`` of the variants with a gap where another line agrees on the rest,
-    and (role RARE) of the rarest runs of lines long enough for two edits, which alone have ``n, low, high``."""
+def line_keys(docs: DataFrame, n_lines: int, near_words: int) -> DataFrame:
+    """``role, hash, id, number, n, low, high, keys``: per line and role the packed keys, those of the variants with a gap
+    where another line agrees on the rest, and (role RARE) of the rarest runs of lines long enough for two edits,
+    which alone have ``n, low, high``."""
     told = docs.sparkSession.sparkContext.broadcast(shared_rests(docs, n_lines, near_words))
     kind = docs.schema["id"].dataType.simpleString()
-    least = max(near_words, 2 * WORDS_PER_EDIT)
+    least, parts = max(near_words, 2 * WORDS_PER_EDIT), part_count(n_lines)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, parts, often = told.value
+        flags, often = told.value
         for batch in batches:
             for part, data, offsets in text_slices(batch, "text"):
                 lines = Lines(data, offsets)
@@ -225,35 +288,85 @@ def key_table(docs: DataFrame, n_lines: int, near_words: int) -> DataFrame:
                 for longer in (0, 1):
                     for which in range(QUARTERS):
                         first, last, key = lines.quarter(at, longer, which)
-                        slot = signed(short(key, parts)) & (len(flags) * 8 - 1)
-                        meets = (flags[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+                        meets = flagged(short(key, parts), flags)
                         line, left, replaced = lines.gaps(at[meets], first[meets], last[meets])
                         keys.append(left if longer else replaced)
                         owners.append(line)
-                        roles.append(np.full(len(line), DELETED if longer else SUBSTITUTED, np.int8))
+                        roles.append(np.full(len(line), DELETED if longer else SUBSTITUTED, np.int64))
                         whole |= meets & (longer == 0)
-                keys.append(lines.hash[at[whole]])
-                owners.append(at[whole])
-                roles.append(np.full(len(owners[-1]), WHOLE, np.int8))
-                low, high = lines.parities()
                 line, rare = rarest_runs(lines, at[lines.count[at] >= least], often)
-                before = sum(len(x) for x in owners)
-                filled = np.arange(before + len(line)) < before
-                owners, roles = np.concatenate([*owners, line]), np.concatenate([*roles, np.full(len(line), RARE, np.int8)])
+                keys += [lines.hash[at[whole]], rare]
+                owners += [at[whole], line]
+                roles += [np.full(len(owners[-2]), WHOLE, np.int64), np.full(len(line), RARE, np.int64)]
+                group = np.concatenate(roles) * len(lines.a) + np.concatenate(owners)
+                order = np.argsort(group, kind="stable")
+                names, first = np.unique(group[order], return_index=True)
+                role, owner = np.divmod(names, max(1, len(lines.a)))
+                bounds = np.append(first, len(group)).astype(np.int32) * np.int32(8)
+                packed = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(bounds), pa.py_buffer(np.concatenate(keys)[order])])
+                low, high = lines.parities()
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "key": signed(np.concatenate([*keys, rare])),
-                        "role": roles,
-                        "hash": signed(lines.hash[owners]),
-                        "id": part.column("id").take(pa.array(lines.row[owners])),
-                        "number": lines.number[owners].astype(np.int32),
-                        "n": pa.array(lines.count[owners].astype(np.int32), mask=filled),
-                        "low": pa.array(signed(low[owners]), mask=filled),
-                        "high": pa.array(signed(high[owners]), mask=filled),
+                        "role": role.astype(np.int8),
+                        "hash": signed(lines.hash[owner]),
+                        "id": part.column("id").take(pa.array(lines.row[owner])),
+                        "number": lines.number[owner].astype(np.int32),
+                        "n": pa.array(lines.count[owner].astype(np.int32), mask=role != RARE),
+                        "low": pa.array(signed(low[owner]), mask=role != RARE),
+                        "high": pa.array(signed(high[owner]), mask=role != RARE),
+                        "keys": packed,
                     }
                 )
 
-    return checkpointed(docs.mapInArrow(tidy(scan), f"key bigint, role tinyint, hash bigint, id {kind}, number int, n int, low bigint, high bigint"))
+    return checkpointed(docs.mapInArrow(tidy(scan), f"role tinyint, hash bigint, id {kind}, number int, n int, low bigint, high bigint, keys binary"))
+
+
+def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a batch of ``line_keys``, and the row of each."""
+    packed = pc.cast(batch.column("keys"), pa.large_binary())
+    bounds = np.frombuffer(packed.buffers()[1], np.int64, len(packed) + 1, packed.offset * 8)
+    keys = np.frombuffer(packed.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(np.uint64)
+    return keys, np.repeat(np.arange(len(packed)), np.diff(bounds) // 8)
+
+
+def key_table(docs: DataFrame, n_lines: int, near_words: int) -> DataFrame:
+    """``key, role, hash, id, number, n, low, high`` of the keys of ``line_keys`` that different lines have.
+
+    Most keys are one line's. Those that are not are found as shared rests are, eight bytes a key; only they become rows.
+    A few others pass, whose bits are set by chance.
+    """
+    table, parts = line_keys(docs, n_lines, near_words), part_count(n_lines)
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(parts)
+        for batch in batches:
+            if batch.num_rows:
+                keys, row = unpacked(batch)
+                yield from packer.add(keys, batch.column("hash").to_numpy().view(np.uint64)[row])
+        yield from packer.sent()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            for part, packed in zip(batch.column("part").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+                held.setdefault(part, []).append(np.frombuffer(packed, np.uint64))
+        for part, arrays in held.items():
+            yield pa.RecordBatch.from_arrays([shared(part, arrays)], names=["key"])
+
+    packed = table.select("hash", "keys").mapInArrow(tidy(pack), "part int, keys binary")
+    flags = key_flags(checkpointed(packed.repartition(parts, "part").mapInArrow(tidy(count), "key bigint")))
+    told = docs.sparkSession.sparkContext.broadcast(flags)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys, row = unpacked(batch)
+                meets = np.flatnonzero(flagged(short(keys, parts), told.value))
+                rest = batch.drop_columns(["keys"]).take(pa.array(row[meets]))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys[meets])), *rest.columns], names=["key", *rest.schema.names])
+
+    return checkpointed(table.mapInArrow(tidy(spread), f"key bigint, role tinyint, hash bigint, id {kind}, number int, n int, low bigint, high bigint"))
 
 
 def rarest_runs(lines: Lines, at: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -350,25 +463,47 @@ def near_long(docs: DataFrame, runs: DataFrame) -> DataFrame:
     return first.unionByName(verified_pairs(docs, pairs))
 
 
+def chosen_lines(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, flags: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the lines of each row that have a bit of ``line_words``."""
+    feeds = np.searchsorted(offsets, np.flatnonzero(data == 10), "right") - 1
+    count = np.bincount(feeds, minlength=part.num_rows) + 1
+    row = np.repeat(np.arange(part.num_rows), count)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    hit = flagged((part.column("hash").to_numpy()[row] ^ (number * LINE_STEP)).view(np.uint64), flags)
+    return np.split(number[hit], np.cumsum(np.bincount(row[hit], minlength=part.num_rows))[:-1])
+
+
 def line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``id, number, words`` of the wanted lines; ``wanted`` has ``id, numbers``."""
+    """``id, number, words`` of the wanted lines; ``wanted`` has ``id, numbers``.
+
+    Where these are too many to be broadcast, a bit for each is, and a few other lines come along; texts are never shuffled.
+    """
     kind = docs.schema["id"].dataType.simpleString()
+    wanted = checkpointed(wanted)
+    flags = None
+    if fits(wanted):
+        docs = within(docs, wanted, "id", "inner")
+    else:
+        places = wanted.select(F.xxhash64("id").alias("hash"), F.explode("numbers").alias("number"))
+        told = docs.sparkSession.sparkContext.broadcast(key_flags(places.select(F.col("hash").bitwiseXOR(F.col("number").cast("bigint") * LINE_STEP).alias("key"))))
+        docs, flags = docs.withColumn("hash", F.xxhash64("id")), told
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in text_slices(batch, "text"):
                 lower = folded(data).tobytes()
                 ids, numbers, words = [], [], []
-                for row, (name, chosen) in enumerate(zip(part.column("id").to_pylist(), part.column("numbers").to_pylist(), strict=True)):
-                    lines = lower[offsets[row] : offsets[row + 1]].split(b"\n")
-                    for number in chosen:
+                chosen = part.column("numbers").to_pylist() if flags is None else chosen_lines(part, data, offsets, flags.value)
+                for row, (name, some) in enumerate(zip(part.column("id").to_pylist(), chosen, strict=True)):
+                    lines = lower[offsets[row] : offsets[row + 1]].split(b"\n") if len(some) else []
+                    for number in some:
                         ids.append(name)
                         numbers.append(number)
                         words.append(b" ".join(lines[number].split()))
                 arrays = [pa.array(ids, part.schema.field("id").type), pa.array(numbers, pa.int32()), pa.array(words, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "number", "words"])
 
-    return within(docs, checkpointed(wanted), "id", "inner").mapInArrow(tidy(scan), f"id {kind}, number int, words binary")
+    return docs.mapInArrow(tidy(scan), f"id {kind}, number int, words binary")
 
 
 def verified_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -409,7 +544,7 @@ def deduplicate_lines(docs: DataFrame, id_column: str = "doc_id", text: str = "t
     plain = docs.select(F.col(id_column).alias("id"), F.col(text).cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     lists = private("numbers")
     gone = repeated_lines(plain, min_words, near_words).select(F.col("id").alias(id_column), F.col("numbers").alias(lists))
-    joined = within(docs, gone, id_column, "left")
+    joined = with_partners(docs, gone, id_column)
     schema = T.StructType([T.StructField(text, T.StringType()) if f.name == text else f for f in docs.schema.fields])
     arrow, names = to_arrow_schema(schema), docs.columns
 

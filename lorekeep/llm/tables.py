@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import uuid
 from collections.abc import Sequence
 
@@ -14,7 +15,7 @@ from lorekeep.session import checkpointed, new_dir
 BROADCAST_BYTES = 32 << 20
 ROWS_PER_BATCH = 1_000
 
-__all__ = ["checkpointed", "connected", "flag_bits", "new_dir", "private", "require", "table", "with_small_batches", "within"]
+__all__ = ["checkpointed", "connected", "fits", "flag_bits", "flag_count", "new_dir", "private", "require", "table", "with_partners", "with_small_batches", "within"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,11 +49,34 @@ def private(name: str) -> str:
     return f"_{name}_{uuid.uuid4().hex[:8]}"
 
 
+def fits(few: DataFrame) -> bool:
+    """Whether the counted rows of a stored table of keys and numbers stay below ``BROADCAST_BYTES``."""
+    return few.count() * (16 + 8 * len(few.columns)) <= BROADCAST_BYTES
+
+
 def within(rows: DataFrame, few: DataFrame, column: str | list[str], how: str) -> DataFrame:
-    """Join wide rows with a stored table of keys and numbers: broadcast where its counted rows stay
-    below ``BROADCAST_BYTES``, a shuffle join beyond."""
-    small = few.count() * (16 + 8 * len(few.columns)) <= BROADCAST_BYTES
-    return rows.join(F.broadcast(few) if small else few, column, how)
+    """Join wide rows with a stored table of keys and numbers: broadcast where it fits, a shuffle join beyond."""
+    return rows.join(F.broadcast(few) if fits(few) else few, column, how)
+
+
+def with_partners(rows: DataFrame, few: DataFrame, column: str) -> DataFrame:
+    """``within`` as a left join that shuffles only rows that may have a partner; one bit per partner tells them from the rest."""
+    if fits(few):
+        return within(rows, few, column, "left")
+    slot = F.pmod(F.xxhash64(column), F.lit(flag_count(few.count()))) + 1
+    bucket, bits = private("bucket"), private("bits")
+    flags = few.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias(bits))
+    marked = rows.join(F.broadcast(checkpointed(flags)), F.bitmap_bucket_number(slot) == F.col(bucket), "left")
+    place = F.bitmap_bit_position(slot).cast("int")
+    byte = F.conv(F.hex(F.substring(bits, F.floor(place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    meets = F.coalesce(F.getbit(byte, place % 8) == 1, F.lit(False))
+    alone = marked.filter(~meets).select(*rows.columns, *(F.lit(None).cast(f.dataType).alias(f.name) for f in few.schema if f.name != column))
+    return marked.filter(meets).select(*rows.columns).join(few, column, "left").unionByName(alone)
+
+
+def flag_count(n: int) -> int:
+    """Bits for flags of ``n`` keys: 64 for each, but 2^24 at least and 2^28 at most."""
+    return 1 << min(28, max(24, math.ceil(math.log2(64 * max(1, n)))))
 
 
 def flag_bits(keys: DataFrame, column: str, n_bits: int) -> bytes:

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from lorekeep.llm import lines
+from lorekeep.llm import lines, tables
 from lorekeep.llm.lines import deduplicate_lines, edits_within, one_edit
 from lorekeep.llm.queries import op1_line_dedup
 
@@ -148,3 +148,49 @@ def test_parities_change_by_two_per_edit():
         data = f"{' '.join(x)}\n{' '.join(y) or 'w'}".encode()
         both = lines.Lines(np.frombuffer(data, np.uint8), np.array([0, len(data)])).parities()
         assert sum(int(p[0] ^ p[1]).bit_count() for p in both) <= 2 * word_edits(x, y or ["w"])
+
+
+def test_only_shared_keys_become_rows(spark, monkeypatch):
+    """Where runs are too many to be counted apart, as in large inputs, keys of one line alone do not become rows."""
+    monkeypatch.setattr(lines, "count_slots", lambda n: lines.CHUNK)
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(90))) for i in range(300)]
+    rows.append((300, rows[7][1].replace(" ", " extra ", 1)))
+    docs = spark.createDataFrame(rows, "id bigint, text string")
+    keys = lines.key_table(docs, len(rows), 5).collect()
+    assert {r["id"] for r in keys if r["role"] == lines.RARE} >= {7, 300}
+    assert len(keys) < 60  # 10 keys of every line before
+    assert kept(spark, rows, near_words=5) == dict(rows) | {300: ""}
+
+
+def test_packed_keys_and_counts():
+    keys = np.array([5, 9, 5, 5, 1 << 40, 5], np.uint64) << np.uint64(16)
+    owners = np.array([1, 2, 3, 1, 4, 2], np.uint64) << np.uint64(32)
+    packer = lines.Packer(4)
+    assert list(packer.add(keys, owners)) == []
+    (batch,) = packer.sent()
+    assert not list(packer.sent()) and batch.column("part").to_pylist() == [0]
+    values = np.frombuffer(batch.column("keys")[0].as_py(), np.uint64)
+    assert [(int(v) >> 32, int(v) & 0xFFFFFFFF) for v in values] == [(0, 1), (0, 3), (1 << 24, 4)]
+    counts, total = np.zeros(lines.CHUNK, np.uint16), np.ones(lines.CHUNK, np.int64)
+    counts[[0, 7, 4095]] = 1, 65_535, 300
+    lines.add_counts(total, lines.packed_counts(counts))
+    assert (total == counts.astype(np.int64) + 1).all()
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_more_than_a_broadcast(spark, monkeypatch, kind):
+    """Many lines to verify and to remove: texts are not shuffled to verify them, and only those that lose lines after that."""
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", -1)
+    rows = texts(5) + [(600 + i, t) for i, t in texts(5)[:20]] + [(700, None), (701, "")]
+    name = (lambda i: i) if kind == "bigint" else (lambda i: f"{i:04d}")
+    df = spark.createDataFrame([(name(i), t) for i, t in rows] + [(None, "a b c d"), (None, "a b c d")], f"doc_id {kind}, text string")
+    found = [(r["doc_id"], r["text"]) for r in deduplicate_lines(df, min_words=2, near_words=4).collect()]
+    want = deduplicated(rows, 2, 4)
+    assert dict(x for x in found if x[0] is not None) == {name(i): t for i, t in want.items()}
+    assert [t for i, t in found if i is None] == ["a b c d"] * 2 and len(found) == len(rows) + 2
+    docs = df.filter("doc_id IS NOT NULL").select(df.doc_id.alias("id"), "text")
+    wanted = spark.createDataFrame([(name(rows[0][0]), [0]), (name(701), [0])], f"id {kind}, numbers array<int>")
+    words = lines.line_words(docs, wanted)
+    assert "Exchange" not in words._jdf.queryExecution().executedPlan().toString()
+    assert {(r["id"], r["number"]) for r in words.collect()} >= {(name(rows[0][0]), 0), (name(701), 0)}

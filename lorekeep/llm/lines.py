@@ -28,7 +28,6 @@ about 5e-20 per pair, and then the verification keeps the line.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +52,7 @@ QUARTERS = 4
 LINES_PER_PART = 65_536
 LINE_STEP = 2_654_435_761  # spreads the lines of one document over the bits; its product with a number is a bigint
 KEYS_PER_PACK = 1 << 19  # keys a task gathers before it sends them
-SUBSTITUTED, DELETED, WHOLE, RARE = 0, 1, 2, 3
+SUBSTITUTED, DELETED, WHOLE, RARE, LINE = 0, 1, 2, 3, 4
 
 
 class Lines:
@@ -119,19 +118,10 @@ class Lines:
         return line, variant, mix(variant ^ mix(place.astype(np.uint64) + np.uint64(1)))
 
 
-def line_table(docs: DataFrame, min_words: int) -> DataFrame:
-    """``id, number, hash`` of every line that may go."""
-    kind = docs.schema["id"].dataType.simpleString()
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in text_slices(batch, "text"):
-                lines = Lines(data, offsets)
-                at = np.flatnonzero(lines.count >= min_words)
-                ids = part.column("id").take(pa.array(lines.row[at]))
-                yield pa.RecordBatch.from_pydict({"id": ids, "number": lines.number[at].astype(np.int32), "hash": signed(lines.hash[at])})
-
-    return checkpointed(docs.mapInArrow(tidy(scan), f"id {kind}, number int, hash bigint"))
+def line_count(docs: DataFrame) -> int:
+    """Line feeds, and one more for each text."""
+    feeds = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    return docs.agg(F.sum(feeds + 1)).first()[0] or 0
 
 
 def earliest(lines: Lines, ids: pa.Array, near_words: int) -> np.ndarray:
@@ -207,18 +197,22 @@ def flagged(keys: np.ndarray, flags: np.ndarray) -> np.ndarray:
     return (flags[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
 
-def packed_counts(piece: np.ndarray) -> bytes:
-    """Counts, most of them zero: a bit for each that is not, then their low and high bytes."""
-    used = piece > 0
-    counts = piece[used]
-    return zlib.compress(np.packbits(used).tobytes() + counts.astype(np.uint8).tobytes() + (counts >> np.uint16(8)).astype(np.uint8).tobytes(), 1)
+def packed_counts(counts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Counts, most of them zero, in pieces of ``CHUNK``: a bit for each that is not, then their low and high bytes."""
+    used = counts > 0
+    bits, values = np.packbits(used).reshape(-1, CHUNK // 8), counts[used]
+    size = used.reshape(-1, CHUNK).sum(axis=1)
+    ends = np.cumsum(size)
+    low, high = values.astype(np.uint8), (values >> np.uint16(8)).astype(np.uint8)
+    names = np.flatnonzero(size)
+    return names, [b"".join((bits[c].tobytes(), low[ends[c] - size[c] : ends[c]].tobytes(), high[ends[c] - size[c] : ends[c]].tobytes())) for c in names]
 
 
 def add_counts(total: np.ndarray, packed: bytes) -> None:
-    """Adds what ``packed_counts`` has packed."""
-    data = np.frombuffer(zlib.decompress(packed), np.uint8)
-    low, high = np.split(data[len(total) // 8 :].astype(np.int64), 2)
-    total[np.flatnonzero(np.unpackbits(data[: len(total) // 8]))] += low + (high << 8)
+    """Adds a piece that ``packed_counts`` has made."""
+    data = np.frombuffer(packed, np.uint8)
+    low, high = data[CHUNK // 8 :].astype(np.int64).reshape(2, -1)
+    total[np.flatnonzero(np.unpackbits(data[: CHUNK // 8]))] += low + (high << 8)
 
 
 def shared_rests(docs: DataFrame, n_lines: int, near_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -241,10 +235,9 @@ def shared_rests(docs: DataFrame, n_lines: int, near_words: int) -> tuple[np.nda
                 counts[met] = np.minimum(counts[met] + n, np.iinfo(np.uint16).max)
                 yield from packer.add(np.concatenate([lines.quarter(at, s, q)[2] for s in (0, 1) for q in range(QUARTERS)]), np.tile(lines.hash[at], 2 * QUARTERS))
         yield from packer.sent()
-        pieces = counts.reshape(-1, CHUNK)
-        used = np.flatnonzero(pieces.any(axis=1))
-        for some in np.array_split(used, max(1, len(used) // 256)):
-            yield pa.RecordBatch.from_pydict({"part": (-1 - some).astype(np.int32), "keys": pa.array([packed_counts(pieces[c]) for c in some], pa.binary())})
+        names, pieces = packed_counts(counts)
+        for i in range(0, len(names), 256):
+            yield pa.RecordBatch.from_pydict({"part": (-1 - names[i : i + 256]).astype(np.int32), "keys": pa.array(pieces[i : i + 256], pa.binary())})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
@@ -258,9 +251,8 @@ def shared_rests(docs: DataFrame, n_lines: int, near_words: int) -> tuple[np.nda
         for part, arrays in held.items():
             keys = shared(part, arrays)
             yield pa.RecordBatch.from_arrays([keys, pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.binary())], names=["key", "piece", "counts"])
-        for part, total in totals.items():
-            scaled = np.minimum(8 * np.log2(1 + total), 255).astype(np.uint8).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1 - part], pa.int32()), pa.array([scaled], pa.binary())], names=["key", "piece", "counts"])
+        scaled = [np.minimum(8 * np.log2(1 + total), 255).astype(np.uint8).tobytes() for total in totals.values()]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(scaled), pa.int64()), pa.array([-1 - part for part in totals], pa.int32()), pa.array(scaled, pa.binary())], names=["key", "piece", "counts"])
 
     packed = docs.mapInArrow(tidy(pack), "part int, keys binary")
     found = checkpointed(packed.repartition(parts, "part").mapInArrow(tidy(count), "key bigint, piece int, counts binary"))
@@ -270,10 +262,10 @@ def shared_rests(docs: DataFrame, n_lines: int, near_words: int) -> tuple[np.nda
     return key_flags(found.filter("key IS NOT NULL").select("key")), often
 
 
-def line_keys(docs: DataFrame, n_lines: int, near_words: int) -> DataFrame:
-    """``role, hash, id, number, n, low, high, keys``: per line and role the packed keys, those of the variants with a gap
-    where another line agrees on the rest, and (role RARE) of the rarest runs of lines long enough for two edits,
-    which alone have ``n, low, high``."""
+def line_keys(docs: DataFrame, n_lines: int, min_words: int, near_words: int) -> DataFrame:
+    """``role, hash, id, number, n, low, high, keys``: every line that may go (role LINE, no keys), and per line and role the
+    packed keys, those of the variants with a gap where another line agrees on the rest, and (role RARE) of the rarest
+    runs of lines long enough for two edits, which alone have ``n, low, high``."""
     told = docs.sparkSession.sparkContext.broadcast(shared_rests(docs, n_lines, near_words))
     kind = docs.schema["id"].dataType.simpleString()
     least, parts = max(near_words, 2 * WORDS_PER_EDIT), part_count(n_lines)
@@ -305,6 +297,9 @@ def line_keys(docs: DataFrame, n_lines: int, near_words: int) -> DataFrame:
                 bounds = np.append(first, len(group)).astype(np.int32) * np.int32(8)
                 packed = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(bounds), pa.py_buffer(np.concatenate(keys)[order])])
                 low, high = lines.parities()
+                may = np.flatnonzero(lines.count >= min_words)
+                owner, role = np.append(owner, may), np.append(role, np.full(len(may), LINE))
+                packed = pa.concat_arrays([packed, pa.nulls(len(may), pa.binary())])
                 yield pa.RecordBatch.from_pydict(
                     {
                         "role": role.astype(np.int8),
@@ -329,14 +324,14 @@ def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.repeat(np.arange(len(packed)), np.diff(bounds) // 8)
 
 
-def key_table(docs: DataFrame, n_lines: int, near_words: int) -> DataFrame:
+def key_table(table: DataFrame, n_lines: int) -> DataFrame:
     """``key, role, hash, id, number, n, low, high`` of the keys of ``line_keys`` that different lines have.
 
     Most keys are one line's. Those that are not are found as shared rests are, eight bytes a key; only they become rows.
     A few others pass, whose bits are set by chance.
     """
-    table, parts = line_keys(docs, n_lines, near_words), part_count(n_lines)
-    kind = docs.schema["id"].dataType.simpleString()
+    table, parts = table.filter(f"role <> {LINE}"), part_count(n_lines)
+    kind = table.schema["id"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(parts)
@@ -356,7 +351,7 @@ def key_table(docs: DataFrame, n_lines: int, near_words: int) -> DataFrame:
 
     packed = table.select("hash", "keys").mapInArrow(tidy(pack), "part int, keys binary")
     flags = key_flags(checkpointed(packed.repartition(parts, "part").mapInArrow(tidy(count), "key bigint")))
-    told = docs.sparkSession.sparkContext.broadcast(flags)
+    told = table.sparkSession.sparkContext.broadcast(flags)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -525,11 +520,13 @@ def verified_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     """``id, numbers``: the lines of each document that go. ``docs`` has ``id, text`` without NULL ids."""
-    lines = line_table(docs, min_words)
+    n_lines = line_count(docs)
+    table = line_keys(docs, n_lines, min_words, near_words)
+    lines = table.filter(f"role = {LINE}")
     distinct = lines.groupBy("hash").agg(F.min(F.struct("id", "number")).alias("first"), F.count("*").alias("n"))
     again = checkpointed(distinct.filter("n > 1").select("hash", "first"))
     later = within(lines.select("id", "number", "hash"), again, "hash", "inner").filter("struct(id, number) > first").select("id", "number")
-    keys = key_table(docs, lines.count(), near_words)
+    keys = key_table(table, n_lines)
     near = near_pairs(keys.filter(f"role <> {RARE}").drop("n", "low", "high"))
     gone = later.union(verified_pairs(docs, near)).union(near_long(docs, keys.filter(f"role = {RARE}").drop("role")))
     return checkpointed(gone.groupBy("id").agg(F.collect_set("number").alias("numbers")))

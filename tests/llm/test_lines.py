@@ -157,7 +157,7 @@ def test_only_shared_keys_become_rows(spark, monkeypatch):
     rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(90))) for i in range(300)]
     rows.append((300, rows[7][1].replace(" ", " extra ", 1)))
     docs = spark.createDataFrame(rows, "id bigint, text string")
-    keys = lines.key_table(docs, len(rows), 5).collect()
+    keys = lines.key_table(lines.line_keys(docs, len(rows), 1, 5), len(rows)).collect()
     assert {r["id"] for r in keys if r["role"] == lines.RARE} >= {7, 300}
     assert len(keys) < 60  # 10 keys of every line before
     assert kept(spark, rows, near_words=5) == dict(rows) | {300: ""}
@@ -174,7 +174,9 @@ def test_packed_keys_and_counts():
     assert [(int(v) >> 32, int(v) & 0xFFFFFFFF) for v in values] == [(0, 1), (0, 3), (1 << 24, 4)]
     counts, total = np.zeros(lines.CHUNK, np.uint16), np.ones(lines.CHUNK, np.int64)
     counts[[0, 7, 4095]] = 1, 65_535, 300
-    lines.add_counts(total, lines.packed_counts(counts))
+    names, (piece,) = lines.packed_counts(np.concatenate([np.zeros_like(counts), counts]))
+    assert names.tolist() == [1]
+    lines.add_counts(total, piece)
     assert (total == counts.astype(np.int64) + 1).all()
 
 
